@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk
-from .common import table
+from . import langid, mixing, topk, warc
+from .common import held_out, table
+
+
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("html")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +20,20 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4).alias("held_out"))
+    net = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs, net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return topk.top_k(e.where(F.col("vec_id") % 50 == 0), e, "vec_id", "embedding", k=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_capture_index": op1_warc_capture_index,
     "op2_source_mix": op2_source_mix,
+    "op5_byte_cnn_language": op5_byte_cnn_language,
     "op8_exact_top_k": op8_exact_top_k,
 }
