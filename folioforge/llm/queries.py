@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, topk, warc
+from . import langid, mixing, pii, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -26,14 +26,27 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs, pii.fit(docs)).drop("text", "redacted")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return topk.top_k(e.where(F.col("vec_id") % 50 == 0), e, "vec_id", "embedding", k=5)
 
 
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 4).alias("held_out"))
+    chain = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.tag(docs, chain).select("doc_id", "held_out", "score", "predicted", "toxic_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_source_mix": op2_source_mix,
     "op5_byte_cnn_language": op5_byte_cnn_language,
+    "op7_semi_markov_pii": op7_semi_markov_pii,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_crf_toxicity": op9_crf_toxicity,
 }
