@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pii, topk, toxicity, warc
+from . import langid, lm, mixing, pii, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -42,6 +42,12 @@ def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.tag(docs, chain).select("doc_id", "held_out", "score", "predicted", "toxic_spans")
 
 
+def op10_log_bilinear_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7).alias("held_out"))
+    counts, head, model = lm.fit(docs.where(~F.col("held_out")))
+    return lm.score(docs, counts, head, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_source_mix": op2_source_mix,
@@ -49,4 +55,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_semi_markov_pii": op7_semi_markov_pii,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_crf_toxicity": op9_crf_toxicity,
+    "op10_log_bilinear_scoring": op10_log_bilinear_scoring,
 }
