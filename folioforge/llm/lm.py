@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from .common import byte_values, words, written
 
 #: Word classes (0: all other words, 1: end of text), vector length, noise words of a training batch.
-CLASSES, SIZE, NOISE = 256, 16, 48
+CLASSES, SIZE, NOISE = 256, 16, 64
 #: Words scored without a join, and the longest such word in bytes.
 HEAD, HEAD_BYTES = 65_536, 64
 END = b""
 FLUSH = 400_000
-STEP_TOKENS = 2_000_000
+#: Tokens that a task counts into triples at once; their passes (PASSES or more, to make STEPS steps of BATCH triples).
+STEP_TOKENS, BATCH, PASSES, STEPS = 4_000_000, 1024, 3, 300
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -100,10 +101,11 @@ class LogBilinear:
 
     def __init__(self, counts: np.ndarray, seed: int = 11) -> None:
         rng, n = np.random.default_rng(seed), len(counts)
-        self.q, self.r = rng.normal(0, 0.05, (n, SIZE)), rng.normal(0, 0.3, (n, SIZE))
+        self.q, self.r = rng.normal(0, 0.01, (n, SIZE)), rng.normal(0, 0.3, (n, SIZE))
         self.near, self.far = np.ones(SIZE), np.full(SIZE, 0.5)
         self.bias = np.log((counts + 1) / (counts.sum() + n))
-        self.noise = np.exp(self.bias)
+        self.noise = np.exp(self.bias / 2)
+        self.noise /= self.noise.sum()
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
@@ -124,12 +126,12 @@ class LogBilinear:
         top = s.max(axis=1, keepdims=True)
         return s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))
 
-    def nce(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, n: np.ndarray, rng: np.random.Generator, memory: dict[str, np.ndarray], rate: float = 0.05) -> None:
-        """An AdaGrad step on counted triples against NOISE shared noise words."""
+    def nce(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, n: np.ndarray, rng: np.random.Generator, memory: dict[str, np.ndarray], rate: float = 0.1) -> None:
+        """An AdaGrad step on weighted triples against NOISE shared noise words, drawn from the flattened unigram."""
         h = self.context(one, two)
-        drawn = rng.choice(len(self.noise), NOISE, p=self.noise / self.noise.sum())
+        drawn = rng.choice(len(self.noise), NOISE, p=self.noise)
         log_kp = np.log(NOISE * self.noise)
-        weight = (n / n.sum())[:, None]
+        weight = n[:, None]
         d_pos = (1 / (1 + np.exp(-np.clip((h * self.q[w]).sum(axis=1) + self.bias[w] - log_kp[w], -30, 30))) - 1)[:, None] * weight
         d_neg = 1 / (1 + np.exp(-np.clip(h @ self.q[drawn].T + self.bias[drawn] - log_kp[drawn], -30, 30))) * weight
         d_h = d_pos * self.q[w] + d_neg @ self.q[drawn]
@@ -165,11 +167,13 @@ def train(docs: DataFrame, counts: Counts, text: str = "text", seed: int = 11) -
         def step() -> None:
             code = np.concatenate(pieces)
             key, n = np.unique(code, return_counts=True)
-            order = rng.permutation(len(key))
-            for lo in range(0, len(key), 8192):
-                at = order[lo : lo + 8192]
-                k = key[at]
-                own.nce(k // classes % classes, k // classes**2, k % classes, n[at].astype(float), rng, memory)
+            weight = n * (len(key) / BATCH / n.sum())
+            for _ in range(max(PASSES, -(-STEPS * BATCH // len(key)))):
+                order = rng.permutation(len(key))
+                for lo in range(0, len(key), BATCH):
+                    at = order[lo : lo + BATCH]
+                    k = key[at]
+                    own.nce(k // classes % classes, k // classes**2, k % classes, weight[at], rng, memory)
 
         for batch in batches:
             ids, starts, at = [], [], 0
@@ -274,16 +278,15 @@ def score(docs: DataFrame, counts: DataFrame, head: Counts, model: LogBilinear,
     tail = d.select("_row", F.explode("_tail").alias("t")).select("_row", F.col("t.word").alias("word"), F.col("t.n").alias("k"))
     joined = tail.join(counts, "word", "left").groupBy("_row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("t_known"),
-        F.sum(F.col("k") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1)).alias("t_logs"), F.sum("k").alias("t_n"),
+        F.sum(F.col("k") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1)).alias("t_logs"),
     )
     d = d.drop("_tail").join(joined, "_row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rest, v_rest = head.class_counts()[0], max(0, head.distinct - (head.classes - 1))
     logs = F.col("_logs") + zero("t_logs")
     return d.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "n_tokens", (F.col("_known") + zero("t_known")).cast("long").alias("n_known"), F.lit(head.tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * float(np.log10(head.tokens + head.distinct + 1))).alias("base_score"),
-        (F.col("_model") + zero("t_logs") - zero("t_n") * float(np.log10(rest + v_rest + 1))).alias("score"),
+        (F.col("_model") + zero("t_logs")).alias("score"),
     )
 
 
