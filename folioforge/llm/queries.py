@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, mixing, pii, topk, toxicity, warc
+from . import jaccard, langid, lm, mixing, pii, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -26,6 +26,10 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_vertical_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.detect(docs, pii.fit(docs)).drop("text", "redacted")
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_source_mix": op2_source_mix,
     "op5_byte_cnn_language": op5_byte_cnn_language,
+    "op6_vertical_jaccard_join": op6_vertical_jaccard_join,
     "op7_semi_markov_pii": op7_semi_markov_pii,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_crf_toxicity": op9_crf_toxicity,
