@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, lm, mixing, pii, topk, toxicity, warc
+from . import conversations, decontaminate, jaccard, langid, lm, mixing, pii, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -20,6 +20,15 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decontaminate.pairs(docs, decontaminate.fit(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4).alias("held_out"))
     net = langid.fit(docs.where(~F.col("held_out")))
@@ -55,6 +64,8 @@ def op10_log_bilinear_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_source_mix": op2_source_mix,
+    "op3_latent_decontamination": op3_latent_decontamination,
+    "op4_snapshot_collapse": op4_snapshot_collapse,
     "op5_byte_cnn_language": op5_byte_cnn_language,
     "op6_vertical_jaccard_join": op6_vertical_jaccard_join,
     "op7_semi_markov_pii": op7_semi_markov_pii,
