@@ -139,3 +139,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     d = sample(d, rounds)
     copies = F.least(F.col("rest.whole") + F.col("taken_more").cast("int"), F.lit(int(cap))).cast("int")
     return d.select(F.col("key").alias(key), "size", "source", F.col("rest.source_size").alias("source_size"), F.col("rest.target").alias("target"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """docs (with their text) that the mix takes at least once, and size, target, copies, taken; a join on the id."""
+    m = mix(docs, key, text, source, **options).where("copies > 0")
+    m = m.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "target", "copies", "taken").dropDuplicates(["_key", "_source", "_size"])
+    d = docs.drop("size", "target", "copies", "taken").withColumn("size", word_count(text))
+    on = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    return d.join(m, on).drop("_key", "_source", "_size")

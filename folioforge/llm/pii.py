@@ -348,3 +348,13 @@ def detect(docs: DataFrame, model: SemiMarkov, text: str = "text") -> DataFrame:
     new = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"]
     kept = [c for c in docs.columns if c not in (*new, "_pii")]
     return docs.select(*kept, personal_data(model, text).alias("_pii")).select(*kept, *[F.col(f"_pii.{c}").alias(c) for c in new])
+
+
+def redact(docs: DataFrame, model: SemiMarkov, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with every span's characters replaced by its kind; a length column, if there is one, follows the text."""
+    d = docs.withColumn("_pii", personal_data(model, text))
+    found = F.col("_pii.redacted")
+    new = {text: F.coalesce(found, F.col(text))}
+    if length in docs.columns:
+        new[length] = F.when(found.isNotNull(), F.length(found).cast(docs.schema[length].dataType)).otherwise(F.col(length))
+    return d.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
