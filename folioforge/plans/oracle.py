@@ -92,7 +92,7 @@ SQL: dict[str, str] = {
       f AS (SELECT *, small AND sum(small::INT) OVER () >= 2 AS fold FROM s) SELECT CASE WHEN fold THEN 'others' ELSE asset_class END AS asset_class, sum(value)::BIGINT AS value, count(*) AS parts FROM f GROUP BY 1""",
     "daily_position_value": f"{ON_DAYS} SELECT day, sum(value)::BIGINT AS value, sum(backfilled::INT)::BIGINT AS backfilled FROM j GROUP BY day",
     "daily_series_by_class": f"{ON_DAYS} SELECT asset_class, day, sum(value)::BIGINT AS value FROM j JOIN sec USING (security_id) GROUP BY ALL",
-    "ffill_gaps": f"""WITH {CLOSES}, k AS (SELECT * FROM closes WHERE day(date) % 3 <> 0), d AS (SELECT event_type, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM k GROUP BY ALL)
+    "ffill_gaps": f"""WITH {CLOSES}, k AS (SELECT * FROM closes WHERE day(date) % 3 <> 0), b AS (SELECT event_type, min(date) AS lo, max(date) AS hi FROM k GROUP BY event_type), d AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS date FROM b)
       SELECT d.event_type, d.date, k.price, d.date > k.date AS filled FROM d ASOF JOIN k ON d.event_type = k.event_type AND d.date >= k.date""",
     "metal_compose": f"""WITH {CLOSES}, f AS (SELECT * FROM closes WHERE event_type = 'purchase'), x AS (SELECT * FROM closes WHERE event_type = 'view' AND day(date) % 2 = 1)
       SELECT f.date, {r("f.price * x.price / 31.1034768::DOUBLE", 6)} AS gram_price FROM f ASOF JOIN x ON f.date >= x.date""",
