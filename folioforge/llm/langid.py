@@ -147,16 +147,18 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, batch: int = 6
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """Trains on one window of each row of a bounded sample, drawn by the id's hash, evenly over the languages."""
-    docs = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
+    """Trains on windows of a bounded sample of the rows, drawn by the id's hash, evenly over the languages."""
+    docs = docs.select(key, text, lang).where(F.col(lang).isNotNull() & (F.length(text) > 0))
     counts = {r[0]: r[1] for r in docs.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(256).collect()}
     if not counts:
         return None
     each = max(8, sample // len(counts))
     part = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(key)), 12).cast("double") / float(2**52)
     rate = F.coalesce(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])[F.col(lang)], F.lit(0.0))
-    start = (F.pmod(F.xxhash64(F.lit("window"), F.col(key)), F.greatest(F.length(text) - WINDOW, F.lit(1)).cast("long")) + 1).cast("int")
-    drawn = docs.where(part < rate).select(F.col(key).alias("k"), F.substring(F.col(text), start, F.lit(WINDOW)).alias("t"), F.col(lang).alias("l"))
+    # several windows of a document where there are few of them
+    each_doc = int(np.clip(-(-sample // sum(counts.values())), 1, 16))
+    start = (F.pmod(F.xxhash64(F.lit("window"), F.col(key), F.col("i")), F.greatest(F.length(text) - WINDOW, F.lit(1)).cast("long")) + 1).cast("int")
+    drawn = docs.where(part < rate).select(key, text, lang, F.explode(F.sequence(F.lit(1), F.lit(each_doc))).alias("i")).select(F.col(key).alias("k"), F.substring(F.col(text), start, F.lit(WINDOW)).alias("t"), F.col(lang).alias("l"))
     rows = sorted(drawn.limit(2 * sample + 16 * len(counts)).collect(), key=lambda r: (str(r.k), r.t, r.l))
     return train([r.t.encode() for r in rows], [r.l for r in rows])
 
@@ -186,9 +188,9 @@ def language(net: Network | None, text: str = "text") -> Column:
                 lo = hi
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    udf = F.arrow_udf(predict, "struct<lang_pred string, score double>")
-    guess = udf(F.when(letter, F.col(text)))
-    return guess
+    # not deterministic to the optimizer, so that a filter on the result doesn't evaluate it again
+    udf = F.arrow_udf(predict, "struct<lang_pred string, score double>").asNondeterministic()
+    return udf(F.when(letter, F.col(text)))
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
