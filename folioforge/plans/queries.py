@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 AS_OF, PREVIOUS = "1998-06-30", "1998-05-31"
 GROUP = ["account_id", "security_id"]
-OPENING_COST = F.lit(dm.OPENING * 100_000)
+OPENING_COST = dm.OPENING * 100_000
 
 
 def query(f: Query) -> Query:
@@ -213,14 +213,14 @@ def running_balance(spark, sf):
 
 @query
 def moving_avg_cost(spark, sf):
-    d = lg.pooled(dm.ledger(spark, sf), dm.OPENING, OPENING_COST)
+    d = lg.pooled(dm.ledger(spark, sf), dm.OPENING, F.lit(OPENING_COST))
     last = d.groupBy(*GROUP).agg(F.max_by(F.struct("pool", "balance"), F.struct(*dm.ORDER)).alias("x"))
     return last.select(*GROUP, F.col("x.balance").alias("balance"), half_up(F.col("x.pool"), 0).alias("pool"), half_up(F.try_divide("x.pool", F.col("x.balance").cast("double")), 2).alias("avg_cost"))
 
 
 @query
 def realized_pl(spark, sf):
-    d = lg.realized(dm.ledger(spark, sf), dm.OPENING, OPENING_COST)
+    d = lg.realized(dm.ledger(spark, sf), dm.OPENING, F.lit(OPENING_COST))
     return d.groupBy(*GROUP).agg(F.count("*").alias("sales"), half_up(F.sum("realized"), 0).alias("realized"))
 
 
