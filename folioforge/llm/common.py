@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -14,7 +17,28 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Records of an Arrow batch: texts may be long, and a worker holds a batch and what it makes of it.
+BATCH = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Caps the session's Arrow batches at BATCH records, so that workers hold little text at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
+def release() -> None:
+    """Gives a worker's freed memory back: it stays alive for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,19 +22,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 DIM = 1 << 18
-RANK, EXTRA, POWER = 256, 10, 1
+RANK, EXTRA, POWER = 512, 10, 1
 #: A passage is two segments of STEP words; passages overlap by one segment.
 STEP = 16
 #: A candidate keeps at least ENERGY of its length in the latent space and has at least COSINE there.
 ENERGY, COSINE = 0.15, 0.5
+#: Least share of a passage's TF-IDF length that known terms carry; projecting cannot add to it.
+MASS = 0.35
 LCS, LCS_ANSWER, ANSWER_WORDS, ANSWER = 0.7, 0.55, 5, 0.8
 TERM = re.compile(r"\w+")
 ROWS = 1024
-#: Words in a batch of documents, and known words whose vectors are gathered at once.
-WORDS, GATHER = 100_000, 65_536
+#: Words in a batch of documents, and passages that are projected at once.
+WORDS, HOPE = 100_000, 512
 
 
 def terms(text: str | None) -> list[str]:
@@ -52,7 +55,7 @@ class Lookup(dict):
         self.rows = rows
 
     def __missing__(self, term: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[term] = out = int(self.rows[bucket(term)])
         return out
@@ -170,7 +173,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
     own = [p for _, ws in items for p in passages(np.array([look[w] for w in ws]))]
     matrix = written(docs.sparkSession.createDataFrame([(p.tolist(),) for p in own], "ids array<int>"), "lsa-passages")
     v = randomised_svd(matrix, weights)
-    basis = (v * weights[:, None]).astype(np.float32)
+    basis = np.ascontiguousarray(v * weights[:, None], np.float32)
     latent = np.stack([basis[p].sum(axis=0) for p in own])
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     owner = np.repeat(np.arange(len(items)), [len(passages(np.array(ws))) for _, ws in items])
@@ -181,41 +184,52 @@ class Searcher:
     def __init__(self, index: Index) -> None:
         self.index, self.look = index, Lookup(index.rows)
         self.square = (index.idf**2).astype(np.float32)
+        self.known_square = np.append(self.square[:-1], np.float32(0))
 
     def candidates(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, float]]:
         """(document, first word of the passage, item, cosine) of the pairs that reach ENERGY and COSINE."""
         x = self.index
         lengths = np.array([len(d) for d in docs])
-        flat = [w for d in docs for w in d]
-        if not flat:
+        total = int(lengths.sum())
+        if not total:
             return
-        ids = np.fromiter(map(self.look.__getitem__, flat), np.int64, len(flat))
+        ids = np.fromiter(map(self.look.__getitem__, chain.from_iterable(docs)), np.int64, total)
         segments = -(-lengths // STEP)
-        first_word = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        starts = np.concatenate([np.arange(a, a + n, STEP) for a, n in zip(first_word, lengths, strict=True) if n])
+        first_word = np.cumsum(lengths) - lengths
+        first_segment = np.cumsum(segments) - segments
         owner = np.repeat(np.arange(len(docs)), segments)
+        starts = first_word[owner] + (np.arange(len(owner)) - first_segment[owner]) * STEP
         square = np.add.reduceat(self.square[ids], starts)
-        known = np.flatnonzero(ids < len(x.idf) - 1)
-        z = np.zeros((len(starts), x.basis.shape[1]), np.float32)
-        for lo in range(0, len(known), GATHER):
-            at = known[lo : lo + GATHER]
-            seg = np.searchsorted(starts, at, side="right") - 1
-            edge = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-            z[seg[edge]] += np.add.reduceat(x.basis[ids[at]], edge, axis=0)
-        pair = np.append(owner[1:] == owner[:-1], False)  # with the next segment
-        z[:-1] += z[1:] * pair[:-1, None]
+        mass = np.add.reduceat(self.known_square[ids], starts)
+        follows = np.append(False, owner[1:] == owner[:-1])  # continues the text of the segment before
+        pair = np.append(follows[1:], False)  # has a next segment
         square[:-1] += square[1:] * pair[:-1]
-        alone = ~pair & np.append(False, owner[1:] == owner[:-1])
-        norm = np.sqrt(np.maximum(square, 1e-12))
-        energy = np.linalg.norm(z, axis=1)
-        hope = np.flatnonzero(~alone & (energy >= ENERGY * norm) & (energy > 0))
-        for lo in range(0, len(hope), 4096):
-            at = hope[lo : lo + 4096]
-            cos = (z[at] @ x.latent.T) / energy[at, None]
+        mass[:-1] += mass[1:] * pair[:-1]
+        # passages whose known terms carry too little of the length can't reach ENERGY
+        hope = np.flatnonzero((pair | ~follows) & (mass >= MASS**2 * square) & (mass > 0))
+        ends = np.append(starts[1:], total)
+        for lo in range(0, len(hope), HOPE):
+            at = hope[lo : lo + HOPE]
+            z = self.project(ids, starts[at], np.where(pair[at], ends[np.minimum(at + 1, len(ends) - 1)], ends[at]))
+            norm, energy = np.sqrt(square[at]), np.linalg.norm(z, axis=1)
+            live = np.flatnonzero((energy >= ENERGY * norm) & (energy > 0))
+            cos = (z[live] @ x.latent.T) / energy[live, None]
             for i, p in zip(*np.nonzero(cos >= COSINE), strict=True):
-                s = at[i]
+                s = at[live[i]]
                 yield int(owner[s]), int(starts[s] - first_word[owner[s]]), int(x.owner[p]), float(cos[i, p])
 
+    def project(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sums of the term vectors of passages; position by position, so that each step adds whole rows."""
+        rows = np.full((len(starts), 2 * STEP), len(self.index.idf) - 1)
+        for j in range(2 * STEP):
+            inside = starts + j < ends
+            rows[inside, j] = ids[starts[inside] + j]
+        z = np.zeros((len(starts), self.index.basis.shape[1]), np.float32)
+        row = np.empty_like(z)
+        for j in range(2 * STEP):
+            z += np.take(self.index.basis, rows[:, j], axis=0, out=row, mode="clip")
+        return z
+
     def leaks(self, texts: list[str | None]) -> Iterator[list[tuple[int, float, float, bool]]]:
         """Per text: (item id, best cosine, LCS share, answer found) of the items that it holds."""
         docs, size = [], 0
@@ -260,8 +274,11 @@ def leaked_items(index: Index, docs: DataFrame, text: str = "text") -> Column:
                 texts = column.slice(lo, 1000).to_pylist()
                 out += searcher.leaks(texts) if shipped.value.items else [[] for _ in texts]
             yield pa.array([[dict(zip(("item_id", "cosine", "lcs", "answer"), x, strict=True)) for x in row] for row in out], kind)
+        del searcher
+        release()
 
-    return F.arrow_udf(find, KIND)(F.col(text))
+    # not deterministic to the optimizer, so that a filter on the result doesn't evaluate it again
+    return F.arrow_udf(find, KIND).asNondeterministic()(F.col(text))
 
 
 def contamination(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
