@@ -336,7 +336,7 @@ def personal_data(model: SemiMarkov, text: str = "text") -> Column:
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     # texts without a digit or @ stay in the JVM
-    return F.arrow_udf(find, RESULT)(F.when(F.col(text).rlike("[@0-9]"), F.col(text)))
+    return F.arrow_udf(find, RESULT).asNondeterministic()(F.when(F.col(text).rlike("[@0-9]"), F.col(text)))
 
 
 def detect(docs: DataFrame, model: SemiMarkov, text: str = "text") -> DataFrame:

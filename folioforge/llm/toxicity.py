@@ -216,7 +216,7 @@ def toxicity(chain: Chain, text: str = "text") -> Column:
             spans = pa.array([[dict(zip(("start", "end", "probability"), x, strict=True)) for x in row] for row in found], kind)
             yield pa.StructArray.from_arrays([pa.array(out, pa.float64()), spans], ["score", "spans"])
 
-    return F.arrow_udf(score, "struct<score double, spans array<struct<start int, end int, probability double>>>")(F.col(text))
+    return F.arrow_udf(score, "struct<score double, spans array<struct<start int, end int, probability double>>>").asNondeterministic()(F.col(text))
 
 
 def tag(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
