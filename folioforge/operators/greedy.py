@@ -1,0 +1,63 @@
+"""Order-dependent matching, one small pandas step per key. The key is a security or an account and a security, whose
+trades fit a task; a key is never the whole table.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def resolved_transfers(candidates: DataFrame, key: str = "security_id") -> DataFrame:
+    """Of candidate pairs (out_ref, in_ref, out_date, rank), the chosen ones: departures in date order take their best
+    arrival that no earlier departure took."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for ref, group in pdf.sort_values(["out_date", "out_ref", "rank"]).groupby("out_ref", sort=False):
+            free = group[~group["in_ref"].isin(taken)]
+            if len(free):
+                taken.add(free["in_ref"].iloc[0])
+                out.append((group[key].iloc[0], ref, free["in_ref"].iloc[0], free["days"].iloc[0]))
+        return pd.DataFrame(out, columns=[key, "out_ref", "in_ref", "days"])
+
+    return candidates.groupBy(key).applyInPandas(choose, f"{key} long, out_ref string, in_ref string, days long")
+
+
+def cancelled(moves: DataFrame, days: int = 10) -> DataFrame:
+    """What is left of outflows after inflows of the same account and security within some days, nearest first.
+
+    moves: account_id, security_id, ref, trade_date, quantity (out < 0). Parts of a quantity may cancel.
+    """
+
+    def cancel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["trade_date", "ref"])
+        dates = pd.to_datetime(pdf["trade_date"])
+        left = dict(zip(pdf["ref"], pdf["quantity"].abs(), strict=True))
+        outs, ins = pdf[pdf["quantity"] < 0], pdf[pdf["quantity"] > 0]
+        pairs = sorted((abs((dates[i] - dates[o]).days), outs["ref"][o], ins["ref"][i]) for o in outs.index for i in ins.index if abs((dates[i] - dates[o]).days) <= days)
+        for _, o, i in pairs:
+            part = min(left[o], left[i])
+            left[o] -= part
+            left[i] -= part
+        rest = outs.assign(left=outs["ref"].map(left))
+        return rest[rest["left"] > 0][["account_id", "security_id", "ref", "left"]]
+
+    return moves.groupBy("account_id", "security_id").applyInPandas(cancel, "account_id long, security_id long, ref string, left long")
+
+
+def assigned_lots(rows: DataFrame, lots: DataFrame, key: list[str]) -> DataFrame:
+    """Statement rows and known lots of a key, paired greedily by nearest cost, then quantity, row and lot."""
+    schema = ", ".join(f"{k} long" for k in key) + ", row_id long, lot_id long"
+
+    def assign(rows: pd.DataFrame, lots: pd.DataFrame) -> pd.DataFrame:
+        pairs = sorted((abs(r.cost - t.cost), abs(r.quantity - t.quantity), r.row_id, t.lot_id) for r in rows.itertuples() for t in lots.itertuples())
+        used_rows, used_lots, out = set(), set(), []
+        for _, _, r, t in pairs:
+            if r not in used_rows and t not in used_lots:
+                used_rows.add(r)
+                used_lots.add(t)
+                out.append((*rows[key].iloc[0], r, t))
+        return pd.DataFrame(out, columns=[*key, "row_id", "lot_id"])
+
+    return rows.groupBy(*key).cogroup(lots.groupBy(*key)).applyInPandas(assign, schema)

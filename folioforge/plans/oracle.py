@@ -159,4 +159,29 @@ SQL: dict[str, str] = {
       SELECT min(ts)::TIMESTAMP AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
     "fuzzy_name_score": """WITH n AS (SELECT DISTINCT p_name FROM part), d AS (SELECT a.p_name AS name, b.p_name AS other, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON substr(a.p_name, 1, 2) = substr(b.p_name, 1, 2) AND a.p_name <> b.p_name)
       SELECT name, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, other) AS rn FROM d) WHERE rn = 1""",
+    "price_priority": f"""{BASE}, u AS (SELECT security_id, date, price, 'linked' AS source, 2 AS ord FROM prices UNION ALL SELECT security_id, date, price + 7, 'manual', 1 FROM prices WHERE security_id % 5 = 0 AND month(date) % 2 = 0)
+      SELECT security_id, date, arg_min(price, ord) AS price, arg_min(source, ord) AS source FROM u GROUP BY ALL""",
+    "latest_reported": f"{BASE} SELECT security_id, arg_max(price, date) FILTER (month(date) % 3 = 0) AS reported, max(date) FILTER (month(date) % 3 = 0) AS date FROM prices GROUP BY security_id",
+    "upsert_snapshot": f"""{BASE} SELECT account_id, security_id, as_of_date, quantity + CASE WHEN as_of_date = DATE '1998-06-30' AND security_id % 2 = 0 THEN 1 ELSE 0 END AS quantity FROM snap WHERE as_of_date BETWEEN DATE '1998-05-01' AND DATE '1998-06-30'""",
+    "usage_counts": f"{BASE}, {SEC}, u AS (SELECT security_id FROM ledger UNION ALL SELECT security_id FROM snap) SELECT sec.security_id, count(u.security_id) AS uses FROM sec LEFT JOIN u USING (security_id) GROUP BY ALL",
+    "prefix_unique": """WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 3) AS short FROM n)
+      SELECT short, min(p_name) AS full_name FROM c JOIN n ON starts_with(p_name, short) GROUP BY short HAVING count(*) = 1""",
+    "class_drilldown": f"{VALUED} SELECT security_id, sum(value)::BIGINT AS value, sum(pl)::BIGINT AS pl, sum(day_change)::BIGINT AS day_change, bool_or(day_change IS NULL) AS day_change_partial FROM lots JOIN sec USING (security_id) WHERE asset_class = 'NATION_7' GROUP BY security_id",
+    "included_totals": f"{VALUED} SELECT region_id, region_id NOT IN (2, 4) AS in_total, sum(value)::BIGINT AS value, CASE WHEN region_id NOT IN (2, 4) THEN sum(value)::BIGINT END AS value_in_total, count(*) AS lots FROM lots JOIN sec USING (security_id) GROUP BY region_id",
+    "account_rollup": f"{VALUED} SELECT n_nationkey::BIGINT AS account_id, n_name AS account, sum(value)::BIGINT AS value, count(DISTINCT security_id) AS holdings FROM nation LEFT JOIN (SELECT * FROM lots WHERE account_id % 4 <> 1) l ON l.account_id = n_nationkey GROUP BY ALL",
+    "zero_transitions": f"{BASE}, l AS (SELECT *, lag(quantity) OVER (PARTITION BY account_id, security_id ORDER BY as_of_date) AS before FROM snap) SELECT account_id, security_id, as_of_date, before, quantity FROM l WHERE before >= 1000 AND quantity < 1000",
+    "adjacent_pairs": f"""{BASE}, l AS (SELECT account_id, security_id, as_of_date, quantity, lag(as_of_date) OVER w AS prev_date, lag(quantity) OVER w AS prev_quantity, row_number() OVER (PARTITION BY account_id, security_id ORDER BY as_of_date DESC) AS n
+      FROM snap WINDOW w AS (PARTITION BY account_id, security_id ORDER BY as_of_date)) SELECT * FROM l WHERE prev_date IS NOT NULL AND n <= 6""",
+    "even_sample": f"""WITH {LEDGER}, r AS (SELECT *, row_number() OVER (ORDER BY trade_date, l_orderkey, l_linenumber, l_partkey) - 1 AS position, count(*) OVER () AS total FROM ledger)
+      SELECT position, trade_date, l_orderkey, l_linenumber, l_partkey FROM r WHERE position = 0 OR (position * 200) // total <> ((position - 1) * 200) // total""",
+    "longest_run": f"""WITH {LEDGER}, d AS (SELECT DISTINCT account_id, trade_date FROM ledger), i AS (SELECT *, trade_date - row_number() OVER (PARTITION BY account_id ORDER BY trade_date)::INT AS island FROM d),
+      g AS (SELECT account_id, island, count(*) AS days, min(trade_date) AS start FROM i GROUP BY ALL) SELECT account_id, max(days) AS days, arg_min(start, (-days, start)) AS start FROM g GROUP BY account_id""",
+    "median_abs": f"{VALUED} SELECT asset_class, {r('median(abs(pl))', 1)} AS median_abs_pl FROM lots JOIN sec USING (security_id) GROUP BY asset_class",
+    "mode_larger": f"WITH {LEDGER}, n AS (SELECT tx_type, quantity, count(*) AS n FROM ledger GROUP BY ALL) SELECT tx_type, arg_max(quantity, (n, quantity)) AS quantity, max(n) AS n FROM n GROUP BY tx_type",
+    "weighted_cost": f"""{VALUED}, u AS (SELECT *, CASE WHEN (security_id + account_id * 13) % 211 <> 0 THEN lot_cost // quantity END AS unit FROM lots)
+      SELECT account_id, CASE WHEN bool_and(unit IS NOT NULL AND unit > 0) THEN {ratio("sum(quantity * unit)", "sum(quantity)", 2)} END AS avg_cost FROM u GROUP BY account_id""",
+    "security_set_ops": f"""WITH {LEDGER}, a AS (SELECT DISTINCT account_id, security_id FROM ledger WHERE trade_date BETWEEN DATE '1998-05-01' AND DATE '1998-05-31'), b AS (SELECT DISTINCT account_id, security_id FROM ledger WHERE trade_date BETWEEN DATE '1998-06-01' AND DATE '1998-06-30')
+      SELECT *, 'both' AS part FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'may_only' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'june_only' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+    "early_negative": f"""WITH {LEDGER}, d AS (SELECT account_id, security_id, trade_date, sum(sum(sq)) OVER (PARTITION BY account_id, security_id ORDER BY trade_date) AS balance FROM ledger GROUP BY account_id, security_id, trade_date)
+      SELECT account_id, security_id, min(trade_date) AS first_negative, arg_min(balance, trade_date)::BIGINT AS balance FROM d WHERE balance < 0 GROUP BY ALL""",
 }

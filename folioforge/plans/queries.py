@@ -465,3 +465,151 @@ def fuzzy_name_score(spark, sf):
     d = a.join(b, "head").where("name <> other").withColumn("distance", F.levenshtein("name", "other").cast("long"))
     w = Window.partitionBy("name").orderBy("distance", "other")
     return d.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("name", "other", "distance")
+
+
+@query
+def price_priority(spark, sf):
+    """One price a day: manual rows win over the linked series."""
+    p = dm.prices(dm.ledger(spark, sf))
+    manual = p.where("security_id % 5 = 0 and month(date) % 2 = 0").select("security_id", "date", (F.col("price") + 7).alias("price"), F.lit("manual").alias("source"), F.lit(1).alias("ord"))
+    both = p.select("security_id", "date", "price", F.lit("linked").alias("source"), F.lit(2).alias("ord")).unionByName(manual)
+    best = both.groupBy("security_id", "date").agg(F.min_by(F.struct("price", "source"), "ord").alias("x"))
+    return best.select("security_id", "date", "x.price", "x.source")
+
+
+@query
+def latest_reported(spark, sf):
+    p = dm.prices(dm.ledger(spark, sf)).withColumn("reported", F.when(F.month("date") % 3 == 0, F.col("price")))
+    known = p.where("reported is not null").groupBy("security_id").agg(F.max_by("reported", "date").alias("reported"), F.max("date").alias("date"))
+    return p.select("security_id").distinct().join(known, "security_id", "left")
+
+
+@query
+def upsert_snapshot(spark, sf):
+    """Rows of a re-imported statement replace those with their key; the rest stays."""
+    s = _snap(spark, sf).select(*GROUP, "as_of_date", "quantity").where("as_of_date between date'1998-05-01' and date'1998-06-30'")
+    new = s.where(f"as_of_date = date'{AS_OF}' and security_id % 2 = 0").withColumn("quantity", F.col("quantity") + 1).withColumn("ord", F.lit(0))
+    both = s.withColumn("ord", F.lit(1)).unionByName(new)
+    return both.groupBy(*GROUP, "as_of_date").agg(F.min_by("quantity", "ord").alias("quantity"))
+
+
+@query
+def usage_counts(spark, sf):
+    tx = dm.ledger(spark, sf)
+    uses = tx.select("security_id").unionByName(_snap(spark, sf).select("security_id"))
+    return dm.securities(spark, sf).select("security_id").join(uses.groupBy("security_id").agg(F.count("*").alias("uses")), "security_id", "left").select("security_id", F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
+@query
+def prefix_unique(spark, sf):
+    """Truncated names that only one full name continues; the first letters are the equi-key of the prefix join."""
+    names = dm.table(spark, sf, "part").select("p_name").distinct()
+    cut = names.select(F.expr("substring(p_name, 1, length(p_name) - 3)").alias("short")).distinct()
+    j = cut.join(names, (F.substring("short", 1, 3) == F.substring("p_name", 1, 3)) & F.col("p_name").startswith(F.col("short")))
+    return j.groupBy("short").agg(F.count("*").alias("n"), F.min("p_name").alias("full_name")).where("n = 1").select("short", "full_name")
+
+
+@query
+def class_drilldown(spark, sf):
+    d = _lots(spark, sf).join(dm.securities(spark, sf).where("asset_class = 'NATION_7'"), "security_id")
+    return d.groupBy("security_id").agg(F.sum("value").alias("value"), F.sum("pl").alias("pl"), F.sum("day_change").alias("day_change"), F.bool_or(F.col("day_change").isNull()).alias("day_change_partial"))
+
+
+@query
+def included_totals(spark, sf):
+    """Rows of excluded classes stay, flagged; totals skip them."""
+    d = _lots(spark, sf).join(dm.securities(spark, sf), "security_id").withColumn("in_total", ~F.col("region_id").isin(2, 4))
+    return d.groupBy("region_id").agg(F.bool_and("in_total").alias("in_total"), F.sum("value").alias("value"), F.sum(F.when(F.col("in_total"), F.col("value"))).alias("value_in_total"), F.count("*").alias("lots"))
+
+
+@query
+def account_rollup(spark, sf):
+    """Every account has a row, with or without holdings."""
+    v = _lots(spark, sf).where("account_id % 4 <> 1").groupBy("account_id").agg(F.sum("value").alias("value"), F.countDistinct("security_id").alias("holdings"))
+    a = dm.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("account_id"), F.col("n_name").alias("account"))
+    return a.join(v, "account_id", "left").select("account_id", "account", "value", F.coalesce("holdings", F.lit(0)).alias("holdings"))
+
+
+@query
+def zero_transitions(spark, sf):
+    """Month ends at which a position fell through its opening quantity."""
+    w = Window.partitionBy(*GROUP).orderBy("as_of_date")
+    d = _snap(spark, sf).withColumn("before", F.lag("quantity").over(w))
+    return d.where((F.col("before") >= dm.OPENING) & (F.col("quantity") < dm.OPENING)).select(*GROUP, "as_of_date", "before", "quantity")
+
+
+@query
+def adjacent_pairs(spark, sf):
+    """The last six pairs of neighbouring snapshots of a position."""
+    w = Window.partitionBy(*GROUP).orderBy("as_of_date")
+    d = _snap(spark, sf).select(*GROUP, "as_of_date", "quantity", F.lag("as_of_date").over(w).alias("prev_date"), F.lag("quantity").over(w).alias("prev_quantity")).where("prev_date is not null")
+    back = Window.partitionBy(*GROUP).orderBy(F.desc("as_of_date"))
+    return d.withColumn("n", F.row_number().over(back).cast("long")).where("n <= 6")
+
+
+def _ranked(d: DataFrame, day: str, order: list[str]) -> DataFrame:
+    """Position in the order of (day, order) over the whole table: rows of earlier days, then the place in the day.
+
+    Only one row a day goes through the window without a partition.
+    """
+    days = d.groupBy(day).agg(F.count("*").alias("n"))
+    days = days.select(F.col(day).alias("_day"), (F.sum("n").over(Window.orderBy(day)) - F.col("n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(day).orderBy(*order))
+    return d.join(days, F.col(day) == F.col("_day")).withColumn("position", F.col("_before") + inside - 1).drop("_day", "_before")
+
+
+@query
+def even_sample(spark, sf):
+    """At most 200 rows, evenly spaced over the whole ledger."""
+    d = _ranked(dm.ledger(spark, sf), "trade_date", dm.ORDER[1:])
+    n = d.agg(F.count("*").alias("total"))
+    d = d.join(F.broadcast(n))
+    slot = F.floor(F.col("position") * 200 / F.col("total"))
+    return d.where((F.col("position") == 0) | (slot != F.floor((F.col("position") - 1) * 200 / F.col("total")))).select("position", "trade_date", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query
+def longest_run(spark, sf):
+    """Longest run of days in a row on which an account traded (gaps and islands); the earliest of equal ones."""
+    d = dm.ledger(spark, sf).select("account_id", "trade_date").distinct()
+    d = d.withColumn("island", F.date_sub("trade_date", F.row_number().over(Window.partitionBy("account_id").orderBy("trade_date"))))
+    d = d.groupBy("account_id", "island").agg(F.count("*").alias("days"), F.min("trade_date").alias("start"))
+    return d.groupBy("account_id").agg(F.max("days").alias("days"), F.min_by("start", F.struct(-F.col("days"), "start")).alias("start"))
+
+
+@query
+def median_abs(spark, sf):
+    d = _lots(spark, sf).join(dm.securities(spark, sf), "security_id")
+    return d.groupBy("asset_class").agg(half_up(F.median(F.abs("pl")), 1).alias("median_abs_pl"))
+
+
+@query
+def mode_larger(spark, sf):
+    """The most frequent quantity of a type; of equally frequent ones the larger."""
+    n = dm.ledger(spark, sf).groupBy("tx_type", "quantity").agg(F.count("*").alias("n"))
+    return n.groupBy("tx_type").agg(F.max_by("quantity", F.struct("n", "quantity")).alias("quantity"), F.max("n").alias("n"))
+
+
+@query
+def weighted_cost(spark, sf):
+    """Average cost weighted by quantity; unknown as soon as one part is unknown."""
+    d = _lots(spark, sf).withColumn("unit", F.when((F.col("security_id") + F.col("account_id") * 13) % 211 != 0, F.expr("lot_cost div quantity")))
+    known = F.bool_and(F.col("unit").isNotNull() & (F.col("unit") > 0))
+    return d.groupBy("account_id").agg(F.when(known, half_up(F.try_divide(F.sum(F.col("quantity") * F.col("unit")).cast("double"), F.sum("quantity").cast("double")), 2)).alias("avg_cost"))
+
+
+@query
+def security_set_ops(spark, sf):
+    tx = dm.ledger(spark, sf)
+    a = tx.where("trade_date between date'1998-05-01' and date'1998-05-31'").select(*GROUP)
+    b = tx.where("trade_date between date'1998-06-01' and date'1998-06-30'").select(*GROUP)
+    parts = [(a.intersect(b), "both"), (a.subtract(b), "may_only"), (b.subtract(a), "june_only")]
+    out = [d.select(*GROUP, F.lit(k).alias("part")) for d, k in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def early_negative(spark, sf):
+    """First day on which a ledger without an opening quantity would be negative."""
+    d = lg.end_of_day(dm.ledger(spark, sf), 0).where("balance < 0")
+    return d.groupBy(*GROUP).agg(F.min("trade_date").alias("first_negative"), F.min_by("balance", "trade_date").alias("balance"))
