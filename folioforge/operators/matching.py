@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,9 @@ def code_components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
 
     Labels go from entities to codes and back, each step a grouped minimum; the loop ends when nothing changes.
     """
+    context = pairs.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # a cluster names it in spark.checkpoint.dir
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
     p = pairs.select("entity", "code").distinct()
     labels = p.select("entity").distinct().withColumn("component", F.col("entity"))
     before = None

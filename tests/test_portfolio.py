@@ -120,7 +120,6 @@ def test_untagged_rest_and_ratio(spark):
 
 def test_code_components(spark):
     pairs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (9, "z")], "entity long, code string")
-    spark.sparkContext.setCheckpointDir("/tmp/folioforge-test-checkpoints")
     assert {(r.entity, r.component) for r in matching.code_components(pairs).collect()} == {(1, 1), (2, 1), (3, 1), (9, 9)}
 
 
