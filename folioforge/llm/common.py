@@ -42,18 +42,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stand-ins for spark.checkpoint.dir by application, where it is not set.
+OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, which driver and executors share.
 
     A temporary folder stands in only where the setting is absent (a local test session).
     """
+    app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='folioforge-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    if "://" not in root and not root.startswith("file:"):
-        root = f"file://{root}" if root.startswith("/") else root
-    return f"{root.rstrip('/')}/folioforge-{spark.sparkContext.applicationId}"
+        root = OWN_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="folioforge-")
+        OWN_DIRS[app] = root
+    if root.startswith("/"):
+        root = f"file://{root}"
+    return f"{root.rstrip('/')}/folioforge-{app}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -36,14 +36,21 @@ def quantised(df: DataFrame, key: str, vector: str, scale: int = 256) -> DataFra
 
 
 def _packed(size: int):
+    def block(part: pd.DataFrame) -> pd.DataFrame:
+        lengths = part["v"].map(len).to_numpy(np.int32)
+        flat = np.concatenate([*part["v"].to_numpy(), np.empty(0)]).astype(np.int32)
+        return pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "lengths": [lengths.tobytes()], "flat": [flat.tobytes()]})
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, n = [], 0
         for pdf in batches:
-            for lo in range(0, len(pdf), size):
-                part = pdf.iloc[lo : lo + size]
-                lengths = part["v"].map(len).to_numpy(np.int32)
-                flat = np.concatenate([*part["v"].to_numpy(), np.empty(0)]).astype(np.int32)
-                ids = part["id"].to_numpy(np.int64)
-                yield pd.DataFrame({"ids": [ids.tobytes()], "lengths": [lengths.tobytes()], "flat": [flat.tobytes()]})
+            rest, n = [*rest, pdf], n + len(pdf)
+            while n >= size:
+                whole = pd.concat(rest)
+                yield block(whole.iloc[:size])
+                rest, n = [whole.iloc[size:]], n - size
+        if n:
+            yield block(pd.concat(rest))
 
     return pack
 
