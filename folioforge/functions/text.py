@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import unicodedata
 
 import pandas as pd
@@ -38,3 +39,16 @@ def any_date(text: Column) -> Column:
     dotted = F.concat_ws("-", *[F.lpad(F.regexp_extract(text, r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", i), 2 if i < 3 else 4, "0") for i in (3, 2, 1)])
     compact = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     return F.when(ymd != "", F.try_to_date(iso)).when(text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date(dotted)).when(text.rlike(r"^\d{8}$"), F.try_to_date(compact))
+
+
+@F.pandas_udf(T.DoubleType())
+def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Likeness of two names from 0 to 1: matching blocks, and at least 0.85 if one contains the other; null for a null."""
+
+    def one(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        score = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+        return round(max(score, 0.85) if min(len(x), len(y)) >= 4 and (x in y or y in x) else score, 4)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

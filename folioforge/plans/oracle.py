@@ -71,6 +71,12 @@ j AS (SELECT day, s.security_id, s.quantity * p.price AS value, day < s.as_of_da
   JOIN p ON p.security_id = s.security_id AND (day >= p.date OR p.rn = 1) AND (p.nxt IS NULL OR day < p.nxt))"""
 KEY = r"regexp_replace(lower(regexp_replace({}, '\s*\([0-9]+\)\s*$', '')), '[\s·・]+', '', 'g')"
 
+ROLE_COLUMNS = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "unit": "l_extendedprice / l_quantity", "l_discount": "l_discount", "per_lot": "l_extendedprice / l_quantity * 10000"}
+ROLES = "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{q}' AS quantity, '{p}' AS price, '{a}' AS amount, {d}::BIGINT AS divisor, count(*) AS checked, sum((abs(({ROLE_COLUMNS[q]}) * ({ROLE_COLUMNS[p]}) / {d}::DOUBLE - ({ROLE_COLUMNS[a]})) <= 0.005::DOUBLE * greatest(abs({ROLE_COLUMNS[a]}), 1.0::DOUBLE))::INT)::BIGINT AS passed FROM lineitem"
+    for i, q in enumerate(ROLE_COLUMNS) for j, p in enumerate(ROLE_COLUMNS) if i < j for a in ROLE_COLUMNS if a not in (p, q) for d in (1, 10_000)
+) + ") WHERE passed > 0.9 * checked"
+
 SQL: dict[str, str] = {
     "latest_lot": f"{BASE} SELECT account_id, security_id, max(as_of_date) AS as_of_date, arg_max(quantity, as_of_date) AS quantity, arg_max(cost, as_of_date) AS cost, arg_max(bought, as_of_date) AS bought FROM snap GROUP BY ALL",
     "holdings_as_of": f"{BASE} SELECT account_id, security_id, max(as_of_date) AS as_of_date, arg_max(quantity, as_of_date) AS quantity, arg_max(cost, as_of_date) AS cost, arg_max(bought, as_of_date) AS bought FROM snap WHERE as_of_date <= DATE '1998-06-30' GROUP BY account_id, security_id",
@@ -184,4 +190,8 @@ SQL: dict[str, str] = {
       SELECT *, 'both' AS part FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'may_only' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'june_only' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "early_negative": f"""WITH {LEDGER}, d AS (SELECT account_id, security_id, trade_date, sum(sum(sq)) OVER (PARTITION BY account_id, security_id ORDER BY trade_date) AS balance FROM ledger GROUP BY account_id, security_id, trade_date)
       SELECT account_id, security_id, min(trade_date) AS first_negative, arg_min(balance, trade_date)::BIGINT AS balance FROM d WHERE balance < 0 GROUP BY ALL""",
+    "numeric_roles": ROLES,
+    "date_orders": """WITH d AS (SELECT o_orderstatus, max(CASE o_orderstatus WHEN 'F' THEN day(o_orderdate) WHEN 'O' THEN month(o_orderdate) ELSE year(o_orderdate) END) AS a, max(CASE o_orderstatus WHEN 'F' THEN month(o_orderdate) WHEN 'O' THEN day(o_orderdate) ELSE month(o_orderdate) END) AS b, count(*) AS parsed FROM orders GROUP BY 1)
+      SELECT o_orderstatus, CASE WHEN a > 31 THEN 'ymd' WHEN a > 12 AND b <= 12 THEN 'dmy' WHEN b > 12 AND a <= 12 THEN 'mdy' ELSE 'ambiguous' END AS date_order, parsed FROM d""",
+    "sign_conventions": f"""WITH {LEDGER} SELECT account_id % 3 AS file, CASE account_id % 3 WHEN 0 THEN 'signed_quantity' WHEN 1 THEN 'signed_amount' ELSE 'unsigned' END AS convention, count(*) AS n FROM ledger GROUP BY ALL""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import allocation, asof, matching, series, valuation
+from ..operators import allocation, asof, inference, matching, series, valuation
 from ..operators import ledger as lg
 from ..sources import domain as dm
 from ..sources.domain import half_up
@@ -613,3 +613,24 @@ def early_negative(spark, sf):
     """First day on which a ledger without an opening quantity would be negative."""
     d = lg.end_of_day(dm.ledger(spark, sf), 0).where("balance < 0")
     return d.groupBy(*GROUP).agg(F.min("trade_date").alias("first_negative"), F.min_by("balance", "trade_date").alias("balance"))
+
+
+@query
+def numeric_roles(spark, sf):
+    """Which columns are quantity, price and amount: only arithmetic can say."""
+    li = dm.table(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"), "l_discount", (F.col("l_extendedprice") / F.col("l_quantity") * 10_000).alias("per_lot"))
+    return inference.arithmetic_roles(li, ["l_quantity", "l_extendedprice", "unit", "l_discount", "per_lot"]).where("passed > 0.9 * checked")
+
+
+@query
+def date_orders(spark, sf):
+    o = dm.table(spark, sf, "orders")
+    d = F.to_date("o_orderdate")
+    raw = F.when(F.col("o_orderstatus") == "F", F.date_format(d, "d.M.yyyy")).when(F.col("o_orderstatus") == "O", F.date_format(d, "M/d/yyyy")).otherwise(F.date_format(d, "yyyy-M-d"))
+    return inference.date_order(o.select("o_orderstatus", raw.alias("raw")), ["o_orderstatus"], "raw")
+
+
+@query
+def sign_conventions(spark, sf):
+    d = dm.ledger(spark, sf).select((F.col("account_id") % 3).alias("file"), F.when(F.col("account_id") % 3 == 0, dm.signed()).otherwise(F.col("quantity")).alias("q"), F.when((F.col("account_id") % 3 == 1) & (F.col("tx_type") == "sell"), -F.col("gross")).otherwise(F.col("gross")).alias("a"))
+    return inference.sign_convention(d, ["file"], "q", "a")

@@ -63,3 +63,25 @@ def test_lots_are_paired_by_nearest_cost(spark):
     cost = {r.row_id: r.cost for r in rows.collect()}
     got = greedy.assigned_lots(rows, lots, ["account_id"]).collect()
     assert len(got) == 5 and all(cost[r.row_id] == cost[r.lot_id - 100] for r in got)
+
+
+def test_overlapping_exports_are_ingested_once(spark, tmp_path):
+    from folioforge.streaming import ingest
+
+    schema = "day string, kind string, quantity long"
+    put = lambda rows, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    put([("1", "buy", 5), ("1", "buy", 5), ("2", "sell", 1)], "a")
+    source = f"{tmp_path}/in/*"
+    run = lambda: ingest.ingest(spark, source, spark.createDataFrame([], schema).schema, f"{tmp_path}/table", f"{tmp_path}/state", ["day", "kind", "quantity"])
+    run()
+    put([("1", "buy", 5), ("1", "buy", 5), ("2", "sell", 1), ("3", "buy", None)], "b")
+    run()
+    got = sorted((r.day, r.kind, r.quantity) for r in spark.read.parquet(f"{tmp_path}/table").collect())
+    assert got == [("1", "buy", 5), ("1", "buy", 5), ("2", "sell", 1), ("3", "buy", None)]
+
+
+def test_name_scores(spark):
+    from folioforge.functions import text as fx
+
+    d = spark.createDataFrame([("global fund", "global fund"), ("global fund", "global"), ("abc", "xyz"), (None, "a")], "a string, b string")
+    assert [r[0] for r in d.select(fx.name_score("a", "b")).collect()] == [1.0, 0.85, 0.0, None]
