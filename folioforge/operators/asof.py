@@ -18,6 +18,12 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str, until: Column | N
     return row.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def latest_at(df: DataFrame, keys: list[str], order: str, days: dict[str, Column]) -> DataFrame:
+    """The latest row per key at each of several days, as structs of those names, in one aggregate; null where there is none."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*[F.max_by(F.struct(*rest), F.when(F.col(order) <= day, F.col(order))).alias(name) for name, day in days.items()])
+
+
 def intervals(series: DataFrame, keys: list[str], date: str, backfill: bool = False) -> DataFrame:
     """The series with valid_from and valid_to (exclusive; null: open). backfill: the first row also holds before."""
     w = Window.partitionBy(*keys).orderBy(date)

@@ -82,11 +82,10 @@ def _lots(spark, sf):
     tx = dm.ledger(spark, sf)
     s, p = dm.snapshots(tx), dm.prices(tx)
     day, prev = F.lit(AS_OF).cast("date"), F.lit(PREVIOUS).cast("date")
-    cur = asof.latest_per_key(s, GROUP, "as_of_date", day)
-    old = asof.latest_per_key(s, GROUP, "as_of_date", prev).select(*GROUP, F.col("quantity").alias("prev_quantity"))
-    now = asof.latest_per_key(p, ["security_id"], "date", day).select("security_id", "price")
-    then = asof.latest_per_key(p, ["security_id"], "date", prev).select("security_id", F.col("price").alias("prev_price"))
-    d = cur.join(old, GROUP, "left").join(now, "security_id", "left").join(then, "security_id", "left")
+    d = asof.latest_at(s, GROUP, "as_of_date", {"cur": day, "old": prev}).where("cur is not null")
+    d = d.select(*GROUP, "cur.quantity", "cur.cost", "cur.bought", F.col("old.quantity").alias("prev_quantity"))
+    q = asof.latest_at(p, ["security_id"], "date", {"now": day, "then": prev})
+    d = d.join(q.select("security_id", F.col("now.price").alias("price"), F.col("then.price").alias("prev_price")), "security_id", "left")
     return valuation.valued(d)
 
 
