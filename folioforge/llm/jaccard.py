@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, words, written
+from .common import byte_values, release, words, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -101,6 +101,8 @@ def sets_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(sid, pa.int64()), pa.array([False] * len(n))], names)
         if pending:
             yield frequent()
+        pending, hashes = {}, Hashes()
+        release()
 
     out = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")).mapInArrow(scan, "key long, n long, sid long, frequent boolean"), "jaccard-sets")
     hot = out.where("frequent").groupBy("sid").agg(F.sum("n").alias("n"))
@@ -160,6 +162,8 @@ def fragment_rows(docs: DataFrame, text: str, hot: np.ndarray, fragments: int) -
                         pending, size, seq = {}, 0, seq + 1
         if pending:
             yield rows()
+        pending, hashes = {}, Hashes()
+        release()
 
     return docs.select(text).mapInArrow(cut, "part int, hot boolean, ids binary, counts binary, tokens binary")
 
