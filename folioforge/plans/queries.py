@@ -457,7 +457,7 @@ def stream_session(spark, sf):
 
 @query
 def fuzzy_name_score(spark, sf):
-    """Closest earlier benchmark-free name of each part type by edit distance on distinct names (a short list)."""
+    """The closest other name by edit distance, among distinct names with the same first letters."""
     n = dm.table(spark, sf, "part").select("p_name").distinct()
     n = n.withColumn("head", F.substring("p_name", 1, 2))
     a, b = n.select("head", F.col("p_name").alias("name")), n.select("head", F.col("p_name").alias("other"))
