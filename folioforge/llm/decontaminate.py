@@ -129,23 +129,24 @@ def gram_times(matrix: DataFrame, right: np.ndarray, idf: np.ndarray) -> np.ndar
                 any_rows = True
         if any_rows:
             blocks = range(0, len(out), ROWS)
-            yield pd.DataFrame({"block": [i // ROWS for i in blocks], "part": [out[i : i + ROWS].tobytes() for i in blocks]})
+            yield pd.DataFrame({"block": [i // ROWS for i in blocks], "part": [out[i : i + ROWS].astype(np.float32).tobytes() for i in blocks]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p, np.float64) for p in pdf["part"])
+        total = sum(np.frombuffer(p, np.float32) for p in pdf["part"])
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.tobytes()]})
 
     sums = matrix.mapInPandas(partial, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect()
     out = np.zeros_like(right)
     for r in sums:
-        part = np.frombuffer(r.part, np.float64).reshape(-1, right.shape[1])
+        part = np.frombuffer(r.part, np.float32).reshape(-1, right.shape[1])
         out[r.block * ROWS : r.block * ROWS + len(part)] = part
+    shipped.destroy()
     return out
 
 
 def randomised_svd(matrix: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 23) -> np.ndarray:
     """The leading right singular vectors (terms x rank): a random sketch, power steps, then a small eigenproblem."""
-    width = min(rank + EXTRA, len(idf))
+    width = min(min(rank, matrix.count()) + EXTRA, len(idf))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(idf), width)))[0]
     for _ in range(POWER + 1):
         q = np.linalg.qr(gram_times(matrix, q, idf))[0]
@@ -177,7 +178,10 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
     latent = np.stack([basis[p].sum(axis=0) for p in own])
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     owner = np.repeat(np.arange(len(items)), [len(passages(np.array(ws))) for _, ws in items])
-    return Index(rows, idf, basis, items, latent / np.maximum(norm, 1e-12), owner)
+    out = Index(rows, idf, basis, items, latent / np.maximum(norm, 1e-12), owner)
+    del v, own, df, found
+    release()
+    return out
 
 
 class Searcher:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values
+from .common import byte_values, release
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: The training sample: about this many windows in all, shared evenly by the languages.
@@ -160,7 +160,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     start = (F.pmod(F.xxhash64(F.lit("window"), F.col(key), F.col("i")), F.greatest(F.length(text) - WINDOW, F.lit(1)).cast("long")) + 1).cast("int")
     drawn = docs.where(part < rate).select(key, text, lang, F.explode(F.sequence(F.lit(1), F.lit(each_doc))).alias("i")).select(F.col(key).alias("k"), F.substring(F.col(text), start, F.lit(WINDOW)).alias("t"), F.col(lang).alias("l"))
     rows = sorted(drawn.limit(2 * sample + 16 * len(counts)).collect(), key=lambda r: (str(r.k), r.t, r.l))
-    return train([r.t.encode() for r in rows], [r.l for r in rows])
+    net = train([r.t.encode() for r in rows], [r.l for r in rows])
+    del rows
+    release()
+    return net
 
 
 def language(net: Network | None, text: str = "text") -> Column:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 KINDS = ("email", "ip", "card", "phone")
 TYPES = ("other", *KINDS)
 SEGMENT = 5
@@ -281,7 +283,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     rate = min(1.0, sample / max(1, d.count()))
     part = F.shiftrightunsigned(F.xxhash64(F.lit("pii"), F.col(key)), 12).cast("double") / float(2**52)
     rows = d.where(part < rate).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).limit(2 * sample).collect()
-    return train([r.t for r in sorted(rows, key=lambda r: (r.k or "", r.t))])
+    model = train([r.t for r in sorted(rows, key=lambda r: (r.k or "", r.t))])
+    del rows
+    release()
+    return model
 
 
 def added_spans(text: str, base: list[Span], model: SemiMarkov) -> list[Span]:
