@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, words, written
+from .common import byte_values, release, words, written
 
 #: Word classes (0: all other words, 1: end of text), vector length, noise words of a training batch.
 CLASSES, SIZE, NOISE = 256, 16, 64
 #: Words scored without a join, and the longest such word in bytes.
 HEAD, HEAD_BYTES = 65_536, 64
 END = b""
-FLUSH = 400_000
+FLUSH = 300_000
 #: Tokens that a task counts into triples at once; their passes (PASSES or more, to make STEPS steps of BATCH triples).
 STEP_TOKENS, BATCH, PASSES, STEPS = 4_000_000, 1024, 3, 300
 
@@ -47,6 +47,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield flushed(seen)
                     seen = Counter()
         yield flushed(seen)
+        seen = Counter()
+        release()
 
     def flushed(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
@@ -77,10 +79,19 @@ class Counts:
 
 
 def head_of(counts: DataFrame, head: int = HEAD) -> Counts:
+    """The most frequent words, by whole classes of frequency (sixteenths of a power of two), at most head of them."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= HEAD_BYTES)).orderBy(F.desc("n"), "word").limit(head - 1).collect()
+    # the classes of frequency that fit the bound, most frequent first: no task sends more than its part of the head
+    short = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= HEAD_BYTES)).withColumn("class", F.floor(F.log2(F.col("n").cast("double")) * 16))
+    least, size = None, 0
+    for r in sorted(short.groupBy("class").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["class"]):
+        size += r.k
+        if size > head - 1:
+            break
+        least = r["class"]
+    top = sorted(((r.word, r.n) for r in short.where(F.col("class") >= least).collect()), key=lambda r: (-r[1], r[0])) if least is not None else []
     end = counts.where(F.octet_length("word") == 0).collect()
-    rows = [(END, end[0].n if end else 0)] + [(bytes(r.word), r.n) for r in top]
+    rows = [(END, end[0].n if end else 0)] + [(bytes(w), n) for w, n in top]
     return Counts(total.n, total.v, {w: i for i, (w, _) in enumerate(rows)}, np.array([n for _, n in rows], np.int64))
 
 
