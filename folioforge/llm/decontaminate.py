@@ -30,8 +30,6 @@ RANK, EXTRA, POWER = 512, 10, 1
 STEP = 16
 #: A candidate keeps at least ENERGY of its length in the latent space and has at least COSINE there.
 ENERGY, COSINE = 0.15, 0.5
-#: Least share of a passage's TF-IDF length that known terms carry; projecting cannot add to it.
-MASS = 0.35
 LCS, LCS_ANSWER, ANSWER_WORDS, ANSWER = 0.7, 0.55, 5, 0.8
 TERM = re.compile(r"\w+")
 ROWS = 1024
@@ -47,17 +45,13 @@ def bucket(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term) % DIM
 
 
-class Lookup(dict):
-    """Row of a term in the fitted vocabulary; the last row, all zero, for any other."""
-
-    def __init__(self, rows: np.ndarray) -> None:
-        super().__init__()
-        self.rows = rows
+class Buckets(dict):
+    """Bucket of a term, kept for terms that come again."""
 
     def __missing__(self, term: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        self[term] = out = int(self.rows[bucket(term)])
+        self[term] = out = bucket(term)
         return out
 
 
@@ -84,35 +78,36 @@ def passages(ids: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Index:
-    rows: np.ndarray  # bucket to row; the last row stands for all other terms
-    idf: np.ndarray
+    rows: np.ndarray  # bucket to row of the basis; the last row, all zero, stands for all other terms
+    idf: np.ndarray  # of every bucket: words outside the benchmark weigh by their own frequency in the norm
     basis: np.ndarray  # rows x RANK, idf included
     items: list[tuple[int, list[str]]]
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, RANK), np.float32))
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # item of each benchmark passage
 
 
-def document_frequency(docs: DataFrame, text: str, rows: np.ndarray) -> tuple[np.ndarray, int]:
-    """Documents with each vocabulary row, over the whole corpus, and the number of documents."""
-    size = int(rows.max()) + 1
+def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """Documents with each bucket, over the whole corpus, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, n, total = Lookup(rows), np.zeros(size, np.int64), 0
+        look, n, total = Buckets(), np.zeros(DIM, np.int64), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 n[list({look[x] for x in set(terms(t))})] += 1
                 total += 1
-        at = np.flatnonzero(n[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], ["row", "n"])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], ["bucket", "n"])
+
+    found = docs.select(text).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found["bucket"].to_numpy(), found["n"].to_numpy()
+    df = np.zeros(DIM, np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    return df, int(n[at < 0].sum())
 
-    found = docs.select(text).mapInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(size, np.int64), 0
-    for r in found:
-        if r.row < 0:
-            total = r.n
-        else:
-            df[r.row] = r.n
-    return df, total
+
+def inverse_frequency(df: np.ndarray, total: int) -> np.ndarray:
+    """Depends on the shares of documents only, so that a passage weighs alike in a corpus of any size."""
+    return np.log((total + 1) / (df + 0.5))
 
 
 def gram_times(matrix: DataFrame, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -163,15 +158,12 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
     rows = np.full(DIM, len(used), np.int32)
     rows[used] = np.arange(len(used))
     if not items:
-        return Index(rows, np.zeros(1), np.zeros((1, RANK), np.float32), [])
-    df, total = document_frequency(docs, text, rows)
-    idf = np.log((total + 1) / (df + 0.5))
-    idf[-1] = np.log(total + 2)  # other words weigh in the norm only
-    weights = idf.copy()
-    weights[-1] = 0
-
-    look = Lookup(rows)
-    own = [p for _, ws in items for p in passages(np.array([look[w] for w in ws]))]
+        return Index(rows, np.zeros(DIM), np.zeros((1, RANK), np.float32), [])
+    idf = inverse_frequency(*document_frequency(docs, text))
+    weights = np.append(idf[used], 0.0)
+
+    look = Buckets()
+    own = [p for _, ws in items for p in passages(rows[[look[w] for w in ws]])]
     matrix = written(docs.sparkSession.createDataFrame([(p.tolist(),) for p in own], "ids array<int>"), "lsa-passages")
     v = randomised_svd(matrix, weights)
     basis = np.ascontiguousarray(v * weights[:, None], np.float32)
@@ -179,16 +171,16 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     owner = np.repeat(np.arange(len(items)), [len(passages(np.array(ws))) for _, ws in items])
     out = Index(rows, idf, basis, items, latent / np.maximum(norm, 1e-12), owner)
-    del v, own, df, found
+    del v, own, found
     release()
     return out
 
 
 class Searcher:
     def __init__(self, index: Index) -> None:
-        self.index, self.look = index, Lookup(index.rows)
+        self.index, self.look = index, Buckets()
         self.square = (index.idf**2).astype(np.float32)
-        self.known_square = np.append(self.square[:-1], np.float32(0))
+        self.other = len(index.basis) - 1
 
     def candidates(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, float]]:
         """(document, first word of the passage, item, cosine) of the pairs that reach ENERGY and COSINE."""
@@ -203,18 +195,26 @@ class Searcher:
         first_segment = np.cumsum(segments) - segments
         owner = np.repeat(np.arange(len(docs)), segments)
         starts = first_word[owner] + (np.arange(len(owner)) - first_segment[owner]) * STEP
-        square = np.add.reduceat(self.square[ids], starts)
-        mass = np.add.reduceat(self.known_square[ids], starts)
+        weight, row = self.square[ids], x.rows[ids]
+        square = np.add.reduceat(weight, starts)
+        known = np.flatnonzero(row < self.other)
+        count = np.add.reduceat((row < self.other).astype(np.int64), starts)
+        offset = np.cumsum(count) - count
+        row, weight = row[known], weight[known]
         follows = np.append(False, owner[1:] == owner[:-1])  # continues the text of the segment before
         pair = np.append(follows[1:], False)  # has a next segment
         square[:-1] += square[1:] * pair[:-1]
-        mass[:-1] += mass[1:] * pair[:-1]
-        # passages whose known terms carry too little of the length can't reach ENERGY
-        hope = np.flatnonzero((pair | ~follows) & (mass >= MASS**2 * square) & (mass > 0))
-        ends = np.append(starts[1:], total)
+        both = count.copy()
+        both[:-1] += count[1:] * pair[:-1]  # known words of a passage: they follow each other in row
+        # projecting cannot add length, so passages whose known terms are shorter than ENERGY can't reach it
+        hope = np.flatnonzero((pair | ~follows) & (both > 0))
+        hope = hope[self.known_square(row, weight, offset[hope], both[hope]) >= ENERGY**2 * (1 - 1e-4) * square[hope]]
         for lo in range(0, len(hope), HOPE):
             at = hope[lo : lo + HOPE]
-            z = self.project(ids, starts[at], np.where(pair[at], ends[np.minimum(at + 1, len(ends) - 1)], ends[at]))
+            parts = np.unique(np.concatenate((at, at[pair[at]] + 1)))
+            sums = self.project(row, offset[parts], count[parts])
+            z = sums[np.searchsorted(parts, at)]
+            z[pair[at]] += sums[np.searchsorted(parts, at[pair[at]] + 1)]
             norm, energy = np.sqrt(square[at]), np.linalg.norm(z, axis=1)
             live = np.flatnonzero((energy >= ENERGY * norm) & (energy > 0))
             cos = (z[live] @ x.latent.T) / energy[live, None]
@@ -222,17 +222,33 @@ class Searcher:
                 s = at[live[i]]
                 yield int(owner[s]), int(starts[s] - first_word[owner[s]]), int(x.owner[p]), float(cos[i, p])
 
-    def project(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Sums of the term vectors of passages; position by position, so that each step adds whole rows."""
-        rows = np.full((len(starts), 2 * STEP), len(self.index.idf) - 1)
-        for j in range(2 * STEP):
-            inside = starts + j < ends
-            rows[inside, j] = ids[starts[inside] + j]
-        z = np.zeros((len(starts), self.index.basis.shape[1]), np.float32)
-        row = np.empty_like(z)
-        for j in range(2 * STEP):
-            z += np.take(self.index.basis, rows[:, j], axis=0, out=row, mode="clip")
-        return z
+    def known_square(self, row: np.ndarray, weight: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Squared TF-IDF length of the known terms of passages; a term that comes n times counts n * n times."""
+        inside = np.arange(2 * STEP) < count[:, None]
+        at = np.minimum(first[:, None] + np.arange(2 * STEP), len(row) - 1)
+        found = np.where(inside, row[at], self.other)
+        order = np.argsort(found, axis=1)
+        found = np.take_along_axis(found, order, axis=1)
+        square = np.take_along_axis(np.where(inside, weight[at], 0), order, axis=1)
+        out = square.sum(axis=1)
+        for lag in range(1, 2 * STEP):
+            same = (found[:, lag:] == found[:, :-lag]) & (found[:, lag:] < self.other)
+            if not same.any():
+                break
+            out += 2 * (square[:, lag:] * same).sum(axis=1)
+        return out
+
+    def project(self, row: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Sums of the term vectors of segments; position by position, so that each step adds whole rows."""
+        order = np.argsort(-count, kind="stable")
+        first, reach = first[order], np.searchsorted(-count[order], -np.arange(count.max(initial=0)))
+        z = np.zeros((len(first), self.index.basis.shape[1]), np.float32)
+        vector = np.empty_like(z)
+        for j, n in enumerate(reach):  # the first n segments have more than j known words
+            z[:n] += np.take(self.index.basis, row[first[:n] + j], axis=0, out=vector[:n], mode="clip")
+        out = np.empty_like(z)
+        out[order] = z
+        return out
 
     def leaks(self, texts: list[str | None]) -> Iterator[list[tuple[int, float, float, bool]]]:
         """Per text: (item id, best cosine, LCS share, answer found) of the items that it holds."""

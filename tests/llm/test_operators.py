@@ -152,6 +152,64 @@ def test_recall_on_the_corpus(spark, data, corpus):
     assert exact <= got and len(got - exact) <= 0.05 * len(exact) + 1
 
 
+@pytest.mark.parametrize("grown", [1, 20_000])
+def test_short_items_and_paraphrases_whatever_the_corpus_size(spark, monkeypatch, grown):
+    """Short items of frequent words inside long texts; a corpus of 10 million documents has the shares of a small one."""
+    rng = random.Random(5)
+    common, rare = [f"c{i}" for i in range(60)], [f"rare{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.sample(common, rng.randint(10, 20)))) for i in range(20)]
+    rows, planted = [], set()
+    for d in range(500):
+        body = [rng.choice(rare) for _ in range(rng.randint(20, 60))]
+        if d % 5 == 0:
+            i = d // 5 % 20
+            leak = items[i][1].split()
+            if d % 2:  # a paraphrase: one word replaced
+                leak[rng.randrange(len(leak) - 6)] = rng.choice(rare)
+            at = rng.randint(0, len(body))
+            body[at:at] = leak
+            planted.add((d, i))
+        else:
+            body += rng.sample(common, 12)
+            rng.shuffle(body)
+        rows.append((d, " ".join(body), "en", "s", 0))
+    d = docs(spark, rows)
+    counted = decontaminate.document_frequency
+
+    def many(*args):
+        df, total = counted(*args)
+        return df * grown, total * grown
+
+    monkeypatch.setattr(decontaminate, "document_frequency", many)
+    index = decontaminate.fit(d, spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.pairs(d, index).collect()}
+    assert planted <= got
+
+
+def test_no_passage_that_reaches_the_energy_is_dropped(spark, corpus):
+    """Against every passage projected by a plain sum; passages that repeat a word gain length."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "eta theta iota kappa alpha")], "item_id long, text string")
+    index = decontaminate.fit(corpus, bench)
+    rng = random.Random(7)
+    known, other = "alpha beta gamma delta eta theta iota kappa".split(), [f"w{i}" for i in range(500)]
+    texts = [[rng.choice(known[: rng.randint(1, 8)]) if rng.random() < rng.random() / 4 else rng.choice(other) for _ in range(rng.randint(1, 90))] for _ in range(400)]
+    got = {(d, at, i) for d, at, i, _ in decontaminate.Searcher(index).candidates(texts)}
+    expected, sure = set(), set()
+    for d, ws in enumerate(texts):
+        b = np.array([decontaminate.bucket(w) for w in ws])
+        for k, p in enumerate(decontaminate.passages(b)):
+            z = index.basis[index.rows[p]].astype(float).sum(axis=0)
+            energy, norm = np.linalg.norm(z), math.sqrt((index.idf[p] ** 2).sum())
+            if not energy:
+                continue
+            for j, cos in enumerate(index.latent @ z / energy):
+                if energy >= (decontaminate.ENERGY + 1e-4) * norm and cos >= decontaminate.COSINE + 1e-4:
+                    sure.add((d, k * decontaminate.STEP, int(index.owner[j])))
+                if energy >= (decontaminate.ENERGY - 1e-4) * norm and cos >= decontaminate.COSINE - 1e-4:
+                    expected.add((d, k * decontaminate.STEP, int(index.owner[j])))
+    assert len(sure) > 50 and sure <= got <= expected
+
+
 def test_lcs():
     rng = random.Random(3)
     for _ in range(50):
