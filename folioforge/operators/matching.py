@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,23 +64,29 @@ def price_confirmed(trades: DataFrame, series: DataFrame, tolerance: float, days
     return d.groupBy("security_id").agg(F.count("*").alias("trades"), F.count("price").alias("priced"), F.sum(ok.cast("long")).alias("confirmed"))
 
 
-def code_components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def code_components(pairs: DataFrame) -> DataFrame:
     """Entities that share codes, directly or through others: entity, component (the smallest entity reached).
 
-    Labels go from entities to codes and back, each step a grouped minimum; the loop ends when nothing changes.
+    A round takes the smallest label from entities to codes and back, each a grouped minimum, and then the label's
+    own label, so long chains halve. It ends when nothing changes. A null code links nothing; null entities take no part.
     """
-    context = pairs.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # a cluster names it in spark.checkpoint.dir
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
-    p = pairs.select("entity", "code").distinct()
-    labels = p.select("entity").distinct().withColumn("component", F.col("entity"))
-    before = None
-    for _ in range(rounds):
-        labels = labels.checkpoint()
-        total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")).alias("s")).first().s
-        if total == before:
-            break
-        before = total
+    spark = pairs.sparkSession
+    if not spark.sparkContext.getCheckpointDir():  # a cluster names it in spark.checkpoint.dir
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/code-components-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame) -> DataFrame:  # a checkpoint keeps size estimates, which self-joins square every round
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    p = written(pairs.where("entity is not null").select("entity", "code").distinct())
+    labels = written(p.select("entity").distinct().withColumn("component", F.col("entity")))
+    while True:
         code = p.join(labels, "entity").groupBy("code").agg(F.min("component").alias("c"))
-        labels = p.join(code, "code").groupBy("entity").agg(F.min("c").alias("component"))
-    return labels
+        near = p.join(code, "code").groupBy("entity").agg(F.min("c").alias("near"))
+        lower = written(labels.join(near, "entity", "left").select("entity", F.col("component").alias("before"), F.least("component", "near").alias("component")))
+        if not lower.where("component < before").limit(1).count():
+            return labels
+        jump = lower.select(F.col("entity").alias("component"), F.col("component").alias("next"))
+        labels = written(lower.join(jump, "component").select("entity", F.least("component", "next").alias("component")))

@@ -151,6 +151,8 @@ SQL: dict[str, str] = {
       l1 AS (SELECT account_id, total, min(security_id) AS l_security FROM l GROUP BY ALL HAVING count(*) = 1), r1 AS (SELECT account_id, total, min(security_id) AS r_security FROM r GROUP BY ALL HAVING count(*) = 1) SELECT account_id, total, l_security, r_security FROM l1 JOIN r1 USING (account_id, total)""",
     "code_components": """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS code FROM lineitem WHERE l_quantity = 50 AND l_partkey % 10 = 0), e AS (SELECT DISTINCT a.entity AS a, b.entity AS b FROM p a JOIN p b USING (code)),
       reach AS (SELECT a AS entity, a AS other FROM e UNION SELECT r.entity, e.b FROM reach r JOIN e ON e.a = r.other) SELECT entity, min(other) AS component FROM reach GROUP BY entity""",
+    "code_components_whole": """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS code FROM lineitem), e AS (SELECT DISTINCT a.entity AS a, b.entity AS b FROM p a JOIN p b USING (code)),
+      reach AS (SELECT a AS entity, a AS other FROM e UNION SELECT r.entity, e.b FROM reach r JOIN e ON e.a = r.other) SELECT entity, min(other) AS component FROM reach GROUP BY entity""",
     "column_stats": f"""WITH c AS (SELECT unnest([{{'col': 'c_custkey', 'v': c_custkey::VARCHAR}}, {{'col': 'c_name', 'v': c_name}}, {{'col': 'c_nationkey', 'v': c_nationkey::VARCHAR}}, {{'col': 'c_mktsegment', 'v': c_mktsegment}}], recursive := true) FROM customer)
       SELECT col, count(*) AS cells, count(v) AS filled, count(DISTINCT v) AS distinct_values, sum(regexp_full_match(v, '-?[0-9]+(\\.[0-9]+)?')::INT)::BIGINT AS numbers, max(length(v)) AS longest, {r("avg(length(v))")} AS mean_length FROM c GROUP BY col""",
     "identity_check": "SELECT l_returnflag, count(*) AS n, sum((abs(l_quantity * p_retailprice - l_extendedprice) <= 0.1::DOUBLE * l_extendedprice)::INT)::BIGINT AS hits FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",

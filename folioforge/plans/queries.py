@@ -382,6 +382,12 @@ def code_components(spark, sf):
     return matching.code_components(o)
 
 
+@query
+def code_components_whole(spark, sf):
+    """code_components over every row; its SQL is quadratic in the suppliers."""
+    return matching.code_components(dm.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("code")))
+
+
 @query
 def column_stats(spark, sf):
     """Statistics of every column in long form: one pass, whatever the number of columns."""

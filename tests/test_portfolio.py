@@ -3,6 +3,7 @@
 import datetime as dt
 import decimal
 import math
+import random
 
 import duckdb
 import pytest
@@ -123,6 +124,38 @@ def test_code_components(spark):
     assert {(r.entity, r.component) for r in matching.code_components(pairs).collect()} == {(1, 1), (2, 1), (3, 1), (9, 9)}
 
 
+def brute_code_components(rows):
+    label = {e: e for e, _ in rows if e is not None}
+    while True:
+        code = {}
+        for e, c in rows:
+            if e is not None and c is not None:
+                code[c] = min(code.get(c, label[e]), label[e])
+        lower = {e: min([label[e], *[code[c] for x, c in rows if x == e and c is not None]]) for e in label}
+        if lower == label:
+            return label
+        label = lower
+
+
+def test_code_components_converge(spark):
+    """Chains longer than 64 rounds, null codes and repeated pairs, against brute force."""
+    rng = random.Random(3)
+    chain = [(i, 1000 + i) for i in range(200)] + [(i + 1, 1000 + i) for i in range(200)]
+    mixed = rng.sample(range(300, 500), 200)
+    chain += [(mixed[i + k], 2000 + i) for i in range(150) for k in (0, 1)]
+    rows = [*chain, *chain[:5], (900, None), (None, 1003), (901, 3000), (902, 3000), (902, None)]
+    got = {r.entity: r.component for r in matching.code_components(spark.createDataFrame(rows, "entity long, code long")).collect()}
+    assert got == brute_code_components(rows)
+    assert {got[i] for i in range(201)} == {0}
+    words = spark.createDataFrame([("b", 1), ("c", 1), ("c", 2), ("a", 2), ("d", 3)], "entity string, code long")
+    assert {tuple(r) for r in matching.code_components(words).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")}
+
+
+def test_code_components_cover_every_row(spark, sql, data):
+    got = {r.entity for r in queries.QUERIES["code_components_whole"](spark, data).collect()}
+    assert got == {r[0] for r in sql.execute("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()}
+
+
 def test_text_functions(spark):
     d = spark.createDataFrame([("1,234.50", "2024/3/5"), ("(12.00)", "20240305"), ("▲3", "5.3.2024"), ("-", "2024-13-01"), (None, None)], "a string, d string")
     got = d.select(fx.amount(F.col("a")).alias("a"), fx.any_date(F.col("d")).alias("d")).collect()
