@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import forget, written
+
 
 def resolved(names: DataFrame, codes: DataFrame, aliases: DataFrame, keys: DataFrame) -> DataFrame:
     """names (ref, code, name_key) with security_id by code, then alias, then a unique name key; resolved_by says which."""
@@ -70,23 +69,15 @@ def code_components(pairs: DataFrame) -> DataFrame:
     A round takes the smallest label from entities to codes and back, each a grouped minimum, and then the label's
     own label, so long chains halve. It ends when nothing changes. A null code links nothing; null entities take no part.
     """
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # a cluster names it in spark.checkpoint.dir
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/code-components-{uuid.uuid4().hex}"
-
-    def written(df: DataFrame) -> DataFrame:  # a checkpoint keeps size estimates, which self-joins square every round
-        path = f"{folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    p = written(pairs.where("entity is not null").select("entity", "code").distinct())
-    labels = written(p.select("entity").distinct().withColumn("component", F.col("entity")))
+    p = written(pairs.where("entity is not null").select("entity", "code").distinct(), "codes")
+    labels = written(p.select("entity").distinct().withColumn("component", F.col("entity")), "labels")
     while True:
         code = p.join(labels, "entity").groupBy("code").agg(F.min("component").alias("c"))
         near = p.join(code, "code").groupBy("entity").agg(F.min("c").alias("near"))
-        lower = written(labels.join(near, "entity", "left").select("entity", F.col("component").alias("before"), F.least("component", "near").alias("component")))
+        lower = written(labels.join(near, "entity", "left").select("entity", F.col("component").alias("before"), F.least("component", "near").alias("component")), "labels")
         if not lower.where("component < before").limit(1).count():
+            forget(p, lower)
             return labels
         jump = lower.select(F.col("entity").alias("component"), F.col("component").alias("next"))
-        labels = written(lower.join(jump, "component").select("entity", F.least("component", "next").alias("component")))
+        old, labels = labels, written(lower.join(jump, "component").select("entity", F.least("component", "next").alias("component")), "labels")
+        forget(old, lower)

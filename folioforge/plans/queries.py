@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from ..operators import allocation, asof, inference, matching, series, valuation
 from ..operators import ledger as lg
 from ..sources import domain as dm
 from ..sources.domain import half_up
+from ..sources.scratch import shared_dir
 from ..streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,25 +439,21 @@ def month_summary(spark, sf):
     return d.groupBy(F.trunc("trade_date", "MM").alias("month")).agg(F.count("*").alias("n"), *kinds, F.sum("gross").alias("gross"))
 
 
-def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioforge-")
-
-
 @query
 def stream_tumbling(spark, sf):
-    d = ev.drained(ev.tumbling(ev.event_stream(spark, sf)), _folder(spark))
+    d = ev.drained(ev.tumbling(ev.event_stream(spark, sf)), shared_dir(spark))
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "cents")
 
 
 @query
 def stream_dedup_count(spark, sf):
     e = ev.event_stream(spark, sf)
-    return ev.drained(ev.deduplicated(e).groupBy("event_type").agg(F.count("*").alias("n")), _folder(spark))
+    return ev.drained(ev.deduplicated(e).groupBy("event_type").agg(F.count("*").alias("n")), shared_dir(spark))
 
 
 @query
 def stream_session(spark, sf):
-    d = ev.drained(ev.sessions(ev.event_stream(spark, sf)), _folder(spark))
+    d = ev.drained(ev.sessions(ev.event_stream(spark, sf)), shared_dir(spark))
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
