@@ -5,14 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, forget, new_path, shared_dir, written
+
+__all__ = ["discard", "forget", "new_path", "shared_dir", "written"]
+
 #: The word of every contract, for Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,45 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Stand-ins for spark.checkpoint.dir by application, where it is not set.
-OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir, which driver and executors share.
-
-    A temporary folder stands in only where the setting is absent (a local test session).
-    """
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = OWN_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="folioforge-")
-        OWN_DIRS[app] = root
-    if root.startswith("/"):
-        root = f"file://{root}"
-    return f"{root.rstrip('/')}/folioforge-{app}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later jobs restart from there.
-
-    Executors may be lost afterwards, and nothing above is computed twice.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession) -> None:
-    """Delete every intermediate table of this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores before them until no column of df is called so."""
+    there, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in there:
+            n = f"_{n}"
+        there.add(n.lower())
+        out.append(n)
+    return out
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:

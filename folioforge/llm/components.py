@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,9 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first().s
         if total == before:
+            forget(e)
             return labels
         before = total
         near = e.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         lower = written(labels.join(near, "v", "left").select("v", F.least("label", F.coalesce("near", "label")).alias("label")), "labels")
         jump = lower.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        labels = written(lower.join(jump, "label", "left").select("v", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        old, labels = labels, written(lower.join(jump, "label", "left").select("v", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        forget(old, lower)

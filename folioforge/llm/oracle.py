@@ -27,9 +27,9 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
 SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "op8_exact_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-t AS (SELECT vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x)::BIGINT AS score FROM t a JOIN t b USING (i) WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
-k AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
-SELECT * FROM k WHERE rank <= 5""",
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+t AS (SELECT vec_id, r, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v),
+s AS (SELECT a.vec_id AS query_id, a.r AS query_row, b.vec_id, b.r, sum(a.x * b.x)::BIGINT AS score FROM t a JOIN t b USING (i) WHERE a.vec_id % 50 = 0 AND a.r <> b.r GROUP BY ALL),
+k AS (SELECT query_id, (row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
 }

@@ -16,115 +16,149 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a packed block; a block pair's score array has at most QUERIES * BLOCK integers.
-BLOCK = 4096
+BLOCK = 1024
 QUERIES = 512
-#: Quantised components are clipped here, so that an inner product always fits 64 bits.
-LIMIT = 2**24
 
 
 def _usable(vector: str) -> Column:
     v = F.col(vector)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return v.isNotNull() & ~bad
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
-def quantised(df: DataFrame, key: str, vector: str, scale: int = 256) -> DataFrame:
-    """(id, v): integer vectors floor(scale * x); rows with null or non-finite components are left out."""
-    x = F.col(vector).cast("array<double>")
-    v = F.transform(x, lambda c: F.greatest(F.least(F.floor(c * scale), F.lit(LIMIT)), F.lit(-LIMIT)).cast("int"))
-    return df.where(F.col(key).isNotNull() & _usable(vector)).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+def distinct_rows(df: DataFrame, key: str, vector: str, groups: int) -> DataFrame:
+    """(id, v, copies, mark, g): the rows that take part, their vectors' hash, and the group that it deals them to.
+
+    Equal rows are counted, so that a vector with very many copies is one row.
+    """
+    d = df.where(F.col(key).isNotNull() & _usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    d = d.groupBy("id", "v").agg(F.count("*").alias("copies")).withColumn("mark", F.xxhash64("v"))
+    return d.withColumn("g", F.pmod(F.xxhash64("id", "mark"), F.lit(groups)).cast("int"))
+
+
+SCHEMA = "g int, ids binary, marks binary, copies binary, lengths binary, flat binary"
 
 
 def _packed(size: int):
+    """Blocks of `size` rows of one group. Which rows a block has may differ when a task is repeated; a group's rows don't."""
+
     def block(part: pd.DataFrame) -> pd.DataFrame:
-        lengths = part["v"].map(len).to_numpy(np.int32)
-        flat = np.concatenate([*part["v"].to_numpy(), np.empty(0)]).astype(np.int32)
-        return pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "lengths": [lengths.tobytes()], "flat": [flat.tobytes()]})
+        out = {"g": [part["g"].iloc[0]], **{f"{c}s" if c != "copies" else c: [part[c].to_numpy(np.int64).tobytes()] for c in ("id", "mark", "copies")}}
+        flat = np.concatenate([*part["v"].to_numpy(), np.empty(0)]).astype(np.float64)
+        return pd.DataFrame({**out, "lengths": [part["v"].map(len).to_numpy(np.int32).tobytes()], "flat": [flat.tobytes()]})
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, n = [], 0
+        rest: dict[int, tuple[list, int]] = {}
         for pdf in batches:
-            rest, n = [*rest, pdf], n + len(pdf)
-            while n >= size:
-                whole = pd.concat(rest)
-                yield block(whole.iloc[:size])
-                rest, n = [whole.iloc[size:]], n - size
-        if n:
-            yield block(pd.concat(rest))
+            for g, part in pdf.groupby("g"):
+                parts, n = rest.get(g, ([], 0))
+                parts, n = [*parts, part], n + len(part)
+                while n >= size:
+                    whole = pd.concat(parts)
+                    yield block(whole.iloc[:size])
+                    parts, n = [whole.iloc[size:]], n - size
+                rest[g] = parts, n
+        for parts, n in rest.values():
+            if n:
+                yield block(pd.concat(parts))
 
     return pack
 
 
-def _dense(ids: bytes, lengths: bytes, flat: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ids ascending and a matrix with absent terms as zero."""
-    ids, lengths, flat = np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int32), np.frombuffer(flat, np.int32)
-    out = np.zeros((len(ids), max(1, lengths.max(initial=0))), np.int64)
-    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
-    order = np.argsort(ids, kind="stable")
-    return ids[order], out[order]
-
-
-def block_top_k(queries: tuple, candidates: tuple, k: int) -> pd.DataFrame:
-    """The k best candidates of one block for each query, ties to the smaller id."""
-    (qid, q), (cid, c) = queries, candidates
-    postings = [(np.flatnonzero(c[:, t]), c[c[:, t] != 0, t]) for t in range(c.shape[1])]
-    out = []
-    for lo in range(0, len(qid), QUERIES):
-        ids, rows = qid[lo : lo + QUERIES], q[lo : lo + QUERIES]
-        scores = np.zeros((len(ids), len(cid)), np.int64)
-        for t in range(min(rows.shape[1], len(postings))):
-            who, (at, weight) = np.flatnonzero(rows[:, t]), postings[t]
-            if len(at) == len(cid):
-                scores[who] += rows[who, t, None] * weight
+class Block:
+    """Rows by ascending id, absent terms as zero. x: components as floor(scale * component), exact whatever their size."""
+
+    def __init__(self, ids: bytes, marks: bytes, copies: bytes, lengths: bytes, flat: bytes, scale: int, most: int | None = None) -> None:
+        ids, marks, copies, lengths = np.frombuffer(ids, np.int64), np.frombuffer(marks, np.int64), np.frombuffer(copies, np.int64), np.frombuffer(lengths, np.int32)
+        raw = np.frombuffer(flat, np.float64)
+        large = bool(len(raw)) and float(np.abs(raw).max()) >= 2.0**52 / scale
+        # such a double is a whole number already
+        flat = np.array([int(v) * scale if abs(v) >= 2.0**52 else int(np.floor(v * scale)) for v in raw.tolist()], object) if large else np.floor(raw * scale).astype(np.int64)
+        shape = len(ids), max(1, int(lengths.max(initial=0)))
+        inside = np.arange(shape[1]) < lengths[:, None]
+        x, raws = np.zeros(shape, flat.dtype), np.zeros(shape)
+        x[inside], raws[inside] = flat, raw
+        order = np.argsort(ids, kind="stable")
+        if most is not None:  # a query's result has at most k copies of a row, besides its own
+            order = np.repeat(order, np.minimum(copies[order], most))
+        self.ids, self.marks, self.copies, self.lengths, self.raw, self.x = ids[order], marks[order], copies[order], lengths[order], raws[order], x[order]
+
+    def largest(self) -> int:
+        return max(abs(int(self.x.max(initial=0))), abs(int(self.x.min(initial=0)))) if self.x.size else 0
+
+
+def block_top_k(queries: Block, candidates: Block, k: int) -> Iterator[tuple[int, int, int, int]]:
+    """(query's position, candidate's id, score) columns of the k best candidates of one block for each query, ties to the smaller id.
+
+    Scores are whole numbers in the narrowest type that holds every possible sum: 32 or 64 bits, or unbounded.
+    """
+    bound = queries.largest() * candidates.largest() * min(queries.x.shape[1], candidates.x.shape[1])
+    kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
+    q, c = queries.x.astype(kind), candidates.x.astype(kind)
+    postings = [(at, c[at, t]) for t in range(min(q.shape[1], c.shape[1])) for at in [np.flatnonzero(c[:, t])]]
+    for lo in range(0, len(q), QUERIES):
+        ids, rows = queries.ids[lo : lo + QUERIES], q[lo : lo + QUERIES]
+        scores, product = np.zeros((len(ids), len(c)), kind), np.empty((len(ids), len(c)), kind)
+        for t, (at, weight) in enumerate(postings):
+            who = np.flatnonzero(rows[:, t])
+            if len(at) == len(c) and len(who) == len(ids):
+                np.multiply(rows[:, t, None], weight, out=product)
+                scores += product
             elif len(at):
                 scores[np.ix_(who, at)] += rows[who, t, None] * weight
-        own = ids[:, None] == cid[None, :]
+        first, last = np.searchsorted(candidates.ids, ids), np.searchsorted(candidates.ids, ids, "right")
         for i in range(len(ids)):
-            at = np.flatnonzero(~own[i])
-            pool, n = scores[i, at], min(k, len(at))
+            free = np.ones(len(c), bool)
+            n = queries.lengths[lo + i]
+            for j in first[i] + np.flatnonzero(candidates.marks[first[i] : last[i]] == queries.marks[lo + i]):  # one of the rows that equal the query's
+                if candidates.lengths[j] == n and np.array_equal(candidates.raw[j, :n], queries.raw[lo + i, :n]):
+                    free[j] = False
+                    break
+            at = np.flatnonzero(free)
+            n = min(k, len(at))
             if not n:
                 continue
+            pool = scores[i, at]
             edge = np.partition(pool, len(pool) - n)[len(pool) - n]
             sure = np.flatnonzero(pool > edge)
             tied = np.flatnonzero(pool == edge)[: n - len(sure)]  # ids ascend: the smallest of the ties
-            best = at[np.concatenate((sure, tied))]
-            out.append((np.full(len(best), ids[i]), cid[best], scores[i, best]))
-    if not out:
-        return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)), strict=True)))
+            for j in np.concatenate((sure, tied)):
+                yield lo + i, int(candidates.ids[at[j]]), int(pool[j])
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: int = 5, scale: int = 256, groups: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k highest inner products among the candidates.
+    """query_id, rank, vec_id, score: each query's k highest inner products of floor(scale * component) among the candidates.
 
-    A row with the query's own id is no candidate for it. Vectors that are null or hold null or
-    non-finite components, and rows with a null id, take no part. Vectors of unequal length are
-    multiplied over their common dimensions. Components beyond LIMIT / scale are clipped. Rows that
-    repeat an id count as one candidate (the largest vector, so that reruns agree). No queries or no
-    candidates: no rows.
+    Every row but the query's own is a candidate; its own is one candidate with its id and vector. So other rows that
+    repeat the query's id are candidates, also equal ones, and queries that repeat an id have results of their own.
+    Vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Vectors of
+    unequal length are multiplied over their common dimensions. Sums are exact; a score beyond 64 bits is
+    returned as the nearest long. No queries or no candidates: no rows. Other columns are ignored.
 
     Both sides travel as packed blocks. Every query block meets every candidate block through an
     equi-join on a candidate group, so that no side is collected or broadcast.
     """
-    spark = queries.sparkSession
-    groups = groups or spark.sparkContext.defaultParallelism * 2
-    schema = "ids binary, lengths binary, flat binary"
-
-    def blocks(df: DataFrame, size: int, parts: int | None) -> DataFrame:
-        rows = quantised(df, key, vector, scale).groupBy("id").agg(F.max("v").alias("v"))
-        rows = rows.repartition(parts, "id") if parts else rows
-        return rows.mapInPandas(_packed(size), schema)
-
-    c = blocks(candidates, BLOCK, groups).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    groups = groups or queries.sparkSession.sparkContext.defaultParallelism * 4
+    names = ("ids", "marks", "copies", "lengths", "flat")
+    # the count of partitions is given, so that adaptive execution keeps the groups apart
+    c = distinct_rows(candidates, key, vector, groups).mapInPandas(_packed(BLOCK), SCHEMA).repartition(groups, "g")
     # a query block is sent to each candidate group once
-    q = blocks(queries, QUERIES, None).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *[F.col(x).alias(f"q_{x}") for x in ("ids", "lengths", "flat")])
+    q = distinct_rows(queries, key, vector, 1).mapInPandas(_packed(QUERIES), SCHEMA)
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *[F.col(x).alias(f"q_{x}") for x in names]).repartition(groups, "g")
     pairs = c.join(q, "g")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                yield block_top_k(_dense(row.q_ids, row.q_lengths, row.q_flat), _dense(row.ids, row.lengths, row.flat), k)
-
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                left = Block(*[getattr(row, f"q_{x}") for x in names], scale)
+                right = Block(*[getattr(row, x) for x in names], scale, k + 1)
+                found = list(block_top_k(left, right, k))
+                at = np.array([f[0] for f in found], np.int64)
+                yield pd.DataFrame({
+                    "query_id": left.ids[at], "mark": left.marks[at], "copies": left.copies[at], "vec_id": np.array([f[1] for f in found], np.int64),
+                    "score": np.array([min(max(f[2], -(2**63)), 2**63 - 1) for f in found], np.int64),
+                })
+
+    found = pairs.mapInPandas(search, "query_id long, mark long, copies long, vec_id long, score long")
+    w = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -386,6 +387,19 @@ def test_base_spans_are_linear():
         assert len(pii.base_spans(unit * 200_000)) >= 0
 
 
+def test_long_texts_of_glued_spans_take_linear_time(spark, corpus):
+    model = pii.fit(corpus)
+    unit = "call +1 (234) 567-8901 4465758382889437 now or a.b@c.de\n"
+    took = []
+    for n in (500, 4_000):
+        began = time.process_time()
+        base = pii.base_spans(unit * n)
+        added = pii.added_spans(unit * n, base, model)
+        took.append(time.process_time() - began)
+        assert len(base) == n and len([x for x in added if x[0] == "phone"]) == n
+    assert took[1] < 8 * 2.5 * took[0] + 1
+
+
 def test_semi_markov_adds_what_the_checks_dropped(spark, corpus):
     model = pii.fit(corpus)
     glued = "call +1 (234) 567-8901 4465758382889437 now"
@@ -459,11 +473,32 @@ def test_top_k_matches_brute_force(spark):
 def test_top_k_small_and_empty(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, []), (2, [])], "vec_id long, embedding array<float>")
     got = {tuple(r) for r in topk.top_k(d.where("vec_id = 0"), d, "vec_id", "embedding").collect()}
-    assert got == {(0, 1, 1, 65536), (0, 2, 2, 0)}
+    assert got == {(0, 1, 1, 65536), (0, 2, 2, 0), (0, 3, 2, 0)}  # every row is a candidate, repeated ones too
     assert topk.top_k(d.limit(0), d, "vec_id", "embedding").count() == 0
     assert topk.top_k(d.where("vec_id = 0"), d.where("vec_id = 0"), "vec_id", "embedding").count() == 0
 
 
+def test_top_k_is_exact_for_large_components_and_repeated_ids(spark):
+    d = spark.createDataFrame([(0, [1e5, 1e5]), (1, [1e5, 1e5]), (2, [-1e5, 3.0])], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(d.where("vec_id = 0"), d, "vec_id", "embedding").collect()}
+    assert got == {(0, 1, 1, 2 * 25_600_000**2), (0, 2, 2, 25_600_000 * (768 - 25_600_000))}
+    # beyond 64 bits: ranked exactly, returned as the nearest long
+    d = spark.createDataFrame([(0, [1e12]), (1, [1e12]), (2, [2e12]), (3, [-1e12]), (4, [1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(d.where("vec_id = 0"), d, "vec_id", "embedding").orderBy("rank").collect()]
+    assert [r[2] for r in got] == [1, 2, 4, 3] or [r[2] for r in got] == [2, 1, 4, 3]
+    assert got[0][3] == 2**63 - 1 and got[-1][3] == -(2**63) and got[2][3] == 256 * 256_000_000_000_000
+    # rows that repeat the query's id: all but its own are candidates, and each such query has its own result
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 2.0]), (50, [0.0, 2.0]), (7, [1.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(d.where("vec_id = 50"), d, "vec_id", "embedding", groups=3).collect())
+    want = []
+    for i, (a, v) in enumerate(rows):
+        if a == 50:
+            scored = sorted((-sum(int(x * 256) * int(y * 256) for x, y in zip(v, w, strict=True)), b) for j, (b, w) in enumerate(rows) if j != i)
+            want += [(50, r + 1, b, -s) for r, (s, b) in enumerate(scored)]
+    assert got == sorted(want)
+
+
 # 9: toxicity
 
 
