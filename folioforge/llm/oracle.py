@@ -11,6 +11,38 @@ d AS (SELECT page_id, url, octet_length(encode(body))::BIGINT AS payload_bytes,
 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)""",
+    # regular expressions, MD5 and window sums, as in the operator: the rounds of order sampling one after the other
+    "op2_source_mix": r"""
+WITH b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  (('0x' || substr(md5(concat_ws(':', '17', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+d AS (SELECT *, floor(log2(greatest(size, 1)::DOUBLE))::INTEGER AS k FROM b),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT source, source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w, source_size * 3.0::DOUBLE AS lim FROM s0),
+s2 AS (SELECT *, row_number() OVER o AS n_th, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(lim) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s1 WINDOW o AS (ORDER BY lim / w, source NULLS LAST)),
+s3 AS (SELECT *, min(CASE WHEN lim >= level * w THEN n_th END) OVER () AS first FROM s2),
+t AS (SELECT source, source_size, CASE WHEN n_th >= first THEN least(w * (SELECT level FROM s3 x WHERE x.n_th = x.first), lim) ELSE lim END AS target FROM s3),
+c0 AS (SELECT source, k, sum(size)::BIGINT AS words, pow(2.0::DOUBLE, -k * 0.125::DOUBLE) AS x FROM d GROUP BY ALL),
+c1 AS (SELECT c0.*, target, source_size, coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3.0::DOUBLE AS whole_words,
+  sum(words * x) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM c0 JOIN t ON c0.source IS NOT DISTINCT FROM t.source WINDOW w AS (PARTITION BY c0.source ORDER BY k)),
+c2 AS (SELECT *, CASE WHEN rest = 0 THEN NULL ELSE (target - whole_words) / rest END AS c FROM c1),
+c3 AS (SELECT *, min(CASE WHEN c * x <= 3.0 * (1 + 1e-12) THEN k END) OVER (PARTITION BY source) AS k0 FROM c2),
+c4 AS (SELECT *, max(CASE WHEN k = k0 THEN c END) OVER (PARTITION BY source) AS c_all FROM c3),
+mu AS (SELECT source, k, source_size, target, words, greatest(coalesce(CASE WHEN k < k0 THEN 3.0 ELSE least(c_all * x, 3.0) END, 0), 0)::DOUBLE AS mu FROM c4),
+m AS (SELECT *, floor(mu + 1e-9) AS whole, greatest(mu - floor(mu + 1e-9), 0) AS pi, target - sum(floor(mu + 1e-9) * words) OVER (PARTITION BY source) AS room FROM mu),
+q AS (SELECT doc_id, d.source, size, source_size, target, whole, pi, room, false AS more,
+  (u / (1 - u)) / (greatest(least(pi, 1 - 1e-12), 1e-12) / (1 - greatest(least(pi, 1 - 1e-12), 1e-12))) AS q FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.k = m.k),
+o1 AS (SELECT *, sum(CASE WHEN pi > 0 AND size > 0 AND size <= room AND NOT more THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q) AS upto FROM q),
+f1 AS (SELECT * REPLACE (more OR (pi > 0 AND size > 0 AND size <= room AND upto <= room) AS more), more AS old FROM o1),
+r1 AS (SELECT * EXCLUDE (old, upto) REPLACE (room - sum(CASE WHEN more AND NOT old THEN size ELSE 0 END) OVER (PARTITION BY source) AS room) FROM f1),
+o2 AS (SELECT *, sum(CASE WHEN pi > 0 AND size > 0 AND size <= room AND NOT more THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q) AS upto FROM r1),
+f2 AS (SELECT * REPLACE (more OR (pi > 0 AND size > 0 AND size <= room AND upto <= room) AS more), more AS old FROM o2),
+r2 AS (SELECT * EXCLUDE (old, upto) REPLACE (room - sum(CASE WHEN more AND NOT old THEN size ELSE 0 END) OVER (PARTITION BY source) AS room) FROM f2),
+o3 AS (SELECT *, sum(CASE WHEN pi > 0 AND size > 0 AND size <= room AND NOT more THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q) AS upto FROM r2),
+f3 AS (SELECT * REPLACE (more OR (pi > 0 AND size > 0 AND size <= room AND upto - size / 2 <= room) AS more), more AS old FROM o3),
+r3 AS (SELECT * EXCLUDE (old, upto) REPLACE (room - sum(CASE WHEN more AND NOT old THEN size ELSE 0 END) OVER (PARTITION BY source) AS room) FROM f3),
+z AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(whole + more::INTEGER, 3) END::INTEGER AS copies FROM r3)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, source FROM z""",
     "op4_snapshot_collapse": """
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER w AS position, count(*) OVER (PARTITION BY conv_id) AS n_turns
   FROM conversations WHERE conv_id IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY coalesce(turn, -1), role, text)),
