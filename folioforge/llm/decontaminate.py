@@ -1,18 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms of the benchmark are hashed to DIM buckets; document frequencies cover the whole corpus. A randomised
-SVD (subspace iteration over Spark tasks) of the benchmark's TF-IDF passages gives a latent space. (Passages of
-the corpus in the fit spend its directions on frequent words: at rank 192 the recall of leaks fell to 0.96.)
-Every passage of every document is projected and compared by cosine with every benchmark passage; candidates
-are checked by longest common subsequence with the item's words, and less certain ones also by the item's
-answer, its last words.
+Terms are hashed to DIM buckets; document frequencies cover the whole corpus. The benchmark is cut into blocks of
+at most BLOCK passages. For each, a randomised SVD (subspace iteration over Spark tasks) of its TF-IDF passages,
+with passages of the corpus at a small share of the weight, gives a latent space of as few directions as keep
+RETAIN of the benchmark passages' squared length; passages that keep less than FLOOR of theirs (no other resembles
+them) add their residuals as directions. Every passage of every document is projected and compared by cosine
+with every benchmark passage; candidates are checked by longest common subsequence with the item's words, and less
+certain ones also by the item's answer, its last words.
+
+Bounds: a block has at most BLOCK * 2 * STEP = 16,384 terms and RANK directions, so a basis is at most 34 MB, and the
+driver holds a few matrices of that shape; a task holds the bases of GROUP blocks.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -22,10 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import forget, fresh, release, written
 
 DIM = 1 << 18
-RANK, EXTRA, POWER = 512, 10, 1
+#: Directions at most, more of them in the sketch, power steps; the share of the squared length that the space keeps.
+RANK, EXTRA, POWER, RETAIN, FLOOR = 512, 10, 1, 0.9, 0.5
+#: Benchmark passages of a block, blocks searched at once, passages of the corpus in a fit and their share of its weight.
+BLOCK, GROUP, CORPUS, SHARE = 512, 8, 2_000, 0.2
 #: A passage is two segments of STEP words; passages overlap by one segment.
 STEP = 16
 #: A candidate keeps at least ENERGY of its length in the latent space and has at least COSINE there.
@@ -82,8 +89,8 @@ class Index:
     idf: np.ndarray  # of every bucket: words outside the benchmark weigh by their own frequency in the norm
     basis: np.ndarray  # rows x RANK, idf included
     items: list[tuple[int, list[str]]]
-    latent: np.ndarray = field(default_factory=lambda: np.zeros((0, RANK), np.float32))
-    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # item of each benchmark passage
+    latent: np.ndarray  # of each benchmark passage, of length 1
+    owner: np.ndarray  # item of each benchmark passage
 
 
 def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -111,16 +118,16 @@ def inverse_frequency(df: np.ndarray, total: int) -> np.ndarray:
 
 
 def gram_times(matrix: DataFrame, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A^T A X for the TF-IDF matrix whose rows are lists of term rows; partial products summed by row block."""
+    """A^T A X for the TF-IDF matrix whose rows are term rows (ids) and a weight; partial products summed by row block."""
     shipped = matrix.sparkSession.sparkContext.broadcast((right, idf))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, w = shipped.value
         out, any_rows = np.zeros_like(x), False
         for pdf in batches:
-            for ids in pdf["ids"]:
+            for ids, weight in zip(pdf["ids"], pdf["weight"], strict=True):
                 at = np.asarray(ids)
-                np.add.at(out, at, w[at][:, None] * (w[at] @ x[at])[None, :])
+                np.add.at(out, at, w[at][:, None] * (weight * (w[at] @ x[at]))[None, :])
                 any_rows = True
         if any_rows:
             blocks = range(0, len(out), ROWS)
@@ -150,30 +157,84 @@ def randomised_svd(matrix: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
     return q @ vectors[:, order[values[order] > 1e-9 * values.max()]]
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> Index:
-    """Items without a word take no part. The benchmark is held whole: it is a list of questions, not a corpus."""
-    found = sorted((r[0], r[1]) for r in benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(item, item_text).distinct().collect())
-    items = [(i, ws) for i, t in found if (ws := terms(t))]
-    used = sorted({bucket(w) for _, ws in items for w in ws})
+def drawn_passages(docs: DataFrame, text: str, total: int, most: int) -> DataFrame:
+    """buckets of about `most` passages of the corpus, one of each document drawn by its text's hash; written."""
+    h = F.xxhash64(F.lit("passage"), F.col(text))
+    part = F.shiftrightunsigned(h, 12).cast("double") / float(2**52)
+    d = docs.where(part < min(1.0, most / max(1, total))).select(F.col(text).alias("t"), h.alias("h"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [passages(np.array([bucket(w) for w in ws], np.int64))[h % max(1, -(-len(ws) // STEP) - 1)].tolist() for t, h in zip(pdf["t"], pdf["h"], strict=True) if (ws := terms(t))]
+            yield pd.DataFrame({"buckets": rows})
+
+    return written(d.mapInPandas(cut, "buckets array<int>"), "lsa-corpus")
+
+
+def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> list[Index]:
+    """An index for each block of the benchmark; none if it is empty.
+
+    Items without a word, an id or a text take no part; equal items count once. Null and empty documents count as
+    documents without terms. The corpus passages in the fit are a sample of about CORPUS; frequencies cover everything.
+    """
+    named = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
+    # passages of an item from its count of word runs; blocks by running totals of those, in order of the id
+    size = F.greatest(F.ceil(F.regexp_count("t", F.lit(r"\w+")) / STEP) - 1, F.lit(1))
+    n = named.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if not n:
+        return []
+    parts = max(1, -(-n // (BLOCK * 3 // 4)))  # by hash, so blocks differ in size: three quarters full on average
+    df, total = document_frequency(docs, text)
+    idf = inverse_frequency(df, total)
+    corpus = drawn_passages(docs, text, total, CORPUS)
+    out = []
+    for p in range(parts):
+        rows = named.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect()
+        items = sorted((i, ws) for i, t in rows if (ws := terms(t)))
+        count = np.cumsum([len(passages(np.array(ws))) for _, ws in items])
+        for b in range(0, int(count[-1]) if items else 0, BLOCK):  # a block that came out too large is cut
+            mine = [x for x, c in zip(items, count, strict=True) if b < c <= b + BLOCK]
+            if mine:
+                out.append(fit_block(corpus, mine, idf))
+    forget(corpus)
+    release()
+    return out
+
+
+def fit_block(corpus: DataFrame, items: list[tuple[int, list[str]]], idf: np.ndarray) -> Index:
+    look = Buckets()
+    used = sorted({look[w] for _, ws in items for w in ws})
     rows = np.full(DIM, len(used), np.int32)
     rows[used] = np.arange(len(used))
-    if not items:
-        return Index(rows, np.zeros(DIM), np.zeros((1, RANK), np.float32), [])
-    idf = inverse_frequency(*document_frequency(docs, text))
     weights = np.append(idf[used], 0.0)
-
-    look = Buckets()
     own = [p for _, ws in items for p in passages(rows[[look[w] for w in ws]])]
-    matrix = written(docs.sparkSession.createDataFrame([(p.tolist(),) for p in own], "ids array<int>"), "lsa-passages")
+    owner = np.repeat(np.arange(len(items)), [len(passages(np.array(ws))) for _, ws in items])
+
+    def square(p: np.ndarray) -> float:
+        at, n = np.unique(p, return_counts=True)
+        return float(((n * weights[at]) ** 2).sum())
+
+    mass = sum(map(square, own))
+    sample = [rows[r.buckets] for r in corpus.collect()]
+    other = sum(map(square, sample))
+    each = SHARE / (1 - SHARE) * mass / other if other else 0.0
+    spark = corpus.sparkSession
+    matrix = written(spark.createDataFrame([(p.tolist(), w) for part, w in ((own, 1.0), (sample, each)) if w for p in part], "ids array<int>, weight double"), "lsa-passages")
     v = randomised_svd(matrix, weights)
+    forget(matrix)
+    full = np.stack([(v[p] * weights[p][:, None]).sum(axis=0) for p in own])
+    kept = np.cumsum((full**2).sum(axis=0)) / max(mass, 1e-12)
+    rank = min(v.shape[1], int(np.searchsorted(kept, RETAIN)) + 1)
+    v = v[:, :rank]
+    outside = np.flatnonzero((full[:, :rank] ** 2).sum(axis=1) < FLOOR * np.array(list(map(square, own))))
+    if len(outside):
+        rest = np.zeros((len(weights), len(outside)))
+        for j, p in enumerate(outside):
+            np.add.at(rest[:, j], own[p], weights[own[p]])
+        v = np.linalg.qr(np.concatenate((v, rest), axis=1))[0]
     basis = np.ascontiguousarray(v * weights[:, None], np.float32)
     latent = np.stack([basis[p].sum(axis=0) for p in own])
-    norm = np.linalg.norm(latent, axis=1, keepdims=True)
-    owner = np.repeat(np.arange(len(items)), [len(passages(np.array(ws))) for _, ws in items])
-    out = Index(rows, idf, basis, items, latent / np.maximum(norm, 1e-12), owner)
-    del v, own, found
-    release()
-    return out
+    return Index(rows, idf, basis, items, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12), owner)
 
 
 class Searcher:
@@ -250,17 +311,6 @@ class Searcher:
         out[order] = z
         return out
 
-    def leaks(self, texts: list[str | None]) -> Iterator[list[tuple[int, float, float, bool]]]:
-        """Per text: (item id, best cosine, LCS share, answer found) of the items that it holds."""
-        docs, size = [], 0
-        for t in texts:
-            docs.append(terms(t))
-            size += len(docs[-1])
-            if size >= WORDS:
-                yield from self.batch(docs)
-                docs, size = [], 0
-        yield from self.batch(docs)
-
     def batch(self, docs: list[list[str]]) -> list[list[tuple[int, float, float, bool]]]:
         best: list[dict[int, tuple]] = [{} for _ in docs]
         tried: dict[tuple[int, int, int], tuple[float, float]] = {}
@@ -279,44 +329,71 @@ class Searcher:
         return [[(self.index.items[i][0], *x) for i, x in sorted(b.items())] for b in best]
 
 
+def leaks(searchers: list[Searcher], texts: list[str | None]) -> Iterator[list[tuple[int, float, float, bool]]]:
+    """Per text: (item id, best cosine, LCS share, answer found) of the items that it holds."""
+    docs, size = [], 0
+
+    def found() -> Iterator[list]:
+        for rows in zip(*[s.batch(docs) for s in searchers], strict=True):
+            yield sorted(x for r in rows for x in r)
+
+    for t in texts:
+        docs.append(terms(t))
+        size += len(docs[-1])
+        if size >= WORDS:
+            yield from found()
+            docs, size = [], 0
+    yield from found()
+
+
 KIND = "array<struct<item_id long, cosine double, lcs double, answer boolean>>"
 
 
-def leaked_items(index: Index, docs: DataFrame, text: str = "text") -> Column:
-    shipped = docs.sparkSession.sparkContext.broadcast(index)
+def leaked_items(indexes: list[Index], docs: DataFrame, text: str = "text") -> Column:
+    """KIND of a text column: GROUP blocks of the benchmark in one pass over the text, further ones in passes of their own."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.bool_())]))
 
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        searcher = Searcher(shipped.value)
-        for column in batches:
-            out = []
-            for lo in range(0, len(column), 1000):
-                texts = column.slice(lo, 1000).to_pylist()
-                out += searcher.leaks(texts) if shipped.value.items else [[] for _ in texts]
-            yield pa.array([[dict(zip(("item_id", "cosine", "lcs", "answer"), x, strict=True)) for x in row] for row in out], kind)
-        del searcher
-        release()
+    def searched(group: list[Index]) -> Column:
+        shipped = docs.sparkSession.sparkContext.broadcast(group)
+
+        def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            searchers = [Searcher(x) for x in shipped.value]
+            for column in batches:
+                out = []
+                for lo in range(0, len(column), 1000):
+                    out += leaks(searchers, column.slice(lo, 1000).to_pylist())
+                yield pa.array([[dict(zip(("item_id", "cosine", "lcs", "answer"), x, strict=True)) for x in row] for row in out], kind)
+            del searchers
+            release()
 
-    # not deterministic to the optimizer, so that a filter on the result doesn't evaluate it again
-    return F.arrow_udf(find, KIND).asNondeterministic()(F.col(text))
+        # not deterministic to the optimizer, so that a filter on the result doesn't evaluate it again
+        return F.arrow_udf(find, KIND).asNondeterministic()(F.col(text))
 
+    groups = [searched(indexes[i : i + GROUP]) for i in range(0, len(indexes), GROUP)]
+    return F.concat(*groups) if groups else F.array().cast(KIND.replace(" long", ": long").replace(" double", ": double").replace(" boolean", ": boolean"))
 
-def contamination(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
+
+def contamination(docs: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
     """docs with leaks, an array of the benchmark items found (a column of that name is replaced).
 
     Null and empty texts hold none; without benchmark items nobody does. Repeated rows get equal results.
     """
-    kept = [c for c in docs.columns if c != "leaks"]
-    return docs.select(*kept, leaked_items(index, docs, text).alias("leaks"))
+    kept = [c for c in docs.columns if c.lower() != "leaks"]
+    return docs.select(*kept, leaked_items(indexes, docs, text).alias("leaks"))
 
 
-def pairs(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pairs(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer: a row for each item that a document holds."""
-    d = contamination(docs.select(key, text), index, text).select(key, F.explode("leaks").alias("x"))
+    d = contamination(docs.select(key, text), indexes, text).select(key, F.explode("leaks").alias("x"))
     return d.select(key, "x.item_id", F.round("x.cosine", 6).alias("cosine"), F.round("x.lcs", 6).alias("lcs"), "x.answer")
 
 
-def clean(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
-    """docs without the documents that hold a benchmark item; columns unchanged."""
-    d = docs.withColumn("_leaks", leaked_items(index, docs, text))
-    return d.where(F.size("_leaks") == 0).drop("_leaks")
+def clean(docs: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
+    """docs without the documents that hold a benchmark item; columns of any name pass through unchanged.
+
+    Decided row by row, so null and repeated ids don't matter. Null and empty texts stay; without benchmark items all
+    rows do; an empty table gives no rows.
+    """
+    (found,) = fresh(docs, "leaks")
+    d = docs.withColumn(found, leaked_items(indexes, docs, text))
+    return d.where(F.size(found) == 0).drop(found)

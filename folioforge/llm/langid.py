@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, release
+from .common import byte_values, fresh, release, written
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-#: The training sample: about this many windows in all, shared evenly by the languages.
-SAMPLE = 4_000
+#: The training sample: about this many windows in all, shared evenly by the languages (8 each at least), and the windows of a
+#: document that is drawn.
+SAMPLE, EACH_DOC = 12_000, 6
 UNKNOWN = "und"
 
 
@@ -146,20 +147,26 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, batch: int = 6
     return net
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """Trains on windows of a bounded sample of the rows, drawn by the id's hash, evenly over the languages."""
-    docs = docs.select(key, text, lang).where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in docs.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(256).collect()}
-    if not counts:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, each_doc: int = EACH_DOC) -> Network | None:
+    """Trains on windows of a bounded sample of the rows, drawn by the hash of id and text, evenly over all languages.
+
+    Each language has sample / languages windows, 8 at least, each_doc of them from a document that is drawn, whatever
+    the corpus's size. Rows with a null language or an empty text take no part; rows that repeat an id are drawn by
+    their texts, equal rows alike.
+    """
+    docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & (F.length("t") > 0))
+    counts = written(docs.groupBy("l").agg(F.count("*").alias("n")), "langid-counts")
+    languages = counts.count()
+    if not languages:
         return None
-    each = max(8, sample // len(counts))
-    part = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(key)), 12).cast("double") / float(2**52)
-    rate = F.coalesce(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])[F.col(lang)], F.lit(0.0))
-    # several windows of a document where there are few of them
-    each_doc = int(np.clip(-(-sample // sum(counts.values())), 1, 16))
-    start = (F.pmod(F.xxhash64(F.lit("window"), F.col(key), F.col("i")), F.greatest(F.length(text) - WINDOW, F.lit(1)).cast("long")) + 1).cast("int")
-    drawn = docs.where(part < rate).select(key, text, lang, F.explode(F.sequence(F.lit(1), F.lit(each_doc))).alias("i")).select(F.col(key).alias("k"), F.substring(F.col(text), start, F.lit(WINDOW)).alias("t"), F.col(lang).alias("l"))
-    rows = sorted(drawn.limit(2 * sample + 16 * len(counts)).collect(), key=lambda r: (str(r.k), r.t, r.l))
+    each = max(8, sample // languages)
+    h = F.xxhash64(F.lit("langid"), F.col("k"), F.col("t"))
+    part = F.shiftrightunsigned(h, 12).cast("double") / float(2**52)
+    rate = F.least(F.lit(1.0), F.lit(each / each_doc) / F.col("n"))
+    start = (F.pmod(F.xxhash64(F.col("h"), F.col("i")), F.greatest(F.length("t") - WINDOW, F.lit(1)).cast("long")) + 1).cast("int")
+    drawn = docs.join(counts.withColumnRenamed("l", "c_l"), F.col("l") == F.col("c_l")).where(part < rate).select("t", "l", F.explode(F.sequence(F.lit(1), F.lit(each_doc))).alias("i"), h.alias("h"))
+    drawn = drawn.select(F.substring(F.col("t"), start, F.lit(WINDOW)).alias("t"), "l", F.xxhash64("h", "i").alias("o"))
+    rows = drawn.orderBy("o", "t", "l").limit(4 * max(sample, 8 * languages)).collect()
     net = train([r.t.encode() for r in rows], [r.l for r in rows])
     del rows
     release()
@@ -201,6 +208,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
 
     Repeated rows get equal results; an empty table gives no rows; texts of any length are read whole.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_lang")]
-    d = docs.select(*kept).withColumn("_lang", language(net, text))
-    return d.select(*kept, "_lang.lang_pred", "_lang.score")
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    (x,) = fresh(docs, "lang")
+    d = docs.select(*kept).withColumn(x, language(net, text))
+    return d.select(*kept, f"{x}.lang_pred", f"{x}.score")

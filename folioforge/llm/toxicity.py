@@ -4,11 +4,16 @@ Document labels become token labels: in toxic documents, words (or word stems) t
 ties to toxic documents are tagged 1. A two-state chain with word and stem features is trained on those
 tags in numpy. Forward-backward marginals of every word are summed up per document, and a logistic layer
 turns sum, maximum and rate into the document's score.
+
+A document is one chain, whatever its length: its words are cut into blocks, a block's 2 x 2 transfer matrix is
+composed over its words, messages run over the blocks in both directions, and inside a block the words' marginals
+follow from the two messages at its ends.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, written
+
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Words of one chain; longer documents are several chains, so every word is scored.
+#: Words of a block of a chain.
 CHAIN = 64
 STEMS = (4, 5)
-#: Labelled rows used for training: about this many toxic and this many others, drawn by hash.
-SAMPLE_TOXIC, SAMPLE_OTHER = 1_500, 3_000
+#: Training: labelled documents of either label, drawn by hash, whole; blocks of them that train the chain; features at most.
+SAMPLE_TOXIC, SAMPLE_OTHER, BLOCKS, FEATURES = 1_500, 3_000, 4_000, 200_000
+#: Log-odds from which a feature is part of the chain, and from which it tags a word of a toxic document; documents that need it.
+WEAK, STRONG, LEAST = 1.5, 3.0, 5
 THRESHOLD = 0.3
 CACHE = 400_000
 
@@ -83,7 +92,7 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tupl
     return p, pair, log_z
 
 
-def chains(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def blocks(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A document's word scores as rows of CHAIN, and which cells are words."""
     n = -(-len(scores) // CHAIN)
     out, mask = np.zeros(n * CHAIN), np.zeros(n * CHAIN, bool)
@@ -91,31 +100,99 @@ def chains(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, CHAIN), mask.reshape(n, CHAIN)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
 class Tagger:
-    """Marginals for many documents at once; chains without any feature share one precomputed answer per length."""
+    """Marginals of many documents at once. Blocks without any feature share a table by length: K[t] for each word t
+    with left message a and right message b gives P(tag = 1) as a K[t] b / a M b."""
 
     def __init__(self, chain: Chain) -> None:
         self.chain, self.scores = chain, Scores(chain)
-        mask = np.tri(CHAIN, dtype=bool)
-        self.plain = forward_backward(np.full((CHAIN, CHAIN), chain.bias), mask, chain.trans)[0]
+        self.step = np.exp(np.clip(chain.trans, -30, 30))
+        self.start = np.array([[1.0, 1.0], [0.0, 0.0]])  # a document begins in a state before the two, with no transition
+        self.plain = []
+        for first in (True, False):
+            inner, whole = np.zeros((CHAIN + 1, CHAIN, 2, 2)), np.zeros((CHAIN + 1, 2, 2))
+            for n in range(1, CHAIN + 1):
+                e, mask = np.full((1, CHAIN), chain.bias), np.arange(CHAIN)[None, :] < n
+                m = self.matrices(e, mask, np.array([first]))
+                whole[n], inner[n] = self.transfer(m)[0], self.words(m)[0]
+            self.plain.append((inner, whole))
+
+    def matrices(self, e: np.ndarray, mask: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """blocks x CHAIN x 2 x 2: transition into each word times its emission; the identity where there is no word."""
+        m = np.broadcast_to(self.step, (*e.shape, 2, 2)).copy()
+        m[first, 0] = self.start
+        m[..., 1] *= np.exp(np.clip(e, -30, 30))[..., None]
+        m /= m.sum(axis=(2, 3), keepdims=True)
+        m[~mask] = np.eye(2)
+        return m
+
+    def transfer(self, m: np.ndarray) -> np.ndarray:
+        out = m[:, 0]
+        for t in range(1, m.shape[1]):
+            out = out @ m[:, t]
+            out = out / out.sum(axis=(1, 2), keepdims=True)
+        return out
+
+    def words(self, m: np.ndarray) -> np.ndarray:
+        """blocks x CHAIN x 2 x 2: the product over the block with word t held to state 1, at the scale of the whole product."""
+        n = len(m)
+        left, right = np.empty_like(m), np.empty_like(m)
+        left[:, 0], right[:, -1] = m[:, 0], np.eye(2)
+        for t in range(1, CHAIN):
+            x = left[:, t - 1] @ m[:, t]
+            left[:, t] = x / x.sum(axis=(1, 2), keepdims=True)
+            x = m[:, CHAIN - t] @ right[:, CHAIN - t]
+            right[:, CHAIN - 1 - t] = x / x.sum(axis=(1, 2), keepdims=True)
+        held = left[..., :, 1, None] * right[..., None, 1, :]
+        both = left @ right
+        scale = self.transfer(m).sum(axis=(1, 2)) / np.maximum(both.sum(axis=(2, 3)).T, 1e-300)
+        return held * scale.T.reshape(n, CHAIN, 1, 1)
 
     def marginals(self, docs: list[list[str]]) -> list[np.ndarray]:
-        out, todo = [], []
-        for d, tokens in enumerate(docs):
-            s = np.fromiter(map(self.scores.__getitem__, tokens), float, len(tokens))
-            e, mask = chains(s)
-            p = self.plain[mask.sum(axis=1) - 1] if len(e) else np.zeros((0, CHAIN))
-            for r in np.flatnonzero((e != 0).any(axis=1)):
-                todo.append((d, r, e[r], mask[r]))
-            out.append(p)
-            if len(self.scores) > CACHE:
-                self.scores.clear()
-        for lo in range(0, len(todo), 4096):
-            part = todo[lo : lo + 4096]
-            p, _, _ = forward_backward(np.stack([x[2] for x in part]) + self.chain.bias, np.stack([x[3] for x in part]), self.chain.trans)
-            for (d, r, _, _), row in zip(part, p, strict=True):
-                out[d][r] = row
-        return [p.reshape(-1)[: len(t)] for p, t in zip(out, docs, strict=True)]
+        rows = [np.fromiter(map(self.scores.__getitem__, tokens), float, len(tokens)) for tokens in docs]
+        if len(self.scores) > CACHE:
+            self.scores.clear()
+        parts = [blocks(s) for s in rows]
+        counts = np.array([len(e) for e, _ in parts])
+        if not counts.sum():
+            return [np.zeros(0) for _ in docs]
+        e, mask = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        begin = np.cumsum(counts) - counts
+        place = np.arange(len(e)) - np.repeat(begin, counts)
+        first, length = place == 0, mask.sum(axis=1)
+        whole = np.where(first[:, None, None], self.plain[0][1][length], self.plain[1][1][length])
+        special = np.flatnonzero((e != 0).any(axis=1))
+        inner: dict[int, np.ndarray] = {}
+        for lo in range(0, len(special), 2048):
+            at = special[lo : lo + 2048]
+            m = self.matrices(e[at] + self.chain.bias, mask[at], first[at])
+            whole[at] = self.transfer(m)
+            inner |= dict(zip(at.tolist(), self.words(m), strict=True))
+        # messages over the blocks of all documents in step, the longest first
+        a, b = np.full((len(e), 2), 0.5), np.full((len(e), 2), 0.5)
+        order = np.argsort(-counts, kind="stable")
+        live = np.searchsorted(-counts[order], -np.arange(1, counts.max() + 1), side="right")
+        a[begin[counts > 0]] = (1.0, 0.0)
+        for k in range(1, counts.max()):
+            at = begin[order[: live[k]]] + k
+            a[at] = unit(np.einsum("ni,nij->nj", a[at - 1], whole[at - 1]))
+        for k in range(counts.max() - 2, -1, -1):
+            at = begin[order[: live[k + 1]]] + k
+            b[at] = unit(np.einsum("nij,nj->ni", whole[at + 1], b[at + 1]))
+        p = np.empty((len(e), CHAIN))
+        for is_first, (table, _) in zip((True, False), self.plain, strict=True):
+            for lo in range(0, len(e), 4096):
+                at = lo + np.flatnonzero(first[lo : lo + 4096] == is_first)
+                p[at] = np.einsum("ni,ntij,nj->nt", a[at], table[length[at]], b[at])
+        for at, table in inner.items():
+            p[at] = np.einsum("i,tij,j->t", a[at], table, b[at])
+        p /= np.einsum("ni,nij,nj->n", a, whole, b)[:, None]
+        p = np.clip(p, 0.0, 1.0)
+        return [p[lo : lo + n].reshape(-1)[: len(t)] for lo, n, t in zip(begin, counts, docs, strict=True)]
 
 
 def summary(p: np.ndarray) -> list[float]:
@@ -124,26 +201,8 @@ def summary(p: np.ndarray) -> list[float]:
     return [1.0, math.log1p(total), float(p.max(initial=0.0)), math.log1p(1000 * total / max(len(p), 1)) / 4]
 
 
-def train(texts: list[str], labels: list[int], weights: list[float], epochs: int = 60, seed: int = 5) -> Chain | None:
-    """None unless both labels occur. weights undo the sampling, so that scores keep the labels' own rate."""
-    if len(set(labels)) < 2:
-        return Chain({}, np.zeros(0), prior=float(np.mean(labels)) if labels else 0.0)
-    docs = [TOKEN.findall(t) for t in texts]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for tokens, y in zip(docs, labels, strict=True):
-        seen[y].update({f for t in set(tokens) for f in features(t)})
-    n1, n0 = sum(labels), len(labels) - sum(labels)
-    odds = {f: math.log((c + 0.5) / (n1 + 1)) - math.log((seen[0][f] + 0.5) / (n0 + 1)) for f, c in seen[1].items() if c >= 5}
-    strong = {f for f, x in odds.items() if x >= 3}
-    index = {f: i for i, f in enumerate(sorted(f for f, x in odds.items() if x >= 1.5))}
-    rng = np.random.default_rng(seed)
-    rows = []
-    for tokens, y in zip(docs, labels, strict=True):
-        tags = np.array([y and any(f in strong for f in features(t)) for t in tokens], float)
-        for lo in range(0, len(tokens), CHAIN):
-            if tags[lo : lo + CHAIN].any() or rng.random() < (0.05 if y else 0.15):
-                rows.append((tokens[lo : lo + CHAIN], tags[lo : lo + CHAIN]))
-    rows = [rows[i] for i in rng.permutation(len(rows))[:4000]]
+def train(rows: list[tuple[list[str], list[int]]], index: dict[str, int], epochs: int = 60) -> Chain:
+    """A chain over blocks of words with their tags, by Adam on the likelihood. index: the features' numbers."""
     n, f_max = len(rows), 1 + len(STEMS)
     ids, mask, gold = np.full((n, CHAIN, f_max), len(index)), np.zeros((n, CHAIN), bool), np.zeros((n, CHAIN))
     for r, (tokens, tags) in enumerate(rows):
@@ -166,32 +225,77 @@ def train(texts: list[str], labels: list[int], weights: list[float], epochs: int
         m += 0.1 * (grad - m)
         v += 0.001 * (grad * grad - v)
         params -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    chain = Chain(index, params[: size - 1].copy(), float(params[size]), params[size + 1 :].reshape(2, 2).copy())
-    x = np.array([summary(p) for p in Tagger(chain).marginals(docs)])
-    y, w = np.array(labels, float), np.array(weights, float)
+    return Chain(index, params[: size - 1].copy(), float(params[size]), params[size + 1 :].reshape(2, 2).copy())
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Newton steps with a small ridge."""
     layer = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton steps with a small ridge
+    for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ layer, -30, 30)))
         h = (x * (w * q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
         layer -= np.linalg.solve(h, x.T @ (w * (q - y)) + 0.5 * layer)
-    chain.layer = layer
-    return chain
+    return layer
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> Chain:
-    """Learns from a bounded sample of the labelled rows. A document labelled twice counts with its larger label.
+    """Learns from a bounded sample of the labelled rows, drawn by the hash of the id; their texts stay in the tasks.
 
-    Rows whose label is neither 0 nor 1 are left out. The sampled ids, toxic + other in number at most
-    twice over, are broadcast to find their texts.
+    A document labelled twice counts with its larger label; rows with a null id, or a label that is neither 0 nor
+    1, are left out; documents that repeat an id all count; null texts are empty. The tasks count the features of
+    the sampled documents, cut blocks of words from them and sum up their marginals; the driver gets at most FEATURES
+    feature counts, BLOCKS blocks and four numbers a document. The sampled ids, at most twice toxic + other, are broadcast.
+    Unless both labels occur, the chain only knows the share of toxic documents.
     """
     y = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("l_key")).agg(F.max(label).cast("int").alias("y"))
     n = {r.y: r["count"] for r in y.groupBy("y").count().collect()}
     rate = {0: min(1.0, other / max(1, n.get(0, 0))), 1: min(1.0, toxic / max(1, n.get(1, 0)))}
     part = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), F.col("l_key")), 12).cast("double") / float(2**52)
     drawn = y.where(part < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])).limit(2 * (toxic + other))
-    rows = docs.join(F.broadcast(drawn), F.col(key) == F.col("l_key")).select("l_key", F.coalesce(text, F.lit("")).alias("t"), "y").limit(4 * (toxic + other)).collect()
-    rows.sort(key=lambda r: (r.l_key, r.t))
-    return train([r.t for r in rows], [r.y for r in rows], [1 / rate[r.y] for r in rows])
+    d = docs.select(F.col(key).alias("d_key"), F.coalesce(text, F.lit("")).alias("t"))
+    sample = written(d.join(F.broadcast(drawn), F.col("d_key") == F.col("l_key")).select("t", "y"), "toxicity-sample")
+    seen = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(seen) < 2:
+        return Chain({}, np.zeros(0), prior=float(seen.get(1, 0) > 0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c: Counter = Counter()
+            for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c.update({(f, label) for w in set(TOKEN.findall(t)) for f in features(w)})
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in c], pa.string()), pa.array([x for _, x in c], pa.int32()), pa.array(list(c.values()), pa.int64())], ["f", "y", "n"])
+
+    counted = sample.mapInArrow(count, "f string, y int, n long").groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"))
+    odds = F.ln((F.col("n1") + 0.5) / (seen[1] + 1)) - F.ln((F.col("n0") + 0.5) / (seen[0] + 1))
+    chosen = counted.where(F.col("n1") >= LEAST).withColumn("odds", odds).where(F.col("odds") >= WEAK).orderBy(F.desc("odds"), F.desc("n1"), "f").limit(FEATURES).collect()
+    strong, index = {r.f for r in chosen if r.odds >= STRONG}, {f: i for i, f in enumerate(sorted(r.f for r in chosen))}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens, rng = TOKEN.findall(t), random.Random(t)
+                tags = [int(bool(label) and any(f in strong for f in features(w))) for w in tokens]
+                for lo in range(0, len(tokens), CHAIN):
+                    if any(tags[lo : lo + CHAIN]) or rng.random() < (0.05 if label else 0.15):
+                        rows.append((tokens[lo : lo + CHAIN], tags[lo : lo + CHAIN]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["tokens", "tags"])
+
+    pieces = sample.mapInArrow(cut, "tokens array<string>, tags array<int>").orderBy(F.xxhash64("tokens"), "tokens").limit(BLOCKS).collect()
+    chain = train([(r.tokens, r.tags) for r in pieces], index)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(chain)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                piece = batch.slice(lo, 256)
+                x = [summary(p) for p in tagger.marginals([TOKEN.findall(t) for t in piece.column(0).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+
+    rows = sorted(sample.mapInArrow(summed, "y int, x array<double>").collect(), key=lambda r: (r.y, r.x))
+    chain.layer = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows], float), np.array([1 / rate[r.y] for r in rows]))
+    return chain
 
 
 def toxicity(chain: Chain, text: str = "text") -> Column:
@@ -226,6 +330,7 @@ def tag(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = TH
     rows, every score is the share of toxic ones among them (0 for none). Long texts are read whole;
     repeated rows get equal scores; an empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "toxic_spans", "_tox")]
-    d = docs.select(*kept, toxicity(chain, text).alias("_tox"))
-    return d.select(*kept, F.col("_tox.score").alias("score"), (F.col("_tox.score") >= threshold).cast("int").alias("predicted"), F.col("_tox.spans").alias("toxic_spans"))
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", "toxic_spans")]
+    (x,) = fresh(docs, "tox")
+    d = docs.select(*kept, toxicity(chain, text).alias(x))
+    return d.select(*kept, F.col(f"{x}.score").alias("score"), (F.col(f"{x}.score") >= threshold).cast("int").alias("predicted"), F.col(f"{x}.spans").alias("toxic_spans"))

@@ -149,10 +149,30 @@ def test_recall_on_the_corpus(spark, data, corpus):
     index = decontaminate.fit(corpus, bench)
     got = {(r.doc_id, r.item_id) for r in decontaminate.pairs(corpus, index).collect()}
     words = {r.doc_id: f" {' '.join(decontaminate.terms(r.text))} " for r in corpus.collect()}
-    exact = {(d, i) for d, t in words.items() for i, ws in index.items if f" {' '.join(ws)} " in t}
+    exact = {(d, i) for d, t in words.items() for x in index for i, ws in x.items if f" {' '.join(ws)} " in t}
     assert exact <= got and len(got - exact) <= 0.05 * len(exact) + 1
 
 
+def test_more_passages_than_directions(spark, corpus, monkeypatch):
+    """Several blocks, and fewer directions than passages: exact leaks and paraphrases are found all the same."""
+    monkeypatch.setattr(decontaminate, "BLOCK", 60)
+    rng = random.Random(8)
+    pool = [f"{a}{b}" for a in "abcdefghij" for b in ("lo", "mi", "ne", "po", "ra", "su", "ti", "vu", "xe", "za", "bre", "cla", "dro")]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(15, 60)))) for i in range(90)]
+    rows = []
+    for i, t in items:
+        ws, around = t.split(), [rng.choice(pool) for _ in range(60)]
+        if i % 2:
+            ws = [rng.choice(pool) if rng.random() < 0.12 else w for w in ws if rng.random() > 0.05]
+        rows.append((i, " ".join([*around[:30], *ws, *around[30:]]), "en", "s", 0))
+    d = docs(spark, rows)
+    index = decontaminate.fit(d.unionByName(corpus.select(*d.columns)), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(index) > 1 and all(x.basis.shape[1] < len(x.latent) for x in index)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.pairs(d, index).collect()}
+    assert sum((i, i) in got for i in range(0, 90, 2)) >= 44 and sum((i, i) in got for i in range(1, 90, 2)) >= 41
+    assert len(got - {(i, i) for i in range(90)}) <= 2
+
+
 @pytest.mark.parametrize("grown", [1, 20_000])
 def test_short_items_and_paraphrases_whatever_the_corpus_size(spark, monkeypatch, grown):
     """Short items of frequent words inside long texts; a corpus of 10 million documents has the shares of a small one."""
@@ -190,7 +210,7 @@ def test_short_items_and_paraphrases_whatever_the_corpus_size(spark, monkeypatch
 def test_no_passage_that_reaches_the_energy_is_dropped(spark, corpus):
     """Against every passage projected by a plain sum; passages that repeat a word gain length."""
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "eta theta iota kappa alpha")], "item_id long, text string")
-    index = decontaminate.fit(corpus, bench)
+    (index,) = decontaminate.fit(corpus, bench)
     rng = random.Random(7)
     known, other = "alpha beta gamma delta eta theta iota kappa".split(), [f"w{i}" for i in range(500)]
     texts = [[rng.choice(known[: rng.randint(1, 8)]) if rng.random() < rng.random() / 4 else rng.choice(other) for _ in range(rng.randint(1, 90))] for _ in range(400)]
@@ -515,6 +535,23 @@ def test_toxicity_on_held_out_rows(spark, data):
         assert all(r.text[s.start : s.end].isalpha() for s in r.toxic_spans)
 
 
+def test_a_document_is_one_chain(spark):
+    rng = np.random.default_rng(2)
+    chain = toxicity.Chain({"=bad": 0, "=awful": 1}, np.array([3.0, 2.0]), -2.0, rng.normal(size=(2, 2)))
+    texts = [[rng.choice(["bad", "awful", "x", "x", "x", "x", "x", "x"]) if rng.random() < 0.2 else "x" for _ in range(n)] for n in (0, 1, 5, 64, 65, 128, 300, 1000)] + [["x"] * 200]
+    for words, p in zip(texts, toxicity.Tagger(chain).marginals(texts), strict=True):
+        assert len(p) == len(words)
+        if words:
+            e = np.array([[chain.score(w) for w in words]]) + chain.bias
+            plain = toxicity.forward_backward(e, np.ones_like(e, bool), chain.trans)[0][0]
+            assert np.abs(p - plain).max() < 1e-9
+    rows = [(i, f"{'awful thing' if i % 3 == 0 else 'nice thing'} w{i % 7}", "x", "x", "x") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, y string, l_key string, t string")
+    y = spark.createDataFrame([(i, int(i % 3 == 0), "x") for i in range(60)], "doc_id long, toxic int, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.tag(d, toxicity.fit(d, y)).collect()}
+    assert all(got[i] == int(i % 3 == 0) for i in range(60))
+
+
 def test_forward_backward_agrees_with_enumeration():
     rng = np.random.default_rng(2)
     e, trans = rng.normal(size=(1, toxicity.CHAIN)), rng.normal(size=(2, 2))
