@@ -7,7 +7,8 @@ link if enough of its shingles are shared, and linked sets share one of the firs
 For candidate pairs the overlap is counted separately in each fragment of the order and summed per pair.
 
 Large groups never expand into all their pairs: a first round compares each set with one leader per
-shingle, and a second one only sets that are still in different components.
+shingle, and a second one only sets that are still in different components. Links are then counted within
+components, block of sets against block of sets inside tasks, so that no pair is a row.
 
 Equal sets (exact copies) are one node. Sets and shingles are told apart by 64- and 48-bit hashes.
 """
@@ -21,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, release, words, written
+from .common import byte_values, forget, fresh, release, words, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -74,7 +75,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(key, n, sid) per row, written; and the frequent shingles with their counts, ascending."""
+    """(key, h, n, sid) per row, h the text's hash, written; and the frequent shingles with their counts, ascending."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pending, size = Hashes(), {}, 0
@@ -83,9 +84,9 @@ def sets_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray
             h, n = np.unique(np.concatenate(list(pending.values())) >> np.uint64(64 - BITS), return_counts=True)
             h, n = h[n >= HOT].astype(np.int64), n[n >= HOT]
             m = len(h) + 1  # and a row that says one block is done
-            return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(np.append(n, 1)), pa.array(np.append(h, -1)), pa.array([True] * m)], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.append(n, 1)), pa.array(np.append(h, -1)), pa.array([True] * m)], names)
 
-        names = ["key", "n", "sid", "frequent"]
+        names = ["key", "h", "n", "sid", "frequent"]
         for batch in batches:
             n, sid = np.zeros(batch.num_rows, np.int64), []
             for i, t in enumerate(byte_values(batch.column(1))):
@@ -98,13 +99,13 @@ def sets_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray
                     if size >= BLOCK:
                         yield frequent()
                         pending, size = {}, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(sid, pa.int64()), pa.array([False] * len(n))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n), pa.array(sid, pa.int64()), pa.array([False] * len(n))], names)
         if pending:
             yield frequent()
         pending, hashes = {}, Hashes()
         release()
 
-    out = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")).mapInArrow(scan, "key long, n long, sid long, frequent boolean"), "jaccard-sets")
+    out = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).mapInArrow(scan, "key long, h long, n long, sid long, frequent boolean"), "jaccard-sets")
     hot = out.where("frequent").groupBy("sid").agg(F.sum("n").alias("n"))
     blocks = max(1, hot.where("sid = -1").agg(F.sum("n")).first()[0] or 1)
     rows = sorted(tuple(r) for r in hot.where((F.col("sid") >= 0) & (F.col("n") >= HOT * max(1.0, blocks / 8))).collect())
@@ -256,18 +257,67 @@ def possible(x: str, y: str) -> Column:
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (room >= least_overlap(a, b))
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id, copies, n_links for every row of docs.
+#: Sets of a component that are compared at once, and shingles of them that a dense matrix holds.
+SETS, WIDE = 512, 8_192
 
-    Two rows link when 100 * intersection >= 75 * union of their five-word shingle sets (ASCII lower
-    case; fewer words: the whole sequence). component_id is the smallest key that a row reaches. copies:
-    rows with an equal set; n_links: links of the set with other sets that this join compared. Null,
-    empty and blank texts have no shingle and are components of their own. Rows with a null key get the
-    component's smallest key (null if there is none). Rows that repeat a key are separate documents.
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of key arrays: products of 0/1 matrices over stretches of their common keys."""
+    both, own = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(both, own)
+    rows = [(np.repeat(np.arange(len(x)), [len(k) for k in x]), np.concatenate(x)) for x in (a, b)]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for lo in range(0, len(common), WIDE):
+        part = common[lo : lo + WIDE]
+        dense = []
+        for (who, key), x in zip(rows, (a, b), strict=True):
+            m = np.zeros((len(x), len(part)), np.float32)
+            at = np.minimum(np.searchsorted(part, key), len(part) - 1)
+            hit = part[at] == key
+            m[who[hit], at[hit]] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """sid, n_links: for every set of a component (classes: sid, label, copies), the documents of other sets that it links with.
+
+    A component's sets are dealt into blocks of about SETS; every two blocks of a component meet in one group of rows.
+    Small components share groups.
     """
-    spark = docs.sparkSession
+    sizes = classes.groupBy("label").agg(F.count("*").alias("k")).where("k > 1").select(F.col("label").alias("s_label"), F.ceil(F.col("k") / SETS).cast("int").alias("nb"), "k")
+    d = linked.join(classes.select(F.col("sid").alias("c_sid"), "label", "copies"), F.col("sid") == F.col("c_sid")).join(sizes, F.col("label") == F.col("s_label"))
+    b = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
+    d = d.select("sid", "n", "keys", "label", "copies", "nb", b.alias("b"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    # small components: about SETS of them to a group
+    small = F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.lit(classes.sparkSession.sparkContext.defaultParallelism * 8))).cast("long")
+    d = d.withColumn("g", F.when(F.col("nb") == 1, small).otherwise(F.col("label"))).withColumn("lo", F.when(F.col("nb") == 1, -1).otherwise(F.least("b", "o"))).withColumn("hi", F.greatest("b", "o"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby("label", sort=False):
+            lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
+            x, y = (part, part) if lo < 0 or lo == hi else (part[part["b"] == lo], part[part["b"] == hi])
+            if not len(x) or not len(y):
+                continue
+            o = overlaps(list(x["keys"]), list(y["keys"]))
+            union = x["n"].to_numpy()[:, None] + y["n"].to_numpy()[None, :] - o
+            links = (100 * o >= PERCENT * union) & (x["sid"].to_numpy()[:, None] != y["sid"].to_numpy()[None, :])
+            out.append((x["sid"].to_numpy(), links @ y["copies"].to_numpy()))
+            if x is not y:
+                out.append((y["sid"].to_numpy(), links.T @ x["copies"].to_numpy()))
+        who, n = zip(*out, strict=True) if out else ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+        return pd.DataFrame({"sid": np.concatenate(who), "n_links": np.concatenate(n)})
+
+    return d.groupBy("g", "lo", "hi").applyInPandas(count, "sid long, n_links long").groupBy("sid").agg(F.sum("n_links").alias("n_links"))
+
+
+def _classes(docs: DataFrame, key: str, text: str, links: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, h, n, sid), and per set: sid, component (its smallest key), copies, n_links, keeper (the set that holds the
+    component's first row) and best (its own first row: null keys last, then by the text's hash)."""
     sets, hot, hot_n = sets_of(docs, key, text)
-    reps = written(sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("key").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
+    reps = written(sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("key").alias("rep"), F.count("*").alias("copies"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("best")), "jaccard-reps")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(FRAGMENTS, math.ceil(total / FRAGMENT))
     shared = shared_rows(fragment_rows(docs, text, hot, fragments), hot, hot_n, fragments)
@@ -296,14 +346,32 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rest = written(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-rest")
     edges = written(edges.unionByName(verified(rest, linked)), "jaccard-all-links")
 
-    # components over the smallest keys of the sets
-    named = edges.join(reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b")
-    named = named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a is not null and b is not null")
-    labels = components(named)
-    degree = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("n_links"))
-    result = reps.join(labels, F.col("rep") == F.col("v"), "left").join(degree, "sid", "left")
-    result = written(result.select("sid", F.coalesce("label", "rep").alias("component"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-classes")
-    out = sets.join(result, "sid", "left")
+    labels = components(edges)
+    classes = reps.join(labels, F.col("sid") == F.col("v"), "left").select("sid", "rep", "copies", "best", F.coalesce("label", "sid").alias("label"))
+    classes = written(classes, "jaccard-components")
+    heads = classes.groupBy(F.col("label").alias("h_label")).agg(F.min("rep").alias("component"), F.min_by("sid", F.struct("best", "sid")).alias("keeper"))
+    result = classes.join(heads, F.col("label") == F.col("h_label"))
+    n_links = F.col("copies") - 1
+    if links:
+        result = result.join(link_counts(linked, classes.select("sid", "label", "copies")).withColumnRenamed("sid", "l_sid"), F.col("sid") == F.col("l_sid"), "left")
+        n_links += F.coalesce("n_links", F.lit(0))
+    result = written(result.select("sid", "component", "copies", n_links.alias("n_links"), "keeper", "best"), "jaccard-classes")
+    forget(star, rest, prefix, edges, linked, classes)
+    return sets, result.withColumnRenamed("sid", "r_sid")
+
+
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id, copies, n_links for every row of docs.
+
+    Two rows link when 100 * intersection >= 75 * union of their five-word shingle sets (ASCII lower
+    case; fewer words: the whole sequence). component_id is the smallest key that a row reaches. copies:
+    rows with an equal set; n_links: the other rows that the row links with. Null, empty and blank texts have
+    no shingle, link with nothing and are components of their own. Rows with a null key get the component's
+    smallest key (null if there is none). Rows that repeat a key are separate documents. Other columns are ignored;
+    an empty table gives no rows.
+    """
+    sets, result = _classes(docs, key, text, links=True)
+    out = sets.join(result, F.col("sid") == F.col("r_sid"), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -313,9 +381,24 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the smallest key. Empty texts all stay."""
-    found = written(link(docs, key, text), "jaccard-decisions")
-    gone = written(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "jaccard-gone")
-    out = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    repeated = found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([key, text]) if repeated else out
+    """docs with one row of each component: that with the smallest key (null keys last, then by the text's hash).
+
+    Decided row by row: rows that share a key but not the text are separate documents, and so are rows with a null key.
+    Of rows with equal key and text one stays (the first by the hash of its columns). Null, empty and blank texts
+    all stay. Columns of any name pass through unchanged; an empty table gives no rows.
+    """
+    sets, result = _classes(docs, key, text, links=False)
+    first = (F.col("sid") == F.col("keeper")) & F.col("key").eqNullSafe(F.col("best.key")) & (F.col("h") == F.col("best.h"))
+    rows = sets.where("sid is not null").join(result, F.col("sid") == F.col("r_sid")).groupBy("key", "h").agg(F.bool_or(first).alias("stays"), F.count("*").alias("n"))
+    rows = written(rows.where("not stays or n > 1"), "jaccard-decisions")
+    (h,) = fresh(docs, "h")
+    d = docs.withColumn(h, F.xxhash64(text))
+    names = fresh(d, "d_key", "d_h")
+    same = F.col(key).cast("long").eqNullSafe(F.col(names[0])) & (F.col(h) == F.col(names[1]))
+    at = lambda x: x.select(F.col("key").alias(names[0]), F.col("h").alias(names[1]))
+    alone = d.join(at(rows), same, "left_anti")
+    repeated = d.join(at(rows.where("stays")), same, "left_semi")
+    (n,) = fresh(d, "n")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    repeated = repeated.withColumn(n, F.row_number().over(Window.partitionBy(key, h).orderBy(F.xxhash64(*plain)))).where(F.col(n) == 1).drop(n)
+    return alone.unionByName(repeated).drop(h)

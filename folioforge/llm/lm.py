@@ -1,10 +1,13 @@
-"""Language-model scoring: a log-bilinear model over frequent words, trained with noise-contrastive estimation.
+"""Language-model scoring: a log-bilinear model trained with noise-contrastive estimation.
 
-Counts cover every training token. The most frequent words are classes of their own, all others one class;
-the model gives p(class | two classes before) from batched matrix products with an explicit softmax, and a
-word of the rest class has the probability of its class times its smoothed share of the class. Training
-reads every training token: each task runs noise-contrastive steps on its class triples, and the tasks'
-parameters are averaged by their tokens.
+Counts cover every training token. The model's symbols are the end of a text, the SINGLE most frequent words, and
+REST symbols that share all other words by their hash; a word of a rest symbol has the symbol's probability times its
+smoothed share of the symbol. Symbols are dealt into GROUPS of about equal frequency, most frequent first, and
+p(symbol | two symbols before) = p(group | context) * p(symbol | group, context): both factors are an explicit
+softmax over batched matrix products, so that token probabilities are normalised.
+
+Training reads every training token once, in ROUNDS: in a round each task runs noise-contrastive steps for both
+factors on its part of the documents, from a common start, and the tasks' parameters are averaged by their tokens.
 
 Frequent words (HEAD, a fixed bound) are scored where the text is; all others go through a join with the
 full counts, so the vocabulary is never held in one place.
@@ -12,26 +15,37 @@ full counts, so the vocabulary is never held in one place.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, release, words, written
+from .common import byte_values, release, written
+from .common import words as split_words
 
-#: Word classes (0: all other words, 1: end of text), vector length, noise words of a training batch.
-CLASSES, SIZE, NOISE = 256, 16, 64
-#: Words scored without a join, and the longest such word in bytes.
+#: Single-word symbols, symbols of all other words, groups of symbols, vector length, noise groups of a batch, noise symbols of a group's tokens.
+SINGLE, REST, GROUPS, SIZE, NOISE, NEAR_NOISE = 8_192, 256, 64, 16, 16, 8
+#: Words scored without a join, and the bytes from which a word goes by its MD5 sum.
 HEAD, HEAD_BYTES = 65_536, 64
 END = b""
 FLUSH = 300_000
-#: Tokens that a task counts into triples at once; their passes (PASSES or more, to make STEPS steps of BATCH triples).
-STEP_TOKENS, BATCH, PASSES, STEPS = 4_000_000, 1024, 3, 300
+#: Tokens of a step and of the window that steps are drawn from, passes over a window, rounds of averaging, parameters in a block of
+#: the average.
+BATCH, WINDOW, PASSES, ROUNDS, BLOCK = 2_048, 65_536, 1, 3, 4_096
+
+
+def words(text: bytes | None) -> list[bytes]:
+    """Words; one of more than HEAD_BYTES bytes goes by its MD5 sum, so that no key is long."""
+    ws = split_words(text)
+    return ws if max(map(len, ws), default=0) <= HEAD_BYTES else [w if len(w) <= HEAD_BYTES else b"\0" + hashlib.md5(w).digest() for w in ws]
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,31 +72,59 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Counts:
-    """Totals, and the head: words by falling count, with the end first."""
+    """Totals, the head (words by falling count, the end first), and tokens and distinct words by hash, over all words."""
 
     tokens: int
     distinct: int
     head: dict[bytes, int]
     head_counts: np.ndarray
+    hashed: np.ndarray  # REST x (tokens, words); the end is not among them
+
+    def symbols(self) -> Symbols:
+        single = min(SINGLE, len(self.head))
+        own = self.head_counts[:single].astype(float)
+        rest = self.hashed.astype(float).copy()
+        for w, i in self.head.items():
+            if 0 < i < single:
+                rest[part_of(w)] -= (own[i], 1)
+        counts = np.concatenate((own, rest[:, 0]))
+        order = np.argsort(-counts, kind="stable")
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        smooth = counts[order] + 1
+        group = np.minimum((np.cumsum(smooth) - smooth) / smooth.sum() * GROUPS, GROUPS - 1).astype(np.int64)
+        group = np.unique(group, return_inverse=True)[1]
+        parts = np.array([part_of(w) for w in self.head], np.int64)  # in order of the head's numbers
+        of_head = np.where(np.arange(len(self.head)) < single, at[np.minimum(np.arange(len(self.head)), single - 1)], at[single + parts])
+        share = np.zeros(len(order))  # log10 of what the share of a rest symbol is divided by
+        share[at[single:]] = -np.log10(rest[:, 0] + rest[:, 1] + 1)
+        is_rest = np.zeros(len(order), bool)
+        is_rest[at[single:]] = True
+        return Symbols(smooth, group, int(at[0]), of_head, at[single:], share, is_rest)
+
+
+def part_of(word: bytes) -> int:
+    return zlib.crc32(word) % REST
 
-    @property
-    def classes(self) -> int:
-        return min(CLASSES, len(self.head) + 1)
 
-    def class_of(self, head_id: np.ndarray) -> np.ndarray:
-        """Classes of head positions; -1 (not in the head) and the later positions are class 0."""
-        return np.where((head_id >= 0) & (head_id < self.classes - 1), head_id + 1, 0)
+@dataclass
+class Symbols:
+    """Symbols by falling count, so that a group is a range of them."""
 
-    def class_counts(self) -> np.ndarray:
-        own = self.head_counts[: self.classes - 1].astype(float)
-        return np.concatenate(([max(0.0, self.tokens - own.sum())], own))
+    counts: np.ndarray  # one more than the tokens of each
+    group: np.ndarray
+    end: int
+    of_head: np.ndarray
+    of_part: np.ndarray
+    share: np.ndarray
+    is_rest: np.ndarray
 
 
 def head_of(counts: DataFrame, head: int = HEAD) -> Counts:
     """The most frequent words, by whole classes of frequency (sixteenths of a power of two), at most head of them."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # the classes of frequency that fit the bound, most frequent first: no task sends more than its part of the head
-    short = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= HEAD_BYTES)).withColumn("class", F.floor(F.log2(F.col("n").cast("double")) * 16))
+    short = counts.where(F.octet_length("word") > 0).withColumn("class", F.floor(F.log2(F.col("n").cast("double")) * 16))
     least, size = None, 0
     for r in sorted(short.groupBy("class").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["class"]):
         size += r.k
@@ -92,31 +134,50 @@ def head_of(counts: DataFrame, head: int = HEAD) -> Counts:
     top = sorted(((r.word, r.n) for r in short.where(F.col("class") >= least).collect()), key=lambda r: (-r[1], r[0])) if least is not None else []
     end = counts.where(F.octet_length("word") == 0).collect()
     rows = [(END, end[0].n if end else 0)] + [(bytes(w), n) for w, n in top]
-    return Counts(total.n, total.v, {w: i for i, (w, _) in enumerate(rows)}, np.array([n for _, n in rows], np.int64))
+    hashed = np.zeros((REST, 2), np.int64)
+    for r in counts.where(F.octet_length("word") > 0).groupBy((F.crc32("word") % REST).alias("part")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        hashed[r.part] = r.n, r.v
+    return Counts(total.n, total.v, {w: i for i, (w, _) in enumerate(rows)}, np.array([n for _, n in rows], np.int64), hashed)
 
 
-def triples(classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two classes before each token; the end class stands before a text."""
-    one, two = np.roll(classes, 1), np.roll(classes, 2)
-    one[starts] = two[starts] = 1
+def triples(symbols: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two symbols before each token; the end stands before a text."""
+    one, two = np.roll(symbols, 1), np.roll(symbols, 2)
+    one[starts] = two[starts] = end
     second = starts + 1
-    second = second[(second < len(classes))]
-    two[second] = np.where(np.isin(second, starts), two[second], 1)
+    second = second[(second < len(symbols))]
+    two[second] = np.where(np.isin(second, starts), two[second], end)
     return one, two
 
 
-class LogBilinear:
-    """score(w | a, b) = q_w . (near * r_a + far * r_b) + bias_w, a the nearer word."""
+def log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(axis=1, keepdims=True)
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
 
-    NAMES = ("q", "r", "near", "far", "bias")
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def __init__(self, counts: np.ndarray, seed: int = 11) -> None:
-        rng, n = np.random.default_rng(seed), len(counts)
-        self.q, self.r = rng.normal(0, 0.01, (n, SIZE)), rng.normal(0, 0.3, (n, SIZE))
-        self.near, self.far = np.ones(SIZE), np.full(SIZE, 0.5)
-        self.bias = np.log((counts + 1) / (counts.sum() + n))
-        self.noise = np.exp(self.bias / 2)
-        self.noise /= self.noise.sum()
+
+class LogBilinear:
+    """h = near * r_a + far * r_b of the symbols before, a the nearer one. A group scores top_g . h + top_bias_g, a symbol of
+    a group q_w . h + bias_w."""
+
+    NAMES = ("r", "near", "far", "q", "bias", "top", "top_bias")
+
+    def __init__(self, symbols: Symbols, seed: int = 11) -> None:
+        rng, n = np.random.default_rng(seed), len(symbols.counts)
+        self.group = symbols.group
+        mass = np.bincount(self.group, symbols.counts)
+        self.first = np.searchsorted(self.group, np.arange(len(mass) + 1))
+        real = np.float32
+        self.r, self.q = rng.normal(0, 0.3, (n, SIZE)).astype(real), rng.normal(0, 0.01, (n, SIZE)).astype(real)
+        self.near, self.far, self.top = np.ones(SIZE, real), np.full(SIZE, 0.5, real), rng.normal(0, 0.01, (len(mass), SIZE)).astype(real)
+        self.bias, self.top_bias = np.log(symbols.counts / mass[self.group]).astype(real), np.log(mass / mass.sum()).astype(real)
+        # noise: groups by the root of their frequency, symbols of a group by frequency
+        self.noise_top = np.sqrt(mass) / np.sqrt(mass).sum()
+        self.log_noise = np.log(symbols.counts / mass[self.group]).astype(real)
+        self.running = np.concatenate(([0.0], np.cumsum(symbols.counts)))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
@@ -125,143 +186,185 @@ class LogBilinear:
         at = 0
         for x in self.NAMES:
             old = getattr(self, x)
-            setattr(self, x, flat[at : at + old.size].reshape(old.shape).copy())
+            setattr(self, x, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
     def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.near * self.r[one] + self.far * self.r[two]
 
-    def log_probabilities(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Normalised over all classes, a row for each context."""
-        s = self.context(one, two) @ self.q.T + self.bias
-        top = s.max(axis=1, keepdims=True)
-        return s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))
-
-    def nce(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, n: np.ndarray, rng: np.random.Generator, memory: dict[str, np.ndarray], rate: float = 0.1) -> None:
-        """An AdaGrad step on weighted triples against NOISE shared noise words, drawn from the flattened unigram."""
+    def log_probabilities(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """ln p(w | one, two), both factors normalised: all groups at once, then each group's tokens together."""
+        h, g = self.context(one, two), self.group[w]
+        out = log_softmax(h @ self.top.T + self.top_bias)[np.arange(len(w)), g]
+        order = np.argsort(g, kind="stable")
+        edges = np.searchsorted(g[order], np.arange(len(self.top) + 1))
+        for k in np.flatnonzero((edges[1:] > edges[:-1]) & (self.first[1:] - self.first[:-1] > 1)):
+            lo, hi = self.first[k], self.first[k + 1]
+            at = order[edges[k] : edges[k + 1]]
+            out[at] += log_softmax(h[at] @ self.q[lo:hi].T + self.bias[lo:hi])[np.arange(len(at)), w[at] - lo]
+        return out
+
+    def nce(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, rng: np.random.Generator, memory: dict[str, np.ndarray], rate: float = 0.2) -> None:
+        """An AdaGrad step on tokens. Group: NOISE shared noise groups; symbol: NEAR_NOISE noise symbols for the tokens of a group."""
+        order = np.argsort(self.group[w], kind="stable")
+        one, two, w = one[order], two[order], w[order]
+        n, g = len(w), self.group[w]
         h = self.context(one, two)
-        drawn = rng.choice(len(self.noise), NOISE, p=self.noise)
-        log_kp = np.log(NOISE * self.noise)
-        weight = n[:, None]
-        d_pos = (1 / (1 + np.exp(-np.clip((h * self.q[w]).sum(axis=1) + self.bias[w] - log_kp[w], -30, 30))) - 1)[:, None] * weight
-        d_neg = 1 / (1 + np.exp(-np.clip(h @ self.q[drawn].T + self.bias[drawn] - log_kp[drawn], -30, 30))) * weight
-        d_h = d_pos * self.q[w] + d_neg @ self.q[drawn]
-        size = len(self.noise)
-
-        def scatter(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(at, rows[:, j], size) for j in range(rows.shape[1])], axis=1)
-
-        g = {
-            "q": scatter(w, d_pos * h), "r": scatter(one, d_h * self.near) + scatter(two, d_h * self.far),
-            "near": (d_h * self.r[one]).sum(axis=0), "far": (d_h * self.r[two]).sum(axis=0), "bias": np.bincount(w, d_pos[:, 0], size),
-        }
-        np.add.at(g["q"], drawn, d_neg.T @ h)
-        np.add.at(g["bias"], drawn, d_neg.sum(axis=0))
-        for x in self.NAMES:
-            memory[x] += g[x] ** 2
-            getattr(self, x)[...] -= rate * g[x] / np.sqrt(memory[x] + 1e-10)
-
-
-def train(docs: DataFrame, counts: Counts, text: str = "text", seed: int = 11) -> LogBilinear:
-    """One pass of every task over its tokens from a common start, then the average by tokens."""
-    model = LogBilinear(counts.class_counts(), seed)
-    known = {w: i + 1 for w, i in counts.head.items() if i < counts.classes - 1}
-    start = model.flat()
-    classes = counts.classes
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LogBilinear(counts.class_counts(), seed)
-        own.load(start)
-        rng, memory = np.random.default_rng(seed), {x: np.zeros_like(getattr(own, x)) for x in own.NAMES}
-        tokens, total, pieces = 0, 0, []
-
-        def step() -> None:
-            code = np.concatenate(pieces)
-            key, n = np.unique(code, return_counts=True)
-            weight = n * (len(key) / BATCH / n.sum())
-            for _ in range(max(PASSES, -(-STEPS * BATCH // len(key)))):
-                order = rng.permutation(len(key))
-                for lo in range(0, len(key), BATCH):
-                    at = order[lo : lo + BATCH]
-                    k = key[at]
-                    own.nce(k // classes % classes, k // classes**2, k % classes, weight[at], rng, memory)
-
-        for batch in batches:
-            ids, starts, at = [], [], 0
-            for t in byte_values(batch.column(0)):
-                ws = words(t)
-                starts.append(at)
-                ids += [known.get(w, 0) for w in ws]
-                ids.append(1)
-                at += len(ws) + 1
-            if not starts:
-                continue
-            c = np.array(ids, np.int64)
-            one, two = triples(c, np.array(starts))
-            pieces.append((two * classes + one) * classes + c)
-            tokens, total = tokens + len(c), total + len(c)
-            if tokens >= STEP_TOKENS:
-                step()
-                tokens, pieces = 0, []
-        if pieces:
-            step()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([own.flat().tolist()], pa.list_(pa.float64()))], ["tokens", "params"])
-
-    rows = docs.select(text).mapInArrow(learn, "tokens long, params array<double>").select("tokens", F.posexplode("params").alias("i", "x"))
-    # rounded, so that the order of the sums doesn't show
-    mean = rows.groupBy("i").agg((F.sum(F.col("x") * F.col("tokens")) / F.sum("tokens")).alias("x")).collect()
-    if mean:
-        model.load(np.array([r.x for r in sorted(mean, key=lambda r: r.i)]).round(9))
+        drawn = rng.choice(len(self.noise_top), NOISE, p=self.noise_top)
+        log_kp = np.log(NOISE * self.noise_top).astype(np.float32)
+        top_pos = sigmoid((h * self.top[g]).sum(axis=1) + self.top_bias[g] - log_kp[g]) - 1
+        top_neg = sigmoid(h @ self.top[drawn].T + (self.top_bias[drawn] - log_kp[drawn]))
+        d_h = top_pos[:, None] * self.top[g] + top_neg @ self.top[drawn]
+
+        wide = self.first[g + 1] - self.first[g] > 1  # a group of one symbol needs no choice
+        odds = np.float32(np.log(NEAR_NOISE))
+        own = np.where(wide, sigmoid((h * self.q[w]).sum(axis=1) + self.bias[w] - self.log_noise[w] - odds) - 1, np.float32(0))
+        d_h += own[:, None] * self.q[w]
+        there = np.unique(g[wide])
+        low, high = self.running[self.first[there]], self.running[self.first[there + 1]]
+        noise = np.searchsorted(self.running, low[:, None] + rng.random((len(there), NEAR_NOISE)) * (high - low)[:, None], side="right") - 1
+        noise = np.minimum(noise, self.first[there + 1][:, None] - 1)
+        lo, hi = np.searchsorted(g, there), np.searchsorted(g, there, side="right")
+        q_noise, b_noise = self.q[noise], self.bias[noise] - self.log_noise[noise] - odds
+        d_noise, d_bias = np.empty((*noise.shape, SIZE), np.float32), np.empty(noise.shape, np.float32)
+        for k in range(len(there)):
+            part = h[lo[k] : hi[k]]
+            x = sigmoid(part @ q_noise[k].T + b_noise[k])
+            d_h[lo[k] : hi[k]] += x @ q_noise[k]
+            d_noise[k], d_bias[k] = x.T @ part, x.sum(axis=0)
+
+        def step(name: str, at: np.ndarray, rows: np.ndarray) -> None:
+            """Adds up the gradients of each row and moves the rows that have one."""
+            rows = rows.reshape(len(at), -1)
+            turn = np.argsort(at, kind="stable")
+            at = at[turn]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            who, d = at[first], np.add.reduceat(rows[turn], first, axis=0) / n
+            table, seen = getattr(self, name).reshape(-1, rows.shape[1]), memory[name].reshape(-1, rows.shape[1])
+            new = seen[who] + d * d
+            seen[who] = new
+            table[who] -= rate * d / np.sqrt(new + 1e-10)
+
+        symbols, groups, zero = np.concatenate((w[wide], noise.ravel())), np.concatenate((g, drawn)), np.zeros(1, np.int64)
+        moves = (
+            ("r", np.concatenate((one, two)), np.concatenate((d_h * self.near, d_h * self.far))),
+            ("near", zero, (d_h * self.r[one]).sum(axis=0)), ("far", zero, (d_h * self.r[two]).sum(axis=0)),
+            ("q", symbols, np.concatenate((own[wide, None] * h[wide], d_noise.reshape(-1, SIZE)))), ("bias", symbols, np.concatenate((own[wide], d_bias.ravel()))),
+            ("top", groups, np.concatenate((top_pos[:, None] * h, top_neg.T @ h))), ("top_bias", groups, np.concatenate((top_pos, top_neg.sum(axis=0)))),
+        )
+        for name, at, rows in moves:
+            if len(at):
+                step(name, at, rows)
+
+
+def symbol_lookup(counts: Counts, symbols: Symbols) -> dict[bytes, int]:
+    single = min(SINGLE, len(counts.head))
+    return {w: int(symbols.of_head[i]) for w, i in counts.head.items() if 0 < i < single}
+
+
+def train(docs: DataFrame, counts: Counts, text: str = "text", passes: int = PASSES, seed: int = 11) -> LogBilinear:
+    """ROUNDS of noise-contrastive passes, each over the documents that the text's hash deals to it; then the average by tokens."""
+    symbols = counts.symbols()
+    model = LogBilinear(symbols, seed)
+    known = symbol_lookup(counts, symbols)
+    spark = docs.sparkSession
+
+    def learn(start: np.ndarray):
+        shipped = spark.sparkContext.broadcast((start, symbols, known))
+
+        def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            start, symbols, known = shipped.value
+            own = LogBilinear(symbols, seed)
+            own.load(start)
+            rng, memory = np.random.default_rng(seed), {x: np.zeros_like(getattr(own, x)) for x in own.NAMES}
+            ids: list[int] = []
+            starts: list[int] = []
+            total = 0
+
+            def steps() -> None:
+                c = np.array(ids, np.int64)
+                one, two = triples(c, np.array(starts), symbols.end)
+                for _ in range(passes):
+                    order = rng.permutation(len(c))
+                    for lo in range(0, len(c), BATCH):
+                        at = order[lo : lo + BATCH]
+                        own.nce(one[at], two[at], c[at], rng, memory)
+
+            for batch in batches:
+                for t in byte_values(batch.column(0)):
+                    starts.append(len(ids))
+                    ids += [known[w] if w in known else int(symbols.of_part[part_of(w)]) for w in words(t)]
+                    ids.append(symbols.end)
+                    if len(ids) >= WINDOW:
+                        steps()
+                        total += len(ids)
+                        ids, starts = [], []
+            if ids:
+                steps()
+                total += len(ids)
+            if total:
+                flat, task = own.flat(), TaskContext.get().partitionId()
+                at = range(0, len(flat), BLOCK)
+                arrays = [pa.array([total] * len(at), pa.int64()), pa.array([i // BLOCK for i in at], pa.int32()), pa.array([task % 256] * len(at), pa.int32()), pa.array([flat[i : i + BLOCK].astype(np.float64).tobytes() for i in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["tokens", "block", "task", "params"])
+
+        return pass_over
+
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens = pdf["tokens"].to_numpy(float)
+        total = sum(np.frombuffer(p, np.float64) * n for p, n in zip(pdf["params"], tokens, strict=True))
+        return pd.DataFrame({"tokens": [int(tokens.sum())], "block": [pdf["block"].iloc[0]], "task": [pdf["task"].iloc[0]], "params": [(total / tokens.sum()).tobytes()]})
+
+    schema = "tokens long, block int, task int, params binary"
+    for n in range(ROUNDS):
+        part = docs.where(F.pmod(F.xxhash64(F.lit(seed), F.col(text)), F.lit(ROUNDS)) == n).select(text)
+        rows = part.mapInArrow(learn(model.flat()), schema)
+        # two levels, so that no group holds the parameters of all tasks
+        means = rows.groupBy("block", "task").applyInPandas(average, schema).groupBy("block").applyInPandas(average, schema).collect()
+        if means:  # rounded, so that the order of the sums doesn't show
+            model.load(np.concatenate([np.frombuffer(r.params, np.float64) for r in sorted(means, key=lambda r: r.block)]).round(6))
     return model
 
 
 class Scorer:
-    """Sums of a batch of texts. The class log-probabilities of a context are computed when it first occurs."""
+    """Sums of a batch of texts."""
 
     def __init__(self, counts: Counts, model: LogBilinear) -> None:
-        self.counts, self.model, n = counts, model, counts.classes
-        self.table, self.done = np.zeros((n * n, n), np.float32), np.zeros(n * n, bool)
+        self.counts, self.model, self.symbols = counts, model, counts.symbols()
         self.log_count = np.log10(counts.head_counts + 1.0)
-        # a word of the rest class: (c + 1) / (its tokens + its distinct words + 1)
-        rest = counts.class_counts()[0], max(0, counts.distinct - (n - 1))
-        self.log_rest = -np.log10(rest[0] + rest[1] + 1.0)
-
-    def class_scores(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
-        n = self.counts.classes
-        key = two * n + one
-        new = np.unique(key[~self.done[key]])
-        for lo in range(0, len(new), 4096):
-            k = new[lo : lo + 4096]
-            self.table[k] = self.model.log_probabilities(k % n, k // n) / np.log(10)
-            self.done[k] = True
-        return self.table[key, w].astype(float)
 
     def batch(self, texts: list[bytes | None]) -> tuple[list[np.ndarray], list[list[tuple[bytes, int]]]]:
         """Per text: tokens, head tokens that are known, sum of log10(c + 1), model sum; and the words outside the head."""
-        get, ids, starts, sizes, tails = self.counts.head.get, [], [], [], []
+        get, ids, starts, sizes, tails, far = self.counts.head.get, [], [], [], [], []
         for t in texts:
             ws = words(t)
             found = [get(w, -1) for w in ws]
-            tails.append(list(Counter([w for w, i in zip(ws, found, strict=True) if i < 0]).items()) if -1 in found else [])
+            outside = [w for w, i in zip(ws, found, strict=True) if i < 0] if -1 in found else []
+            tails.append(list(Counter(outside).items()))
+            far += map(part_of, outside)
             starts.append(len(ids))
             ids += found
             ids.append(0)
             sizes.append(len(ws) + 1)
-        h, starts, sizes = np.array(ids, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64)
-        c = self.counts.class_of(h)
-        one, two = triples(c, starts)
+        h, starts, sizes, s = np.array(ids, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64), self.symbols
+        c = s.of_head[np.maximum(h, 0)]
+        c[h < 0] = s.of_part[np.array(far, np.int64)]
+        one, two = triples(c, starts, s.end)
         log_count = np.where(h >= 0, self.log_count[np.maximum(h, 0)], 0.0)
-        model = self.class_scores(one, two, c) + np.where(c == 0, self.log_rest + log_count, 0.0)
+        model = np.where(s.is_rest[c], s.share[c] + log_count, 0.0)
+        for lo in range(0, len(c), 4_096):  # what is computed at once stays in the cache
+            part = slice(lo, lo + 4_096)
+            model[part] += self.model.log_probabilities(one[part], two[part], c[part]) / np.log(10)
         known = (h >= 0) & (self.counts.head_counts[np.maximum(h, 0)] > 0)
         return [sizes, np.add.reduceat(known, starts, dtype=np.int64), np.add.reduceat(log_count, starts), np.add.reduceat(model, starts)], tails
 
 
 def score(docs: DataFrame, counts: DataFrame, head: Counts, model: LogBilinear, text: str = "text") -> DataFrame:
     """docs' columns without the text, and n_tokens, n_known, train_tokens, base_score, score (columns of those
-    names are replaced). A null text is scored as an empty one, that is its end; rows that repeat stay apart."""
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_known", "_logs", "_model", "_tail", text)
-    kept = [c for c in docs.columns if c not in new]
+    names are replaced). A null text is scored as an empty one, that is its end; rows that repeat stay apart; an empty
+    table gives no rows."""
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", text.lower())
+    kept = [c for c in docs.columns if c.lower() not in new]
     shipped = docs.sparkSession.sparkContext.broadcast((head, model))
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
@@ -286,6 +389,7 @@ def score(docs: DataFrame, counts: DataFrame, head: Counts, model: LogBilinear,
         per_text, f"{schema}{', ' if kept else ''}_row long, n_tokens long, _known long, _logs double, _model double, _tail array<struct<word: binary, n: int>>"
     )
     d = written(d, "lm-scores")
+    # every frequent word is in the head, so that no word is a hot key here
     tail = d.select("_row", F.explode("_tail").alias("t")).select("_row", F.col("t.word").alias("word"), F.col("t.n").alias("k"))
     joined = tail.join(counts, "word", "left").groupBy("_row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("t_known"),
@@ -301,8 +405,9 @@ def score(docs: DataFrame, counts: DataFrame, head: Counts, model: LogBilinear,
     )
 
 
-def fit(docs: DataFrame, text: str = "text", head: int = HEAD) -> tuple[DataFrame, Counts, LogBilinear]:
-    """Counts of all words, their head, and the trained model. Without documents the model is uniform."""
+def fit(docs: DataFrame, text: str = "text", head: int = HEAD, passes: int = PASSES) -> tuple[DataFrame, Counts, LogBilinear]:
+    """Counts of all words, their head, and the trained model, from every row (rows that repeat count each time; null texts
+    are empty). Without documents the model is untrained."""
     counts = written(word_counts(docs, text), "lm-counts")
     top = head_of(counts, head)
-    return counts, top, train(docs, top, text)
+    return counts, top, train(docs, top, text, passes)

@@ -36,7 +36,7 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_vertical_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -601,9 +601,9 @@ def plain_base(rows):
     return [(d, held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t))) for d, t in rows]
 
 
-def scored(spark, rows, head=lm.HEAD):
+def scored(spark, rows, head=lm.HEAD, passes=lm.PASSES):
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", held_out("doc_id", 7)).withColumn("n_tokens", F.lit("clash"))
-    counts, top, model = lm.fit(d.where("not held_out"), head=head)
+    counts, top, model = lm.fit(d.where("not held_out"), head=head, passes=passes)
     return lm.score(d, counts, top, model), top, model
 
 
@@ -632,8 +632,10 @@ def test_model_is_normalised_and_learns(spark):
             out.append(w)
             w = nxt[w] if rng.random() < 0.8 else rng.choice("abcdefgh")
         rows.append((i, " ".join(out)))
-    d, top, model = scored(spark, rows)
-    assert np.allclose(np.exp(model.log_probabilities(np.arange(9), np.arange(9))).sum(axis=1), 1)
+    d, top, model = scored(spark, rows, passes=20)
+    n = len(model.group)
+    for one, two in ((0, 0), (3, 5), (8, 1)):
+        assert math.isclose(np.exp(model.log_probabilities(np.full(n, one), np.full(n, two), np.arange(n))).sum(), 1, rel_tol=1e-4)
     held = [r for r in d.collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
@@ -641,11 +643,19 @@ def test_model_is_normalised_and_learns(spark):
 def test_open_vocabulary_sums_to_one(spark):
     _, top, model = scored(spark, [(i, f"w{i % 400} w{i % 3} x") for i in range(1000)])
     scorer = lm.Scorer(top, model)
-    inside = [w for w in top.head if w]
-    p = sum(10 ** scorer.batch([w])[0][3][0] / 10 ** scorer.class_scores(*[np.array([x]) for x in (scorer.counts.class_of(np.array([top.head[w]]))[0], 1, 1)])[0] for w in inside)
-    end = 10 ** scorer.class_scores(np.array([1]), np.array([1]), np.array([1]))[0]
-    unseen = 10 ** (scorer.class_scores(np.array([1]), np.array([1]), np.array([0]))[0] + scorer.log_rest)
-    assert math.isclose(p + end + unseen, 1, rel_tol=1e-4)
+    end, n = scorer.symbols.end, len(model.group)
+    first = lambda symbols: np.exp(model.log_probabilities(np.full(len(symbols), end), np.full(len(symbols), end), symbols))
+    # a word's probability as the first of a text: the text's score without its end's
+    p = 0.0
+    for w in top.head:
+        if w:
+            c = scorer.symbols.of_head[top.head[w]]
+            p += 10 ** scorer.batch([w])[0][3][0] / float(np.exp(model.log_probabilities(np.array([c]), np.array([end]), np.array([end])))[0])
+    unseen = (first(scorer.symbols.of_part) * 10 ** scorer.symbols.share[scorer.symbols.of_part]).sum()
+    assert n == len(top.head) + lm.REST and math.isclose(p + first(np.array([end]))[0] + unseen, 1, rel_tol=1e-4)
+    # with a small single-word vocabulary most words share symbols, and the sum is still one
+    one = scorer.batch([b"w399 never-seen"])[0][3][0]
+    assert -12 < one < 0
 
 
 def test_language_model_without_training_rows(spark):
