@@ -32,14 +32,14 @@ from .common import byte_values, release, written
 from .common import words as split_words
 
 #: Single-word symbols, symbols of all other words, groups of symbols, vector length, noise groups of a batch, noise symbols of a group's tokens.
-SINGLE, REST, GROUPS, SIZE, NOISE, NEAR_NOISE = 8_192, 256, 64, 16, 16, 8
+SINGLE, REST, GROUPS, SIZE, NOISE, NEAR_NOISE = 4_096, 256, 64, 16, 16, 8
 #: Words scored without a join, and the bytes from which a word goes by its MD5 sum.
 HEAD, HEAD_BYTES = 65_536, 64
 END = b""
 FLUSH = 300_000
 #: Tokens of a step and of the window that steps are drawn from, passes over a window, rounds of averaging, parameters in a block of
 #: the average.
-BATCH, WINDOW, PASSES, ROUNDS, BLOCK = 2_048, 65_536, 1, 3, 4_096
+BATCH, WINDOW, PASSES, ROUNDS, BLOCK = 4_096, 65_536, 1, 3, 4_096
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -150,13 +150,18 @@ def triples(symbols: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarr
     return one, two
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def log_sums(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """ln of the sum of exp(h . row) over a table's rows."""
+    x = h @ table.T
+    if x.size and not np.abs(x).max() < 60:
+        top = x.max(axis=1, keepdims=True)
+        return (top + np.log(np.exp(x - top).sum(axis=1, keepdims=True)))[:, 0]
+    np.exp(x, out=x)
+    return np.log(x.sum(axis=1))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class LogBilinear:
@@ -190,18 +195,23 @@ class LogBilinear:
             at += old.size
 
     def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.near * self.r[one] + self.far * self.r[two]
+        return self.near * self.r.take(one, axis=0) + self.far * self.r.take(two, axis=0)
 
     def log_probabilities(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
         """ln p(w | one, two), both factors normalised: all groups at once, then each group's tokens together."""
-        h, g = self.context(one, two), self.group[w]
-        out = log_softmax(h @ self.top.T + self.top_bias)[np.arange(len(w)), g]
-        order = np.argsort(g, kind="stable")
-        edges = np.searchsorted(g[order], np.arange(len(self.top) + 1))
+        g = self.group[w]
+        order = np.argsort(g, kind="stable")  # tokens of a group follow each other
+        g, w = g[order], w[order]
+        h = np.ones((len(w), SIZE + 1), np.float32)  # the last column meets the biases
+        h[:, :SIZE] = self.context(one[order], two[order])
+        top, q = np.column_stack((self.top, self.top_bias)), np.column_stack((self.q, self.bias))
+        x = np.einsum("nd,nd->n", h, top.take(g, axis=0)) - log_sums(h, top)
+        edges = np.searchsorted(g, np.arange(len(top) + 1))
         for k in np.flatnonzero((edges[1:] > edges[:-1]) & (self.first[1:] - self.first[:-1] > 1)):
-            lo, hi = self.first[k], self.first[k + 1]
-            at = order[edges[k] : edges[k + 1]]
-            out[at] += log_softmax(h[at] @ self.q[lo:hi].T + self.bias[lo:hi])[np.arange(len(at)), w[at] - lo]
+            part = slice(edges[k], edges[k + 1])
+            x[part] += np.einsum("nd,nd->n", h[part], q.take(w[part], axis=0)) - log_sums(h[part], q[self.first[k] : self.first[k + 1]])
+        out = np.empty_like(x)
+        out[order] = x
         return out
 
     def nce(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, rng: np.random.Generator, memory: dict[str, np.ndarray], rate: float = 0.2) -> None:
@@ -212,14 +222,15 @@ class LogBilinear:
         h = self.context(one, two)
         drawn = rng.choice(len(self.noise_top), NOISE, p=self.noise_top)
         log_kp = np.log(NOISE * self.noise_top).astype(np.float32)
-        top_pos = sigmoid((h * self.top[g]).sum(axis=1) + self.top_bias[g] - log_kp[g]) - 1
+        own_top, own_q = self.top.take(g, axis=0), self.q.take(w, axis=0)
+        top_pos = sigmoid(np.einsum("nd,nd->n", h, own_top) + (self.top_bias - log_kp)[g]) - 1
         top_neg = sigmoid(h @ self.top[drawn].T + (self.top_bias[drawn] - log_kp[drawn]))
-        d_h = top_pos[:, None] * self.top[g] + top_neg @ self.top[drawn]
+        d_h = top_pos[:, None] * own_top + top_neg @ self.top[drawn]
 
         wide = self.first[g + 1] - self.first[g] > 1  # a group of one symbol needs no choice
         odds = np.float32(np.log(NEAR_NOISE))
-        own = np.where(wide, sigmoid((h * self.q[w]).sum(axis=1) + self.bias[w] - self.log_noise[w] - odds) - 1, np.float32(0))
-        d_h += own[:, None] * self.q[w]
+        own = np.where(wide, sigmoid(np.einsum("nd,nd->n", h, own_q) + (self.bias - self.log_noise)[w] - odds) - 1, np.float32(0))
+        d_h += own[:, None] * own_q
         there = np.unique(g[wide])
         low, high = self.running[self.first[there]], self.running[self.first[there + 1]]
         noise = np.searchsorted(self.running, low[:, None] + rng.random((len(there), NEAR_NOISE)) * (high - low)[:, None], side="right") - 1
@@ -239,7 +250,7 @@ class LogBilinear:
             turn = np.argsort(at, kind="stable")
             at = at[turn]
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            who, d = at[first], np.add.reduceat(rows[turn], first, axis=0) / n
+            who, d = at[first], np.add.reduceat(rows.take(turn, axis=0), first, axis=0) / np.float32(n)
             table, seen = getattr(self, name).reshape(-1, rows.shape[1]), memory[name].reshape(-1, rows.shape[1])
             new = seen[who] + d * d
             seen[who] = new
@@ -248,7 +259,7 @@ class LogBilinear:
         symbols, groups, zero = np.concatenate((w[wide], noise.ravel())), np.concatenate((g, drawn)), np.zeros(1, np.int64)
         moves = (
             ("r", np.concatenate((one, two)), np.concatenate((d_h * self.near, d_h * self.far))),
-            ("near", zero, (d_h * self.r[one]).sum(axis=0)), ("far", zero, (d_h * self.r[two]).sum(axis=0)),
+            ("near", zero, np.einsum("nd,nd->d", d_h, self.r.take(one, axis=0))), ("far", zero, np.einsum("nd,nd->d", d_h, self.r.take(two, axis=0))),
             ("q", symbols, np.concatenate((own[wide, None] * h[wide], d_noise.reshape(-1, SIZE)))), ("bias", symbols, np.concatenate((own[wide], d_bias.ravel()))),
             ("top", groups, np.concatenate((top_pos[:, None] * h, top_neg.T @ h))), ("top_bias", groups, np.concatenate((top_pos, top_neg.sum(axis=0)))),
         )
@@ -352,8 +363,8 @@ class Scorer:
         one, two = triples(c, starts, s.end)
         log_count = np.where(h >= 0, self.log_count[np.maximum(h, 0)], 0.0)
         model = np.where(s.is_rest[c], s.share[c] + log_count, 0.0)
-        for lo in range(0, len(c), 4_096):  # what is computed at once stays in the cache
-            part = slice(lo, lo + 4_096)
+        for lo in range(0, len(c), 16_384):
+            part = slice(lo, lo + 16_384)
             model[part] += self.model.log_probabilities(one[part], two[part], c[part]) / np.log(10)
         known = (h >= 0) & (self.counts.head_counts[np.maximum(h, 0)] > 0)
         return [sizes, np.add.reduceat(known, starts, dtype=np.int64), np.add.reduceat(log_count, starts), np.add.reduceat(model, starts)], tails
