@@ -22,6 +22,26 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, r"\s*\([0-9]+\)\s*$", "")), r"[\s·・]+", "")
 
 
+def security_code(code: Column, known: tuple[str, ...] = ()) -> Column:
+    """An exchange code in its four-character form: of five characters that end in 0 the 0 goes if a digit and three digits or
+    letters are left; known codes and all others stay, without blanks and in upper case."""
+    c = F.upper(F.trim(code))
+    short = F.substring(c, 1, 4)
+    cut = (F.length(c) == 5) & c.endswith("0") & short.rlike("^[0-9][0-9A-Z]{3}$")
+    return F.when(cut & ~c.isin(*known), short).otherwise(c) if known else F.when(cut, short).otherwise(c)
+
+
+#: Words and signs of currencies (fixed values).
+CURRENCIES = {"円": "JPY", "日本円": "JPY", "¥": "JPY", "米ドル": "USD", "ドル": "USD", "$": "USD", "US$": "USD", "ユーロ": "EUR", "€": "EUR", "ポンド": "GBP", "£": "GBP"}
+
+
+def currency(word: Column) -> Column:
+    """ISO code of a word, a sign or a code; null if it is none."""
+    w = F.upper(F.trim(word))
+    table = F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair])
+    return F.coalesce(table[w], F.when(w.rlike("^[A-Z]{3}$"), w))
+
+
 def amount(text: Column) -> Column:
     """A number in cents from 1,234.50 / (1,234.50) / -12; null if it is none."""
     t = F.trim(text)
