@@ -18,7 +18,11 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def name_key(name: Column) -> Column:
-    """Key of an ASCII-safe name: trailing (digits) off, lower case, no blanks or middle dots."""
+    """Key of a name: compatibility form, trailing (digits) off, lower case, no blanks or middle dots.
+
+    Only names with other than ASCII characters go through the UDF.
+    """
+    name = F.when(name.rlike("[^\\x00-\\x7F]"), nfkc(F.when(name.rlike("[^\\x00-\\x7F]"), name))).otherwise(name)
     return F.regexp_replace(F.lower(F.regexp_replace(name, r"\s*\([0-9]+\)\s*$", "")), r"[\s·・]+", "")
 
 
@@ -61,14 +65,26 @@ def any_date(text: Column) -> Column:
     return F.when(ymd != "", F.try_to_date(iso)).when(text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date(dotted)).when(text.rlike(r"^\d{8}$"), F.try_to_date(compact))
 
 
+#: Words that say whether a fund's currency risk is hedged (fixed values).
+HEDGED, UNHEDGED = ("為替ヘッジあり", "ヘッジあり", "hedged"), ("為替ヘッジなし", "ヘッジなし", "unhedged")
+
+
+def hedge(name: str) -> int:
+    low = name.lower()
+    return -1 if any(w in low for w in UNHEDGED) else int(any(w in low for w in HEDGED))
+
+
 @F.pandas_udf(T.DoubleType())
 def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Likeness of two names from 0 to 1: matching blocks, and at least 0.85 if one contains the other; null for a null."""
+    """Likeness of two names from 0 to 1, 4 digits: the ratio of matching blocks; where one contains the other at least the
+    ratio of their lengths; times 0.3 where one is hedged and the other is not. Null for a null."""
 
     def one(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
             return None
         score = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
-        return round(max(score, 0.85) if min(len(x), len(y)) >= 4 and (x in y or y in x) else score, 4)
+        if x and y and (x in y or y in x):
+            score = max(score, min(len(x), len(y)) / max(len(x), len(y)))
+        return round(score * (0.3 if hedge(x) * hedge(y) < 0 else 1.0), 4)
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import name_score
 from ..sources.scratch import forget, written
 
 
@@ -30,16 +31,37 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def transfer_candidates(out: DataFrame, into: DataFrame, early: int = 7, late: int = 30, best: int = 3) -> DataFrame:
-    """Arrivals that may belong to a departure: same security and quantity, another account, a window of days.
+    """Arrivals that may belong to a departure: same security, another account, a window of days; with gap, the difference of quantities.
 
-    Ranked by distance in days, the early ones after the late ones, then by account and row.
+    Ranked by equal quantity, not early, distance in days, gap, account and row; parts of a transfer stay candidates.
+    A stretch of days is part of the join's key: a departure meets the two stretches that its window touches.
     """
-    o = out.select(F.col("ref").alias("out_ref"), "security_id", "quantity", F.col("account_id").alias("from_account"), F.col("trade_date").alias("out_date"))
-    i = into.select(F.col("ref").alias("in_ref"), F.col("security_id").alias("_s"), F.col("quantity").alias("_q"), F.col("account_id").alias("to_account"), F.col("trade_date").alias("in_date"))
-    days = F.datediff("in_date", "out_date")
-    j = o.join(i, (F.col("security_id") == F.col("_s")) & (F.col("quantity") == F.col("_q")) & (F.col("from_account") != F.col("to_account")) & (days >= -early) & (days <= late))
-    w = Window.partitionBy("out_ref").orderBy(F.abs("days"), F.desc("days"), "to_account", "in_ref")
-    return j.drop("_s", "_q").withColumn("days", days.cast("long")).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= best)
+    span = early + late + 1
+    stretch = lambda c, days: F.floor(F.datediff(F.date_add(c, days), F.lit("1970-01-01").cast("date")) / span)
+    o = out.select(F.col("ref").alias("out_ref"), F.col("security_id"), F.col("quantity").alias("out_quantity"), F.col("account_id").alias("from_account"), F.col("trade_date").alias("out_date"))
+    o = o.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(F.col("out_date"), -early), stretch(F.col("out_date"), late)))))
+    i = into.select(F.col("ref").alias("in_ref"), "security_id", F.col("quantity").alias("in_quantity"), F.col("account_id").alias("to_account"), F.col("trade_date").alias("in_date"))
+    i = i.withColumn("stretch", stretch(F.col("in_date"), 0))
+    days, gap = F.datediff("in_date", "out_date"), F.abs(F.col("out_quantity") - F.col("in_quantity"))
+    j = o.join(i, ["security_id", "stretch"]).where((F.col("from_account") != F.col("to_account")) & (days >= -early) & (days <= late))
+    j = j.withColumns({"days": days.cast("long"), "gap": gap}).drop("stretch")
+    w = Window.partitionBy("out_ref").orderBy(F.col("gap") != 0, F.col("days") < 0, F.abs("days"), "gap", "to_account", "in_ref")
+    return j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= best)
+
+
+def suggested(names: DataFrame, universe: DataFrame, least: float = 0.5, best: int = 5) -> DataFrame:
+    """name, other, score, rank: the best names of the universe for each name, at a score of `least` and more.
+
+    Names meet if they share two letters in a row; a pair that reaches a half without any is not found. Lists of distinct
+    names are short next to the facts; the two letters' frequency is the cost.
+    """
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))
+    a = names.select("name", F.explode(F.array_distinct(pairs("name"))).alias("two"))
+    b = universe.select("other", F.explode(F.array_distinct(pairs("other"))).alias("two"))
+    met = a.join(b, "two").where("name <> other").select("name", "other").distinct()
+    scored = met.withColumn("score", name_score(F.col("name"), F.col("other"))).where(F.col("score") >= least)
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "other")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= best)
 
 
 def unique_matches(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

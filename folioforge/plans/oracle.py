@@ -59,7 +59,7 @@ WEIGHTS = f"""{VALUED}, w AS (SELECT security_id, security_id % 4 + 1 AS tag_id,
 h AS (SELECT security_id, coalesce(sum(value), 0) AS value FROM lots GROUP BY ALL), used AS (SELECT security_id, sum(least(weight, 100)) AS used FROM w GROUP BY ALL),
 shares AS (SELECT h.security_id, value, tag_id, least(weight, 100) AS weight, value * least(weight, 100) / 100.0::DOUBLE AS part FROM h JOIN w USING (security_id)
   UNION ALL SELECT h.security_id, value, 0, greatest(100 - coalesce(used, 0), 0), value * greatest(100 - coalesce(used, 0), 0) / 100.0::DOUBLE FROM h LEFT JOIN used USING (security_id) WHERE coalesce(used, 0) < 100)"""
-RANGES = f"""WITH {LEDGER}, r0 AS (SELECT security_id, trade_date AS s, (trade_date + (quantity % 9)::INT)::DATE AS e FROM ledger WHERE tx_type = 'sell'),
+RANGES = f"""WITH {LEDGER}, r0 AS (SELECT security_id, trade_date AS s, (trade_date + (quantity % 9)::INT)::DATE AS e FROM ledger),
 r1 AS (SELECT *, max(e) OVER (PARTITION BY security_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r0),
 r2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach + 1 < s THEN 1 ELSE 0 END) OVER (PARTITION BY security_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM r1),
 merged AS (SELECT security_id, min(s) AS start_date, max(e) AS end_date FROM r2 GROUP BY security_id, island)"""
@@ -125,7 +125,7 @@ SQL: dict[str, str] = {
     "income_and_tax": f"WITH {LEDGER} SELECT account_id, security_id, sum(CASE WHEN tx_type = 'reinvest' THEN gross END)::BIGINT AS income, sum(tax)::BIGINT AS tax, sum(fee)::BIGINT AS fee, min(CASE WHEN tx_type = 'buy' THEN trade_date END) AS first_buy FROM ledger GROUP BY ALL",
     "occurrence_no": f"{OCC} SELECT l_orderkey, l_linenumber, l_partkey, security_id, occurrence FROM occ",
     "dedup_key": f"{OCC}, k AS (SELECT sha256(concat_ws('|', account_id::VARCHAR, security_id::VARCHAR, trade_date::VARCHAR, tx_type, quantity::VARCHAR, occurrence::VARCHAR)) AS k FROM occ) SELECT substr(k, 1, 2) AS shard, count(*) AS rows, count(DISTINCT k) AS keys, min(k) AS first_key FROM k GROUP BY 1",
-    "closed_positions": f"WITH {LEDGER}, o AS (SELECT DISTINCT account_id, security_id FROM ledger WHERE account_id % 5 <> 0) SELECT account_id, security_id, sum(sq)::BIGINT AS net, max(trade_date) AS last_trade FROM ledger ANTI JOIN o USING (account_id, security_id) GROUP BY ALL",
+    "closed_positions": f"WITH {LEDGER}, o AS (SELECT DISTINCT account_id, security_id FROM ledger WHERE trade_date >= DATE '2000-01-01') SELECT account_id, security_id, sum(sq)::BIGINT AS net, max(trade_date) AS last_trade FROM ledger ANTI JOIN o USING (account_id, security_id) GROUP BY ALL",
     "tag_summary": f"{WEIGHTS} SELECT tag_id::BIGINT AS tag_id, {r('sum(part)', 0)} AS value, count(*) AS holding_count FROM shares GROUP BY 1",
     "untagged_remainder": f"{WEIGHTS} SELECT security_id, weight::BIGINT AS weight, {r('part', 0)} AS value FROM shares WHERE tag_id = 0",
     "under_allocated": f"{WEIGHTS} SELECT security_id, sum(weight)::BIGINT AS used, any_value(h.value)::BIGINT AS value FROM w JOIN h USING (security_id) GROUP BY security_id HAVING sum(weight) < 100",
@@ -140,8 +140,9 @@ SQL: dict[str, str] = {
       SELECT coalesce(o.account_id, n.account_id) AS account_id, coalesce(o.security_id, n.security_id) AS security_id, o.quantity AS old_quantity, o.cost AS old_cost, n.quantity AS new_quantity, n.cost AS new_cost,
       CASE WHEN o.account_id IS NULL THEN 'new' WHEN n.account_id IS NULL THEN 'missing' WHEN o.quantity IS DISTINCT FROM n.quantity THEN 'qty_changed' WHEN o.cost IS DISTINCT FROM n.cost THEN 'cost_changed' ELSE 'unchanged' END AS status
       FROM o FULL JOIN n ON o.account_id = n.account_id AND o.security_id = n.security_id""",
-    "transfer_candidates": f"""WITH {LEDGER}, {REFS}, j AS (SELECT o.ref AS out_ref, i.ref AS in_ref, (i.trade_date - o.trade_date)::BIGINT AS days, i.account_id AS acc FROM refs o JOIN refs i ON o.security_id = i.security_id AND o.quantity = i.quantity AND o.account_id <> i.account_id
-      AND i.trade_date - o.trade_date BETWEEN -7 AND 30 WHERE o.tx_type = 'sell' AND i.tx_type = 'buy'), k AS (SELECT *, row_number() OVER (PARTITION BY out_ref ORDER BY abs(days), days DESC, acc, in_ref) AS rank FROM j) SELECT out_ref, in_ref, days, rank FROM k WHERE rank <= 3""",
+    "transfer_candidates": f"""WITH {LEDGER}, {REFS}, j AS (SELECT o.ref AS out_ref, i.ref AS in_ref, (i.trade_date - o.trade_date)::BIGINT AS days, i.account_id AS acc, abs(o.quantity - i.quantity) AS gap FROM refs o JOIN refs i ON o.security_id = i.security_id AND o.account_id <> i.account_id
+      AND i.trade_date - o.trade_date BETWEEN -7 AND 30 WHERE o.tx_type = 'sell' AND i.tx_type = 'buy'),
+      k AS (SELECT *, row_number() OVER (PARTITION BY out_ref ORDER BY gap <> 0, days < 0, abs(days), gap, acc, in_ref) AS rank FROM j) SELECT out_ref, in_ref, days, gap, rank FROM k WHERE rank <= 3""",
     "price_verify": f"""{BASE}, {REFS}, j AS (SELECT r.security_id, r.ref, any_value(r.gross // r.quantity) AS u, arg_min(p.price, p.date) AS price FROM refs r LEFT JOIN prices p ON p.security_id = r.security_id AND p.date BETWEEN r.trade_date AND r.trade_date + 4 GROUP BY ALL)
       SELECT security_id, count(*) AS trades, count(price) AS priced, sum((price IS NOT NULL AND abs(u - price) <= 0.3::DOUBLE * price)::INT)::BIGINT AS confirmed FROM j GROUP BY security_id""",
     "dup_security_survivor": """WITH t AS (SELECT l_partkey, count(*) AS trades, max(l_shipdate)::DATE AS last_trade FROM lineitem GROUP BY 1), s AS (SELECT p_partkey AS security_id, p_name, coalesce(trades, 0) AS trades, last_trade FROM part LEFT JOIN t ON p_partkey = l_partkey)
@@ -149,7 +150,7 @@ SQL: dict[str, str] = {
     "unexplained_holdings": f"{BASE}, l AS (SELECT account_id, security_id, arg_max(quantity, as_of_date) AS quantity FROM snap GROUP BY ALL) SELECT * FROM l ANTI JOIN (SELECT * FROM ledger WHERE tx_type = 'buy') b USING (account_id, security_id)",
     "quantity_unique_match": f"""WITH {LEDGER}, l AS (SELECT account_id, security_id, sum(quantity)::BIGINT AS total FROM ledger WHERE tx_type = 'sell' GROUP BY ALL), r AS (SELECT account_id, security_id, sum(quantity)::BIGINT AS total FROM ledger WHERE tx_type = 'buy' GROUP BY ALL),
       l1 AS (SELECT account_id, total, min(security_id) AS l_security FROM l GROUP BY ALL HAVING count(*) = 1), r1 AS (SELECT account_id, total, min(security_id) AS r_security FROM r GROUP BY ALL HAVING count(*) = 1) SELECT account_id, total, l_security, r_security FROM l1 JOIN r1 USING (account_id, total)""",
-    "code_components": """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS code FROM lineitem WHERE l_quantity = 50 AND l_partkey % 10 = 0), e AS (SELECT DISTINCT a.entity AS a, b.entity AS b FROM p a JOIN p b USING (code)),
+    "code_components": """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS code FROM lineitem), e AS (SELECT DISTINCT a.entity AS a, b.entity AS b FROM p a JOIN p b USING (code)),
       reach AS (SELECT a AS entity, a AS other FROM e UNION SELECT r.entity, e.b FROM reach r JOIN e ON e.a = r.other) SELECT entity, min(other) AS component FROM reach GROUP BY entity""",
     "code_components_whole": """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS code FROM lineitem), e AS (SELECT DISTINCT a.entity AS a, b.entity AS b FROM p a JOIN p b USING (code)),
       reach AS (SELECT a AS entity, a AS other FROM e UNION SELECT r.entity, e.b FROM reach r JOIN e ON e.a = r.other) SELECT entity, min(other) AS component FROM reach GROUP BY entity""",
@@ -165,8 +166,6 @@ SQL: dict[str, str] = {
     "stream_dedup_count": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
     "stream_session": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
       SELECT min(ts)::TIMESTAMP AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
-    "fuzzy_name_score": """WITH n AS (SELECT DISTINCT p_name FROM part), d AS (SELECT a.p_name AS name, b.p_name AS other, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON substr(a.p_name, 1, 2) = substr(b.p_name, 1, 2) AND a.p_name <> b.p_name)
-      SELECT name, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, other) AS rn FROM d) WHERE rn = 1""",
     "price_priority": f"""{BASE}, u AS (SELECT security_id, date, price, 'linked' AS source, 2 AS ord FROM prices UNION ALL SELECT security_id, date, price + 7, 'manual', 1 FROM prices WHERE security_id % 5 = 0 AND month(date) % 2 = 0)
       SELECT security_id, date, arg_min(price, ord) AS price, arg_min(source, ord) AS source FROM u GROUP BY ALL""",
     "latest_reported": f"{BASE} SELECT security_id, arg_max(price, date) FILTER (month(date) % 3 = 0) AS reported, max(date) FILTER (month(date) % 3 = 0) AS date FROM prices GROUP BY security_id",
@@ -176,7 +175,7 @@ SQL: dict[str, str] = {
       SELECT short, min(p_name) AS full_name FROM c JOIN n ON starts_with(p_name, short) GROUP BY short HAVING count(*) = 1""",
     "class_drilldown": f"{VALUED} SELECT security_id, sum(value)::BIGINT AS value, sum(pl)::BIGINT AS pl, sum(day_change)::BIGINT AS day_change, bool_or(day_change IS NULL) AS day_change_partial FROM lots JOIN sec USING (security_id) WHERE asset_class = 'NATION_7' GROUP BY security_id",
     "included_totals": f"{VALUED} SELECT region_id, region_id NOT IN (2, 4) AS in_total, sum(value)::BIGINT AS value, CASE WHEN region_id NOT IN (2, 4) THEN sum(value)::BIGINT END AS value_in_total, count(*) AS lots FROM lots JOIN sec USING (security_id) GROUP BY region_id",
-    "account_rollup": f"{VALUED} SELECT n_nationkey::BIGINT AS account_id, n_name AS account, sum(value)::BIGINT AS value, count(DISTINCT security_id) AS holdings FROM nation LEFT JOIN (SELECT * FROM lots WHERE account_id % 4 <> 1) l ON l.account_id = n_nationkey GROUP BY ALL",
+    "account_rollup": f"{VALUED} SELECT n_nationkey::BIGINT AS account_id, n_name AS account, sum(value)::BIGINT AS value, count(DISTINCT security_id) AS holdings FROM nation LEFT JOIN lots l ON l.account_id = n_nationkey GROUP BY ALL",
     "zero_transitions": f"{BASE}, l AS (SELECT *, lag(quantity) OVER (PARTITION BY account_id, security_id ORDER BY as_of_date) AS before FROM snap) SELECT account_id, security_id, as_of_date, before, quantity FROM l WHERE before >= 1000 AND quantity < 1000",
     "adjacent_pairs": f"""{BASE}, l AS (SELECT account_id, security_id, as_of_date, quantity, lag(as_of_date) OVER w AS prev_date, lag(quantity) OVER w AS prev_quantity, row_number() OVER (PARTITION BY account_id, security_id ORDER BY as_of_date DESC) AS n
       FROM snap WINDOW w AS (PARTITION BY account_id, security_id ORDER BY as_of_date)) SELECT * FROM l WHERE prev_date IS NOT NULL AND n <= 6""",

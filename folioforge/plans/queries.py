@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import allocation, asof, inference, matching, series, valuation
+from ..operators import allocation, asof, inference, matching, series, steps, valuation
 from ..operators import ledger as lg
 from ..sources import domain as dm
 from ..sources.domain import half_up
@@ -162,11 +162,12 @@ def ffill_gaps(spark, sf):
 
 @query
 def metal_compose(spark, sf):
+    """Futures in another unit and currency: the rate's own days, carried forward, meet the futures' on the date."""
     c = dm.closes(spark, sf)
-    futures = c.where("event_type = 'purchase'").select("date", F.col("price").alias("future"), F.lit(1).alias("k"))
-    rate = c.where("event_type = 'view' and dayofmonth(date) % 2 = 1").select(F.col("date").alias("day"), F.col("price").alias("fx"), F.lit(1).alias("k"))
-    d = asof.as_of(futures, rate, ["k"], "date", "day", ["fx"])
-    return d.where("fx is not null").select("date", half_up(F.col("future") * F.col("fx") / 31.1034768, 6).alias("gram_price"))
+    futures = c.where("event_type = 'purchase'").select("date", F.col("price").alias("future"))
+    rate = series.on_calendar(c.where("event_type = 'view' and dayofmonth(date) % 2 = 1"), ["event_type"], "date", "2024-01-01", "2024-12-31").where("not backfilled")
+    d = futures.join(rate.select(F.col("day").alias("date"), F.col("price").alias("fx")), "date")
+    return d.select("date", half_up(F.col("future") * F.col("fx") / 31.1034768, 6).alias("gram_price"))
 
 
 def _index(spark, sf):
@@ -186,7 +187,7 @@ def chain_link(spark, sf):
 
 
 def _ranges(spark, sf):
-    return dm.ledger(spark, sf).where("tx_type = 'sell'").select("security_id", F.col("trade_date").alias("start_date"), F.date_add("trade_date", (F.col("quantity") % 9).cast("int")).alias("end_date"))
+    return dm.ledger(spark, sf).select("security_id", F.col("trade_date").alias("start_date"), F.date_add("trade_date", (F.col("quantity") % 9).cast("int")).alias("end_date"))
 
 
 @query
@@ -262,9 +263,9 @@ def dedup_key(spark, sf):
 
 @query
 def closed_positions(spark, sf):
-    """Groups of the ledger that a list of open accounts does not have."""
+    """Groups of the ledger without a trade in its last years."""
     tx = dm.ledger(spark, sf)
-    open_ = tx.where("account_id % 5 <> 0").select(*GROUP).distinct()
+    open_ = tx.where("trade_date >= date'2000-01-01'").select(*GROUP).distinct()
     return tx.join(open_, GROUP, "left_anti").groupBy(*GROUP).agg(F.sum(dm.signed()).alias("net"), F.max("trade_date").alias("last_trade"))
 
 
@@ -344,7 +345,7 @@ def _refs(spark, sf):
 @query
 def transfer_candidates(spark, sf):
     t = _refs(spark, sf)
-    return matching.transfer_candidates(t.where("tx_type = 'sell'"), t.where("tx_type = 'buy'")).select("out_ref", "in_ref", "days", "rank")
+    return matching.transfer_candidates(t.where("tx_type = 'sell'"), t.where("tx_type = 'buy'")).select("out_ref", "in_ref", "days", "gap", "rank")
 
 
 @query
@@ -378,14 +379,14 @@ def quantity_unique_match(spark, sf):
 
 @query
 def code_components(spark, sf):
-    o = dm.table(spark, sf, "lineitem").where("l_quantity = 50 and l_partkey % 10 = 0").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("code"))
-    return matching.code_components(o)
+    """Suppliers that share parts, directly or through others, over every row."""
+    return matching.code_components(dm.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("code")))
 
 
 @query
 def code_components_whole(spark, sf):
-    """code_components over every row; its SQL is quadratic in the suppliers."""
-    return matching.code_components(dm.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("code")))
+    """The same; the name under which the whole table was first covered."""
+    return code_components(spark, sf)
 
 
 @query
@@ -429,7 +430,10 @@ def parse_date_multi(spark, sf):
 
 @query
 def tx_type_classify(spark, sf):
-    return dm.ledger(spark, sf).groupBy("tx_type").agg(F.count("*").alias("n"), F.sum(dm.signed()).alias("net_quantity"))
+    """Types of the ledger's rows from labels in two languages."""
+    label = F.when(F.col("tx_type") == "buy", "買付（特定）").when(F.col("tx_type") == "reinvest", "分配金再投資").otherwise("Sell (market)")
+    d = dm.ledger(spark, sf).withColumn("tx_type", steps.classified(label))
+    return d.groupBy("tx_type").agg(F.count("*").alias("n"), F.sum(dm.signed()).alias("net_quantity"))
 
 
 @query
@@ -441,14 +445,14 @@ def month_summary(spark, sf):
 
 @query
 def stream_tumbling(spark, sf):
-    d = ev.drained(ev.tumbling(ev.event_stream(spark, sf)), shared_dir(spark))
+    d = ev.drained(ev.tumbling(ev.event_stream(spark, sf)), shared_dir(spark), ["start", "event_type"])
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "cents")
 
 
 @query
 def stream_dedup_count(spark, sf):
     e = ev.event_stream(spark, sf)
-    return ev.drained(ev.deduplicated(e).groupBy("event_type").agg(F.count("*").alias("n")), shared_dir(spark))
+    return ev.drained(ev.deduplicated(e).groupBy("event_type").agg(F.count("*").alias("n")), shared_dir(spark), ["event_type"])
 
 
 @query
@@ -459,13 +463,9 @@ def stream_session(spark, sf):
 
 @query
 def fuzzy_name_score(spark, sf):
-    """The closest other name by edit distance, among distinct names with the same first letters."""
-    n = dm.table(spark, sf, "part").select("p_name").distinct()
-    n = n.withColumn("head", F.substring("p_name", 1, 2))
-    a, b = n.select("head", F.col("p_name").alias("name")), n.select("head", F.col("p_name").alias("other"))
-    d = a.join(b, "head").where("name <> other").withColumn("distance", F.levenshtein("name", "other").cast("long"))
-    w = Window.partitionBy("name").orderBy("distance", "other")
-    return d.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("name", "other", "distance")
+    """The five closest other names of each name, at a score of a half and more."""
+    n = dm.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
+    return matching.suggested(n, n.withColumnRenamed("name", "other")).where("name <> other").select("name", "other", "score", "rank")
 
 
 @query
@@ -526,7 +526,7 @@ def included_totals(spark, sf):
 @query
 def account_rollup(spark, sf):
     """Every account has a row, with or without holdings."""
-    v = _lots(spark, sf).where("account_id % 4 <> 1").groupBy("account_id").agg(F.sum("value").alias("value"), F.countDistinct("security_id").alias("holdings"))
+    v = _lots(spark, sf).groupBy("account_id").agg(F.sum("value").alias("value"), F.countDistinct("security_id").alias("holdings"))
     a = dm.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("account_id"), F.col("n_name").alias("account"))
     return a.join(v, "account_id", "left").select("account_id", "account", "value", F.coalesce("holdings", F.lit(0)).alias("holdings"))
 

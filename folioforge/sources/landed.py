@@ -42,21 +42,44 @@ def coin_daily(files: DataFrame, body: str = "value") -> DataFrame:
     return d.groupBy("coin", F.to_date(F.timestamp_millis("ms")).alias("date")).agg(F.max_by("price", "ms").alias("price"))
 
 
-ENCODINGS = ("utf-8-sig", "cp932", "euc-jp", "iso-2022-jp")
+#: Encodings that are tried in turn (fixed values); escape sequences tell the 7-bit one, which decodes as anything.
+ENCODINGS = ("utf-8-sig", "cp932", "euc-jp")
+ESCAPES = (b"\x1b$B", b"\x1b$@", b"\x1b(J")
+
+
+def plausible(text: str) -> float:
+    """Share of the non-ASCII characters that Japanese text has: kana, ideographs, full-width forms, its punctuation."""
+    other = [c for c in text if ord(c) > 127]
+    good = sum("\u3000" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" or "\uff01" <= c <= "\uff60" for c in other)
+    half_width, private = sum("\uff61" <= c <= "\uff9f" for c in other), sum("\ue000" <= c <= "\uf8ff" for c in other)  # what wrong decodings are full of
+    return (good - 0.5 * half_width - 2 * private) / len(other) if other else 1.0
+
+
+def decoded(content: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
+    """By byte order mark, by escape sequences, as UTF-8, else in the encoding that gives the most plausible text."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if content.startswith(mark):
+            return content.decode(name, "replace")
+    if any(e in content for e in ESCAPES):
+        with contextlib.suppress(UnicodeDecodeError):
+            return content.decode("iso-2022-jp")
+    found = []
+    for name in encodings:
+        with contextlib.suppress(UnicodeDecodeError):
+            text = content.decode(name)
+            if name.startswith("utf-8"):
+                return text
+            found.append((plausible(text), -len(found), text))
+    return max(found)[2] if found else content.decode("utf-8", "replace")
 
 
 def text_lines(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """file, line (from 0), value of text files in the first encoding that fits; Spark's readers know Unicode and Latin ones only."""
+    """file, line (from 0), value of text files of any of the encodings; Spark's readers know Unicode and Latin ones only."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                text = None
-                for e in encodings:
-                    with contextlib.suppress(UnicodeDecodeError):
-                        text = content.decode(e)
-                        break
-                lines = (text if text is not None else content.decode("utf-8", "replace")).splitlines()
+                lines = decoded(content, encodings).splitlines()
                 yield pd.DataFrame({"file": path, "line": range(len(lines)), "value": lines})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, line long, value string")
@@ -69,11 +92,12 @@ def fund_nav(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_kind(content: str = "content") -> Column:
-    """csv, xlsx, xls, pdf or unknown, by the first bytes."""
+    """csv, xlsx, xls, pdf or unknown, by the first bytes; a zip is a workbook if it has an xl/ folder, a text has no NUL."""
     head = F.hex(F.substring(F.col(content), 1, 8))
+    raw = F.decode(F.col(content), "ISO-8859-1")  # one character for each byte
     return (
-        F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "xlsx").when(head.startswith("D0CF11E0A1B11AE1"), "xls")
-        .when(F.octet_length(content) == 0, "unknown").when(F.instr(F.hex(F.substring(F.col(content), 1, 512)), "00") % 2 == 1, "unknown").otherwise("csv")
+        F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), F.when(F.contains(raw, F.lit("xl/")), "xlsx").otherwise("unknown")).when(head.startswith("D0CF11E0A1B11AE1"), "xls")
+        .when(F.octet_length(content) == 0, "unknown").when(F.substring(raw, 1, 512).contains("\x00"), "unknown").otherwise("csv")
     )
 
 

@@ -34,13 +34,24 @@ def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
-def drained(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs all available input and returns the complete result, written to a table below folder by each batch."""
+def drained(stream: DataFrame, folder: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs all available input and returns the result.
+
+    With keys, each batch appends the groups that it changed and the last version of a group counts, so that the
+    watermark frees closed groups. Without (sessions, whose keys move), each batch writes the complete result.
+    """
     path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
-    query = (
-        stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/result")).start()
-    )
+
+    def add(df: DataFrame, batch: int) -> None:
+        # a repeated batch overwrites its own folder
+        df.write.mode("overwrite").parquet(f"{path}/result/batch={batch}" if keys else f"{path}/result")
+
+    query = stream.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(add).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(schema).parquet(f"{path}/result")
+    if not keys:
+        return stream.sparkSession.read.schema(schema).parquet(f"{path}/result")
+    d = stream.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, batch long").parquet(f"{path}/result")
+    rest = [c for c in schema.names if c not in keys]
+    last = d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in schema.names])

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import decimal
+import difflib
+import fractions
 import math
 import random
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as fx
 from folioforge.operators import allocation, asof, ledger, matching, series, valuation
-from folioforge.plans import oracle, queries
+from folioforge.plans import oracle, queries, wealth, wealth_sql
 
 D = dt.date
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -31,11 +33,14 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) and not math.isnan(v) else v
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+ALL_QUERIES, ALL_SQL = queries.QUERIES | wealth.QUERIES, oracle.SQL | wealth_sql.SQL
+
+
+@pytest.mark.parametrize("name", sorted(ALL_SQL))
 def test_query_matches_sql(spark, sql, data, name):
-    df = queries.QUERIES[name](spark, data)
+    df = ALL_QUERIES[name](spark, data)
     columns = sorted(df.columns)
-    found = sql.execute(oracle.SQL[name])
+    found = sql.execute(ALL_SQL[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
@@ -169,3 +174,45 @@ def test_entry_has_a_stable_schema(spark):
 
     assert entry.entry(spark).columns[0] == "asset_class"
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_query_has_sql_but_the_ones_tested_here():
+    assert set(ALL_QUERIES) - set(ALL_SQL) == {"fuzzy_name_score"}
+
+
+def test_suggested_names_match_brute_force(spark, sql, data):
+    names = [r[0] for r in sql.execute("SELECT DISTINCT p_name FROM part").fetchall()]
+
+    def score(x, y):
+        s = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+        return round(max(s, min(len(x), len(y)) / max(len(x), len(y))) if x in y or y in x else s, 4)
+
+    expected = set()
+    for x in names:
+        best = sorted((-score(x, y), y) for y in names if y != x and score(x, y) >= 0.5)[:5]
+        expected |= {(x, y, -s, i + 1) for i, (s, y) in enumerate(best)}
+    assert {tuple(r) for r in queries.QUERIES["fuzzy_name_score"](spark, data).collect()} == expected
+
+
+def test_thousands_of_half_sales_match_exact_fractions(spark):
+    """A pool that is halved and bought back 3,000 times: no underflow, and the exact value in the end."""
+    rows, pool, balance = [], fractions.Fraction(0), 0
+    for i in range(6_000):
+        buy = i % 2 == 0
+        q = 100 if i == 0 else 50
+        rows.append((1, 1, D(2000, 1, 1) + dt.timedelta(days=i // 4), "buy" if buy else "sell", q, 7_000 + i if buy else 9_000, 3 if buy else 0, i, 1, 1))
+        if buy:
+            pool, balance = pool + 7_003 + i, balance + q
+        else:
+            pool, balance = pool * fractions.Fraction(balance - q, balance), balance - q
+    tx = spark.createDataFrame(rows, "account_id long, security_id long, trade_date date, tx_type string, quantity long, gross long, fee long, l_orderkey long, l_linenumber long, l_partkey long")
+    got = ledger.pooled(tx, 0, F.lit(0.0)).groupBy().agg(F.max_by(F.struct("pool", "balance"), F.struct("trade_date", "l_orderkey")).alias("x")).first().x
+    assert got.balance == balance and math.isclose(got.pool, float(pool), rel_tol=1e-9)
+
+
+def test_partial_transfers_stay_candidates(spark):
+    cols = "ref string, account_id long, security_id long, quantity long, trade_date date"
+    out = spark.createDataFrame([("o", 1, 9, 100, D(2020, 3, 10))], cols)
+    into = spark.createDataFrame([("early", 2, 9, 100, D(2020, 3, 4)), ("part", 3, 9, 60, D(2020, 3, 11)), ("far", 2, 9, 100, D(2020, 4, 9)), ("late", 2, 9, 100, D(2020, 4, 10)), ("own", 1, 9, 100, D(2020, 3, 10))], cols)
+    got = [(r.in_ref, r.gap) for r in matching.transfer_candidates(out, into).orderBy("rank").collect()]
+    assert got == [("far", 0), ("early", 0), ("part", 40)]
