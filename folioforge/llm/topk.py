@@ -137,12 +137,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: i
     Both sides travel as packed blocks. Every query block meets every candidate block through an
     equi-join on a candidate group, so that no side is collected or broadcast.
     """
-    groups = groups or queries.sparkSession.sparkContext.defaultParallelism * 4
+    parallelism = queries.sparkSession.sparkContext.defaultParallelism
+    groups = groups or parallelism * 4
     names = ("ids", "marks", "copies", "lengths", "flat")
-    # the count of partitions is given, so that adaptive execution keeps the groups apart
-    c = distinct_rows(candidates, key, vector, groups).mapInPandas(_packed(BLOCK), SCHEMA).repartition(groups, "g")
+    # rows meet the rest of their group before they are packed, so that blocks are full; the count of partitions is given, so that
+    # adaptive execution keeps the groups apart
+    c = distinct_rows(candidates, key, vector, groups).repartition(groups, "g").mapInPandas(_packed(BLOCK), SCHEMA).repartition(groups, "g")
     # a query block is sent to each candidate group once
-    q = distinct_rows(queries, key, vector, 1).mapInPandas(_packed(QUERIES), SCHEMA)
+    q = distinct_rows(queries, key, vector, parallelism).repartition(parallelism, "g").mapInPandas(_packed(QUERIES), SCHEMA)
     q = q.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *[F.col(x).alias(f"q_{x}") for x in names]).repartition(groups, "g")
     pairs = c.join(q, "g")
 
