@@ -30,7 +30,7 @@ from .common import forget, fresh, release, written
 
 DIM = 1 << 18
 #: Directions at most, more of them in the sketch, power steps; the share of the squared length that the space keeps.
-RANK, EXTRA, POWER, RETAIN, FLOOR = 512, 10, 1, 0.9, 0.5
+RANK, EXTRA, POWER, RETAIN, FLOOR = 512, 10, 1, 0.95, 0.75
 #: Benchmark passages of a block, blocks searched at once, passages of the corpus in a fit and their share of its weight.
 BLOCK, GROUP, CORPUS, SHARE = 512, 8, 2_000, 0.2
 #: A passage is two segments of STEP words; passages overlap by one segment.

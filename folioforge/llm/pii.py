@@ -12,6 +12,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -321,7 +322,7 @@ def train(found: list[tuple[str, Reading]], entities: list[tuple[str, str]]) ->
     model = SemiMarkov()
     words = lambda t: [m.span() for m in WORD.finditer(t)]
     data = [(model.lattice(t, words(t)), gold) for t, gold in found]
-    for (k1, s1), (k2, s2) in zip(entities[::2], entities[1::2], strict=False):
+    for (k1, s1), (k2, s2) in pairwise(entities):
         text = f"x {s1} {s2} x"
         tokens = words(text)
         n1, n2 = s1.count(" ") + 1, s2.count(" ") + 1
