@@ -62,19 +62,30 @@ class Buckets(dict):
         return out
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence, bit-parallel: one big-integer step for each word of b."""
-    masks: dict[str, int] = {}
-    for i, x in enumerate(a):
-        masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for y in b:
-        m = masks.get(y)
-        if m:
+class Sequence:
+    """Words to find again as a subsequence: the positions of each as bits of an integer."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.length, self.masks = len(words), {}
+        for i, x in enumerate(words):
+            self.masks[x] = self.masks.get(x, 0) | 1 << i
+
+    def shared(self, b: list[str]) -> list[int]:
+        """Positions of b's words, without those that aren't here; no common subsequence is longer than this list."""
+        return list(filter(None, map(self.masks.get, b)))
+
+    def longest(self, shared: list[int]) -> int:
+        """Length of the longest common subsequence, bit-parallel: one big-integer step for each shared word."""
+        v = full = (1 << self.length) - 1
+        for m in shared:
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+        return self.length - v.bit_count()
+
+
+def lcs_length(a: list[str], b: list[str]) -> int:
+    s = Sequence(a)
+    return s.longest(s.shared(b))
 
 
 def passages(ids: np.ndarray) -> list[np.ndarray]:
@@ -97,11 +108,15 @@ def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Documents with each bucket, over the whole corpus, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, n, total = Buckets(), np.zeros(DIM, np.int64), 0
+        look, n, total, seen = Buckets(), np.zeros(DIM, np.int64), 0, []
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                n[list({look[x] for x in set(terms(t))})] += 1
+                seen.extend(set(map(look.__getitem__, set(terms(t)))))
                 total += 1
+                if len(seen) >= WORDS:
+                    n += np.bincount(seen, minlength=DIM)
+                    seen.clear()
+        n += np.bincount(np.array(seen, np.int64), minlength=DIM)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], ["bucket", "n"])
 
@@ -237,29 +252,39 @@ def fit_block(corpus: DataFrame, items: list[tuple[int, list[str]]], idf: np.nda
     return Index(rows, idf, basis, items, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12), owner)
 
 
+def located(docs: list[list[str]], look: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each document, and the buckets of all their words."""
+    lengths = np.array([len(d) for d in docs], np.int64)
+    return lengths, np.fromiter(map(look.__getitem__, chain.from_iterable(docs)), np.int64, int(lengths.sum()))
+
+
 class Searcher:
     def __init__(self, index: Index) -> None:
-        self.index, self.look = index, Buckets()
+        self.index = index
+        self.whole = [Sequence(words) for _, words in index.items]
+        self.answers = [Sequence(words[-ANSWER_WORDS:]) for _, words in index.items]
         self.square = (index.idf**2).astype(np.float32)
         self.other = len(index.basis) - 1
 
     def candidates(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, float]]:
         """(document, first word of the passage, item, cosine) of the pairs that reach ENERGY and COSINE."""
+        return self.search(*located(docs, Buckets()))
+
+    def search(self, lengths: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         x = self.index
-        lengths = np.array([len(d) for d in docs])
-        total = int(lengths.sum())
-        if not total:
+        if not len(ids):
             return
-        ids = np.fromiter(map(self.look.__getitem__, chain.from_iterable(docs)), np.int64, total)
         segments = -(-lengths // STEP)
         first_word = np.cumsum(lengths) - lengths
         first_segment = np.cumsum(segments) - segments
-        owner = np.repeat(np.arange(len(docs)), segments)
+        owner = np.repeat(np.arange(len(lengths)), segments)
         starts = first_word[owner] + (np.arange(len(owner)) - first_segment[owner]) * STEP
         weight, row = self.square[ids], x.rows[ids]
         square = np.add.reduceat(weight, starts)
-        known = np.flatnonzero(row < self.other)
-        count = np.add.reduceat((row < self.other).astype(np.int64), starts)
+        is_known = row < self.other
+        once = np.add.reduceat(weight * is_known, starts)  # of known words, as if none came again
+        known = np.flatnonzero(is_known)
+        count = np.add.reduceat(is_known.astype(np.int64), starts)
         offset = np.cumsum(count) - count
         row, weight = row[known], weight[known]
         follows = np.append(False, owner[1:] == owner[:-1])  # continues the text of the segment before
@@ -267,9 +292,15 @@ class Searcher:
         square[:-1] += square[1:] * pair[:-1]
         both = count.copy()
         both[:-1] += count[1:] * pair[:-1]  # known words of a passage: they follow each other in row
+        once[:-1] += once[1:] * pair[:-1]
         # projecting cannot add length, so passages whose known terms are shorter than ENERGY can't reach it
         hope = np.flatnonzero((pair | ~follows) & (both > 0))
-        hope = hope[self.known_square(row, weight, offset[hope], both[hope]) >= ENERGY**2 * (1 - 1e-4) * square[hope]]
+        least = ENERGY**2 * (1 - 1e-4) * square[hope]
+        sure = once[hope] >= least
+        # repeats can lengthen a passage of n words by the factor n at most
+        open_ = np.flatnonzero(~sure & (once[hope] * both[hope] >= least * (1 - 1e-4)))
+        sure[open_] = self.known_square(row, weight, offset[hope[open_]], both[hope[open_]]) >= least[open_]
+        hope = hope[sure]
         for lo in range(0, len(hope), HOPE):
             at = hope[lo : lo + HOPE]
             parts = np.unique(np.concatenate((at, at[pair[at]] + 1)))
@@ -311,17 +342,21 @@ class Searcher:
         out[order] = z
         return out
 
-    def batch(self, docs: list[list[str]]) -> list[list[tuple[int, float, float, bool]]]:
+    def check(self, i: int, region: list[str]) -> tuple[float, float]:
+        """Shares of an item's words and of its answer that the region holds in order; zeros if too few words are there at all."""
+        whole, answer = self.whole[i], self.answers[i]
+        there = whole.shared(region)
+        if len(there) / whole.length < LCS_ANSWER:
+            return 0.0, 0.0
+        return whole.longest(there) / whole.length, answer.longest(answer.shared(region)) / answer.length
+
+    def batch(self, docs: list[list[str]], lengths: np.ndarray, ids: np.ndarray) -> list[list[tuple[int, float, float, bool]]]:
         best: list[dict[int, tuple]] = [{} for _ in docs]
         tried: dict[tuple[int, int, int], tuple[float, float]] = {}
-        for d, at, i, cos in self.candidates(docs):
-            words = self.index.items[i][1]
-            lo, hi = max(0, at - len(words)), at + 2 * STEP + len(words)
+        for d, at, i, cos in self.search(lengths, ids):
             if (d, at, i) not in tried:
-                region = docs[d][lo:hi]
-                share = lcs_length(words, region) / len(words)
-                answer = words[-ANSWER_WORDS:]
-                tried[d, at, i] = share, lcs_length(answer, region) / len(answer)
+                reach = self.whole[i].length
+                tried[d, at, i] = self.check(i, docs[d][max(0, at - reach) : at + 2 * STEP + reach])
             share, answer_share = tried[d, at, i]
             if share >= LCS or (share >= LCS_ANSWER and answer_share >= ANSWER):
                 old = best[d].get(i, (0.0, 0.0, False))
@@ -329,12 +364,13 @@ class Searcher:
         return [[(self.index.items[i][0], *x) for i, x in sorted(b.items())] for b in best]
 
 
-def leaks(searchers: list[Searcher], texts: list[str | None]) -> Iterator[list[tuple[int, float, float, bool]]]:
+def leaks(searchers: list[Searcher], texts: list[str | None], look: Buckets | None = None) -> Iterator[list[tuple[int, float, float, bool]]]:
     """Per text: (item id, best cosine, LCS share, answer found) of the items that it holds."""
-    docs, size = [], 0
+    docs, size, look = [], 0, look if look is not None else Buckets()
 
     def found() -> Iterator[list]:
-        for rows in zip(*[s.batch(docs) for s in searchers], strict=True):
+        where = located(docs, look)
+        for rows in zip(*[s.batch(docs, *where) for s in searchers], strict=True):
             yield sorted(x for r in rows for x in r)
 
     for t in texts:
@@ -357,13 +393,13 @@ def leaked_items(indexes: list[Index], docs: DataFrame, text: str = "text") -> C
         shipped = docs.sparkSession.sparkContext.broadcast(group)
 
         def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            searchers = [Searcher(x) for x in shipped.value]
+            searchers, look = [Searcher(x) for x in shipped.value], Buckets()
             for column in batches:
                 out = []
                 for lo in range(0, len(column), 1000):
-                    out += leaks(searchers, column.slice(lo, 1000).to_pylist())
+                    out += leaks(searchers, column.slice(lo, 1000).to_pylist(), look)
                 yield pa.array([[dict(zip(("item_id", "cosine", "lcs", "answer"), x, strict=True)) for x in row] for row in out], kind)
-            del searchers
+            del searchers, look
             release()
 
         # not deterministic to the optimizer, so that a filter on the result doesn't evaluate it again
