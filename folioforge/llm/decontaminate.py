@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are hashed to DIM buckets; document frequencies cover the whole corpus. The benchmark is cut into blocks of
+Terms are hashed to DIM buckets, a batch of texts at once; document frequencies cover the whole corpus. The benchmark is cut into blocks of
 at most BLOCK passages. For each, a randomised SVD (subspace iteration over Spark tasks) of its TF-IDF passages,
 with passages of the corpus at a small share of the weight, gives a latent space of as few directions as keep
 RETAIN of the benchmark passages' squared length; passages that keep less than FLOOR of theirs (no other resembles
@@ -17,12 +17,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,27 +37,77 @@ STEP = 16
 #: A candidate keeps at least ENERGY of its length in the latent space and has at least COSINE there.
 ENERGY, COSINE = 0.15, 0.5
 LCS, LCS_ANSWER, ANSWER_WORDS, ANSWER = 0.7, 0.55, 5, 0.8
-TERM = re.compile(r"\w+")
+TERM, BREAK = re.compile(r"\w+"), re.compile(r"\W")
 ROWS = 1024
-#: Words in a batch of documents, and passages that are projected at once.
-WORDS, HOPE = 100_000, 512
+#: Characters of a batch of documents (a longer document is a batch of its own), characters hashed and passages projected at once.
+CHARS, PIECE, HOPE = 600_000, 1 << 20, 512
 
 
 def terms(text: str | None) -> list[str]:
     return TERM.findall(text.lower()) if text else []
 
 
+@cache
+def word_characters() -> np.ndarray:
+    """Of every code point, whether it belongs to words."""
+    return np.array([c == 95 or chr(c).isalnum() for c in range(0x110000)])
+
+
+@cache
+def powers() -> np.ndarray:
+    return np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def hashed(low: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and bucket of each word (a TERM) of a text in lower case: a polynomial of its code points, mixed and cut to DIM."""
+    starts, buckets, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    while at < len(low):
+        end = BREAK.search(low, at + PIECE) if at + PIECE < len(low) else None  # not inside a word
+        end = end.start() if end else len(low)
+        codes = np.frombuffer(low[at:end].encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.flatnonzero(word_characters()[codes])
+        if len(inside):
+            first = np.flatnonzero(np.diff(inside, prepend=-2) > 1)  # of a word, among the characters of words
+            place = np.arange(len(inside)) - np.repeat(first, np.diff(first, append=len(inside)))
+            h = np.add.reduceat((codes[inside] + np.uint64(1)) * powers()[place & 255], first)
+            buckets.append((((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(46)).astype(np.int64))
+            starts.append(inside[first] + at)
+        at = end
+    return np.concatenate(starts), np.concatenate(buckets)
+
+
+def located(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each of some texts in lower case, and the buckets of all their words."""
+    starts, ids = hashed("\n".join(low))
+    ends = np.cumsum(np.array([len(t) + 1 for t in low], np.int64))
+    return np.diff(np.searchsorted(starts, ends), prepend=0), ids
+
+
 def bucket(term: str) -> int:
-    return xxhash.xxh3_64_intdigest(term) % DIM
+    return int(hashed(term)[1][0])
 
 
-class Buckets(dict):
-    """Bucket of a term, kept for terms that come again."""
+def batches_of(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in lower case, about CHARS characters at a time."""
+    out, size = [], 0
+    for t in texts:
+        out.append((t or "").lower())
+        size += len(out[-1])
+        if size >= CHARS:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
-    def __missing__(self, term: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[term] = out = bucket(term)
+
+class Words(dict):
+    """The words of each text of a batch, split where they are asked for."""
+
+    def __init__(self, low: list[str]) -> None:
+        self.low = low
+
+    def __missing__(self, d: int) -> list[str]:
+        self[d] = out = TERM.findall(self.low[d])
         return out
 
 
@@ -108,15 +157,12 @@ def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Documents with each bucket, over the whole corpus, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, n, total, seen = Buckets(), np.zeros(DIM, np.int64), 0, []
+        n, total = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.extend(set(map(look.__getitem__, set(terms(t)))))
-                total += 1
-                if len(seen) >= WORDS:
-                    n += np.bincount(seen, minlength=DIM)
-                    seen.clear()
-        n += np.bincount(np.array(seen, np.int64), minlength=DIM)
+            for low in batches_of(batch.column(0).to_pylist()):
+                lengths, ids = located(low)
+                n += np.bincount(np.unique(np.repeat(np.arange(len(low)), lengths) * DIM + ids) % DIM, minlength=DIM)
+                total += len(low)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], ["bucket", "n"])
 
@@ -180,7 +226,8 @@ def drawn_passages(docs: DataFrame, text: str, total: int, most: int) -> DataFra
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [passages(np.array([bucket(w) for w in ws], np.int64))[h % max(1, -(-len(ws) // STEP) - 1)].tolist() for t, h in zip(pdf["t"], pdf["h"], strict=True) if (ws := terms(t))]
+            found = ((hashed(t.lower())[1], h) for t, h in zip(pdf["t"], pdf["h"], strict=True) if t)
+            rows = [p[h % len(p)].tolist() for ids, h in found if len(ids) for p in [passages(ids)]]
             yield pd.DataFrame({"buckets": rows})
 
     return written(d.mapInPandas(cut, "buckets array<int>"), "lsa-corpus")
@@ -217,12 +264,12 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
 
 
 def fit_block(corpus: DataFrame, items: list[tuple[int, list[str]]], idf: np.ndarray) -> Index:
-    look = Buckets()
-    used = sorted({look[w] for _, ws in items for w in ws})
+    ids = [hashed(" ".join(ws))[1] for _, ws in items]
+    used = np.unique(np.concatenate(ids))
     rows = np.full(DIM, len(used), np.int32)
     rows[used] = np.arange(len(used))
     weights = np.append(idf[used], 0.0)
-    own = [p for _, ws in items for p in passages(rows[[look[w] for w in ws]])]
+    own = [p for x in ids for p in passages(rows[x])]
     owner = np.repeat(np.arange(len(items)), [len(passages(np.array(ws))) for _, ws in items])
 
     def square(p: np.ndarray) -> float:
@@ -252,12 +299,6 @@ def fit_block(corpus: DataFrame, items: list[tuple[int, list[str]]], idf: np.nda
     return Index(rows, idf, basis, items, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12), owner)
 
 
-def located(docs: list[list[str]], look: Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each document, and the buckets of all their words."""
-    lengths = np.array([len(d) for d in docs], np.int64)
-    return lengths, np.fromiter(map(look.__getitem__, chain.from_iterable(docs)), np.int64, int(lengths.sum()))
-
-
 class Searcher:
     def __init__(self, index: Index) -> None:
         self.index = index
@@ -268,7 +309,7 @@ class Searcher:
 
     def candidates(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, float]]:
         """(document, first word of the passage, item, cosine) of the pairs that reach ENERGY and COSINE."""
-        return self.search(*located(docs, Buckets()))
+        return self.search(*located([" ".join(d) for d in docs]))
 
     def search(self, lengths: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         x = self.index
@@ -350,8 +391,8 @@ class Searcher:
             return 0.0, 0.0
         return whole.longest(there) / whole.length, answer.longest(answer.shared(region)) / answer.length
 
-    def batch(self, docs: list[list[str]], lengths: np.ndarray, ids: np.ndarray) -> list[list[tuple[int, float, float, bool]]]:
-        best: list[dict[int, tuple]] = [{} for _ in docs]
+    def batch(self, docs: Words, lengths: np.ndarray, ids: np.ndarray) -> list[list[tuple[int, float, float, bool]]]:
+        best: list[dict[int, tuple]] = [{} for _ in lengths]
         tried: dict[tuple[int, int, int], tuple[float, float]] = {}
         for d, at, i, cos in self.search(lengths, ids):
             if (d, at, i) not in tried:
@@ -364,23 +405,13 @@ class Searcher:
         return [[(self.index.items[i][0], *x) for i, x in sorted(b.items())] for b in best]
 
 
-def leaks(searchers: list[Searcher], texts: list[str | None], look: Buckets | None = None) -> Iterator[list[tuple[int, float, float, bool]]]:
+def leaks(searchers: list[Searcher], texts: list[str | None]) -> Iterator[list[tuple[int, float, float, bool]]]:
     """Per text: (item id, best cosine, LCS share, answer found) of the items that it holds."""
-    docs, size, look = [], 0, look if look is not None else Buckets()
-
-    def found() -> Iterator[list]:
-        where = located(docs, look)
-        for rows in zip(*[s.batch(docs, *where) for s in searchers], strict=True):
+    for low in batches_of(texts):
+        where, words = located(low), Words(low)
+        for rows in zip(*[s.batch(words, *where) for s in searchers], strict=True):
             yield sorted(x for r in rows for x in r)
 
-    for t in texts:
-        docs.append(terms(t))
-        size += len(docs[-1])
-        if size >= WORDS:
-            yield from found()
-            docs, size = [], 0
-    yield from found()
-
 
 KIND = "array<struct<item_id long, cosine double, lcs double, answer boolean>>"
 
@@ -393,13 +424,13 @@ def leaked_items(indexes: list[Index], docs: DataFrame, text: str = "text") -> C
         shipped = docs.sparkSession.sparkContext.broadcast(group)
 
         def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            searchers, look = [Searcher(x) for x in shipped.value], Buckets()
+            searchers = [Searcher(x) for x in shipped.value]
             for column in batches:
                 out = []
                 for lo in range(0, len(column), 1000):
-                    out += leaks(searchers, column.slice(lo, 1000).to_pylist(), look)
+                    out += leaks(searchers, column.slice(lo, 1000).to_pylist())
                 yield pa.array([[dict(zip(("item_id", "cosine", "lcs", "answer"), x, strict=True)) for x in row] for row in out], kind)
-            del searchers, look
+            del searchers
             release()
 
         # not deterministic to the optimizer, so that a filter on the result doesn't evaluate it again
