@@ -4,6 +4,30 @@ The others rest on trained models or hash-ranked samples; tests hold them agains
 round trips or held-out accuracy.
 """
 
+#: CRC-32's table, by its polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i))"
+
+
+def _codes(parts: int, rounds: int, scale: int, entries: int) -> str:
+    """Rounds of assignment and means, one table expression after the other."""
+    steps, found = [], ""
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT x.r, x.p, min({{'d': d, 'e': e}}) AS best FROM (SELECT q.r, q.p, b.e, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - b.v[i]) * (q.v[i] - b.v[i])))::BIGINT AS d FROM q JOIN b{r} b USING (p)) x GROUP BY x.r, x.p)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, e, list(m ORDER BY i) AS v FROM (SELECT q.p, a.best.e AS e, u.i, floor(sum(q.v[u.i]) / count(*))::BIGINT AS m FROM q JOIN a{r} a USING (r, p), LATERAL (SELECT unnest(range(1, len(q.v) + 1)) AS i) u GROUP BY ALL) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m USING (p, e))""")
+    found = ",\n".join(steps)
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM k, range({parts}) t(p)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k),
+b0 AS MATERIALIZED (SELECT q.p, f.e, q.v FROM q JOIN f USING (r) WHERE f.e < {entries}),
+{found},
+h AS (SELECT sha256(string_agg(list_aggregate(v, 'string_agg', ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+c AS (SELECT k.r, k.vec_id, k.label, string_agg(lower(printf('%02x', a.best.e)), '' ORDER BY a.p) AS code, sum(a.best.d)::BIGINT AS error FROM k JOIN a{rounds} a USING (r) GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256, label FROM c, h"""
+
+
 SQL: dict[str, str] = {
     "op1_warc_capture_index": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
@@ -65,4 +89,30 @@ t AS (SELECT vec_id, r, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v),
 s AS (SELECT a.vec_id AS query_id, a.r AS query_row, b.vec_id, b.r, sum(a.x * b.x)::BIGINT AS score FROM t a JOIN t b USING (i) WHERE a.vec_id % 50 = 0 AND a.r <> b.r GROUP BY ALL),
 k AS (SELECT query_id, (row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op11_bottom_k_fingerprints": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER w, first_value(text) OVER w, '') AS after FROM documents WINDOW w AS (ORDER BY doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, t, after, left(t, length(t) - length(t) // 4) || left(after, length(t) // 4) AS edited FROM d),
+w AS (SELECT *, list_transform([t, edited, after], lambda x: regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS ws FROM e),
+s AS (SELECT *, list_transform(ws, lambda w: CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [left(md5(array_to_string(w, ' ')), 16)] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: left(md5(array_to_string(w[i:i + 4], ' ')), 16))))[1:128] END) AS s FROM w),
+u AS (SELECT *, list_sort(list_distinct(s[1] || s[2]))[1:128] AS ue, list_sort(list_distinct(s[1] || s[3]))[1:128] AS un FROM s),
+j AS (SELECT *, CASE WHEN len(ue) = 0 THEN 1 ELSE len(list_intersect(list_intersect(ue, s[1]), s[2]))::DOUBLE / len(ue)::DOUBLE END AS near_edited, CASE WHEN len(un) = 0 THEN 1 ELSE len(list_intersect(list_intersect(un, s[1]), s[3]))::DOUBLE / len(un)::DOUBLE END AS near_next,
+  CASE WHEN len(s[1]) < 128 THEN len(s[1])::DOUBLE ELSE 127::DOUBLE / ((('0x' || s[1][-1])::UBIGINT::DOUBLE + 1) / 18446744073709551616::DOUBLE) END AS n_distinct, CASE WHEN len(un) < 128 THEN len(un)::DOUBLE ELSE 127::DOUBLE / ((('0x' || un[-1])::UBIGINT::DOUBLE + 1) / 18446744073709551616::DOUBLE) END AS n_both FROM u)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s[1], '') AS fingerprint, array_to_string(s[2], '') AS edited_fingerprint, near_edited::DOUBLE AS near_edited, near_next::DOUBLE AS near_next, n_distinct,
+  CASE WHEN len(s[1]) = 0 THEN 1::DOUBLE ELSE least(1::DOUBLE, near_next * n_both / n_distinct) END AS in_next FROM j""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+c AS (SELECT doc_id, r, count(*) AS n FROM r GROUP BY ALL),
+x AS (SELECT r, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM c),
+h AS (SELECT r, n, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM x, t),
+z AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word, n FROM h),
+d AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM z WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+g AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS less FROM d, LATERAL (SELECT unnest(range(length(word))) AS i) u),
+e AS (SELECT a.word, b.word AS near, b.n FROM g a JOIN g b ON a.less = b.less AND a.i = b.i AND a.word <> b.word UNION SELECT g.word, d.word, d.n FROM g JOIN d ON g.less = d.word UNION SELECT d.word, g.word, g.n FROM g JOIN d ON g.less = d.word),
+b AS (SELECT word, count(*) AS n_near, min({{'n': -n, 'w': near}}) AS best FROM e GROUP BY word),
+f AS MATERIALIZED (SELECT d.word, d.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN -b.best.n >= 10 * d.n THEN b.best.w END AS form, CASE WHEN -b.best.n >= 10 * d.n THEN (-b.best.n)::BIGINT END AS form_n FROM d LEFT JOIN b USING (word)),
+w AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT w.word, f.form, step + 1 FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL),
+l AS (SELECT word, arg_max(root, step) AS root FROM w GROUP BY word)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM f JOIN l USING (word)""",
+    "op13_vector_codes": _codes(4, 4, 1024, 256),
 }

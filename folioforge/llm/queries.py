@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, jaccard, langid, lm, mixing, pii, topk, toxicity, warc
+from . import codes, conversations, decontaminate, jaccard, langid, lm, mixing, pii, sketch, spelling, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -61,6 +61,18 @@ def op10_log_bilinear_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, counts, head, model)
 
 
+def op11_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.dictionary(table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_source_mix": op2_source_mix,
@@ -72,4 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_log_bilinear_scoring": op10_log_bilinear_scoring,
+    "op11_bottom_k_fingerprints": op11_bottom_k_fingerprints,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_vector_codes": op13_vector_codes,
 }
