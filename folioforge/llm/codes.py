@@ -22,7 +22,9 @@ from .common import fresh, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Entries of a tree's leaf, and vectors that go through a tree together.
-LEAF, TOGETHER = 8, 8_192
+LEAF, TOGETHER = 32, 8_192
+#: Vectors that meet a leaf's entries at once.
+CHUNK = 512
 #: Components below this are squared and summed in 64 bits, up to 128 in a part; others as unbounded integers.
 SMALL = 2.0**27
 #: Relative margin of a distance as a double: conversion, root and rounding each err by less than 2**-52.
@@ -77,18 +79,21 @@ def nearest(points: np.ndarray, book: np.ndarray, top: Node) -> tuple[np.ndarray
     index, best, reach = np.zeros(len(points), np.int64), squared(points, book[0]), np.empty(len(points))
     reach[:] = _above(best)
 
-    def take(at: np.ndarray, entry: int, d2: np.ndarray) -> None:
+    def take(at: np.ndarray, entry: np.ndarray | int, d2: np.ndarray) -> None:
         better = (d2 < best[at]) | ((d2 == best[at]) & (entry < index[at]))
         who = at[better]
-        index[who], best[who] = entry, d2[better]
+        index[who], best[who] = np.broadcast_to(entry, at.shape)[better], d2[better]
         reach[who] = _above(best[who])
 
     def visit(node: Node, at: np.ndarray) -> None:
         if not len(at):
             return
         if node.entries is not None:
-            for entry in node.entries.tolist():
-                take(at, entry, squared(points[at], book[entry]))
+            for lo in range(0, len(at), CHUNK):
+                part = at[lo : lo + CHUNK]
+                every = squared(points[part][:, None], book[node.entries][None])
+                least = every.argmin(axis=1)  # entries ascend: the first of equal ones is the lowest
+                take(part, node.entries[least], every[np.arange(len(part)), least])
             return
         d2 = squared(points[at], book[node.vantage])
         take(at, node.vantage, d2)
@@ -139,6 +144,18 @@ def _vectors(batch: pa.RecordBatch, dims: int) -> np.ndarray:
     return _integers(flat, dims) if dims else np.zeros((n, 0), np.int64)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about TOGETHER: a search pays for each node it visits."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= TOGETHER:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def prepared(df: DataFrame, key: str, vector: str, label: str, scale: int = SCALE, parts: int = PARTS) -> DataFrame:
     """(id, label, v): floor(scale * component) of the vectors that take part, written to the shared folder.
 
@@ -170,7 +187,7 @@ def fit(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int
 
         def sums(batches: Iterator[pa.RecordBatch], books: Books = books) -> Iterator[pa.RecordBatch]:
             held = [(np.zeros(len(b), np.int64), np.zeros(b.shape, object)) for b in books.books]
-            for batch in batches:
+            for batch in _gathered(batches):
                 vectors = _vectors(batch, dims)
                 for (count, total), part, (index, _) in zip(held, np.split(vectors, parts, axis=1), books.assign(vectors), strict=True):
                     order = np.argsort(index, kind="stable")
@@ -197,7 +214,7 @@ def encode(rows: DataFrame, books: Books) -> DataFrame:
     schema = f"id long, code string, error long, label {kind.simpleString()}"
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             found = books.assign(_vectors(batch, dims))
             code = ["".join(f"{i:02x}" for i in c) for c in zip(*[index.tolist() for index, _ in found], strict=True)]
             error = [min(sum(e), TOP) for e in zip(*[d2.tolist() for _, d2 in found], strict=True)]
