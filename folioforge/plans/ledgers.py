@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, replay, steps
+from ..operators import asof, paths, replay, steps
 from ..sources import domain as dm
 from ..sources.domain import half_up
 from .queries import AS_OF, GROUP
@@ -47,3 +47,34 @@ def position_replay(spark, sf):
     d = replay.reconciled_positions(_rich(spark, sf), _anchors(spark, sf), dm.ORDER)
     digits = {"opening_quantity": 4, "opening_cost": 2, "residual_quantity": 4, "covered_quantity": 4, "avg_cost": 2, "realized": 2, "cost_sold": 2, "income": 0, "withheld": 0}
     return d.select(*[half_up(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in d.columns])
+
+
+#: Statements of lots, from month-end snapshots: positions start on different days, some lots later, some too low; some have none.
+LOT_FROM = "CASE (account_id + security_id) % 3 WHEN 0 THEN DATE '1995-06-30' WHEN 1 THEN DATE '1996-06-30' ELSE DATE '1997-06-30' END"
+LOT_QUANTITY = "CASE WHEN (account_id + 2 * security_id) % 7 = 0 THEN quantity - 960 ELSE quantity END"
+LATER_LOT = "(account_id + security_id) % 9 = 0 AND as_of_date >= CASE WHEN account_id % 2 = 0 THEN DATE '1997-09-01' ELSE DATE '1995-01-01' END"
+REF = "concat(l_orderkey, '-', l_linenumber, '-', l_partkey)"
+
+
+def _lot_statements(spark: SparkSession, sf: str) -> DataFrame:
+    s = dm.snapshots(dm.ledger(spark, sf)).where(f"NOT {CLOSED} AND as_of_date >= {LOT_FROM}")
+    one = s.select(*GROUP, F.lit(0).alias("lot_seq"), "as_of_date", F.expr(LOT_QUANTITY).alias("quantity"))
+    return one.unionByName(s.where(LATER_LOT).select(*GROUP, F.lit(1).alias("lot_seq"), "as_of_date", F.lit(10).cast("long").alias("quantity")))
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.quantity_paths(_rich(spark, sf).withColumn("ref", F.expr(REF)), _lot_statements(spark, sf), dm.ORDER)
+
+
+@query
+def quantity_paths(spark, sf):
+    """What every position held before its first statement, a row for each change, or why that is unknown."""
+    p = _paths(spark, sf)
+    return p.select(*GROUP, "status", "before", half_up(F.col("opening"), 4).alias("opening"), F.explode_outer("changes").alias("c")).select(*GROUP, "status", "before", "opening", F.col("c.day").alias("day"), half_up(F.col("c.quantity"), 4).alias("quantity"))
+
+
+@query
+def path_days(spark, sf):
+    """Quantities of every security on each day of a quarter before statements start, and how much of it is an estimate."""
+    d = paths.path_days(_paths(spark, sf), "1996-01-01", "1996-03-31")
+    return d.groupBy("security_id", "day").agg(half_up(F.sum("quantity"), 2).alias("quantity"), half_up(F.sum(F.when(F.col("estimated"), F.col("quantity")).otherwise(0.0)), 2).alias("estimated"), F.count("*").alias("positions"))

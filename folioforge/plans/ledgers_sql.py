@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .ledgers import ANCHOR, CLOSED
+from .ledgers import ANCHOR, CLOSED, LATER_LOT, LOT_FROM, LOT_QUANTITY
 from .oracle import LEDGER, SNAP, r
 from .wealth_sql import COLUMNS, DELTA, MULT, PROCEEDS
 
@@ -50,7 +50,28 @@ fin AS (SELECT q.*, c.c0, c.bad, c.costless, coalesce(c.coverage, 'unreconciled'
 av AS (SELECT *, CASE WHEN cov = 'full' AND held > 0 THEN pool * divisor / held WHEN cov = 'partial' THEN held_cost END AS av FROM fin)
 """
 
+#: Trades undone one after the other from the anchor; at the start of a day the quantity is checked and settled.
+PATHS = f"""WITH RECURSIVE {RICH},
+st AS (SELECT {G}, 0 AS lot_seq, as_of_date, {LOT_QUANTITY} AS quantity FROM snap WHERE NOT {CLOSED} AND as_of_date >= {LOT_FROM} UNION ALL SELECT {G}, 1, as_of_date, 10 FROM snap WHERE NOT {CLOSED} AND as_of_date >= {LOT_FROM} AND {LATER_LOT}),
+mv AS (SELECT * FROM rich WHERE mult IS NOT NULL),
+f AS (SELECT {G}, min(s) AS first, max(s) AS latest FROM (SELECT {G}, lot_seq, min(as_of_date) AS s FROM st GROUP BY ALL) GROUP BY ALL),
+fr AS (SELECT {G}, min(as_of_date) AS free FROM (SELECT {G}, as_of_date FROM st EXCEPT SELECT {G}, trade_date FROM mv) GROUP BY ALL),
+an AS (SELECT {G}, first, latest, coalesce(free, first) AS anchor FROM f LEFT JOIN fr USING ({G})),
+hl AS (SELECT {G}, sum(q)::DOUBLE AS held FROM (SELECT {G}, lot_seq, arg_max(quantity, as_of_date) AS q FROM st JOIN an USING ({G}) WHERE as_of_date <= anchor GROUP BY ALL) GROUP BY ALL),
+ps AS (SELECT {G}, first, latest, anchor, CASE WHEN first IS NULL THEN 0 ELSE held END AS held, t.early FROM (SELECT {G} FROM an UNION SELECT {G} FROM mv) LEFT JOIN an USING ({G}) LEFT JOIN hl USING ({G}) LEFT JOIN (SELECT {G}, min(trade_date) AS early FROM mv GROUP BY ALL) t USING ({G})),
+un AS (SELECT mv.account_id, mv.security_id, trade_date, mult, delta, first, row_number() OVER w AS n, lead(trade_date) OVER w IS DISTINCT FROM trade_date AS ends FROM mv JOIN ps USING ({G}) WHERE first IS NULL OR trade_date <= anchor WINDOW w AS (PARTITION BY mv.account_id, mv.security_id ORDER BY trade_date DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC)),
+wk AS (SELECT {G}, 0::BIGINT AS n, held AS q, false AS bad, held AS after, NULL::DATE AS day FROM ps
+  UNION ALL SELECT w.account_id, w.security_id, u.n, CASE WHEN u.ends AND abs((w.q - u.delta) / u.mult) <= 1e-7 THEN 0 ELSE (w.q - u.delta) / u.mult END, w.bad OR (u.ends AND (w.q - u.delta) / u.mult < -1e-7), CASE WHEN w.day IS DISTINCT FROM u.trade_date THEN w.q ELSE w.after END, u.trade_date
+  FROM wk w JOIN un u ON u.account_id = w.account_id AND u.security_id = w.security_id AND u.n = w.n + 1),
+en AS (SELECT {G}, arg_max(q, n) AS opening, bool_or(bad) AS bad FROM wk GROUP BY ALL),
+sx AS (SELECT ps.*, opening, CASE WHEN first IS NULL THEN CASE WHEN bad THEN 'no_snapshot' ELSE 'closed' END WHEN early IS NULL THEN 'no_trades' WHEN first <> latest THEN 'lots_differ' WHEN anchor = first AND early >= first THEN 'no_earlier_trades' WHEN bad THEN 'inconsistent' ELSE 'traced' END AS status FROM ps JOIN en USING ({G})),
+ch AS (SELECT {G}, day, any_value(after) AS quantity FROM wk JOIN sx USING ({G}) WHERE day IS NOT NULL AND status IN ('traced', 'closed') AND (first IS NULL OR day < first) GROUP BY ALL)"""
+
 SQL: dict[str, str] = {
+    "quantity_paths": f"""{PATHS} SELECT {G}, status, first AS before, {r("CASE WHEN status IN ('traced', 'closed') THEN opening END")} AS opening, day, {r('quantity')} AS quantity FROM sx LEFT JOIN ch USING ({G})""",
+    "path_days": f"""{PATHS}, dy AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-03-31', INTERVAL 1 DAY))::DATE AS day),
+onday AS (SELECT sx.account_id, sx.security_id, dy.day, c.quantity AS q, opening FROM sx JOIN dy ON (first IS NULL OR dy.day < first) ASOF LEFT JOIN ch c ON c.account_id = sx.account_id AND c.security_id = sx.security_id AND dy.day >= c.day WHERE status IN ('traced', 'closed'))
+SELECT security_id, day, {r('sum(coalesce(q, opening))', 2)} AS quantity, {r('sum(CASE WHEN q IS NULL AND opening > 1e-7 THEN opening ELSE 0 END)', 2)} AS estimated, count(*) AS positions FROM onday GROUP BY security_id, day""",
     "position_replay": f"""{REPLAY} SELECT {G}, cov AS coverage, closed, {r('q0')} AS opening_quantity, {r("CASE WHEN cov = 'partial' THEN c0 END", 2)} AS opening_cost, {r('rest')} AS residual_quantity, {r('held - rest')} AS covered_quantity, {r('av', 2)} AS avg_cost,
   {r('CASE WHEN sales > 0 THEN realized END', 2)} AS realized, {r('CASE WHEN sales > 0 THEN sold END', 2)} AS cost_sold, {r('CASE WHEN NOT fremd THEN income END', 0)} AS income, {r('CASE WHEN NOT fremd THEN withheld END', 0)} AS withheld, CASE WHEN NOT fremd THEN tx_count END AS tx_count,
   CASE WHEN NOT fremd THEN first_trade END AS first_trade, CASE WHEN NOT fremd THEN last_trade END AS last_trade, CASE WHEN rest IS NOT NULL THEN CASE WHEN cov = 'full' AND first_buy IS NOT NULL THEN first_buy ELSE coalesce(held_since, first_buy) END END AS acquired_on,

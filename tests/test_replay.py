@@ -6,7 +6,7 @@ from fractions import Fraction as Q
 
 import pytest
 
-from folioforge.operators import replay
+from folioforge.operators import paths, replay
 
 TX = "account_id long, security_id long, trade_date date, id long, kind string, quantity double, unit_price double, gross_amount double, net_amount double, fee double, tax double, split_ratio double, divisor long, currency string"
 ANCHOR = "account_id long, security_id long, as_of_date date, quantity double, avg_cost double, currency string, lots int, acquired_on date"
@@ -131,3 +131,129 @@ def test_replay_of_odd_ledgers(spark):
     assert (got[2].coverage, got[2].opening_quantity, got[2].opening_cost, got[2].acquired_on) == ("partial", 3.0, 7.0, DAY)
     assert (got[3].coverage, got[3].avg_cost, got[3].costless_transfers, got[3].applies) == ("full", 0.0, 1, False)
     assert replay.reconciled_positions(spark.createDataFrame([], TX), anchors, ["id"]).collect() == []
+
+
+# paths
+
+
+MOVES = "account_id long, security_id long, trade_date date, id long, ref string, kind string, quantity double, split_ratio double"
+STATEMENTS = "account_id long, security_id long, lot_seq int, as_of_date date, quantity double"
+EPS = Q(1, 10**7)
+
+
+def moved(t, q):
+    return q + Q(t[6]) if t[5] in replay.ACQUIRES else q - Q(t[6]) if t[5] in ("sell", "transfer_out") else q * Q(t[7])
+
+
+def undo(txs, held, until):
+    q, changes = held, []
+    for day in sorted({t[2] for t in txs}, reverse=True):
+        if until is None or day < until:
+            changes.append((day, q))
+        for t in [t for t in txs if t[2] == day][::-1]:
+            q = q - Q(t[6]) if t[5] in replay.ACQUIRES else q + Q(t[6]) if t[5] in ("sell", "transfer_out") else q / Q(t[7])
+        if q < -EPS:
+            return None
+        q = Q(0) if abs(q) <= EPS else q
+    return q, changes[::-1]
+
+
+def recorded(txs, link, kind):
+    return any(t[5] == kind and -7 <= (t[2] - link[3]).days <= 30 for t in txs)
+
+
+def plain_path(txs, snaps, into, out):
+    """(status, opening, changes) of one position."""
+    virtual = lambda x, kind: (0, 0, x[3], -1, "", kind, x[4], None)
+    order = lambda ts: sorted(ts, key=lambda t: (t[2], t[3]))
+    if not snaps:
+        txs = order([*txs, *(virtual(x, "transfer_in") for x in into if not recorded(txs, x, "transfer_in")), *(virtual(x, "transfer_out") for x in out if not recorded(txs, x, "transfer_out"))])
+        found = undo(txs, Q(0), None)
+        return ("closed", *found) if found else ("no_snapshot", None, None)
+    if not txs and not into:
+        return ("no_trades", None, None)
+    lots = {}
+    for s in sorted(snaps, key=lambda s: s[3]):
+        lots.setdefault(s[2], []).append((s[3], Q(s[4])))
+    starts = {v[0][0] for v in lots.values()}
+    if len(starts) > 1:
+        return ("lots_differ", None, None)
+    first = starts.pop()
+    if into and not any(t[2] < first for t in txs):
+        arrived = sorted((x[3], Q(x[4])) for x in into if x[3] <= first)
+        if not arrived:
+            return ("no_earlier_trades", None, None)
+        q = opening = sum(v[0][1] for v in lots.values()) - sum(x[1] for x in arrived)
+        if opening < -EPS:
+            return ("inconsistent", None, None)
+        changes = {}
+        for day, n in arrived:
+            q += n
+            if day < first:
+                changes[day] = q
+        return ("linked", opening, sorted(changes.items()))
+    txs = order([*txs, *(virtual(x, "transfer_in") for x in into if x[3] < first and not recorded(txs, x, "transfer_in"))])
+    days = {t[2] for t in txs}
+    anchor = next((d for d in sorted({s[3] for s in snaps}) if d not in days), first)
+    if anchor == first and not any(d < first for d in days):
+        return ("no_earlier_trades", None, None)
+    held = sum([q for d, q in v if d <= anchor][-1] for v in lots.values())
+    found = undo([t for t in txs if t[2] <= anchor], held, first)
+    return ("traced", *found) if found else ("inconsistent", None, None)
+
+
+def test_paths_equal_a_plain_walk(spark):
+    rng = random.Random(3)
+    day = lambda lo, hi: DAY + dt.timedelta(rng.randint(lo, hi))
+    groups, snaps, links = {}, {}, []
+    for a in range(300):
+        n, txs, q = rng.choice([0, 1, 3, 12]), [], 0
+        for i in range(n):
+            kind = rng.choices(["buy", "sell", "transfer_in", "transfer_out", "split"], [5, 2, 1, 1, 1])[0]
+            txs.append((a, 1, day(0, 60), i, f"{a}-{i}", kind, float(rng.randint(1, 9)), rng.choice([2.0, 0.5]) if kind == "split" else None))
+        groups[a] = sorted(txs, key=lambda t: (t[2], t[3]))
+        q = Q(rng.choice([0, 5, 60]))
+        snaps[a] = []
+        if rng.random() < 0.8:
+            dates = sorted({day(0, 90) for _ in range(rng.choice([1, 2, 4]))})
+            begin = {0: 0, 1: rng.choice([0, 0, 1])}
+            for lot in range(rng.choice([1, 1, 2])):
+                for d in dates[begin[lot] :]:
+                    held = q
+                    for t in groups[a]:
+                        if t[2] <= d:
+                            held = moved(t, held)
+                    snaps[a].append((a, 1, lot, d, float(held) if lot == 0 else 3.0))
+        if rng.random() < 0.3:
+            links.append((1, rng.randrange(300), a, day(0, 70), float(rng.randint(1, 20)), [f"{a}-{rng.randrange(4)}"]))
+    absorbed = {r for x in links for r in x[5]}
+    keys = {a for a in groups if groups[a] or snaps[a]}
+    expected = {}
+    for a in range(300):
+        txs = [t for t in groups[a] if t[4] not in absorbed]
+        into, out = [x for x in links if x[2] == a], [x for x in links if x[1] == a]
+        if txs or snaps[a] or into:
+            expected[a] = plain_path(txs, snaps[a], into, out)
+    assert keys
+    tx = spark.createDataFrame([t for g in groups.values() for t in g], MOVES)
+    got = paths.quantity_paths(tx, spark.createDataFrame([s for g in snaps.values() for s in g], STATEMENTS), ["id"], spark.createDataFrame(links, paths.LINKS))
+    rows = {r.account_id: r for r in got.collect()}
+    assert set(rows) == set(expected)
+    for a, (status, opening, changes) in expected.items():
+        r = rows[a]
+        assert r.status == status and close(r.opening, opening), (a, r, expected[a])
+        assert (r.changes is None) == (changes is None) and (changes is None or [c.day for c in r.changes] == [d for d, _ in changes] and all(close(c.quantity, q) for c, (_, q) in zip(r.changes, changes, strict=True))), (a, r, expected[a])
+    assert {r.status for r in rows.values()} >= {"traced", "linked", "closed", "no_snapshot", "no_trades", "no_earlier_trades", "lots_differ", "inconsistent"}
+    # on every day a path is its last change, or the opening quantity
+    on = {(r.account_id, r.day): (r.quantity, r.estimated) for r in paths.path_days(got, "2020-01-10", "2020-02-10").collect()}
+    for a, r in rows.items():
+        for d in (dt.date(2020, 1, 10), dt.date(2020, 1, 25), dt.date(2020, 2, 10)):
+            if r.changes is not None and (r.before is None or d < r.before):
+                seen = [c.quantity for c in r.changes if c.day <= d]
+                assert on[a, d] == (seen[-1], False) if seen else on[a, d] == (r.opening, r.opening > 1e-7)
+            else:
+                assert (a, d) not in on
+
+
+def test_paths_of_empty_tables(spark):
+    assert paths.quantity_paths(spark.createDataFrame([], MOVES), spark.createDataFrame([], STATEMENTS), ["id"]).collect() == []
