@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, paths, replay, steps
+from ..operators import asof, paths, replay, steps, transfers
 from ..sources import domain as dm
 from ..sources.domain import half_up
 from .queries import AS_OF, GROUP
@@ -78,3 +78,54 @@ def path_days(spark, sf):
     """Quantities of every security on each day of a quarter before statements start, and how much of it is an estimate."""
     d = paths.path_days(_paths(spark, sf), "1996-01-01", "1996-03-31")
     return d.groupBy("security_id", "day").agg(half_up(F.sum("quantity"), 2).alias("quantity"), half_up(F.sum(F.when(F.col("estimated"), F.col("quantity")).otherwise(0.0)), 2).alias("estimated"), F.count("*").alias("positions"))
+
+
+#: Transfers of customers' positions: a departure for every eighth part, and how the security appears elsewhere.
+DEPARTS = "l_partkey % 8 = 0"
+ARRIVES = "CASE l_linenumber % 5 WHEN 0 THEN 'nowhere' WHEN 1 THEN 'ledger' WHEN 2 THEN 'statement' WHEN 3 THEN 'back' ELSE 'other quantity' END"
+MOVED = {"account_id": "l_orderkey % 5000", "other": "(l_orderkey + 1 + l_partkey % 50) % 5000"}
+TRADE = ["account_id", "security_id", "trade_date", "settle_date", "kind", "quantity", "unit_price", "split_ratio", "ref"]
+
+
+def _moves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(trades, statements) of accounts by order: purchases and sales, and transfers with their arrivals as ARRIVES says."""
+    d = _rich(spark, sf).withColumn("price", F.floor(F.col("gross") / F.col("quantity"))).withColumn("ref", F.expr(REF))
+    d = d.withColumns({k: F.expr(x) for k, x in MOVED.items()}).withColumn("way", F.expr(ARRIVES))
+    row = lambda d, account, day, kind, quantity, tag: d.select(
+        F.col(account).cast("long").alias("account_id"), "security_id", day.alias("trade_date"), F.date_add(day, 2).alias("settle_date"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"),
+        quantity.cast("double").alias("quantity"), F.col("price").cast("double").alias("unit_price"), F.lit(None).cast("double").alias("split_ratio"), F.concat("ref", F.lit(tag)).alias("ref"))
+    day, q = F.col("trade_date"), F.col("quantity")
+    out = d.where(DEPARTS)
+    plain = row(d.where(f"NOT {DEPARTS} AND l_partkey % 5 = 0"), "account_id", day, F.when(F.col("tx_type") == "sell", "sell").otherwise("buy"), q, "")
+    gone = row(out, "account_id", day, "transfer_out", q, "-out")
+    came = row(out.where("way = 'ledger'"), "other", F.date_add(day, (F.col("l_partkey") % 40).cast("int")), "transfer_in", q, "-in")
+    back = row(out.where("way = 'back'"), "account_id", F.date_add(day, (F.col("l_partkey") % 14).cast("int")), "transfer_in", q - 1, "-in")
+    more = row(out.where("way = 'other quantity'"), "other", F.date_add(day, 3), "transfer_in", q + 1, "-in")
+    stated = out.where("way = 'statement'").select(F.col("other").cast("long").alias("account_id"), "security_id", F.lit(0).alias("lot_seq"), F.date_add(day, (F.col("l_partkey") % 500).cast("int")).alias("as_of_date"), q.cast("double").alias("quantity"), F.col("price").cast("double").alias("avg_cost"))
+    fell = d.where("l_partkey % 32 = 4").select(F.col("account_id").cast("long").alias("account_id"), "security_id", F.lit(0).alias("lot_seq"), F.explode(F.array(F.struct(day.alias("as_of_date"), q.cast("double").alias("quantity")), F.struct(F.date_add(day, 30).alias("as_of_date"), F.lit(0.0).alias("quantity")))).alias("x"), F.col("price").cast("double").alias("avg_cost"))
+    moved = stated.unionByName(fell.select("account_id", "security_id", "lot_seq", "x.as_of_date", "x.quantity", "avg_cost"))
+    statements = moved.groupBy(*GROUP, "lot_seq", "as_of_date").agg(F.max("quantity").alias("quantity"), F.max("avg_cost").alias("avg_cost"))
+    return plain.unionByName(gone).unionByName(came).unionByName(back).unionByName(more), statements
+
+
+@query
+def ledger_departures(spark, sf):
+    """What transfers out of an account leave after transfers in of the days about them."""
+    d = transfers.ledger_departures(_moves(spark, sf)[0], ["trade_date", "ref"])
+    return d.select("security_id", "account_id", "date", "quantity", half_up(F.col("cost"), 2).alias("cost"), "closed")
+
+
+@query
+def snapshot_outflows(spark, sf):
+    """Positions whose statements fall to nothing without a sale or transfer out since the statement before."""
+    tx, statements = _moves(spark, sf)
+    return transfers.snapshot_departures(statements, tx).drop("source", "closed")
+
+
+@query
+def transfer_resolution(spark, sf):
+    """Every departure's outcome: the account that it went to, or that it has to be asked about; some are decided by hand."""
+    tx, statements = _moves(spark, sf)
+    sure = tx.where("kind = 'transfer_out' and security_id % 25 = 0").groupBy("security_id", F.col("account_id").alias("from_account"), F.col("trade_date").alias("date")).agg(F.sum("quantity").alias("quantity"))
+    manual = sure.select("security_id", "from_account", F.expr("CASE WHEN from_account % 2 = 0 THEN (from_account + 1) % 5000 END").alias("to_account"), "date", "quantity")
+    return transfers.resolved(tx, statements, ["trade_date", "ref"], manual).withColumn("absorbed", F.array_join("absorbed", ","))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .ledgers import ANCHOR, CLOSED, LATER_LOT, LOT_FROM, LOT_QUANTITY
+from .ledgers import ANCHOR, ARRIVES, CLOSED, DEPARTS, LATER_LOT, LOT_FROM, LOT_QUANTITY, MOVED, REF
 from .oracle import LEDGER, SNAP, r
 from .wealth_sql import COLUMNS, DELTA, MULT, PROCEEDS
 
@@ -67,7 +67,56 @@ en AS (SELECT {G}, arg_max(q, n) AS opening, bool_or(bad) AS bad FROM wk GROUP B
 sx AS (SELECT ps.*, opening, CASE WHEN first IS NULL THEN CASE WHEN bad THEN 'no_snapshot' ELSE 'closed' END WHEN early IS NULL THEN 'no_trades' WHEN first <> latest THEN 'lots_differ' WHEN anchor = first AND early >= first THEN 'no_earlier_trades' WHEN bad THEN 'inconsistent' ELSE 'traced' END AS status FROM ps JOIN en USING ({G})),
 ch AS (SELECT {G}, day, any_value(after) AS quantity FROM wk JOIN sx USING ({G}) WHERE day IS NOT NULL AND status IN ('traced', 'closed') AND (first IS NULL OR day < first) GROUP BY ALL)"""
 
+#: Trades and statements of the transfer queries; days: net transfers of a position's day; left: after cancelling pair by pair.
+MOVES = f"""WITH RECURSIVE {RICH},
+m0 AS (SELECT * EXCLUDE (account_id, mult, delta, proceeds), floor(gross / quantity)::DOUBLE AS price, {REF} AS ref, {', '.join(f'{x} AS {k}' for k, x in MOVED.items())}, {ARRIVES} AS way FROM rich),
+tx AS (SELECT account_id::BIGINT AS account_id, security_id, trade_date AS day, CASE tx_type WHEN 'sell' THEN 'sell' ELSE 'buy' END AS kind, quantity::DOUBLE AS q, price, ref FROM m0 WHERE NOT {DEPARTS} AND l_partkey % 5 = 0
+  UNION ALL SELECT account_id, security_id, trade_date, 'transfer_out', quantity, price, ref || '-out' FROM m0 WHERE {DEPARTS}
+  UNION ALL SELECT other, security_id, trade_date + (l_partkey % 40)::INTEGER, 'transfer_in', quantity, price, ref || '-in' FROM m0 WHERE {DEPARTS} AND way = 'ledger'
+  UNION ALL SELECT account_id, security_id, trade_date + (l_partkey % 14)::INTEGER, 'transfer_in', quantity - 1, price, ref || '-in' FROM m0 WHERE {DEPARTS} AND way = 'back'
+  UNION ALL SELECT other, security_id, trade_date + 3, 'transfer_in', quantity + 1, price, ref || '-in' FROM m0 WHERE {DEPARTS} AND way = 'other quantity'),
+st AS (SELECT account_id, security_id, day, max(q) AS q, max(price) AS price FROM (SELECT other::BIGINT AS account_id, security_id, trade_date + (l_partkey % 500)::INTEGER AS day, quantity::DOUBLE AS q, price FROM m0 WHERE {DEPARTS} AND way = 'statement'
+  UNION ALL SELECT account_id, security_id, trade_date, quantity, price FROM m0 WHERE l_partkey % 32 = 4 UNION ALL SELECT account_id, security_id, trade_date + 30, 0, price FROM m0 WHERE l_partkey % 32 = 4) GROUP BY ALL),
+sw AS (SELECT *, lag(q) OVER w AS was, lag(day) OVER w AS since, lag(CASE WHEN q > 1e-7 AND price > 0 THEN price END) OVER w AS was_cost FROM st WINDOW w AS (PARTITION BY account_id, security_id ORDER BY day)),
+fell AS (SELECT security_id, account_id, day AS date, was AS quantity, was_cost AS cost FROM sw WHERE was > 1e-7 AND q <= 1e-7 AND NOT EXISTS (SELECT 1 FROM tx t WHERE t.account_id = sw.account_id AND t.security_id = sw.security_id AND kind IN ('sell', 'transfer_out') AND t.day > since AND t.day <= sw.day)),
+dn AS (SELECT account_id, security_id, day, sum(CASE kind WHEN 'transfer_in' THEN q ELSE -q END) AS n, CASE WHEN count(*) FILTER (kind = 'transfer_out' AND NOT coalesce(price > 0, false)) = 0 THEN sum(CASE WHEN kind = 'transfer_out' THEN q * price END) / nullif(sum(CASE WHEN kind = 'transfer_out' THEN q END), 0) END AS cost FROM tx WHERE kind IN ('transfer_in', 'transfer_out') GROUP BY ALL),
+pr AS (SELECT o.account_id, o.security_id, o.day AS o, i.day AS i, row_number() OVER (PARTITION BY o.account_id, o.security_id ORDER BY o.day, abs(i.day - o.day), i.day) AS k FROM dn o JOIN dn i ON o.account_id = i.account_id AND o.security_id = i.security_id AND o.n < -1e-7 AND i.n > 1e-7 AND abs(i.day - o.day) <= 10),
+cn AS (SELECT account_id, security_id, 0::BIGINT AS k, list({{'d': day, 'n': n}}) AS s FROM dn GROUP BY ALL
+  UNION ALL SELECT account_id, security_id, k, list_transform(s, lambda x: {{'d': x.d, 'n': CASE WHEN x.d = o THEN x.n + u WHEN x.d = i THEN x.n - u ELSE x.n END}}) FROM
+    (SELECT c.account_id, c.security_id, p.k, c.s, p.o, p.i, greatest(least(list_filter(c.s, lambda x: x.d = p.i)[1].n, -(list_filter(c.s, lambda x: x.d = p.o)[1].n)), 0) AS u FROM cn c JOIN pr p ON p.account_id = c.account_id AND p.security_id = c.security_id AND p.k = c.k + 1)),
+lf AS (SELECT account_id, security_id, unnest(s) AS x FROM (SELECT account_id, security_id, arg_max(s, k) AS s FROM cn GROUP BY ALL)),
+bl AS (SELECT account_id, security_id, day, any_value(b) AS b, any_value(own) AS own, any_value(buys) AS buys FROM (SELECT account_id, security_id, day, sum(CASE WHEN kind IN ('buy', 'transfer_in') THEN q ELSE -q END) OVER (PARTITION BY account_id, security_id ORDER BY day) AS b, sum(CASE WHEN kind IN ('buy', 'transfer_in') THEN q ELSE -q END) OVER (PARTITION BY account_id, security_id, day) AS own, bool_or(kind = 'buy') OVER (PARTITION BY account_id, security_id, day) AS buys FROM tx) GROUP BY ALL),
+ld AS (SELECT dn.security_id, dn.account_id, dn.day AS date, -x.n AS quantity, cost, abs(b) <= 1e-7 AS closed FROM lf JOIN dn ON dn.account_id = lf.account_id AND dn.security_id = lf.security_id AND dn.day = x.d JOIN bl ON bl.account_id = dn.account_id AND bl.security_id = dn.security_id AND bl.day = dn.day WHERE x.n < -1e-7)"""
+#: Every departure with every account that could have its quantity, and what that account's records say.
+RESOLVED = f"""{MOVES},
+sure AS (SELECT security_id, account_id AS from_account, day AS date, sum(q) AS quantity, CASE WHEN account_id % 2 = 0 THEN (account_id + 1) % 5000 END AS to_account FROM tx WHERE kind = 'transfer_out' AND security_id % 25 = 0 GROUP BY ALL),
+od AS (SELECT *, 'ledger' AS source FROM ld UNION ALL BY NAME SELECT *, true AS closed, 'snapshot' AS source FROM fell),
+ask AS (SELECT security_id, account_id, date, quantity, cost, closed, source FROM od UNION ALL SELECT security_id, from_account, date, quantity, NULL, false, 'manual' FROM sure),
+who AS (SELECT account_id, security_id FROM tx UNION SELECT account_id, security_id FROM st),
+rec AS (SELECT account_id, security_id, min(day) AS first, max(day) AS last, min(CASE WHEN kind <> 'transfer_in' THEN day END) AS other, min(day) AS move FROM tx GROUP BY ALL),
+sr AS (SELECT account_id, security_id, min(day) AS first, max(day) AS last, min(CASE WHEN q > 1e-7 THEN day END) AS held, list({{'d': day, 'q': q, 'c': CASE WHEN q > 1e-7 AND price > 0 THEN price END}} ORDER BY day) AS s FROM st GROUP BY ALL),
+ti AS (SELECT account_id, security_id, list({{'d': day, 'q': q, 'p': price, 'r': ref}} ORDER BY day, ref) AS t FROM tx WHERE kind = 'transfer_in' GROUP BY ALL),
+pp AS (SELECT a.*, w.account_id AS b, rec.first AS rf, rec.last AS rl, rec.other, sr.first AS sf, sr.last AS sl, sr.held, s, list_filter(coalesce(t, []), lambda x: x.d < a.date - 7 OR x.d BETWEEN a.date - 7 AND a.date + 30 OR x.d + 2 BETWEEN a.date - 7 AND a.date + 30) AS ins, len(list_filter(coalesce(t, []), lambda x: x.d BETWEEN a.date - 7 AND a.date + 30 OR x.d + 2 BETWEEN a.date - 7 AND a.date + 30)) AS near
+  FROM ask a JOIN who w ON w.security_id = a.security_id AND w.account_id <> a.account_id LEFT JOIN rec ON rec.account_id = w.account_id AND rec.security_id = w.security_id LEFT JOIN sr ON sr.account_id = w.account_id AND sr.security_id = w.security_id LEFT JOIN ti ON ti.account_id = w.account_id AND ti.security_id = w.security_id),
+p2 AS (SELECT *, coalesce(held < date - 7, false) OR coalesce(other < date - 7, false) AS early, list_filter(coalesce(s, []), lambda x: x.d >= date - 7)[1] AS sn FROM pp WHERE near > 0 OR coalesce(rl >= date - 7, false) OR coalesce(sl >= date - 7, false)),
+p3 AS (SELECT p2.*, f.own AS fown, f.buys, e.b AS eb, CASE WHEN early THEN 'early' WHEN len(ins) > 0 THEN 'transfer_in' WHEN rf IS NOT NULL AND (sn IS NULL OR rf < sn.d) THEN 'trade' WHEN sn IS NOT NULL THEN 'snapshot' END AS kind FROM p2 LEFT JOIN bl f ON f.account_id = p2.b AND f.security_id = p2.security_id AND f.day = p2.rf LEFT JOIN bl e ON e.account_id = p2.b AND e.security_id = p2.security_id AND e.day = least(p2.rf, p2.sf)),
+p4 AS (SELECT security_id, account_id, date, source, quantity, b, kind, CASE kind WHEN 'early' THEN CASE WHEN sf IS NOT NULL AND sf <= coalesce(rf, sf) THEN s[1].q ELSE coalesce(eb, 0) END WHEN 'transfer_in' THEN list_sum(list_transform(ins, lambda x: x.q)) WHEN 'trade' THEN fown ELSE sn.q END AS q,
+  CASE kind WHEN 'transfer_in' THEN date WHEN 'snapshot' THEN sn.d END AS eff, CASE kind WHEN 'transfer_in' THEN CASE WHEN len(list_filter(ins, lambda x: NOT coalesce(x.p > 0, false))) = 0 THEN list_sum(list_transform(ins, lambda x: x.q * x.p)) / nullif(list_sum(list_transform(ins, lambda x: x.q)), 0) END WHEN 'snapshot' THEN sn.c END AS c, cost, CASE WHEN kind = 'transfer_in' THEN array_to_string(list_transform(ins, lambda x: x.r), ',') ELSE '' END AS refs FROM p3 WHERE kind IS NOT NULL),
+p5 AS (SELECT security_id, account_id, date, source, list({{'b': b, 'k': kind, 'e': eff, 'm': CASE WHEN cost > 0 AND c > 0 THEN abs(c - cost) / cost <= 0.02 END, 'r': refs}}) AS cands FROM p4 WHERE abs(q - quantity) <= 1e-7 GROUP BY ALL),
+sq AS (SELECT o.*, coalesce(cands, []) AS cands, row_number() OVER (PARTITION BY o.security_id ORDER BY o.date, o.account_id, o.source) AS n FROM od o LEFT JOIN p5 USING (security_id, account_id, date, source) LEFT JOIN sure m ON m.security_id = o.security_id AND m.from_account = o.account_id AND m.date = o.date WHERE m.date IS NULL),
+go AS (SELECT security_id, 0::BIGINT AS n, coalesce(any_value(u), []) AS used, NULL::BIGINT AS b, NULL::BOOLEAN AS m, '' AS r, 0::BIGINT AS found FROM od LEFT JOIN (SELECT security_id, list(to_account::BIGINT) AS u FROM sure WHERE to_account IS NOT NULL GROUP BY ALL) USING (security_id) GROUP BY security_id
+  UNION ALL SELECT security_id, n, CASE WHEN len(f) = 1 THEN list_append(used, f[1].b) ELSE used END, CASE WHEN len(f) = 1 THEN f[1].b END, CASE WHEN len(f) = 1 THEN f[1].m END, CASE WHEN len(f) = 1 THEN f[1].r ELSE '' END, found FROM
+    (SELECT *, list_filter(p, lambda x: x.e = list_min(list_transform(p, lambda y: y.e))) AS f FROM (SELECT *, CASE WHEN len(list_filter(pool, lambda x: coalesce(x.m, false))) > 0 THEN list_filter(pool, lambda x: coalesce(x.m, false)) ELSE pool END AS p FROM
+      (SELECT g.security_id, q.n, g.used, len(list_filter(q.cands, lambda x: NOT list_contains(g.used, x.b))) AS found, list_filter(q.cands, lambda x: NOT list_contains(g.used, x.b) AND x.k IN ('snapshot', 'transfer_in') AND coalesce(x.m, true) AND x.e - q.date <= 400) AS pool FROM go g JOIN sq q ON q.security_id = g.security_id AND q.n = g.n + 1)))),
+res AS (SELECT q.security_id, q.account_id AS from_account, q.date, q.quantity, q.source, g.b AS to_account, CASE WHEN g.b IS NOT NULL THEN 'auto' WHEN g.found > 0 OR (q.source = 'ledger' AND q.closed) THEN 'unresolved' END AS outcome, g.m AS cost_match, g.r AS absorbed, g.found AS matches FROM sq q JOIN go g ON g.security_id = q.security_id AND g.n = q.n)
+SELECT * FROM res WHERE outcome IS NOT NULL
+UNION ALL SELECT o.security_id, o.account_id, o.date, o.quantity, o.source, NULL, 'dismissed', NULL, '', 0 FROM od o JOIN sure m ON m.security_id = o.security_id AND m.from_account = o.account_id AND m.date = o.date WHERE m.to_account IS NULL
+UNION ALL SELECT m.security_id, m.from_account, m.date, m.quantity, 'manual', m.to_account, 'manual', NULL, coalesce(list_filter(p.cands, lambda x: x.k = 'transfer_in' AND x.b = m.to_account)[1].r, ''), 0 FROM sure m LEFT JOIN p5 p ON p.security_id = m.security_id AND p.account_id = m.from_account AND p.date = m.date AND p.source = 'manual' WHERE m.to_account IS NOT NULL"""
+
 SQL: dict[str, str] = {
+    "ledger_departures": f"{MOVES} SELECT security_id, account_id, date, quantity, {r('cost', 2)} AS cost, closed FROM ld",
+    "snapshot_outflows": f"{MOVES} SELECT * FROM fell",
+    "transfer_resolution": RESOLVED,
     "quantity_paths": f"""{PATHS} SELECT {G}, status, first AS before, {r("CASE WHEN status IN ('traced', 'closed') THEN opening END")} AS opening, day, {r('quantity')} AS quantity FROM sx LEFT JOIN ch USING ({G})""",
     "path_days": f"""{PATHS}, dy AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-03-31', INTERVAL 1 DAY))::DATE AS day),
 onday AS (SELECT sx.account_id, sx.security_id, dy.day, c.quantity AS q, opening FROM sx JOIN dy ON (first IS NULL OR dy.day < first) ASOF LEFT JOIN ch c ON c.account_id = sx.account_id AND c.security_id = sx.security_id AND dy.day >= c.day WHERE status IN ('traced', 'closed'))

@@ -231,16 +231,6 @@ def _snapshots(spark, sf):
     return dm.snapshots(dm.ledger(spark, sf))
 
 
-@query
-def snapshot_outflows(spark, sf):
-    """Positions that fell between two snapshots by more than the ledger's sales between them: what was left without a record."""
-    w = Window.partitionBy(*GROUP).orderBy("as_of_date")
-    s = _snapshots(spark, sf).select(*GROUP, "as_of_date", "quantity", F.lag("quantity").over(w).alias("before")).where("before is not null")
-    sold = dm.ledger(spark, sf).where("tx_type = 'sell' and l_partkey % 3 <> 0").groupBy(*GROUP, F.last_day("trade_date").alias("as_of_date")).agg(F.sum("quantity").alias("sold"))
-    d = s.join(sold, [*GROUP, "as_of_date"], "left").withColumn("fell", F.col("before") - F.col("quantity") - F.coalesce("sold", F.lit(0)))
-    return d.where("quantity < before and fell > 0").select(*GROUP, "as_of_date", F.col("fell").alias("outflow"))
-
-
 @query
 def weighted_anchor_cost(spark, sf):
     """Average cost of an account's costed lots by quantity; null and flagged where costed and uncosted ones mix."""

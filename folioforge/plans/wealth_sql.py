@@ -86,9 +86,6 @@ SELECT account_id, security_id, count(*) FILTER (trade_date > d) AS after_snapsh
     "tx_labels_classified": f"""WITH x AS (SELECT ({LABELS})[(l_partkey * 7 + l_linenumber) % 16 + 1] AS label FROM lineitem), g AS (SELECT label, count(*) AS n, lower(regexp_replace(trim(any_value(label)), '[(（\\[［].*?[)）\\]］]', '', 'g')) AS t FROM x GROUP BY label)
 SELECT label, n, CASE WHEN label IS NULL THEN NULL {' '.join(f"WHEN regexp_matches(t, '{w}') THEN '{k}'" for k, w in TYPES)} ELSE 'other' END AS kind FROM g""",
     "current_quantity": f"{BASE}, s AS (SELECT account_id, security_id, arg_max(quantity, as_of_date) AS q FROM snap GROUP BY ALL) SELECT security_id, sum(q)::BIGINT AS quantity FROM s GROUP BY 1 HAVING sum(q) <> 0",
-    "snapshot_outflows": f"""{BASE}, s AS (SELECT account_id, security_id, as_of_date, quantity, lag(quantity) OVER (PARTITION BY account_id, security_id ORDER BY as_of_date) AS before FROM snap),
-x AS (SELECT account_id, security_id, last_day(trade_date) AS as_of_date, sum(quantity) AS sold FROM ledger WHERE tx_type = 'sell' AND l_partkey % 3 <> 0 GROUP BY ALL)
-SELECT account_id, security_id, as_of_date, (before - quantity - coalesce(sold, 0))::BIGINT AS outflow FROM s LEFT JOIN x USING (account_id, security_id, as_of_date) WHERE quantity < before AND before - quantity - coalesce(sold, 0) > 0""",
     "weighted_anchor_cost": f"{ROUTED}, g AS (SELECT account_id, count(avg_cost) > 0 AND count(avg_cost) < count(*) AS mixed, {r('sum(quantity * avg_cost)::DOUBLE / nullif(sum(CASE WHEN avg_cost IS NOT NULL THEN quantity END)::DOUBLE, 0)', 2)} AS a, count(*) AS lots FROM lots GROUP BY 1) SELECT account_id, mixed, CASE WHEN NOT mixed THEN a END AS avg_cost, lots FROM g",
     "inferred_currency": f"{FULL}, g AS (SELECT account_id, currency, count(*) AS n, min((trade_date, l_orderkey, l_linenumber, l_partkey)) AS seen FROM rich GROUP BY ALL) SELECT account_id, currency, n FROM g QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY n DESC, seen) = 1",
     "classes_by_value": f"{ROUTED}, g AS (SELECT asset_class, {r('sum(value)', 2)} AS value FROM lots GROUP BY 1) SELECT *, row_number() OVER (ORDER BY asset_class = 'point', value DESC NULLS LAST, asset_class) AS position FROM g",
