@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_score
+from ..functions.names import compared, likeness, refined
 from ..sources.scratch import forget, written
 
 
@@ -49,19 +53,73 @@ def transfer_candidates(out: DataFrame, into: DataFrame, early: int = 7, late: i
     return j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= best)
 
 
-def suggested(names: DataFrame, universe: DataFrame, least: float = 0.5, best: int = 5) -> DataFrame:
-    """name, other, score, rank: the best names of the universe for each name, at a score of `least` and more.
+#: Names that are compared at once, letters that are counted at once, names of a block that travels.
+NAMES, LETTERS, PACKED = 512, 64, 20_000
+
+
+def _letters(names: list[str], columns: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(names), len(columns)), np.int16)
+    for i, name in enumerate(names):
+        for c in name:
+            if c in columns:
+                out[i, columns[c]] += 1
+    return out
 
-    Names meet if they share two letters in a row; a pair that reaches a half without any is not found. Lists of distinct
-    names are short next to the facts; the two letters' frequency is the cost.
+
+def alike(left: list[str], right: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """Positions and score of all pairs that reach `least`.
+
+    Matching blocks have no more letters than both names have in common, whatever their order, so the pairs whose
+    common letters are too few for `least` can't reach it: the others are scored. That loses nothing; where one name
+    holds the other, all letters of the shorter one are common.
+    """
+    a, b = [compared(x) for x in left], [compared(x) for x in right]
+    columns = {c: i for i, c in enumerate(sorted(set("".join(a)) & set("".join(b))))}
+    x, y = _letters(a, columns), _letters(b, columns)
+    common = np.zeros((len(a), len(b)), np.int32)
+    for lo in range(0, len(columns), LETTERS):
+        common += np.minimum(x[:, None, lo : lo + LETTERS], y[None, :, lo : lo + LETTERS]).sum(axis=2)
+    sizes = np.array([len(t) for t in a])[:, None] + np.array([len(t) for t in b])[None, :]
+    for i, j in zip(*np.nonzero((2 * common >= (least - 1e-4) * sizes) & (common > 0)), strict=True):
+        score = likeness(left[i], right[j])
+        if score >= least:
+            yield int(i), int(j), score
+
+
+def suggested(names: DataFrame, universe: DataFrame, least: float = 0.5, best: int = 5, blocks: int | None = None) -> DataFrame:
+    """name, other, score, refined, rank: the best names of the universe for each other name, at a score of `least` and more.
+
+    names (name) is the set that is asked about, universe (other) what is searched; both are made distinct, nulls take
+    no part. Names are packed into blocks; every block of names meets every block of the universe in a task, which
+    returns only the best of each name. refined is the likeness of what tells the two apart.
     """
-    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))
-    a = names.select("name", F.explode(F.array_distinct(pairs("name"))).alias("two"))
-    b = universe.select("other", F.explode(F.array_distinct(pairs("other"))).alias("two"))
-    met = a.join(b, "two").where("name <> other").select("name", "other").distinct()
-    scored = met.withColumn("score", name_score(F.col("name"), F.col("other"))).where(F.col("score") >= least)
+    names, universe = (written(d.select(c).where(f"{c} is not null").distinct(), "names") for d, c in ((names, "name"), (universe, "other")))
+    blocks = blocks or max(names.sparkSession.sparkContext.defaultParallelism, max(names.count(), universe.count()) // PACKED + 1)
+
+    def packed(d: DataFrame, column: str) -> DataFrame:
+        d = d.select(F.col(column).alias("x"))
+        return d.withColumn("g", F.pmod(F.xxhash64("x"), F.lit(blocks))).groupBy("g").agg(F.sort_array(F.collect_list("x")).alias(column))
+
+    a = packed(names, "name").withColumnRenamed("g", "ga")
+    b = packed(universe, "other").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("ga"), "other")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for left, right in zip(pdf["name"], pdf["other"], strict=True):
+                left, right = list(left), list(right)
+                for lo in range(0, len(left), NAMES):
+                    part = left[lo : lo + NAMES]
+                    kept: dict[int, list[tuple[float, str]]] = {}
+                    for at in range(0, len(right), NAMES):
+                        for i, j, score in alike(part, right[at : at + NAMES], least):
+                            other = right[at + j]
+                            if other != part[i]:
+                                kept[i] = sorted([*kept.get(i, []), (-score, other)])[:best]
+                    yield pd.DataFrame([(part[i], other, -score, refined(part[i], other, -score)) for i, found in kept.items() for score, other in found], columns=["name", "other", "score", "refined"])
+
+    found = a.join(b, "ga").select("name", "other").mapInPandas(search, "name string, other string, score double, refined double")
     w = Window.partitionBy("name").orderBy(F.desc("score"), "other")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= best)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= best)
 
 
 def unique_matches(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

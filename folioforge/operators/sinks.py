@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def rolled_back(rows: DataFrame, links: DataFrame, batch: str, key: str = "dedup_key") -> DataFrame:
-    """rows (key, batch_id, ...) after a batch is undone: its rows go unless another batch saw them too (links: key, batch_id);
-    then they belong to the earliest batch that did."""
-    others = links.where(F.col("batch_id") != batch).groupBy(F.col(key).alias("_k")).agg(F.min("batch_id").alias("_owner"))
+    """rows (key, batch_id, ...) after a batch is undone: its rows go unless another batch saw them too (links: key, batch_id, seen);
+    then they belong to the batch that saw them earliest (links: seen, the link's time or number; ties: the smaller batch id)."""
+    others = links.where(F.col("batch_id") != batch).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct("seen", "batch_id")).alias("_first")).select("_k", F.col("_first.batch_id").alias("_owner"))
     d = rows.join(others, F.col(key) == F.col("_k"), "left")
     mine = F.col("batch_id") == batch
     d = d.where(~mine | F.col("_owner").isNotNull())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import amount, compatible
+
 ACQUIRES, LEAVES = ("buy", "reinvest", "transfer_in"), ("sell", "transfer_out")
 
 
@@ -57,28 +59,8 @@ def composed(tx: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def split_ratio(text: Column) -> Column:
-    """1:3, 1：3, 1対3 and 1/3 as new over old; null if it is none or not positive."""
-    a, b = (F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*[:：対/]\s*([0-9]+(?:\.[0-9]+)?)\s*$", i).try_cast("double") for i in (1, 2))
-    return F.when((a > 0) & (b > 0), b / a)
-
-
-#: Words of transaction types in the order in which they are tried (fixed values).
-TYPE_WORDS = (
-    ("split", "split|分割"), ("return_of_capital", "return of capital|元本払戻|特別分配"), ("reinvest", "reinvest|再投資"), ("dividend", "dividend|distribution|配当|分配"),
-    ("transfer_in", "transfer in|入庫|移管入"), ("transfer_out", "transfer out|出庫|移管出"), ("buy", "buy|purchase|買付|購入|買"), ("sell", "sell|sale|redemption|売却|解約|売"),
-    ("cash_in", "deposit|入金"), ("cash_out", "withdrawal|出金"),
-)
-
-
-def classified(label: Column) -> Column:
-    """The type of a label: brackets and what is in them off, the first type with a word in it; 'other' if none has."""
-    text = F.lower(F.regexp_replace(F.trim(label), r"[(（\[［].*?[)）\]］]", ""))
-    out = F.lit("other")
-    for kind, words in reversed(TYPE_WORDS):
-        out = F.when(text.rlike(words), kind).otherwise(out)
-    return F.when(label.isNotNull(), out)
-
-
-def no_movement() -> Column:
-    """True if neither a quantity nor an amount is written."""
-    return F.least(*[F.coalesce(F.col(c), F.lit(0)) == 0 for c in ("quantity", "gross_amount", "net_amount")])
+    """New over old from 1:3, 1：3 and 1対3, in any width of digits, or from a single positive number; null if it is neither."""
+    t = F.trim(compatible(text))
+    a, b = (F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)?)\s*[:：対]\s*([0-9]+(?:\.[0-9]+)?)$", i).try_cast("double") for i in (1, 2))
+    one = amount(t).cast("double")
+    return F.when(a > 0, b / a).when(a.isNull() & (one > 0), one)

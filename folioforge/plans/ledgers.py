@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, paths, replay, steps, transfers
+from ..operators import asof, paths, replay, routes, steps, transfers
 from ..sources import domain as dm
 from ..sources.domain import half_up
 from .queries import AS_OF, GROUP
-from .wealth import RICH, _rich
+from .wealth import RICH, _rich, _routed
 
 QUERIES: dict = {}
 
@@ -49,6 +49,14 @@ def position_replay(spark, sf):
     return d.select(*[half_up(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in d.columns])
 
 
+@query
+def cost_override(spark, sf):
+    """A recomputed average cost replaces a lot's own where the ledger covers the whole position, it is a single lot and the cost is known."""
+    over = replay.reconciled_positions(_rich(spark, sf), _anchors(spark, sf), dm.ORDER).where("applies").select(*GROUP, F.col("avg_cost").alias("override"))
+    d = _routed(spark, sf).join(over, GROUP, "left")
+    return d.select(*GROUP, F.col("override").isNotNull().alias("overridden"), half_up(routes.lot_cost(override="override"), 2).alias("lot_cost"))
+
+
 #: Statements of lots, from month-end snapshots: positions start on different days, some lots later, some too low; some have none.
 LOT_FROM = "CASE (account_id + security_id) % 3 WHEN 0 THEN DATE '1995-06-30' WHEN 1 THEN DATE '1996-06-30' ELSE DATE '1997-06-30' END"
 LOT_QUANTITY = "CASE WHEN (account_id + 2 * security_id) % 7 = 0 THEN quantity - 960 ELSE quantity END"

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .ledgers import ANCHOR, ARRIVES, CLOSED, DEPARTS, LATER_LOT, LOT_FROM, LOT_QUANTITY, MOVED, REF
-from .oracle import LEDGER, SNAP, r
-from .wealth_sql import COLUMNS, DELTA, MULT, PROCEEDS
+from .oracle import LEDGER, PRICES, SNAP, r
+from .wealth_sql import COLUMNS, DELTA, INS, LOTS, MULT, PROCEEDS, RATES, cost
 
 RICH = f"{LEDGER}, {SNAP}, rich AS (SELECT *, ({MULT})::DOUBLE AS mult, ({DELTA})::DOUBLE AS delta, ({PROCEEDS})::DOUBLE AS proceeds FROM (SELECT *, {COLUMNS} FROM ledger))"
 DAY = "DATE '1998-06-30'"
@@ -33,20 +33,20 @@ LEFT, COST = "(CASE WHEN abs(s.q - abs(u.quantity)) <= 1e-12 * abs(s.q + abs(u.q
 SALE = "u.leaves AND s.q > 0"
 GREW = "CASE WHEN u.kind = 'split' AND u.mult <> 1 THEN u.mult WHEN u.kind = 'split' AND s.q <> 0 THEN (s.q + coalesce(u.delta, 0)) / s.q ELSE 1 END"
 REPLAY = f"""WITH RECURSIVE {RICH}, {ANCHORS}, {USED},
-{one_after_the_other('p1', 'facts WHERE NOT fremd', ['1::DOUBLE AS alpha', '0::DOUBLE AS beta'], ['s.alpha * coalesce(u.mult, 1)', 's.beta * coalesce(u.mult, 1) + coalesce(u.delta, 0)'])},
-q0 AS (SELECT f.*, CASE WHEN abs((held - x.beta) / x.alpha) <= 1e-7 THEN 0 ELSE (held - x.beta) / x.alpha END AS q0 FROM facts f LEFT JOIN {last('p1')} USING ({G})),
-{one_after_the_other('p2', 'q0 WHERE q0 >= 0', ['q0 AS q', '0::DOUBLE AS a', 'q0 / divisor AS b', 'false AS bad', '0 AS costless'], [
+{one_after_the_other('w1', 'facts WHERE NOT fremd', ['1::DOUBLE AS alpha', '0::DOUBLE AS beta'], ['s.alpha * coalesce(u.mult, 1)', 's.beta * coalesce(u.mult, 1) + coalesce(u.delta, 0)'])},
+q0 AS (SELECT f.*, CASE WHEN abs((held - x.beta) / x.alpha) <= 1e-7 THEN 0 ELSE (held - x.beta) / x.alpha END AS q0 FROM facts f LEFT JOIN {last('w1')} USING ({G})),
+{one_after_the_other('w2', 'q0 WHERE q0 >= 0', ['q0 AS q', '0::DOUBLE AS a', 'q0 / divisor AS b', 'false AS bad', '0 AS costless'], [
     f'CASE WHEN u.leaves THEN {LEFT} ELSE s.q * coalesce(u.mult, 1) + coalesce(u.delta, 0) END',
     f"CASE WHEN u.adds THEN s.a + {COST} WHEN {SALE} THEN s.a * ({LEFT} / s.q) WHEN u.kind = 'return_of_capital' THEN s.a - u.back ELSE s.a END",
     f'CASE WHEN {SALE} THEN s.b * ({LEFT} / s.q) ELSE s.b END', f's.bad OR (u.leaves AND (s.q <= 0 OR {LEFT} < 0))', f's.costless + (u.adds AND {COST} = 0)::INTEGER'])},
-c0 AS (SELECT q.*, x.bad, x.costless, CASE WHEN x.b <> 0 THEN (held * held_cost / divisor - x.a) / x.b END AS c0, CASE WHEN x.b = 0 THEN 'full' WHEN held_cost IS NULL THEN 'partial_uncosted' WHEN (held * held_cost / divisor - x.a) / x.b < 0 THEN 'unreconciled' ELSE 'partial' END AS coverage FROM q0 q JOIN {last('p2')} USING ({G})),
-{one_after_the_other('p3', "c0 WHERE coverage <> 'unreconciled'", ['q0 AS q', 'coalesce(q0 * c0 / divisor, 0)::DOUBLE AS pool', 'q0 AS rest', '0::DOUBLE AS realized', '0 AS sales', '0::DOUBLE AS sold', '0 AS stops'], [
+cz AS (SELECT q.*, x.bad, x.costless, CASE WHEN x.b <> 0 THEN (held * held_cost / divisor - x.a) / x.b END AS c0, CASE WHEN x.b = 0 THEN 'full' WHEN held_cost IS NULL THEN 'partial_uncosted' WHEN (held * held_cost / divisor - x.a) / x.b < 0 THEN 'unreconciled' ELSE 'partial' END AS coverage FROM q0 q JOIN {last('w2')} USING ({G})),
+{one_after_the_other('w3', "cz WHERE coverage <> 'unreconciled'", ['q0 AS q', 'coalesce(q0 * c0 / divisor, 0)::DOUBLE AS pool', 'q0 AS rest', '0::DOUBLE AS realized', '0 AS sales', '0::DOUBLE AS sold', '0 AS stops'], [
     f"CASE WHEN {SALE} THEN {LEFT} WHEN u.adds THEN s.q + abs(u.quantity) WHEN u.kind = 'split' AND u.mult <> 1 THEN s.q * u.mult WHEN u.kind = 'split' AND s.q <> 0 THEN s.q + coalesce(u.delta, 0) ELSE s.q END",
     f"CASE WHEN {SALE} THEN s.pool * ({LEFT} / s.q) WHEN u.adds THEN s.pool + {COST} WHEN u.kind = 'return_of_capital' THEN greatest(s.pool - u.back, 0) ELSE s.pool END",
     f"CASE WHEN {SALE} THEN s.rest * ({LEFT} / s.q) ELSE s.rest * ({GREW}) END",
     f"s.realized + CASE WHEN {SALE} AND u.kind = 'sell' THEN u.proceeds - abs(u.fee) - (s.pool - s.pool * ({LEFT} / s.q)) ELSE 0 END", f"s.sales + (coalesce({SALE} AND u.kind = 'sell', false))::INTEGER",
     f"s.sold + CASE WHEN {SALE} AND u.kind = 'sell' THEN s.pool - s.pool * ({LEFT} / s.q) ELSE 0 END", "s.stops + (u.kind = 'return_of_capital' AND s.pool < u.back)::INTEGER"])},
-fin AS (SELECT q.*, c.c0, c.bad, c.costless, coalesce(c.coverage, 'unreconciled') AS cov, x.pool, CASE WHEN x.rest IS NOT NULL THEN greatest(x.rest, 0) END AS rest, x.realized, x.sales, x.sold, x.stops FROM q0 q LEFT JOIN c0 c USING ({G}) LEFT JOIN {last('p3')} USING ({G})),
+fin AS (SELECT q.*, c.c0, c.bad, c.costless, coalesce(c.coverage, 'unreconciled') AS cov, x.pool, CASE WHEN x.rest IS NOT NULL THEN greatest(x.rest, 0) END AS rest, x.realized, x.sales, x.sold, x.stops FROM q0 q LEFT JOIN cz c USING ({G}) LEFT JOIN {last('w3')} USING ({G})),
 av AS (SELECT *, CASE WHEN cov = 'full' AND held > 0 THEN pool * divisor / held WHEN cov = 'partial' THEN held_cost END AS av FROM fin)
 """
 
@@ -114,6 +114,8 @@ UNION ALL SELECT o.security_id, o.account_id, o.date, o.quantity, o.source, NULL
 UNION ALL SELECT m.security_id, m.from_account, m.date, m.quantity, 'manual', m.to_account, 'manual', NULL, coalesce(list_filter(p.cands, lambda x: x.k = 'transfer_in' AND x.b = m.to_account)[1].r, ''), 0 FROM sure m LEFT JOIN p5 p ON p.security_id = m.security_id AND p.account_id = m.from_account AND p.date = m.date AND p.source = 'manual' WHERE m.to_account IS NOT NULL"""
 
 SQL: dict[str, str] = {
+    "cost_override": f"""{REPLAY}, {PRICES}, {RATES}, {INS}, {LOTS}, ov AS (SELECT {G}, av AS ov FROM av WHERE cov = 'full' AND av IS NOT NULL AND coalesce(lots, 1) = 1)
+SELECT account_id, security_id, ov IS NOT NULL AS overridden, {r(cost('coalesce(ov, avg_cost)'), 2)} AS lot_cost FROM lots LEFT JOIN ov USING ({G})""",
     "ledger_departures": f"{MOVES} SELECT security_id, account_id, date, quantity, {r('cost', 2)} AS cost, closed FROM ld",
     "snapshot_outflows": f"{MOVES} SELECT * FROM fell",
     "transfer_resolution": RESOLVED,

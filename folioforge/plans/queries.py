@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import allocation, asof, inference, matching, series, steps, valuation
+from ..operators import allocation, asof, classify, inference, matching, series, valuation
 from ..operators import ledger as lg
 from ..sources import domain as dm
 from ..sources.domain import half_up
@@ -425,14 +425,14 @@ def parse_date_multi(spark, sf):
     o = dm.table(spark, sf, "orders")
     d = F.to_date("o_orderdate")
     raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(d, "yyyyMMdd")).when(F.col("o_orderkey") % 3 == 1, F.date_format(d, "d.M.yyyy")).otherwise(F.date_format(d, "yyyy/M/d"))
-    return o.groupBy(F.trunc(fx.any_date(raw), "MM").alias("month")).agg(F.count("*").alias("n"))
+    return o.groupBy(F.trunc(fx.any_date(raw, "dmy"), "MM").alias("month")).agg(F.count("*").alias("n"))
 
 
 @query
 def tx_type_classify(spark, sf):
     """Types of the ledger's rows from labels in two languages."""
     label = F.when(F.col("tx_type") == "buy", "買付（特定）").when(F.col("tx_type") == "reinvest", "分配金再投資").otherwise("Sell (market)")
-    d = dm.ledger(spark, sf).withColumn("tx_type", steps.classified(label))
+    d = dm.ledger(spark, sf).withColumn("tx_type", classify.type_of(label)["kind"])
     return d.groupBy("tx_type").agg(F.count("*").alias("n"), F.sum(dm.signed()).alias("net_quantity"))
 
 
@@ -463,9 +463,9 @@ def stream_session(spark, sf):
 
 @query
 def fuzzy_name_score(spark, sf):
-    """The five closest other names of each name, at a score of a half and more."""
-    n = dm.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
-    return matching.suggested(n, n.withColumnRenamed("name", "other")).where("name <> other").select("name", "other", "score", "rank")
+    """The five closest other names of each name, at a score of a half and more, and how alike they are without what they share."""
+    n = dm.table(spark, sf, "part").select(F.col("p_name").alias("name"))
+    return matching.suggested(n, n.withColumnRenamed("name", "other"))
 
 
 @query
@@ -503,10 +503,11 @@ def usage_counts(spark, sf):
 
 @query
 def prefix_unique(spark, sf):
-    """Truncated names that only one full name continues; the first letters are the equi-key of the prefix join."""
+    """Truncated names that only one full name continues: names meet by each of their beginnings that has a truncated name's length."""
     names = dm.table(spark, sf, "part").select("p_name").distinct()
     cut = names.select(F.expr("substring(p_name, 1, length(p_name) - 3)").alias("short")).distinct()
-    j = cut.join(names, (F.substring("short", 1, 3) == F.substring("p_name", 1, 3)) & F.col("p_name").startswith(F.col("short")))
+    lengths = F.array(*[F.lit(r.n) for r in cut.select(F.length("short").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
+    j = cut.join(names.select("p_name", F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length("p_name")), lambda n: F.left(F.col("p_name"), n))).alias("short")), "short")
     return j.groupBy("short").agg(F.count("*").alias("n"), F.min("p_name").alias("full_name")).where("n = 1").select("short", "full_name")
 
 

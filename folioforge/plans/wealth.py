@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import asof, routes, sinks, steps, valuation
+from ..operators import asof, classify, routes, sinks, steps, valuation
 from ..sources import domain as dm
 from ..sources.domain import half_up
 from .queries import AS_OF, GROUP, PREVIOUS
@@ -87,14 +87,6 @@ def lot_costs(spark, sf):
     return _routed(spark, sf).select(*GROUP, half_up(routes.lot_cost(), 2).alias("lot_cost"))
 
 
-@query
-def cost_override(spark, sf):
-    """A recomputed average cost replaces a lot's own where the ledger covers it and the position is a single lot."""
-    over = dm.ledger(spark, sf).where("tx_type = 'buy'").groupBy(*GROUP).agg(F.expr("sum(gross) div sum(quantity)").alias("override"), F.count("*").alias("n")).where("n > 3").drop("n")
-    d = _routed(spark, sf).join(over, GROUP, "left")
-    return d.select(*GROUP, F.col("override").isNotNull().alias("overridden"), half_up(routes.lot_cost(override="override"), 2).alias("lot_cost"))
-
-
 @query
 def summary_display_currency(spark, sf):
     """Class totals in another currency; a null value stays unknown."""
@@ -191,11 +183,14 @@ def opening_with_splits(spark, sf):
     return d.join(s, GROUP).select(*GROUP, half_up(F.col("alpha"), 4).alias("alpha"), half_up(F.col("beta"), 2).alias("beta"), half_up((F.col("quantity") - F.col("beta")) / F.col("alpha"), 2).alias("opening"))
 
 
+#: Split ratios as statements write them.
+RATIOS = "CASE l_linenumber % 7 WHEN 0 THEN concat(CAST(l_linenumber AS STRING), ':', CAST(l_partkey % 4 AS STRING)) WHEN 1 THEN concat('1対', CAST(l_partkey % 4 + 1 AS STRING)) WHEN 2 THEN concat(' 2：', CAST(l_partkey % 5 AS STRING), ' ') WHEN 3 THEN 'none' WHEN 4 THEN concat('1/1.', CAST(l_partkey % 3 AS STRING)) WHEN 5 THEN concat(CAST(l_partkey % 4 AS STRING), '.5') ELSE concat('0:', CAST(l_partkey % 3 AS STRING)) END"
+
+
 @query
 def split_ratio_parse(spark, sf):
-    raw = F.expr("CASE l_linenumber % 5 WHEN 0 THEN concat(l_linenumber, ':', l_partkey % 4) WHEN 1 THEN concat('1対', l_partkey % 4 + 1) WHEN 2 THEN concat(' 2：', l_partkey % 5, ' ') WHEN 3 THEN 'none' ELSE concat('1/1.', l_partkey % 3) END")
-    li = dm.table(spark, sf, "lineitem").select(raw.alias("raw"), steps.split_ratio(raw).alias("ratio"))
-    return li.groupBy("raw").agg(F.count("*").alias("n"), half_up(F.first("ratio"), 4).alias("ratio"))
+    li = dm.table(spark, sf, "lineitem").select(F.expr(RATIOS).alias("raw"))
+    return li.groupBy("raw").agg(F.count("*").alias("n")).select("raw", "n", half_up(steps.split_ratio(F.col("raw")), 4).alias("ratio"))
 
 
 @query
@@ -209,15 +204,22 @@ def late_trades(spark, sf):
 @query
 def no_movement_rows(spark, sf):
     d = _rich(spark, sf).withColumn("quantity", F.expr("CASE WHEN l_orderkey % 4 = 0 THEN 0 WHEN l_orderkey % 4 = 1 THEN NULL ELSE quantity END"))
-    return d.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(steps.no_movement()).alias("without_movement"))
+    return d.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(classify.no_movement()).alias("without_movement"))
+
+
+#: Labels of every type, of additions in brackets and of margin trades.
+LABELS = (
+    "Buy", "買付(特定)", "SELL order", "売却", "Dividend [US]", "配当金", "分配金再投資", "入庫（移管）", "出庫", "株式分割", "分割売却", "元本払戻金", "振替入金", "出金", "(buy) fee", "", "投信（買付）", "ご入金（カード積立）", "信用新規買い", "現渡", "現引",
+    "国内累投NISA払出（特定へ）", "振替（信用保証金へ）", "振替", "ポイント換金", "買取請求", "特別分配金", "募集", "利金", "口数変更", "何か",
+)
 
 
 @query
 def tx_labels_classified(spark, sf):
-    """Types from labels of several vocabularies, and how many rows each label has."""
-    names = F.array(*[F.lit(x) for x in ("Buy", "買付(特定)", "SELL order", "売却", "Dividend [US]", "配当金", "分配金再投資", "入庫（移管）", "出庫", "株式分割", "元本払戻金", "Deposit", "出金", "(buy) fee", "")])
-    d = dm.table(spark, sf, "lineitem").select(F.get(names, ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 16).cast("int")).alias("label"))
-    return d.groupBy("label").agg(F.count("*").alias("n")).select("label", "n", steps.classified(F.col("label")).alias("kind"))
+    """Types from labels of several vocabularies, how sure they are, and how many rows each label has."""
+    names = F.array(*[F.lit(x) for x in LABELS])
+    d = dm.table(spark, sf, "lineitem").select(F.get(names, ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % (len(LABELS) + 1)).cast("int")).alias("label"))
+    return d.groupBy("label").agg(F.count("*").alias("n")).withColumn("t", classify.type_of(F.col("label"))).select("label", "n", "t.kind", "t.sure")
 
 
 @query
@@ -278,12 +280,12 @@ def portfolio_prorated(spark, sf):
 
 @query
 def range_starts(spark, sf):
-    """First days of the history ranges: 7, 30, 90, 365 days, and all (at most five years, not before the oldest record)."""
+    """First days of the history ranges: 7, 30, 90, 365 days, and all (five years, or since the oldest record if that is earlier)."""
     day = F.lit(AS_OF).cast("date")
     old = dm.ledger(spark, sf).groupBy("account_id").agg(F.min("trade_date").alias("oldest"))
-    spans = F.explode(F.array(*[F.struct(F.lit(n).alias("range"), F.lit(k).alias("days")) for n, k in (("7d", 7), ("30d", 30), ("90d", 90), ("1y", 365), ("all", 1826))]))
+    spans = F.explode(F.array(*[F.struct(F.lit(n).alias("range"), F.lit(k).alias("days")) for n, k in (("7d", 7), ("30d", 30), ("90d", 90), ("1y", 365), ("all", 1825))]))
     d = old.select("account_id", "oldest", spans.alias("x"))
-    return d.select("account_id", F.col("x.range").alias("range"), F.when(F.col("x.range") == "all", F.greatest(F.date_sub(day, F.col("x.days")), "oldest")).otherwise(F.date_sub(day, F.col("x.days"))).alias("start"))
+    return d.select("account_id", F.col("x.range").alias("range"), F.when(F.col("x.range") == "all", F.least(F.date_sub(day, F.col("x.days")), "oldest")).otherwise(F.date_sub(day, F.col("x.days"))).alias("start"))
 
 
 @query
@@ -307,7 +309,7 @@ def batch_rollback(spark, sf):
     """The ledger after batch B3 is undone; rows that an earlier or later batch also brought stay and change owner."""
     rows = dm.ledger(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "quantity").withColumns({"dedup_key": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), "batch_id": F.concat(F.lit("B"), F.col("l_orderkey") % 6)})
     again = rows.where("l_partkey % 3 = 0").select("dedup_key", F.concat(F.lit("B"), (F.col("l_orderkey") + F.col("l_partkey")) % 6).alias("batch_id"))
-    links = rows.select("dedup_key", "batch_id").unionByName(again)
+    links = rows.select("dedup_key", "batch_id").unionByName(again).withColumn("seen", F.pmod(F.regexp_extract("batch_id", "[0-9]+", 0).cast("long") + 4, F.lit(6)))
     return sinks.rolled_back(rows, links, "B3").groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
 
 
@@ -425,9 +427,8 @@ def consistency_warnings(spark, sf):
 
 @query
 def divisor_inference(spark, sf):
-    """The divisor under which most rows satisfy quantity x price / divisor = amount; of equal ones the smaller."""
+    """The divisor of unit prices, 1 or 10,000, under which more rows satisfy quantity x price / divisor = amount; 1 if none does or both do."""
     d = _rich(spark, sf).select("security_id", "quantity", "gross", (F.floor(F.col("gross") / F.col("quantity")) * F.col("divisor")).alias("quote"))
-    tried = d.select("*", F.explode(F.array(*[F.lit(x) for x in (1, 100, 1000, 10000)])).alias("divisor"))
-    near = F.abs(F.col("quantity") * F.col("quote") / F.col("divisor") - F.col("gross")) <= F.greatest(F.col("gross") * 0.005, F.lit(2))
-    g = tried.groupBy("security_id", "divisor").agg(F.count_if(near).alias("hits"), F.count("*").alias("n"))
-    return g.groupBy("security_id").agg(F.max_by("divisor", F.struct("hits", -F.col("divisor"))).alias("divisor"), F.max("hits").alias("hits"), F.max("n").alias("n"))
+    near = lambda by: F.abs(F.col("quantity") * F.col("quote") / by - F.col("gross")) <= 1 + F.col("quantity") * 0.5 / by
+    g = d.groupBy("security_id").agg(F.count_if(near(1)).alias("ones"), F.count_if(near(10_000)).alias("tens"), F.count("*").alias("n"))
+    return g.select("security_id", F.when(F.col("tens") > F.col("ones"), 10_000).otherwise(1).alias("divisor"), F.greatest("ones", "tens").alias("hits"), "n")

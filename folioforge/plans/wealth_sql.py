@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .oracle import BASE, CLOSES, LEDGER, SNAP, r
-from .wealth import INSTRUMENT, RICH
+from ..operators import classify as words
+from .wealth import INSTRUMENT, LABELS, RATIOS, RICH
 
 COLUMNS = ", ".join(f"{x} AS {k}" for k, x in RICH.items())
 FULL = f"WITH {LEDGER}, rich AS (SELECT *, {COLUMNS} FROM ledger)"
@@ -46,17 +47,52 @@ PROCEEDS = f"(CASE WHEN coalesce(gross_amount, 0) = 0 AND coalesce(net_amount, 0
 MULT = "CASE WHEN kind IN ('buy', 'reinvest', 'transfer_in', 'sell', 'transfer_out') THEN 1.0 WHEN kind = 'split' AND split_ratio > 0 THEN split_ratio WHEN kind = 'split' AND quantity IS NOT NULL THEN 1.0 END"
 DELTA = "CASE WHEN kind IN ('buy', 'reinvest', 'transfer_in') THEN quantity WHEN kind IN ('sell', 'transfer_out') THEN -quantity WHEN kind = 'split' AND split_ratio > 0 THEN 0 WHEN kind = 'split' THEN quantity END"
 KEY = "l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || l_partkey::VARCHAR"
-TYPES = (("split", "split|分割"), ("return_of_capital", "return of capital|元本払戻|特別分配"), ("reinvest", "reinvest|再投資"), ("dividend", "dividend|distribution|配当|分配"), ("transfer_in", "transfer in|入庫|移管入"), ("transfer_out", "transfer out|出庫|移管出"), ("buy", "buy|purchase|買付|購入|買"), ("sell", "sell|sale|redemption|売却|解約|売"), ("cash_in", "deposit|入金"), ("cash_out", "withdrawal|出金"))
-LABELS = "['Buy', '買付(特定)', 'SELL order', '売却', 'Dividend [US]', '配当金', '分配金再投資', '入庫（移管）', '出庫', '株式分割', '元本払戻金', 'Deposit', '出金', '(buy) fee', '']"
-SPLIT = "CASE l_linenumber % 5 WHEN 0 THEN l_linenumber::VARCHAR || ':' || (l_partkey % 4)::VARCHAR WHEN 1 THEN '1対' || (l_partkey % 4 + 1)::VARCHAR WHEN 2 THEN ' 2：' || (l_partkey % 5)::VARCHAR || ' ' WHEN 3 THEN 'none' ELSE '1/1.' || (l_partkey % 3)::VARCHAR END"
-RATIO = r"'^\s*([0-9]+(?:\.[0-9]+)?)\s*[:：対/]\s*([0-9]+(?:\.[0-9]+)?)\s*$'"
 CODE = "CASE p_partkey % 4 WHEN 0 THEN (p_partkey % 9000 + 1000)::VARCHAR || '0' WHEN 1 THEN (p_partkey % 10)::VARCHAR || 'A' || (p_partkey % 90 + 10)::VARCHAR WHEN 2 THEN ' ' || (p_partkey % 9000 + 1000)::VARCHAR ELSE p_brand END"
 
+RATIO = r"'^([0-9]+(?:\.[0-9]+)?)\s*[:：対]\s*([0-9]+(?:\.[0-9]+)?)$'"
+
+
+def label_key(x: str) -> str:
+    """A label without blanks, marks and unit, in lower case; the test's labels are in compatibility form but for brackets."""
+    return f"regexp_replace(regexp_replace(lower(trim({x})), '{words.MARKS}', '', 'g'), '{words.UNIT}', '')"
+
+
+def type_rules(t: str) -> list[tuple[str, str, float]]:
+    has = lambda *groups: "(" + " OR ".join(f"contains({t}, '{w}')" for g in groups for w in g) + ")"
+    trade = has(words.BUY, words.SELL)
+    return [
+        (has(words.DELIVERED), "sell", 1.0), (has(words.TAKEN), "buy", 1.0), (f"{has(words.MARGIN)} AND ({trade} OR contains({t}, '建'))", "other", 0.0), (f"{has(words.REINVEST)} AND NOT {has(words.TRANSFER_IN, words.TRANSFER_OUT)}", "reinvest", 1.0),
+        (has(words.RETURN_OF_CAPITAL), "return_of_capital", 1.0), (f"{has(words.SPLIT)} AND NOT {trade}", "split", 1.0), (f"{has(words.DIVIDEND)} AND NOT {trade}", "dividend", 1.0), (has(words.POINTS), "cash_in", 0.9), (has(words.SELL), "sell", 1.0),
+        (has(words.BUY), "buy", 1.0), (has(words.TRANSFER_IN), "transfer_in", 0.8), (has(words.TRANSFER_OUT), "transfer_out", 0.8), (has(words.CASH_OUT), "cash_out", 0.9), (has(words.CASH_IN), "cash_in", 0.9), (has(words.CASH_EITHER), "cash_in", 0.5),
+    ]
+
+
+def type_of(head: str, whole: str, what: str) -> str:
+    """kind or sure of a label: what stands outside of brackets, or the whole."""
+    pick = lambda t: " ".join(f"WHEN {test} THEN " + (f"'{kind}'" if what == "kind" else f"{sure}::DOUBLE") for test, kind, sure in type_rules(t) if kind != "other")
+    margin = lambda t: type_rules(t)[2][0]
+    none = "'other'" if what == "kind" else "0::DOUBLE"
+    one = lambda t, rest: f"CASE WHEN {type_rules(t)[0][0]} THEN {chr(39) + 'sell' + chr(39) if what == 'kind' else '1::DOUBLE'} WHEN {type_rules(t)[1][0]} THEN {chr(39) + 'buy' + chr(39) if what == 'kind' else '1::DOUBLE'} WHEN {margin(t)} THEN {rest} {pick(t)} ELSE {rest} END"
+    return one(head, one(whole, none))
+
+
+KEYED = lambda x: f"{label_key(f'regexp_replace({x}, {chr(39)}{words.BRACKETS}{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')} AS head, {label_key(x)} AS whole"
+LABEL_LIST = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
+
 SQL: dict[str, str] = {
+    "split_ratio_parse": f"""WITH x AS (SELECT {RATIOS.replace('STRING', 'VARCHAR')} AS raw FROM lineitem), y AS (SELECT raw, count(*) AS n, try_cast(nullif(regexp_extract(trim(raw), {RATIO}, 1), '') AS DOUBLE) AS a, try_cast(nullif(regexp_extract(trim(raw), {RATIO}, 2), '') AS DOUBLE) AS b, try_cast(trim(raw) AS DOUBLE) AS one FROM x GROUP BY raw)
+SELECT raw, n, {r('CASE WHEN a > 0 THEN b / a WHEN a IS NULL AND one > 0 THEN one END', 4)} AS ratio FROM y""",
+    "no_movement_rows": f"{FULL}, x AS (SELECT kind, gross_amount, net_amount, fee, tax, CASE WHEN l_orderkey % 4 = 0 THEN 0 WHEN l_orderkey % 4 = 1 THEN NULL ELSE quantity END AS quantity FROM rich) SELECT kind, count(*) AS n, count(*) FILTER (coalesce(quantity, 0) = 0 AND coalesce(gross_amount, 0) = 0 AND coalesce(net_amount, 0) = 0 AND coalesce(fee, 0) = 0 AND coalesce(tax, 0) = 0) AS without_movement FROM x GROUP BY 1",
+    "tx_labels_classified": f"""WITH x AS (SELECT ({LABEL_LIST})[(l_partkey * 7 + l_linenumber) % {len(LABELS) + 1} + 1] AS label FROM lineitem), g AS (SELECT label, count(*) AS n FROM x GROUP BY 1), k AS (SELECT *, {KEYED('label')} FROM g)
+SELECT label, n, CASE WHEN label IS NOT NULL THEN {type_of('head', 'whole', 'kind')} END AS kind, CASE WHEN label IS NOT NULL THEN {type_of('head', 'whole', 'sure')} END AS sure FROM k""",
+    "divisor_inference": f"""{FULL}, d AS (SELECT security_id, quantity, gross, floor(gross / quantity) * divisor AS quote FROM rich), g AS (SELECT security_id, count(*) FILTER (abs(quantity * quote - gross) <= 1 + quantity * 0.5::DOUBLE) AS ones, count(*) FILTER (abs(quantity * quote / 10000 - gross) <= 1 + quantity * 0.5::DOUBLE / 10000) AS tens, count(*) AS n FROM d GROUP BY 1)
+SELECT security_id, CASE WHEN tens > ones THEN 10000 ELSE 1 END AS divisor, greatest(ones, tens) AS hits, n FROM g""",
+    "range_starts": f"WITH {LEDGER}, o AS (SELECT account_id, min(trade_date) AS oldest FROM ledger GROUP BY 1), k AS (SELECT * FROM (VALUES ('7d', 7), ('30d', 30), ('90d', 90), ('1y', 365), ('all', 1825)) t(range, days)) SELECT account_id, range, CASE WHEN range = 'all' THEN least({DAY} - days, oldest) ELSE {DAY} - days END AS start FROM o, k",
+    "batch_rollback": f"""WITH {LEDGER}, t AS (SELECT {KEY} AS k, l_orderkey, l_partkey, quantity, 'B' || (l_orderkey % 6)::VARCHAR AS b FROM ledger), links AS (SELECT k, b FROM t UNION ALL SELECT k, 'B' || ((l_orderkey + l_partkey) % 6)::VARCHAR FROM t WHERE l_partkey % 3 = 0),
+o AS (SELECT k, arg_min(b, (b[2:]::BIGINT + 4) % 6) AS owner FROM links WHERE b <> 'B3' GROUP BY 1) SELECT CASE WHEN b = 'B3' THEN owner ELSE b END AS batch_id, count(*) AS n, sum(quantity)::BIGINT AS quantity FROM t LEFT JOIN o USING (k) WHERE b <> 'B3' OR owner IS NOT NULL GROUP BY 1""",
     "lot_value_routes": f"{ROUTED} SELECT account_id, security_id, asset_class, {r('value', 2)} AS value, route, route {PRICED} AS has_price FROM lots",
     "previous_same_route": f"{ROUTED}, v AS (SELECT *, {PREVIOUS} AS pv FROM lots) SELECT account_id, security_id, {r('pv', 2)} AS prev_value, {r('value - pv', 2)} AS day_change FROM v",
     "lot_costs": f"{ROUTED} SELECT account_id, security_id, {r(cost(), 2)} AS lot_cost FROM lots",
-    "cost_override": f"{ROUTED}, o AS (SELECT account_id, security_id, (sum(gross) // sum(quantity))::BIGINT AS ov FROM ledger WHERE tx_type = 'buy' GROUP BY ALL HAVING count(*) > 3) SELECT account_id, security_id, ov IS NOT NULL AS overridden, {r(cost('coalesce(ov, avg_cost)'), 2)} AS lot_cost FROM lots LEFT JOIN o USING (account_id, security_id)",
     "summary_display_currency": f"{ROUTED}, u AS (SELECT arg_max(rate, date) AS d FROM rates WHERE currency = 'USD' AND date <= {DAY}), g AS (SELECT asset_class, sum(value) AS v, count(*) AS lots, count(*) FILTER (value IS NULL) AS unvalued FROM lots GROUP BY 1) SELECT asset_class, {r('v / d', 2)} AS value, lots, unvalued FROM g, u",
     "summary_json": f"{ROUTED}, g AS (SELECT asset_class, sum(value) AS v, sum(CASE WHEN value IS NOT NULL THEN {cost()} END) AS c FROM lots GROUP BY 1) SELECT asset_class, {r('v', 2)}::DECIMAL(38, 2)::VARCHAR AS value, {r('v * 100 / nullif(c, 0)', 2)}::DECIMAL(38, 2)::VARCHAR AS value_to_cost_pct FROM g",
     "fx_asof": f"""{FULL}, prices AS (SELECT security_id, last_day(trade_date) AS date, (sum(gross) // sum(quantity))::BIGINT AS price FROM ledger GROUP BY ALL), {RATES}, f AS (SELECT currency, min(date) AS d0, arg_min(rate, date) AS r0 FROM rates GROUP BY 1),
@@ -78,13 +114,8 @@ SELECT security_id, currency, count(*) AS n, min(date) AS first, max(date) AS la
 p AS (SELECT *, coalesce(product(mult) OVER (PARTITION BY account_id, security_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS later FROM m),
 c AS (SELECT account_id, security_id, product(mult) AS alpha, sum(delta * later) AS beta FROM p GROUP BY ALL), s AS (SELECT account_id, security_id, arg_max(quantity, as_of_date) AS q FROM snap GROUP BY ALL)
 SELECT account_id, security_id, {r('alpha', 4)} AS alpha, {r('beta', 2)} AS beta, {r('(q - beta) / alpha', 2)} AS opening FROM c JOIN s USING (account_id, security_id)""",
-    "split_ratio_parse": f"""WITH x AS (SELECT {SPLIT} AS raw FROM lineitem), y AS (SELECT raw, try_cast(nullif(regexp_extract(raw, {RATIO}, 1), '') AS DOUBLE) AS a, try_cast(nullif(regexp_extract(raw, {RATIO}, 2), '') AS DOUBLE) AS b FROM x)
-SELECT raw, count(*) AS n, {r('any_value(CASE WHEN a > 0 AND b > 0 THEN b / a END)', 4)} AS ratio FROM y GROUP BY 1""",
     "late_trades": f"""{FULL}, {SNAP}, s AS (SELECT account_id, security_id, max(as_of_date) AS d FROM snap WHERE as_of_date <= {DAY} GROUP BY ALL)
 SELECT account_id, security_id, count(*) FILTER (trade_date > d) AS after_snapshot, count(*) FILTER (trade_date <= d) AS usable, max(CASE WHEN trade_date <= d THEN trade_date END) AS last_used FROM rich JOIN s USING (account_id, security_id) GROUP BY ALL""",
-    "no_movement_rows": f"{FULL}, x AS (SELECT kind, gross_amount, net_amount, CASE WHEN l_orderkey % 4 = 0 THEN 0 WHEN l_orderkey % 4 = 1 THEN NULL ELSE quantity END AS quantity FROM rich) SELECT kind, count(*) AS n, count(*) FILTER (coalesce(quantity, 0) = 0 AND coalesce(gross_amount, 0) = 0 AND coalesce(net_amount, 0) = 0) AS without_movement FROM x GROUP BY 1",
-    "tx_labels_classified": f"""WITH x AS (SELECT ({LABELS})[(l_partkey * 7 + l_linenumber) % 16 + 1] AS label FROM lineitem), g AS (SELECT label, count(*) AS n, lower(regexp_replace(trim(any_value(label)), '[(（\\[［].*?[)）\\]］]', '', 'g')) AS t FROM x GROUP BY label)
-SELECT label, n, CASE WHEN label IS NULL THEN NULL {' '.join(f"WHEN regexp_matches(t, '{w}') THEN '{k}'" for k, w in TYPES)} ELSE 'other' END AS kind FROM g""",
     "current_quantity": f"{BASE}, s AS (SELECT account_id, security_id, arg_max(quantity, as_of_date) AS q FROM snap GROUP BY ALL) SELECT security_id, sum(q)::BIGINT AS quantity FROM s GROUP BY 1 HAVING sum(q) <> 0",
     "weighted_anchor_cost": f"{ROUTED}, g AS (SELECT account_id, count(avg_cost) > 0 AND count(avg_cost) < count(*) AS mixed, {r('sum(quantity * avg_cost)::DOUBLE / nullif(sum(CASE WHEN avg_cost IS NOT NULL THEN quantity END)::DOUBLE, 0)', 2)} AS a, count(*) AS lots FROM lots GROUP BY 1) SELECT account_id, mixed, CASE WHEN NOT mixed THEN a END AS avg_cost, lots FROM g",
     "inferred_currency": f"{FULL}, g AS (SELECT account_id, currency, count(*) AS n, min((trade_date, l_orderkey, l_linenumber, l_partkey)) AS seen FROM rich GROUP BY ALL) SELECT account_id, currency, n FROM g QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY n DESC, seen) = 1",
@@ -93,11 +124,8 @@ SELECT label, n, CASE WHEN label IS NULL THEN NULL {' '.join(f"WHEN regexp_match
 SELECT c_nationkey, row_number() OVER (ORDER BY coalesce(cell, '') = '', cell NULLS FIRST, c_nationkey) AS up, row_number() OVER (ORDER BY coalesce(cell, '') = '', cell DESC NULLS LAST, c_nationkey) AS down, row_number() OVER (ORDER BY amount DESC NULLS LAST, c_nationkey) AS by_amount FROM c""",
     "portfolio_prorated": f"""{ROUTED}, v AS (SELECT *, {PREVIOUS} AS pv, {cost()} AS c, CASE WHEN security_id % 13 = 0 THEN 0.0::DOUBLE WHEN security_id % 11 = 0 THEN 1.0 ELSE least((security_id % 5) * 0.3::DOUBLE, 1.0) END AS share FROM lots)
 SELECT currency, {r('sum(value * share)', 1)} AS value, {r('sum(c * share)', 1)} AS cost, {r('sum(CASE WHEN c IS NOT NULL THEN value END * share)', 1)} AS costed_value, {r('sum((value - pv) * share)', 1)} AS day_change, count(DISTINCT security_id) AS securities FROM v WHERE share > 0 GROUP BY 1""",
-    "range_starts": f"WITH {LEDGER}, o AS (SELECT account_id, min(trade_date) AS oldest FROM ledger GROUP BY 1), k AS (SELECT * FROM (VALUES ('7d', 7), ('30d', 30), ('90d', 90), ('1y', 365), ('all', 1826)) t(range, days)) SELECT account_id, range, CASE WHEN range = 'all' THEN greatest({DAY} - days, oldest) ELSE {DAY} - days END AS start FROM o, k",
     "history_chunks": f"WITH {LEDGER}, d AS (SELECT security_id, min(trade_date) AS lo, least(max(trade_date), {DAY} - 1) AS hi FROM ledger GROUP BY 1), x AS (SELECT security_id, hi, unnest(range(0, (hi - lo) + 1, 365)) AS k, lo FROM d WHERE lo <= hi) SELECT security_id, lo + k::INTEGER AS start, least(lo + k::INTEGER + 364, hi) AS end FROM x",
     "freshness": f"{BASE} SELECT security_id, max(date) AS last, ({DAY} - max(date)) <= 35 AS fresh FROM prices WHERE date <= {DAY} AND (security_id % 4 <> 1 OR date < DATE '1998-04-01') GROUP BY 1",
-    "batch_rollback": f"""WITH {LEDGER}, t AS (SELECT {KEY} AS k, l_orderkey, l_partkey, quantity, 'B' || (l_orderkey % 6)::VARCHAR AS b FROM ledger), links AS (SELECT k, b FROM t UNION ALL SELECT k, 'B' || ((l_orderkey + l_partkey) % 6)::VARCHAR FROM t WHERE l_partkey % 3 = 0),
-o AS (SELECT k, min(b) AS owner FROM links WHERE b <> 'B3' GROUP BY 1) SELECT CASE WHEN b = 'B3' THEN owner ELSE b END AS batch_id, count(*) AS n, sum(quantity)::BIGINT AS quantity FROM t LEFT JOIN o USING (k) WHERE b <> 'B3' OR owner IS NOT NULL GROUP BY 1""",
     "statement_commit": f"""{BASE}, s AS (SELECT account_id, security_id, as_of_date, quantity FROM snap WHERE as_of_date >= {PREV}), d AS (SELECT * FROM s WHERE as_of_date = {DAY} AND account_id % 5 = 2), new AS (SELECT account_id, security_id, as_of_date, quantity + 3 AS quantity FROM d WHERE security_id % 4 <> 0),
 o AS (SELECT * FROM s WHERE (account_id, as_of_date) NOT IN (SELECT DISTINCT account_id, as_of_date FROM new) UNION ALL SELECT * FROM new UNION ALL SELECT account_id, security_id, {DAY}, 0 FROM d WHERE security_id % 8 = 0)
 SELECT account_id, as_of_date, count(*) AS lots, sum(quantity)::BIGINT AS quantity, count(*) FILTER (quantity = 0) AS zeroed FROM o GROUP BY ALL""",
@@ -106,7 +134,7 @@ SELECT coalesce(CASE WHEN n % 3 = 0 THEN 'new' END, b) AS batch_id, count(*) AS
     "purge_previews": "WITH e AS (SELECT event_id, ts, CASE WHEN event_type = 'purchase' THEN 'committed' ELSE 'preview' END AS status FROM events) SELECT status, count(*) AS n, min(event_id) AS first FROM e WHERE status <> 'preview' OR ts >= TIMESTAMP '2024-01-29 12:00:00' GROUP BY 1",
     "unique_violations": "SELECT p_brand AS code, count(*) AS n FROM part WHERE p_size < 30 AND p_size % 2 = 0 GROUP BY 1 HAVING count(*) > 1",
     "batch_row_counts": f"{BASE} SELECT n_nationkey::BIGINT AS account_id, CASE n_regionkey % 2 WHEN 0 THEN 'ledger' ELSE 'statement' END AS kind, CASE WHEN n_regionkey % 2 = 0 THEN (SELECT count(*) FROM ledger l WHERE l.account_id = n.n_nationkey) ELSE (SELECT count(*) FROM snap s WHERE s.account_id = n.n_nationkey) END AS rows FROM nation n",
-    "normalized_codes": f"""WITH x AS (SELECT {CODE} AS raw FROM part), y AS (SELECT raw, upper(trim(raw)) AS c FROM x), z AS (SELECT raw, CASE WHEN length(c) = 5 AND c LIKE '%0' AND regexp_matches(left(c, 4), '^[0-9][0-9A-Z]{{3}}$') THEN left(c, 4) ELSE c END AS code FROM y) SELECT code, count(*) AS n, min(raw) AS first_raw FROM z GROUP BY 1""",
+    "normalized_codes": f"""WITH x AS (SELECT {CODE} AS raw FROM part), y AS (SELECT raw, replace(upper(trim(raw)), ' ', '') AS c FROM x), z AS (SELECT raw, CASE WHEN length(c) = 5 AND c LIKE '%0' AND regexp_matches(left(c, 4), '^[0-9][0-9A-Z]{{3}}$') THEN left(c, 4) WHEN regexp_matches(c, '^[0-9][0-9A-Z]{{3}}$') THEN c END AS code FROM y) SELECT code, count(*) AS n, min(raw) AS first_raw FROM z GROUP BY 1""",
     "currency_words": """WITH x AS (SELECT (['円', '米ドル', 'ユーロ', 'USD', 'us$', '€', 'JPY', '£', '?', NULL])[c_custkey % 10 + 1] AS word FROM customer)
 SELECT word, count(*) AS n, CASE upper(word) WHEN '円' THEN 'JPY' WHEN '米ドル' THEN 'USD' WHEN 'ユーロ' THEN 'EUR' WHEN 'USD' THEN 'USD' WHEN 'US$' THEN 'USD' WHEN '€' THEN 'EUR' WHEN 'JPY' THEN 'JPY' WHEN '£' THEN 'GBP' END AS currency FROM x GROUP BY word""",
     "row_inclusion": f"""{FULL} SELECT CASE WHEN l_partkey % 10 < 7 THEN 'unsure' WHEN l_orderkey % 7 = 0 THEN 'unresolved' WHEN kind IN ('cash_in', 'cash_out') THEN 'cash' WHEN l_linenumber = 7 THEN 'duplicate' ELSE 'included' END AS decision, count(*) AS n FROM rich GROUP BY 1""",
@@ -119,7 +147,4 @@ SELECT o.date, {r('own + coalesce(added, 0)', 4)} AS value, added IS NOT NULL AS
 SELECT CASE WHEN g IS NULL THEN 'no-rule' WHEN g = 'zz' THEN 'missing-tag' WHEN t IS NULL THEN 'new' WHEN t = g THEN 'unchanged' ELSE 'change' END AS status, count(*) AS n, min(security_id) AS first FROM s GROUP BY 1""",
     "consistency_warnings": f"""{BASE}, o AS (SELECT account_id, security_id, security_id % 40 AS code FROM snap WHERE as_of_date = {PREV}), n AS (SELECT account_id, security_id, security_id % 40 AS code FROM snap WHERE as_of_date = {DAY})
 SELECT account_id, code FROM n WHERE (account_id, security_id) NOT IN (SELECT account_id, security_id FROM o) INTERSECT SELECT account_id, code FROM o WHERE (account_id, security_id) NOT IN (SELECT account_id, security_id FROM n)""",
-    "divisor_inference": f"""{FULL}, d AS (SELECT security_id, quantity, gross, floor(gross / quantity) * divisor AS quote FROM rich), t AS (SELECT *, unnest([1, 100, 1000, 10000]) AS v FROM d),
-g AS (SELECT security_id, v, count(*) FILTER (abs(quantity * quote / v - gross) <= greatest(gross * 0.005, 2)) AS hits, count(*) AS n FROM t GROUP BY ALL)
-SELECT security_id, v AS divisor, hits, n FROM g QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY hits DESC, v) = 1""",
 }

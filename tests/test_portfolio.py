@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as fx
 from folioforge.operators import allocation, asof, ledger, matching, series, valuation
-from folioforge.plans import ledgers, ledgers_sql, oracle, queries, wealth, wealth_sql
+from folioforge.plans import intake, intake_sql, ledgers, ledgers_sql, oracle, queries, wealth, wealth_sql
 
 D = dt.date
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -33,7 +33,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) and not math.isnan(v) else v
 
 
-ALL_QUERIES, ALL_SQL = queries.QUERIES | wealth.QUERIES | ledgers.QUERIES, oracle.SQL | wealth_sql.SQL | ledgers_sql.SQL
+ALL_QUERIES, ALL_SQL = queries.QUERIES | wealth.QUERIES | ledgers.QUERIES | intake.QUERIES, oracle.SQL | wealth_sql.SQL | ledgers_sql.SQL | intake_sql.SQL
 
 
 @pytest.mark.parametrize("name", sorted(ALL_SQL))
@@ -163,7 +163,7 @@ def test_code_components_cover_every_row(spark, sql, data):
 
 def test_text_functions(spark):
     d = spark.createDataFrame([("1,234.50", "2024/3/5"), ("(12.00)", "20240305"), ("▲3", "5.3.2024"), ("-", "2024-13-01"), (None, None)], "a string, d string")
-    got = d.select(fx.amount(F.col("a")).alias("a"), fx.any_date(F.col("d")).alias("d")).collect()
+    got = d.select(fx.amount(F.col("a")).alias("a"), fx.any_date(F.col("d"), "dmy").alias("d")).collect()
     assert [x.a and float(x.a) for x in got] == [1234.5, -12.0, -3.0, None, None]
     assert [x.d for x in got] == [D(2024, 3, 5)] * 3 + [None, None]
     assert spark.createDataFrame([("ＡＢ１",)], "s string").select(fx.nfkc("s")).first()[0] == "AB1"
@@ -181,17 +181,18 @@ def test_every_query_has_sql_but_the_ones_tested_here():
 
 
 def test_suggested_names_match_brute_force(spark, sql, data):
-    names = [r[0] for r in sql.execute("SELECT DISTINCT p_name FROM part").fetchall()]
+    names_ = [r[0] for r in sql.execute("SELECT DISTINCT p_name FROM part").fetchall()]
 
     def score(x, y):
-        s = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
-        return round(max(s, min(len(x), len(y)) / max(len(x), len(y))) if x in y or y in x else s, 4)
+        a, b = (t.lower().replace(" ", "") for t in (x, y))
+        s = difflib.SequenceMatcher(None, a, b).ratio()
+        return round(max(s, min(len(a), len(b)) / max(len(a), len(b))) if a in b or b in a else s, 4)
 
     expected = set()
-    for x in names:
-        best = sorted((-score(x, y), y) for y in names if y != x and score(x, y) >= 0.5)[:5]
+    for x in names_:
+        best = sorted((-score(x, y), y) for y in names_ if y != x and score(x, y) >= 0.5)[:5]
         expected |= {(x, y, -s, i + 1) for i, (s, y) in enumerate(best)}
-    assert {tuple(r) for r in queries.QUERIES["fuzzy_name_score"](spark, data).collect()} == expected
+    assert {(r["name"], r["other"], r["score"], r["rank"]) for r in queries.QUERIES["fuzzy_name_score"](spark, data).collect()} == expected
 
 
 def test_thousands_of_half_sales_match_exact_fractions(spark):

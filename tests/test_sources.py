@@ -83,10 +83,3 @@ def test_overlapping_exports_are_ingested_once(spark, tmp_path):
     run()
     got = sorted((r.day, r.kind, r.quantity) for r in spark.read.parquet(f"{tmp_path}/table").collect())
     assert got == [("1", "buy", 5), ("1", "buy", 5), ("2", "sell", 1), ("3", "buy", None)]
-
-
-def test_name_scores(spark):
-    from folioforge.functions import text as fx
-
-    d = spark.createDataFrame([("global fund", "global fund"), ("global fund", "global"), ("abc", "xyz"), (None, "a")], "a string, b string")
-    assert [r[0] for r in d.select(fx.name_score("a", "b")).collect()] == [1.0, 0.7059, 0.0, None]
