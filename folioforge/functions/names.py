@@ -104,6 +104,11 @@ def clean_name(name: pd.Series) -> pd.Series:
     return name.map(cleaned, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def comparable_name(name: pd.Series) -> pd.Series:
+    return name.map(compared, na_action="ignore")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def search_words(name: pd.Series) -> pd.Series:
     return name.map(searches, na_action="ignore")

@@ -23,7 +23,7 @@ from .steps import ACQUIRES, acquisition_cost, proceeds, quantity_step
 #: Rows of a piece, and rows of an irregular position that are folded at once.
 PIECE, RUN = 4_096, 65_536
 #: Quantities up to this are nothing left; what a sale leaves of this share is rounding of doubles.
-NOTHING, NOISE = 1e-7, 1e-12
+NOTHING, NOISE = 1e-7, 1e-10
 POSITION = ["account_id", "security_id"]
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, paths, replay, routes, steps, transfers
+from ..operators import allocation, asof, history, paths, replay, routes, series, steps, transfers
 from ..sources import domain as dm
 from ..sources.domain import half_up
 from .queries import AS_OF, GROUP
-from .wealth import RICH, _rich, _routed
+from .wealth import RICH, _instruments, _rates, _rich, _routed
 
 QUERIES: dict = {}
 
@@ -137,3 +137,110 @@ def transfer_resolution(spark, sf):
     sure = tx.where("kind = 'transfer_out' and security_id % 25 = 0").groupBy("security_id", F.col("account_id").alias("from_account"), F.col("trade_date").alias("date")).agg(F.sum("quantity").alias("quantity"))
     manual = sure.select("security_id", "from_account", F.expr("CASE WHEN from_account % 2 = 0 THEN (from_account + 1) % 5000 END").alias("to_account"), "date", "quantity")
     return transfers.resolved(tx, statements, ["trade_date", "ref"], manual).withColumn("absorbed", F.array_join("absorbed", ","))
+
+
+LOT_COST = "CASE WHEN (account_id + security_id) % 4 <> 0 THEN CAST(floor(cost / greatest(bought, 1)) AS DOUBLE) END"
+LOT_REPORTED = "CASE WHEN (account_id + security_id) % 3 = 0 THEN quantity * 100.0 END"
+FROM, TO = "1996-06-01", "1996-07-10"
+#: Halves are rounded up whatever the order in which doubles are added.
+SURE = 1 + 1e-12
+
+
+def _valued_lots(spark: SparkSession, sf: str) -> DataFrame:
+    """Statements of single lots with costs and reported values; positions start on different days, some have none."""
+    s = dm.snapshots(dm.ledger(spark, sf)).where(f"NOT {CLOSED} AND as_of_date >= {LOT_FROM}")
+    return s.select(*GROUP, F.lit(0).alias("lot_seq"), "as_of_date", F.expr(LOT_QUANTITY).alias("quantity"), F.expr(LOT_COST).alias("avg_cost"), F.expr(LOT_REPORTED).alias("reported"))
+
+
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
+    """A price series for each security: linked, manual over it, derived from appraisals, or reported."""
+    p = dm.prices(dm.ledger(spark, sf)).withColumn("currency", F.expr(RICH["currency"]))
+    linked = p.where("security_id % 7 <> 3 AND security_id % 7 <> 4 AND security_id % 13 <> 5")
+    manual = p.where("(security_id % 7 = 3 OR security_id % 5 = 2) AND month(date) % 3 = 0").withColumn("price", F.col("price") + 7)
+    index = series.on_calendar(manual.where("security_id % 7 = 3").select("security_id", "date", "price", "currency"), ["security_id"], "date", "1996-01-01", "1996-12-31")
+    derived = index.select("security_id", F.col("day").alias("date"), F.col("price"), "currency").where("NOT backfilled")
+    reported = p.where("security_id % 13 <> 5 AND day(date) <> 31").withColumn("price", F.col("price") * 2)
+    return history.price_chain(linked, manual, derived, reported)
+
+
+def _history(spark: SparkSession, sf: str, ledger_only: bool, overrides: bool = False) -> DataFrame:
+    tx, lots = _rich(spark, sf).withColumn("ref", F.expr(REF)), _valued_lots(spark, sf)
+    p = paths.quantity_paths(tx, lots, dm.ORDER)
+    days = history.lot_days(lots, FROM, TO, p, ledger_only)
+    over = replay.reconciled_positions(_rich(spark, sf), _anchors(spark, sf), dm.ORDER).where("applies").select(*GROUP, F.col("avg_cost").alias("override")) if overrides else None
+    return history.worth(days, _instruments(spark, sf), _chain(spark, sf), _rates(spark, sf), FROM, TO, overrides=over)
+
+
+@query
+def price_chain(spark, sf):
+    """The series that every security is valued by, and where it comes from."""
+    return _chain(spark, sf).withColumn("price", half_up(F.col("price"), 2))
+
+
+@query
+def history_by_class(spark, sf):
+    """Daily value and cost of every class over traced and stated lots, with recomputed costs where they apply."""
+    d = history.daily(_history(spark, sf, False, True), ["asset_class"])
+    return d.select("asset_class", "day", half_up(F.col("value") * SURE, 0).alias("value"), half_up(F.col("cost") * SURE, 0).alias("cost"))
+
+
+@query
+def history_by_security(spark, sf):
+    """Daily value, cost and quantity of every security, with positions that only the ledger knows, in dollars; and whether some of it is an estimate."""
+    usd = series.on_calendar(_rates(spark, sf).where("currency = 'USD'"), ["currency"], "date", FROM, TO).select("day", "rate")
+    d = history.daily(_history(spark, sf, True), ["security_id"], usd)
+    return d.select("security_id", "day", half_up(F.col("value") * SURE, 1).alias("value"), half_up(F.col("cost") * SURE, 1).alias("cost"), half_up(F.col("quantity"), 4).alias("quantity"), "backfilled")
+
+
+@query
+def trade_price_fill(spark, sf):
+    """Trades without a price get the last one of the seven days before, where the series is in their currency."""
+    t = _rich(spark, sf).where("unit_price is null").select(F.concat_ws("-", F.expr(REF), "security_id", "quantity").alias("ref"), "security_id", "currency", "trade_date")
+    return history.trade_prices(t, _chain(spark, sf)).select("ref", half_up(F.col("price"), 2).alias("price"), "priced_on")
+
+
+@query
+def coin_day_changes(spark, sf):
+    """Coins of another service from events: what it reports today, with the previous value it gives or the last one of its own days."""
+    e = dm.table(spark, sf, "events")
+    day = e.groupBy("user_id", F.to_date("ts").alias("t")).agg(F.sum(F.floor(F.col("value") * 100).cast("long")).alias("v"))
+    last = day.groupBy("user_id").agg(F.max_by("v", "t").alias("v"), F.count("*").alias("n"))
+    text = lambda c: F.col(c).cast("string")
+    assets = last.select(F.expr("CASE WHEN user_id % 17 = 0 THEN ' ' ELSE concat('C', CAST(user_id AS STRING)) END").alias("asset"), F.expr("CASE WHEN user_id % 19 = 0 THEN 'n/a' ELSE CAST(n AS STRING) END").alias("balance"), F.lit("1").alias("price"), text("v").alias("value"), F.expr("user_id % 11 <> 0").alias("has_price"), F.expr("CASE WHEN user_id % 3 = 0 THEN CAST(v - user_id AS STRING) WHEN user_id % 3 = 1 THEN 'x' END").alias("prev_value"), F.lit("2024-01-29").alias("prev_date"))
+    rows = history.coin_rows(assets)
+    own = history.coin_previous(day.select(F.concat(F.lit("C"), "user_id").alias("symbol"), text("t").alias("t"), text("v").alias("value")), "2024-01-30")
+    d = rows.join(own.withColumnRenamed("prev_value", "own"), "symbol", "left").withColumn("previous", F.coalesce("prev_value", "own"))
+    return d.select("symbol", F.col("value").cast("double").alias("value"), F.col("previous").cast("double").alias("previous"), (F.col("value") - F.col("previous")).cast("double").alias("day_change"), half_up(F.col("day_change_pct"), 4).alias("reported_pct"), "as_of")
+
+
+@query
+def classes_with_coins(spark, sf):
+    """Classes with another service's coins in theirs: totals, day changes and shares of what counts."""
+    e = dm.table(spark, sf, "events").groupBy("user_id").agg(F.sum(F.floor(F.col("value") * 100).cast("long")).alias("v"))
+    rows = e.select(F.col("v").cast("decimal(38,10)").alias("value"), F.expr("CASE WHEN user_id % 3 <> 0 THEN CAST(v - user_id AS DECIMAL(38,10)) END").alias("prev_value")).withColumn("day_change", F.col("value") - F.col("prev_value"))
+    c = _routed(spark, sf).groupBy("asset_class").agg(F.sum("now.value").cast("decimal(38,10)").alias("value"), F.sum("before.value").cast("decimal(38,10)").alias("prev_value"), F.lit(False).alias("partial"), F.count("*").alias("holdings"))
+    c = c.withColumn("day_change", F.col("value") - F.col("prev_value")).withColumn("in_total", F.col("asset_class") != "point")
+    d = history.with_coins(c, history.coin_totals(rows), True)
+    return d.select("asset_class", *[half_up(F.col(x), 2).alias(x) for x in ("value", "prev_value", "day_change")], "partial", "holdings", "in_total", half_up(F.col("weight"), 5).alias("weight"))
+
+
+RULES = [
+    allocation.Rule("metal", (("metal", 100),), ("steel", "copper"), ("brass",)),
+    allocation.Rule("large", (("size", 60), ("lost", 40)), ("large",), (), ("fund", "stock")),
+    allocation.Rule("tin", (("metal", 50), ("size", 50)), ("tin", "nickel")),
+    allocation.Rule("fund", (("fund", 100),), classes=("fund",)),
+    allocation.Rule("guess", (("size", 100),), classes=("stock", "pension"), fallback=True),
+]
+CODES = {"1005": "tin", "1010": "unknown", "1015": "fund"}
+PART = {"name": "concat(p_name, ' ', p_type, CASE WHEN p_partkey % 9 = 0 THEN ' ETF' ELSE '' END)", "code": "CASE WHEN p_partkey % 5 = 0 THEN CAST(1000 + p_partkey % 40 AS STRING) END", "asset_class": "CASE p_partkey % 4 WHEN 0 THEN 'fund' WHEN 1 THEN 'stock' WHEN 2 THEN 'cash' ELSE 'pension' END"}
+
+
+@query
+def rule_suggestions(spark, sf):
+    """What rules by code, by keyword and by class suggest for every part, and what that would change."""
+    p = dm.table(spark, sf, "part").select(F.col("p_partkey").alias("security_id"), *[F.expr(x).alias(k) for k, x in PART.items()])
+    tags = spark.createDataFrame([(1, "metal"), (2, "size"), (3, "fund")], "tag_id long, name string")
+    current = p.where("security_id % 3 <> 0").select("security_id", F.explode(F.expr("CASE WHEN security_id % 6 = 1 THEN array(1L, 2L) ELSE array(security_id % 3) END")).alias("tag_id")).withColumn("weight", F.expr("CASE WHEN security_id % 6 = 1 THEN 50 ELSE 100 END"))
+    d = allocation.suggestions(allocation.matched_rules(p, RULES, CODES), RULES, tags, current)
+    pairs = F.array_join(F.transform("suggested", lambda x: F.concat(x["tag_id"].cast("string"), F.lit(":"), x["weight"].cast("int").cast("string"))), ",")
+    return d.select("security_id", "rule", "matched_by", "matched_value", "doubtful", "status", pairs.alias("suggested"), F.array_join("missing", ",").alias("missing"))

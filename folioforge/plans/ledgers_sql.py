@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .ledgers import ANCHOR, ARRIVES, CLOSED, DEPARTS, LATER_LOT, LOT_FROM, LOT_QUANTITY, MOVED, REF
+from .ledgers import ANCHOR, ARRIVES, CLOSED, CODES, DEPARTS, FROM, LATER_LOT, LOT_COST, LOT_FROM, LOT_QUANTITY, LOT_REPORTED, MOVED, PART, REF, RULES, SURE, TO
 from .oracle import LEDGER, PRICES, SNAP, r
 from .wealth_sql import COLUMNS, DELTA, INS, LOTS, MULT, PROCEEDS, RATES, cost
 
@@ -29,7 +29,7 @@ def last(name: str) -> str:
     return f"(SELECT {G}, max_by(x, x.n) AS x FROM {name} x GROUP BY {G})"
 
 
-LEFT, COST = "(CASE WHEN abs(s.q - abs(u.quantity)) <= 1e-12 * abs(s.q + abs(u.quantity)) THEN 0 ELSE s.q - abs(u.quantity) END)", "(u.proceeds + abs(u.fee))"
+LEFT, COST = "(CASE WHEN abs(s.q - abs(u.quantity)) <= 1e-10 * abs(s.q + abs(u.quantity)) THEN 0 ELSE s.q - abs(u.quantity) END)", "(u.proceeds + abs(u.fee))"
 SALE = "u.leaves AND s.q > 0"
 GREW = "CASE WHEN u.kind = 'split' AND u.mult <> 1 THEN u.mult WHEN u.kind = 'split' AND s.q <> 0 THEN (s.q + coalesce(u.delta, 0)) / s.q ELSE 1 END"
 REPLAY = f"""WITH RECURSIVE {RICH}, {ANCHORS}, {USED},
@@ -113,7 +113,53 @@ SELECT * FROM res WHERE outcome IS NOT NULL
 UNION ALL SELECT o.security_id, o.account_id, o.date, o.quantity, o.source, NULL, 'dismissed', NULL, '', 0 FROM od o JOIN sure m ON m.security_id = o.security_id AND m.from_account = o.account_id AND m.date = o.date WHERE m.to_account IS NULL
 UNION ALL SELECT m.security_id, m.from_account, m.date, m.quantity, 'manual', m.to_account, 'manual', NULL, coalesce(list_filter(p.cands, lambda x: x.k = 'transfer_in' AND x.b = m.to_account)[1].r, ''), 0 FROM sure m LEFT JOIN p5 p ON p.security_id = m.security_id AND p.account_id = m.from_account AND p.date = m.date AND p.source = 'manual' WHERE m.to_account IS NOT NULL"""
 
+CHAIN = f"""pc AS (SELECT *, CASE security_id % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'JPY' END AS currency FROM prices), lk AS (SELECT * FROM pc WHERE security_id % 7 <> 3 AND security_id % 7 <> 4 AND security_id % 13 <> 5), ma AS (SELECT * REPLACE (price + 7 AS price) FROM pc WHERE (security_id % 7 = 3 OR security_id % 5 = 2) AND month(date) % 3 = 0),
+dv AS (SELECT m.security_id, d::DATE AS date, m.price, m.currency FROM generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY) t(d) JOIN (SELECT *, lead(date) OVER (PARTITION BY security_id ORDER BY date) AS nd FROM ma WHERE security_id % 7 = 3) m ON d::DATE >= m.date AND (nd IS NULL OR d::DATE < nd)),
+cr AS (SELECT security_id, date, price, currency, 'linked' AS source, 1 AS k FROM lk UNION ALL SELECT security_id, date, price, currency, 'manual', 0 FROM ma WHERE security_id IN (SELECT security_id FROM lk) UNION ALL SELECT security_id, date, price, currency, 'derived', 1 FROM dv WHERE security_id NOT IN (SELECT security_id FROM lk)
+  UNION ALL SELECT security_id, date, price * 2, 'JPY', 'reported', 1 FROM pc WHERE security_id % 13 <> 5 AND day(date) <> 31 AND security_id NOT IN (SELECT security_id FROM lk UNION SELECT security_id FROM ma)),
+ch_ AS (SELECT security_id, date, arg_min(price, k)::DOUBLE AS price, arg_min(source, k) AS source FROM cr GROUP BY ALL), cc AS (SELECT security_id, arg_max(currency, (k, date)) AS price_currency FROM cr GROUP BY 1), chain AS (SELECT ch_.*, price_currency FROM ch_ JOIN cc USING (security_id))"""
+LOT_PATHS = PATHS.replace(PATHS[PATHS.index("\nst AS ("):PATHS.index("\nmv AS (")], f"""
+st AS (SELECT {G}, 0 AS lot_seq, as_of_date, {LOT_QUANTITY} AS quantity, {LOT_COST} AS avg_cost, {LOT_REPORTED} AS reported FROM snap WHERE NOT {CLOSED} AND as_of_date >= {LOT_FROM}),""")
+
+
+def worths(before: str, closed: str, override: str) -> str:
+    """Lots on every day, with their worth: what statements say, else what paths do."""
+    return f"""{before}, {PRICES}, {RATES}, {INS}, {CHAIN}, dd AS (SELECT unnest(generate_series(DATE '{FROM}', DATE '{TO}', INTERVAL 1 DAY))::DATE AS day),
+f1 AS (SELECT {G}, arg_min(quantity, as_of_date)::DOUBLE AS q, arg_min({{'c': avg_cost}}, as_of_date).c AS c, arg_min({{'r': reported}}, as_of_date).r AS rp, min(as_of_date) AS first FROM st GROUP BY ALL),
+g1 AS (SELECT f1.account_id, f1.security_id, dd.day, s.quantity::DOUBLE AS q, s.avg_cost, s.reported, f1.q AS fq, f1.c AS fc, f1.rp AS frp, s.as_of_date IS NULL AS early FROM f1 CROSS JOIN dd ASOF LEFT JOIN st s ON s.account_id = f1.account_id AND s.security_id = f1.security_id AND dd.day >= s.as_of_date),
+g2 AS (SELECT g1.*, x.status FROM g1 JOIN sx x USING ({G})),
+g3 AS (SELECT {G}, day, CASE WHEN early THEN fq ELSE q END AS quantity, CASE WHEN early THEN fc ELSE avg_cost END AS avg_cost, CASE WHEN early THEN frp ELSE reported END AS reported, early AS backfilled FROM g2 WHERE NOT (early AND status = 'traced')),
+g4 AS (SELECT x.account_id, x.security_id, dd.day, coalesce(c.quantity, x.opening) AS quantity, c.day IS NULL AND x.opening > 1e-7 AS est, x.status FROM sx x JOIN dd ON (x.first IS NULL OR dd.day < x.first) ASOF LEFT JOIN ch c ON c.account_id = x.account_id AND c.security_id = x.security_id AND dd.day >= c.day WHERE x.status IN ('traced'{closed})),
+g5 AS (SELECT account_id, security_id, day, quantity, avg_cost, reported, backfilled FROM g3 WHERE quantity <> 0 UNION ALL SELECT g4.account_id, g4.security_id, day, quantity, CASE WHEN f1.q <> 0 THEN f1.c END, CASE WHEN f1.q <> 0 THEN f1.rp * quantity / f1.q END, est FROM g4 LEFT JOIN f1 USING ({G}) WHERE quantity <> 0),
+pf AS (SELECT security_id, min(date) AS d0, arg_min(price, date) AS p0 FROM chain GROUP BY 1), pd AS (SELECT pf.security_id, dd.day, coalesce(c.price, p0) AS price FROM pf CROSS JOIN dd ASOF LEFT JOIN chain c ON c.security_id = pf.security_id AND dd.day >= c.date),
+rf AS (SELECT currency, arg_min(rate, date) AS r0 FROM rates GROUP BY 1), rd AS (SELECT rf.currency, dd.day, coalesce(x.rate, r0) AS rate FROM rf CROSS JOIN dd ASOF LEFT JOIN rates x ON x.currency = rf.currency AND dd.day >= x.date),
+wa AS (SELECT g5.*, i.asset_class, i.divisor, i.linked, pd.price, CASE WHEN i.currency = 'JPY' THEN 1 ELSE ro.rate END AS ro, CASE WHEN cc.price_currency = 'JPY' THEN 1 ELSE ra.rate END AS ra, {override} AS override FROM g5 JOIN ins i ON i.security_id = g5.security_id LEFT JOIN pd ON pd.security_id = g5.security_id AND pd.day = g5.day LEFT JOIN cc ON cc.security_id = g5.security_id
+  LEFT JOIN rd ro ON ro.currency = i.currency AND ro.day = g5.day LEFT JOIN rd ra ON ra.currency = cc.price_currency AND ra.day = g5.day {"LEFT JOIN ov ON ov.account_id = g5.account_id AND ov.security_id = g5.security_id" if override != "NULL" else ""}),
+wb AS (SELECT *, CASE WHEN asset_class = 'cash' THEN coalesce(quantity * ro, reported, 0) ELSE coalesce(CASE WHEN NOT (asset_class = 'pension' AND linked AND quantity <= 1) THEN quantity * price / divisor * ra END, reported, CASE WHEN asset_class = 'point' THEN quantity END, 0) END AS value,
+  CASE WHEN asset_class <> 'cash' THEN CASE WHEN asset_class = 'pension' THEN coalesce(override, avg_cost) ELSE quantity * coalesce(override, avg_cost) / divisor * ro END END AS cost FROM wa)"""
+
+
+#: The replay's and the paths' expressions in one statement.
+BOTH = REPLAY.rstrip() + ", ov AS (SELECT account_id, security_id, av AS ov FROM av WHERE cov = 'full' AND av IS NOT NULL AND coalesce(lots, 1) = 1)" + LOT_PATHS[LOT_PATHS.index("\nst AS (") - 1:]
+TEXT = "regexp_replace(lower(name), '\\s+', '', 'g')"
+RULE = lambda what: "CASE " + " ".join(f"WHEN upper(trim(code)) = '{c}' THEN {dict(rule=chr(39) + r_ + chr(39), by=chr(39) + 'code' + chr(39), value='upper(trim(code))')[what]}" for c, r_ in CODES.items() if r_ in {x.name for x in RULES}) + " " + " ".join(
+    f"WHEN {' AND '.join([*(f'NOT contains(t, {chr(39)}{e}{chr(39)})' for e in x.excludes), *([f'asset_class IN ({chr(44).join(chr(39) + c + chr(39) for c in x.classes)})'] if x.classes else []), *(['(' + ' OR '.join(f'contains(t, {chr(39)}{k}{chr(39)})' for k in x.keywords) + ')'] if x.keywords else [])])} THEN "
+    + {"rule": f"'{x.name}'", "by": "'keyword'" if x.keywords else "'class'", "value": ("CASE " + " ".join(f"WHEN contains(t, '{k}') THEN '{k}'" for k in x.keywords) + " END") if x.keywords else "asset_class"}[what] for x in RULES) + " END"
+
 SQL: dict[str, str] = {
+    "price_chain": f"WITH {RICH}, {PRICES}, {CHAIN} SELECT security_id, date, {r('price', 2)} AS price, price_currency, source FROM chain",
+    "history_by_class": f"{worths(BOTH, '', 'ov.ov')} SELECT asset_class, day, {r(f'sum(value) * {SURE}::DOUBLE', 0)} AS value, {r(f'sum(cost) * {SURE}::DOUBLE', 0)} AS cost FROM wb GROUP BY ALL",
+    "history_by_security": f"{worths(LOT_PATHS, chr(44) + chr(39) + 'closed' + chr(39), 'NULL')} SELECT wb.security_id, wb.day, {r(f'sum(value) / any_value(rd.rate) * {SURE}::DOUBLE', 1)} AS value, {r(f'sum(cost) / any_value(rd.rate) * {SURE}::DOUBLE', 1)} AS cost, {r('sum(quantity)')} AS quantity, bool_or(backfilled) AS backfilled FROM wb JOIN rd ON rd.currency = 'USD' AND rd.day = wb.day GROUP BY wb.security_id, wb.day",
+    "trade_price_fill": f"WITH {RICH}, {PRICES}, {CHAIN} SELECT concat_ws('-', {REF}, t.security_id, t.quantity) AS ref, {r('arg_max(c.price, c.date)', 2)} AS price, max(c.date) AS priced_on FROM rich t LEFT JOIN chain c ON c.security_id = t.security_id AND c.price_currency = t.currency AND c.date BETWEEN t.trade_date - 7 AND t.trade_date WHERE unit_price IS NULL GROUP BY ALL",
+    "coin_day_changes": f"""WITH d AS (SELECT user_id, ts::DATE AS t, sum(floor(value * 100)::BIGINT) AS v FROM events GROUP BY ALL), l AS (SELECT user_id, arg_max(v, t)::DOUBLE AS v FROM d GROUP BY 1), o AS (SELECT user_id, arg_max(v, t)::DOUBLE AS own, max(t) AS seen FROM d WHERE t < DATE '2024-01-30' GROUP BY 1)
+SELECT 'C' || l.user_id AS symbol, v AS value, coalesce(CASE WHEN l.user_id % 3 = 0 THEN v - l.user_id END, CASE WHEN DATE '2024-01-30' - seen <= 7 THEN own END) AS previous, v - previous AS day_change, {r('CASE WHEN l.user_id % 3 = 0 THEN l.user_id * 100 / nullif(v - l.user_id, 0) END')} AS reported_pct, CASE WHEN l.user_id % 3 = 0 THEN '2024-01-29' END AS as_of
+FROM l LEFT JOIN o USING (user_id) WHERE l.user_id % 17 <> 0 AND l.user_id % 19 <> 0 AND l.user_id % 11 <> 0""",
+    "classes_with_coins": f"""WITH {RICH}, {PRICES}, {RATES}, {INS}, {LOTS}, e AS (SELECT user_id, sum(floor(value * 100)::BIGINT)::DOUBLE AS v FROM events GROUP BY 1),
+c AS (SELECT asset_class, sum(value) AS value, sum(before) AS prev_value, sum(value) - sum(before) AS day_change, false AS partial, count(*) AS holdings, asset_class <> 'point' AS in_total FROM lots GROUP BY 1 UNION ALL SELECT 'crypto', sum(v), sum(CASE WHEN user_id % 3 <> 0 THEN v - user_id END), sum(CASE WHEN user_id % 3 <> 0 THEN user_id END), true, count(*), true FROM e)
+SELECT asset_class, {r('value', 2)} AS value, {r('prev_value', 2)} AS prev_value, {r('day_change', 2)} AS day_change, partial, holdings, in_total, {r('CASE WHEN in_total THEN value * 100 / (SELECT sum(value) FROM c WHERE in_total) END', 5)} AS weight FROM c""",
+    "rule_suggestions": f"""WITH p AS (SELECT p_partkey AS security_id, {', '.join(f"{x.replace('STRING', 'VARCHAR')} AS {k}" for k, x in PART.items())} FROM part), q AS (SELECT *, {TEXT} AS t FROM p), m AS (SELECT *, {RULE('rule')} AS rule, {RULE('by')} AS matched_by, {RULE('value')} AS matched_value FROM q),
+s AS (SELECT *, CASE rule WHEN 'metal' THEN '1:100' WHEN 'large' THEN '2:60' WHEN 'tin' THEN '1:50,2:50' WHEN 'fund' THEN '3:100' WHEN 'guess' THEN '2:100' END AS suggested, CASE WHEN security_id % 3 = 0 THEN NULL WHEN security_id % 6 = 1 THEN '1:50,2:50' ELSE (security_id % 3)::VARCHAR || ':100' END AS now FROM m)
+SELECT security_id, rule, matched_by, matched_value, coalesce(rule = 'guess' AND matched_by = 'class' AND contains(t, 'etf'), false) AS doubtful, CASE WHEN rule IS NULL THEN 'no-rule' WHEN rule = 'large' THEN 'missing-tag' WHEN now IS NULL THEN 'new' WHEN now = suggested THEN 'unchanged' ELSE 'change' END AS status, suggested, CASE WHEN rule = 'large' THEN 'lost' WHEN rule IS NOT NULL THEN '' END AS missing FROM s""",
     "cost_override": f"""{REPLAY}, {PRICES}, {RATES}, {INS}, {LOTS}, ov AS (SELECT {G}, av AS ov FROM av WHERE cov = 'full' AND av IS NOT NULL AND coalesce(lots, 1) = 1)
 SELECT account_id, security_id, ov IS NOT NULL AS overridden, {r(cost('coalesce(ov, avg_cost)'), 2)} AS lot_cost FROM lots LEFT JOIN ov USING ({G})""",
     "ledger_departures": f"{MOVES} SELECT security_id, account_id, date, quantity, {r('cost', 2)} AS cost, closed FROM ld",
