@@ -6,7 +6,7 @@ smoothed share of the symbol. Symbols are dealt into GROUPS of about equal frequ
 p(symbol | two symbols before) = p(group | context) * p(symbol | group, context): both factors are an explicit
 softmax over batched matrix products, so that token probabilities are normalised.
 
-Training reads every training token once, in ROUNDS: in a round each task runs noise-contrastive steps for both
+Training reads every training token, in ROUNDS: in a round each task runs noise-contrastive steps for both
 factors on its part of the documents, from a common start, and the tasks' parameters are averaged by their tokens.
 
 Frequent words (HEAD, a fixed bound) are scored where the text is; all others go through a join with the
@@ -37,9 +37,10 @@ SINGLE, REST, GROUPS, SIZE, NOISE, NEAR_NOISE = 4_096, 256, 64, 16, 16, 8
 HEAD, HEAD_BYTES = 65_536, 64
 END = b""
 FLUSH = 300_000
-#: Tokens of a step and of the window that steps are drawn from, passes over a window, rounds of averaging, parameters in a block of
-#: the average.
-BATCH, WINDOW, PASSES, ROUNDS, BLOCK = 4_096, 65_536, 1, 3, 4_096
+#: Tokens of a step and of the window that steps are drawn from, rounds of averaging, parameters in a block of the average.
+BATCH, WINDOW, ROUNDS, BLOCK = 4_096, 65_536, 3, 4_096
+#: Tokens that are learnt from at least, counted each time: a corpus with fewer is gone through several times, at most PASSES.
+LEAST, PASSES, SMALL_BATCH = 12_000_000, 12, 2_048
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -79,9 +80,10 @@ class Counts:
     head: dict[bytes, int]
     head_counts: np.ndarray
     hashed: np.ndarray  # REST x (tokens, words); the end is not among them
+    single: int = SINGLE
 
     def symbols(self) -> Symbols:
-        single = min(SINGLE, len(self.head))
+        single = min(self.single, len(self.head))
         own = self.head_counts[:single].astype(float)
         rest = self.hashed.astype(float).copy()
         for w, i in self.head.items():
@@ -120,7 +122,7 @@ class Symbols:
     is_rest: np.ndarray
 
 
-def head_of(counts: DataFrame, head: int = HEAD) -> Counts:
+def head_of(counts: DataFrame, head: int = HEAD, single: int = SINGLE) -> Counts:
     """The most frequent words, by whole classes of frequency (sixteenths of a power of two), at most head of them."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # the classes of frequency that fit the bound, most frequent first: no task sends more than its part of the head
@@ -137,7 +139,7 @@ def head_of(counts: DataFrame, head: int = HEAD) -> Counts:
     hashed = np.zeros((REST, 2), np.int64)
     for r in counts.where(F.octet_length("word") > 0).groupBy((F.crc32("word") % REST).alias("part")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         hashed[r.part] = r.n, r.v
-    return Counts(total.n, total.v, {w: i for i, (w, _) in enumerate(rows)}, np.array([n for _, n in rows], np.int64), hashed)
+    return Counts(total.n, total.v, {w: i for i, (w, _) in enumerate(rows)}, np.array([n for _, n in rows], np.int64), hashed, single)
 
 
 def triples(symbols: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,12 +271,18 @@ class LogBilinear:
 
 
 def symbol_lookup(counts: Counts, symbols: Symbols) -> dict[bytes, int]:
-    single = min(SINGLE, len(counts.head))
+    single = min(counts.single, len(counts.head))
     return {w: int(symbols.of_head[i]) for w, i in counts.head.items() if 0 < i < single}
 
 
-def train(docs: DataFrame, counts: Counts, text: str = "text", passes: int = PASSES, seed: int = 11) -> LogBilinear:
-    """ROUNDS of noise-contrastive passes, each over the documents that the text's hash deals to it; then the average by tokens."""
+def train(docs: DataFrame, counts: Counts, text: str = "text", passes: int | None = None, seed: int = 11) -> LogBilinear:
+    """ROUNDS of noise-contrastive passes, each over the documents that the text's hash deals to it; then the average by tokens.
+
+    passes over each window: as many as make LEAST tokens, from 1 to PASSES; steps of a corpus that needs several are SMALL_BATCH tokens.
+    """
+    needed = -(-LEAST // max(1, counts.tokens))
+    passes = passes or int(min(PASSES, max(1, needed)))
+    batch_size = SMALL_BATCH if passes > 1 else BATCH
     symbols = counts.symbols()
     model = LogBilinear(symbols, seed)
     known = symbol_lookup(counts, symbols)
@@ -297,8 +305,8 @@ def train(docs: DataFrame, counts: Counts, text: str = "text", passes: int = PAS
                 one, two = triples(c, np.array(starts), symbols.end)
                 for _ in range(passes):
                     order = rng.permutation(len(c))
-                    for lo in range(0, len(c), BATCH):
-                        at = order[lo : lo + BATCH]
+                    for lo in range(0, len(c), batch_size):
+                        at = order[lo : lo + batch_size]
                         own.nce(one[at], two[at], c[at], rng, memory)
 
             for batch in batches:
@@ -416,9 +424,9 @@ def score(docs: DataFrame, counts: DataFrame, head: Counts, model: LogBilinear,
     )
 
 
-def fit(docs: DataFrame, text: str = "text", head: int = HEAD, passes: int = PASSES) -> tuple[DataFrame, Counts, LogBilinear]:
+def fit(docs: DataFrame, text: str = "text", head: int = HEAD, passes: int | None = None, single: int = SINGLE) -> tuple[DataFrame, Counts, LogBilinear]:
     """Counts of all words, their head, and the trained model, from every row (rows that repeat count each time; null texts
-    are empty). Without documents the model is untrained."""
+    are empty). Without documents the model is untrained. single: words with a symbol of their own; passes: see train()."""
     counts = written(word_counts(docs, text), "lm-counts")
-    top = head_of(counts, head)
+    top = head_of(counts, head, single)
     return counts, top, train(docs, top, text, passes)
