@@ -4,18 +4,19 @@ Terms are hashed to DIM buckets, a batch of texts at once; document frequencies
 at most BLOCK passages. For each, a randomised SVD (subspace iteration over Spark tasks) of its TF-IDF passages,
 with passages of the corpus at a small share of the weight, gives a latent space of as few directions as keep
 RETAIN of the benchmark passages' squared length; passages that keep less than FLOOR of theirs (no other resembles
-them) add their residuals as directions. Every passage of every document is projected and compared by cosine
+them) add their residuals as directions. Where that makes more directions than passages, nothing can be left out, and the passages' own
+span is the space. An item of more passages than a block has is spread over blocks, and found through any of them. Every passage of every document is projected and compared by cosine
 with every benchmark passage; candidates are checked by longest common subsequence with the item's words, and less
 certain ones also by the item's answer, its last words.
 
-Bounds: a block has at most BLOCK * 2 * STEP = 16,384 terms and RANK directions, so a basis is at most 34 MB, and the
-driver holds a few matrices of that shape; a task holds the bases of GROUP blocks.
+Bounds: a block has at most BLOCK passages, so at most BLOCK * 2 * STEP = 16,384 terms and BLOCK directions; a basis is at most
+34 MB, and the driver holds a few matrices of that shape; a task holds the bases of GROUP blocks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -252,25 +253,39 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
     out = []
     for p in range(parts):
         rows = named.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect()
-        items = sorted((i, ws) for i, t in rows if (ws := terms(t)))
-        count = np.cumsum([len(passages(np.array(ws))) for _, ws in items])
-        for b in range(0, int(count[-1]) if items else 0, BLOCK):  # a block that came out too large is cut
-            mine = [x for x, c in zip(items, count, strict=True) if b < c <= b + BLOCK]
-            if mine:
-                out.append(fit_block(corpus, mine, idf))
+        for mine in blocks_of(sorted((i, ws) for i, t in rows if (ws := terms(t)))):
+            out.append(fit_block(corpus, mine, idf))
     forget(corpus)
     release()
     return out
 
 
-def fit_block(corpus: DataFrame, items: list[tuple[int, list[str]]], idf: np.ndarray) -> Index:
-    ids = [hashed(" ".join(ws))[1] for _, ws in items]
-    used = np.unique(np.concatenate(ids))
+def blocks_of(items: list[tuple[int, list[str]]]) -> Iterator[list[tuple[int, list[str], int, int]]]:
+    """Blocks of (item, words, first passage, one after the last) of at most BLOCK passages; an item may go on in the next."""
+    block, room = [], BLOCK
+    for item, ws in items:
+        at, n = 0, len(passages(np.arange(len(ws))))
+        while at < n:
+            take = min(room, n - at)
+            block.append((item, ws, at, at + take))
+            at, room = at + take, room - take
+            if not room:
+                yield block
+                block, room = [], BLOCK
+    if block:
+        yield block
+
+
+def fit_block(corpus: DataFrame, parts: list[tuple[int, list[str], int, int]], idf: np.ndarray) -> Index:
+    """The index of a block's passages. An item's words are all there, as a candidate is checked against the whole item."""
+    items = [(item, ws) for item, ws, _, _ in parts]
+    mine = [passages(hashed(" ".join(ws))[1])[first:end] for _, ws, first, end in parts]
+    used = np.unique(np.concatenate([p for x in mine for p in x]))
     rows = np.full(DIM, len(used), np.int32)
     rows[used] = np.arange(len(used))
     weights = np.append(idf[used], 0.0)
-    own = [p for x in ids for p in passages(rows[x])]
-    owner = np.repeat(np.arange(len(items)), [len(passages(np.array(ws))) for _, ws in items])
+    own = [rows[p] for x in mine for p in x]
+    owner = np.repeat(np.arange(len(items)), [len(x) for x in mine])
 
     def square(p: np.ndarray) -> float:
         at, n = np.unique(p, return_counts=True)
@@ -290,10 +305,12 @@ def fit_block(corpus: DataFrame, items: list[tuple[int, list[str]]], idf: np.nda
     v = v[:, :rank]
     outside = np.flatnonzero((full[:, :rank] ** 2).sum(axis=1) < FLOOR * np.array(list(map(square, own))))
     if len(outside):
-        rest = np.zeros((len(weights), len(outside)))
-        for j, p in enumerate(outside):
+        whole = rank + len(outside) > len(own)  # as many directions as passages: their own span loses nothing
+        chosen = range(len(own)) if whole else outside
+        rest = np.zeros((len(weights), len(chosen)))
+        for j, p in enumerate(chosen):
             np.add.at(rest[:, j], own[p], weights[own[p]])
-        v = np.linalg.qr(np.concatenate((v, rest), axis=1))[0]
+        v = np.linalg.qr(rest if whole else np.concatenate((v, rest), axis=1))[0]
     basis = np.ascontiguousarray(v * weights[:, None], np.float32)
     latent = np.stack([basis[p].sum(axis=0) for p in own])
     return Index(rows, idf, basis, items, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12), owner)
@@ -410,7 +427,15 @@ def leaks(searchers: list[Searcher], texts: list[str | None]) -> Iterator[list[t
     for low in batches_of(texts):
         where, words = located(low), Words(low)
         for rows in zip(*[s.batch(words, *where) for s in searchers], strict=True):
-            yield sorted(x for r in rows for x in r)
+            yield merged(x for r in rows for x in r)
+
+
+def merged(found: Iterable[tuple[int, float, float, bool]]) -> list[tuple[int, float, float, bool]]:
+    """One row an item, the best of what its passages found, whichever blocks they are in."""
+    best: dict[int, tuple] = {}
+    for item, *x in found:
+        best[item] = tuple(map(max, best.get(item, x), x))
+    return sorted((item, *x) for item, x in best.items())
 
 
 KIND = "array<struct<item_id long, cosine double, lcs double, answer boolean>>"
@@ -437,7 +462,13 @@ def leaked_items(indexes: list[Index], docs: DataFrame, text: str = "text") -> C
         return F.arrow_udf(find, KIND).asNondeterministic()(F.col(text))
 
     groups = [searched(indexes[i : i + GROUP]) for i in range(0, len(indexes), GROUP)]
-    return F.concat(*groups) if groups else F.array().cast(KIND.replace(" long", ": long").replace(" double", ": double").replace(" boolean", ": boolean"))
+    if len(groups) > 1:
+        # an item that goes on from group to group is found in several: an array of one binds what they found
+        of = lambda all_, i, field: F.array_max(F.transform(F.filter(all_, lambda x: x["item_id"] == i), lambda x: x[field]))
+        row = lambda all_, i: F.struct(i.alias("item_id"), *[of(all_, i, c).alias(c) for c in ("cosine", "lcs", "answer")])
+        one = F.transform(F.array(F.concat(*groups)), lambda a: F.transform(F.array_sort(F.array_distinct(F.transform(a, lambda x: x["item_id"]))), lambda i: row(a, i)))
+        return one[0]
+    return groups[0] if groups else F.array().cast(KIND.replace(" long", ": long").replace(" double", ": double").replace(" boolean", ": boolean"))
 
 
 def contamination(docs: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:

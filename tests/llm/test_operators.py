@@ -144,6 +144,27 @@ def test_latent_search_finds_leaks_and_paraphrases(spark):
     assert decontaminate.pairs(d.limit(0), index).count() == 0
 
 
+@pytest.mark.parametrize("group", [8, 1])
+def test_long_items_are_spread_over_blocks(spark, monkeypatch, group):
+    monkeypatch.setattr(decontaminate, "BLOCK", 64)
+    monkeypatch.setattr(decontaminate, "GROUP", group)
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(1, text(20)), (2, text(4_000)), (3, text(40)), (4, text(1_500))]
+    changed = items[1][1].split()
+    for k in rng.sample(range(len(changed)), 200):
+        changed[k] = "other"
+    rows = [(0, text(500), "en", "s", 0), (1, f"{text(30)} {items[1][1]}", "en", "s", 0), (2, " ".join(changed), "en", "s", 0), (3, f"{items[3][1]} {text(100)} {items[0][1]}", "en", "s", 0), (4, items[2][1], "en", "s", 0), (5, " ".join(items[1][1].split()[:900]), "en", "s", 0)]
+    d = docs(spark, rows)
+    index = decontaminate.fit(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert len(index) >= 5 and all(len(x.latent) <= 64 and x.basis.shape[1] <= 64 for x in index)
+    assert sum(len(x.latent) for x in index) == sum(len(decontaminate.passages(t.split())) for _, t in items)
+    found = decontaminate.pairs(d, index).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 2), (2, 2), (3, 1), (3, 4), (4, 3)]
+    assert all(r.lcs == 1.0 for r in found if r.doc_id != 2)
+
+
 def test_recall_on_the_corpus(spark, data, corpus):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     index = decontaminate.fit(corpus, bench)
