@@ -34,6 +34,8 @@ STEMS = (4, 5)
 SAMPLE_TOXIC, SAMPLE_OTHER, BLOCKS, FEATURES = 1_500, 3_000, 4_000, 200_000
 #: Log-odds from which a feature is part of the chain, and from which it tags a word of a toxic document; documents that need it.
 WEAK, STRONG, LEAST = 1.5, 3.0, 5
+#: Rows of the logistic layer's fit for each document that is asked for, and letters of a word that the driver gets.
+ROWS, LONGEST = 4, 128
 THRESHOLD = 0.3
 CACHE = 400_000
 
@@ -244,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     A document labelled twice counts with its larger label; rows with a null id, or a label that is neither 0 nor
     1, are left out; documents that repeat an id all count; null texts are empty. The tasks count the features of
     the sampled documents, cut blocks of words from them and sum up their marginals; the driver gets at most FEATURES
-    feature counts, BLOCKS blocks and four numbers a document. The sampled ids, at most twice toxic + other, are broadcast.
+    feature counts, BLOCKS blocks (words cut to LONGEST letters) and four numbers a row, of ROWS * (toxic + other) rows at most. The sampled ids, at most twice toxic + other, are broadcast.
     Unless both labels occur, the chain only knows the share of toxic documents.
     """
     y = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("l_key")).agg(F.max(label).cast("int").alias("y"))
@@ -278,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 tags = [int(bool(label) and any(f in strong for f in features(w))) for w in tokens]
                 for lo in range(0, len(tokens), CHAIN):
                     if any(tags[lo : lo + CHAIN]) or rng.random() < (0.05 if label else 0.15):
-                        rows.append((tokens[lo : lo + CHAIN], tags[lo : lo + CHAIN]))
+                        rows.append(([w[:LONGEST] for w in tokens[lo : lo + CHAIN]], tags[lo : lo + CHAIN]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["tokens", "tags"])
 
@@ -293,7 +295,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 x = [summary(p) for p in tagger.marginals([TOKEN.findall(t) for t in piece.column(0).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = sorted(sample.mapInArrow(summed, "y int, x array<double>").collect(), key=lambda r: (r.y, r.x))
+    # ids may repeat, so that rows have no bound of their own
+    few = sample.mapInArrow(summed, "y int, x array<double>").withColumn("h", F.xxhash64("x", "y")).orderBy("h", "y", "x").limit(ROWS * (toxic + other))
+    rows = sorted(few.collect(), key=lambda r: (r.y, r.x))
     chain.layer = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows], float), np.array([1 / rate[r.y] for r in rows]))
     return chain
 

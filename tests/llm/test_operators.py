@@ -611,6 +611,17 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.tag(odd.limit(0), chain).count() == 0
 
 
+def test_toxicity_of_repeated_ids_and_clashing_columns(spark):
+    rng = random.Random(8)
+    rows = [(i % 5, " ".join(rng.choice(("calm", "word", "plain")) for _ in range(20)) + (" vilestuff" if i % 5 == 0 else "") + " " + "z" * 5_000, "en", "s", 0) for i in range(300)]
+    d = docs(spark, rows).withColumn("y", F.lit("clash")).withColumn("l_key", F.lit(1)).withColumn("h", F.lit(2))
+    labels = spark.createDataFrame([(i, 0, int(i == 0)) for i in range(5)], "doc_id long, quality int, toxic int").withColumn("y", F.lit(3))
+    chain = toxicity.fit(d, labels, toxic=2, other=3)  # 20 rows at most for the last layer, of 300
+    got = toxicity.tag(d, chain)
+    assert got.columns == [*d.columns, "score", "predicted", "toxic_spans"]
+    assert {(r.doc_id == 0, r.predicted) for r in got.select("doc_id", "predicted").collect()} == {(True, 1), (False, 0)}
+
+
 # 10: language model
 
 
