@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     A document labelled twice counts with its larger label; rows with a null id, or a label that is neither 0 nor
     1, are left out; documents that repeat an id all count; null texts are empty. The tasks count the features of
     the sampled documents, cut blocks of words from them and sum up their marginals; the driver gets at most FEATURES
-    feature counts, BLOCKS blocks (words cut to LONGEST letters) and four numbers a row, of ROWS * (toxic + other) rows at most. The sampled ids, at most twice toxic + other, are broadcast.
+    feature counts, BLOCKS blocks (words cut to LONGEST letters) and four numbers a row, of ROWS * (toxic + other) different rows at most. The sampled ids, at most twice toxic + other, are broadcast.
     Unless both labels occur, the chain only knows the share of toxic documents.
     """
     y = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("l_key")).agg(F.max(label).cast("int").alias("y"))
@@ -295,10 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 x = [summary(p) for p in tagger.marginals([TOKEN.findall(t) for t in piece.column(0).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    # ids may repeat, so that rows have no bound of their own
-    few = sample.mapInArrow(summed, "y int, x array<double>").withColumn("h", F.xxhash64("x", "y")).orderBy("h", "y", "x").limit(ROWS * (toxic + other))
-    rows = sorted(few.collect(), key=lambda r: (r.y, r.x))
-    chain.layer = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows], float), np.array([1 / rate[r.y] for r in rows]))
+    # ids may repeat, so that rows have no bound of their own; equal ones are one row with a weight
+    few = sample.mapInArrow(summed, "y int, x array<double>").groupBy("y", "x").agg(F.count("*").alias("n"))
+    rows = sorted(few.orderBy(F.xxhash64("x", "y"), "y", "x").limit(ROWS * (toxic + other)).collect(), key=lambda r: (r.y, r.x))
+    chain.layer = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows], float), np.array([r.n / rate[r.y] for r in rows]))
     return chain
 
 
