@@ -35,15 +35,19 @@ def intervals(series: DataFrame, keys: list[str], date: str, backfill: bool = Fa
 def as_of(left: DataFrame, series: DataFrame, keys: list[str], left_date: str, date: str, values: list[str], backfill: bool = False, strict: bool = False, max_days: int | None = None) -> DataFrame:
     """left with the series' values in force at left_date (strict: the last before it), null where there are none.
 
-    An equi-join on the keys with a range residual; a series is short next to the facts that look it up.
-    max_days leaves out values that are older.
+    An equi-join on the keys and the month: a value stands in every month of the lookups in which it is in force, so a key with very many
+    lookups is cut by months, and a lookup meets its month's values only. max_days leaves out values that are older.
     """
-    s = intervals(series.select(*keys, date, *values), keys, date, backfill)
-    s = s.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(date).alias("_date"), "valid_from", "valid_to", *[F.col(v).alias(f"_{v}") for v in values])
+    span = left.agg(F.min(left_date).alias("_lo"), F.max(left_date).alias("_hi"))
+    s = intervals(series.select(*keys, date, *values), keys, date, backfill).join(F.broadcast(span))  # one row
+    start, end = F.greatest("valid_from", "_lo"), F.least(F.coalesce("valid_to", "_hi"), "_hi")
+    s = s.where(start <= end).withColumn("_month", F.explode(F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))))
+    s = s.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(date).alias("_date"), "_month", "valid_from", "valid_to", *[F.col(v).alias(f"_{v}") for v in values])
     d = F.col(left_date)
     inside = (F.col("valid_from") < d) & (F.col("valid_to").isNull() | (d <= F.col("valid_to"))) if strict else (F.col("valid_from") <= d) & (F.col("valid_to").isNull() | (d < F.col("valid_to")))
     if max_days is not None:
         inside &= F.datediff(d, F.col("_date")) <= max_days
+    inside &= F.trunc(d, "MM") == F.col("_month")
     for k in keys:
         inside &= F.col(k) == F.col(f"_{k}")
     return left.join(s, inside, "left").select(*left.columns, *[F.col(f"_{v}").alias(v) for v in values], F.col("_date").alias(f"{date}_found"))

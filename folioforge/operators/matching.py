@@ -135,9 +135,11 @@ def survivors(securities: DataFrame, same: str) -> DataFrame:
 
 
 def price_confirmed(trades: DataFrame, series: DataFrame, tolerance: float, days: int = 4) -> DataFrame:
-    """Per security, trades whose price agrees with the series on that day or the next session within `days`."""
-    s = series.select(F.col("security_id").alias("_s"), "date", "price")
-    d = trades.join(s, (F.col("security_id") == F.col("_s")) & (F.col("date") >= F.col("trade_date")) & (F.col("date") <= F.date_add("trade_date", days)), "left")
+    """Per security, trades whose price agrees with the series on that day or the next session within `days`; both meet month by month."""
+    month = lambda c: F.trunc(c, "MM")
+    s = series.select(F.col("security_id").alias("_s"), "date", "price", month("date").alias("_sm"))
+    t = trades.withColumn("_m", F.explode(F.sequence(month("trade_date"), month(F.date_add("trade_date", days)), F.expr("interval 1 month"))))
+    d = t.join(s, (F.col("security_id") == F.col("_s")) & (F.col("_m") == F.col("_sm")) & (F.col("date") >= F.col("trade_date")) & (F.col("date") <= F.date_add("trade_date", days)), "left")
     d = d.groupBy("security_id", "ref").agg(F.first("unit_price").alias("unit_price"), F.min_by("price", "date").alias("price"))
     ok = F.col("price").isNotNull() & (F.abs(F.col("unit_price") - F.col("price")) <= tolerance * F.col("price"))
     return d.groupBy("security_id").agg(F.count("*").alias("trades"), F.count("price").alias("priced"), F.sum(ok.cast("long")).alias("confirmed"))

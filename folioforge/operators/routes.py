@@ -52,8 +52,8 @@ def lot_cost(rate: str = "rate", override: str | None = None) -> Column:
 def rates_as_of(lookups: DataFrame, rates: DataFrame, day: str = "day") -> DataFrame:
     """lookups (currency, day, ...) with rate: the latest up to the day, before the first the first; 1 for the base; null without a series.
 
-    Distinct pairs of currency and month meet the month's rates, so that the join is an equi-join whatever the number of
-    lookups; a month carries the rate before it.
+    Lookups meet the rates of their currency and month, which carries the rate before it. The base currency's lookups, which are many, meet
+    none: their key is null.
     """
     month = lambda c: F.trunc(c, "MM")
     w = Window.partitionBy("currency").orderBy("date")
@@ -65,5 +65,6 @@ def rates_as_of(lookups: DataFrame, rates: DataFrame, day: str = "day") -> DataF
     s = s.withColumn("_from", start).withColumn("_to", end).where((F.col("_to") >= F.col("lo")) & (F.col("_from") <= F.col("hi")))
     s = s.withColumn("_month", F.explode(F.sequence(month(F.greatest("_from", "lo")), month(F.least("_to", "hi")), F.expr("interval 1 month"))))
     s = s.select(F.col("currency").alias("_c"), "_month", "_from", "_to", "_rate")
-    d = lookups.join(s, (F.col("currency") == F.col("_c")) & (month(F.col(day)) == F.col("_month")) & (F.col(day) >= F.col("_from")) & (F.col(day) <= F.col("_to")), "left")
+    foreign = F.when(F.col("currency") != BASE_CURRENCY, F.col("currency"))
+    d = lookups.join(s, (foreign == F.col("_c")) & (month(F.col(day)) == F.col("_month")) & (F.col(day) >= F.col("_from")) & (F.col(day) <= F.col("_to")), "left")
     return d.select(*lookups.columns, F.when(F.col("currency") == BASE_CURRENCY, 1.0).otherwise(F.col("_rate").cast("double")).alias("rate"))

@@ -69,7 +69,7 @@ def price_before(spark, sf):
 def prev_close_7d(spark, sf):
     c = dm.closes(spark, sf)
     d = asof.as_of(c.withColumnRenamed("price", "close"), c, ["event_type"], "date", "date", ["price"], strict=True, max_days=7)
-    return d.select("event_type", "date", "close", F.col("price").alias("prev_close"), F.col("date_found").alias("prev_date")) if "date_found" in d.columns else d
+    return d.select("event_type", "date", "close", F.col("price").alias("prev_close"), F.col("date_found").alias("prev_date"))
 
 
 @query
