@@ -115,3 +115,32 @@ def rewritten_units(statements: DataFrame, series: DataFrame, manual: DataFrame,
     d = derived_units(d, series, **kwargs)
     change = (F.col("quantity") != 0) & F.col("units").isNotNull() & ((F.col("quantity") <= 1) | (F.col("exact") & (F.col("units") != F.col("quantity"))))
     return d.select(*key, "ref", F.when(change, F.col("units")).otherwise(F.col("quantity").cast("double")).alias("quantity"), F.col("_own").alias("value"), F.coalesce(change, F.lit(False)).alias("changed"), F.when(change, F.col("exact")).alias("exact"))
+
+
+#: Likeness from which a price match links by itself, from which a candidate is shown without one, and candidates that are looked at.
+LINK, SHOW, CANDIDATES = 0.2, 0.35, 3
+
+
+def link_decisions(candidates: DataFrame, best: int = CANDIDATES) -> DataFrame:
+    """security_id, status, reason, best_ref, shown: what becomes of a fund's candidate series.
+
+    candidates: security_id, ref, score, matched (by price; null: not checked), explained (by movements), reachable (its prices
+    could be read). The `best` by score count (ties: smaller ref). auto: exactly one matches by price and its name is
+    alike enough; candidates: several match, or some are alike enough or explained by movements; none. shown: refs to
+    choose from, price matches first, then by movement, then by score.
+    """
+    w = Window.partitionBy("security_id").orderBy(F.desc("score"), "ref")
+    c = candidates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= best)
+    match, moved = F.coalesce("matched", F.lit(False)), F.coalesce("explained", F.lit(False))
+    viable = (F.col("score") >= SHOW) | moved
+    one = F.struct((~match).alias("m"), (~moved).alias("x"), (-F.col("score")).alias("s"), F.col("ref"))
+    refs = lambda test: F.transform(F.sort_array(F.collect_list(F.when(test, one))), lambda x: x["ref"])
+    g = c.groupBy("security_id").agg(
+        F.count_if(match).alias("matches"), F.max(F.when(match, F.col("score"))).alias("score"), F.min_by("ref", F.when(match, F.struct(-F.col("score"), "ref"))).alias("ref"), F.count_if(viable).alias("viable"),
+        F.max(~F.coalesce("reachable", F.lit(True))).alias("unread"), refs(F.lit(True)).alias("all"), refs(viable).alias("some"),
+    )
+    auto, several = (F.col("matches") == 1) & (F.col("score") >= LINK), F.col("matches") > 1
+    status = F.when(auto, "auto").when(several | (F.col("viable") > 0), "candidates").otherwise("none")
+    reason = F.when(auto, "price").when(several, "several prices").when(F.col("unread"), "prices unread").otherwise("no price")
+    shown = F.when(auto | several | (F.col("viable") == 0), F.col("all")).otherwise(F.col("some"))
+    return g.select("security_id", status.alias("status"), reason.alias("reason"), F.when(auto, F.col("ref")).alias("best_ref"), shown.alias("shown"))

@@ -194,3 +194,18 @@ def merged_tags(spark, sf):
     s, pairs = _doubles(spark, sf)
     tags = s.select("security_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("security_id") % 4 + 1)).alias("tag_id")).withColumn("weight", F.col("security_id") % 9 * 10 + F.col("tag_id"))
     return merging.retargeted_once(tags, merging.mergeable(s, pairs)[0], ["security_id", "tag_id"])
+
+
+@query
+def link_suggestions(spark, sf):
+    """Which price series a fund is linked to: by its reported price, by how its values moved, by its name."""
+    p = dm.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("security_id"))
+    pairs = navs.value_pairs(_pensions(spark, sf))
+    c = p.select("security_id", F.explode(F.array(*[F.col("security_id") + i for i in range(4)])).alias("ref"))
+    moved = navs.movement_checked(pairs, c, _navs(spark, sf)).select("security_id", "ref", "explained")
+    last = dm.prices(dm.ledger(spark, sf)).groupBy("security_id").agg(F.max_by(F.struct("date", "price"), "date").alias("x"))
+    asked = last.select("security_id", F.date_add("x.date", 3).alias("as_of"), F.expr("CASE security_id % 4 WHEN 0 THEN NULL WHEN 1 THEN x.price + 50 ELSE x.price END").alias("reported")).join(c, "security_id").withColumn("id", F.col("security_id").cast("string"))
+    priced = navs.verified(asked, _navs(spark, sf)).select(F.col("id").cast("long").alias("security_id"), "ref", "matched")
+    d = c.join(priced, ["security_id", "ref"], "left").join(moved, ["security_id", "ref"], "left")
+    d = d.withColumns({"score": F.expr("(security_id * 7 + ref * 13) % 10 / 10.0D"), "reachable": F.expr("(security_id + ref) % 9 <> 0")})
+    return navs.link_decisions(d).withColumn("shown", F.array_join(F.transform("shown", lambda x: x.cast("string")), ","))

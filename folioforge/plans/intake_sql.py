@@ -86,4 +86,14 @@ SELECT security_id, tag_id, arg_min(weight, (k, weight)) AS weight FROM t GROUP
     "fund_search_words": f"""WITH d AS (SELECT p_partkey, p_name, {DECORATED} AS name FROM part), e AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN p_name WHEN 4 THEN name ELSE {CLEAN.format('name')} END AS c FROM d), t AS (SELECT *, {TOKENS} AS w FROM e),
 o AS (SELECT *, list_transform(list_sort(list_transform(w, lambda x, i: {{'l': -length(x), 'i': i}})), lambda y: w[y.i]) AS byl FROM t)
 SELECT p_partkey, c AS cleaned, array_to_string(list_transform(list_filter(list_transform(all_, lambda x, i: {{'x': x, 'f': list_position(all_, x) = i}}), lambda y: y.f), lambda y: y.x), '|') AS searches FROM (SELECT *, list_concat([array_to_string(w[1:5], ' ')], CASE WHEN len(w) > 2 THEN [array_to_string(w[1:2], ' ')] ELSE [] END, CASE WHEN len(w) > 1 THEN w[1:1] ELSE [] END, list_filter(byl[1:2], lambda x: length(x) > 2), CASE WHEN length(byl[1]) > 3 THEN [left(byl[1], 3)] ELSE [] END) AS all_ FROM o)""",
+    "link_suggestions": f"""{PENSIONS}, cd AS (SELECT s_suppkey AS security_id, unnest([s_suppkey, s_suppkey + 1, s_suppkey + 2, s_suppkey + 3]) AS ref FROM supplier),
+w AS (SELECT *, lead(as_of_date) OVER x AS t2, lead(value) OVER x AS v2, lead(cost) OVER x AS c2 FROM pn WHERE quantity <> 0 AND value IS NOT NULL WINDOW x AS (PARTITION BY account_id, security_id ORDER BY as_of_date)),
+p AS (SELECT security_id, as_of_date AS t1, value AS v1, t2, v2, c2 - cost AS paid, row_number() OVER (PARTITION BY security_id ORDER BY t2 DESC, account_id DESC) AS k FROM w WHERE t2 IS NOT NULL AND cost IS NOT NULL AND c2 IS NOT NULL QUALIFY k <= 6),
+e AS (SELECT c.security_id, c.ref, k, min(abs(v1::DOUBLE * b.nav / a.nav + paid - v2)) AS err, any_value(v2) AS v2 FROM p JOIN cd c ON c.security_id = p.security_id LEFT JOIN navs a ON a.ref = c.ref AND a.date BETWEEN t1 - 14 AND t1 LEFT JOIN navs b ON b.ref = c.ref AND b.date BETWEEN t2 - 14 AND t2 AND a.nav IS NOT NULL GROUP BY c.security_id, c.ref, k),
+mv AS (SELECT security_id, ref, count(err) FILTER (v2 <> 0) > 0 AND count(err) FILTER (v2 <> 0) = count(*) FILTER (v2 <> 0 AND err <= greatest(v2 * 0.005::DOUBLE, 10)) AS moved FROM e GROUP BY ALL),
+la AS (SELECT security_id, max(date) + 3 AS as_of, arg_max(price, date) + CASE security_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 50 ELSE 0 END AS reported FROM prices GROUP BY 1),
+ma AS (SELECT cd.security_id, cd.ref, coalesce(bool_or(nav = reported), false) AS hit FROM cd JOIN la USING (security_id) LEFT JOIN navs n ON n.ref = cd.ref AND n.date BETWEEN as_of - 7 AND as_of GROUP BY ALL),
+c AS (SELECT cd.*, (security_id * 7 + ref * 13) % 10 / 10.0::DOUBLE AS score, (security_id + ref) % 9 = 0 AS unread, coalesce(hit, false) AS hit, coalesce(moved, false) AS moved FROM cd LEFT JOIN ma USING (security_id, ref) LEFT JOIN mv USING (security_id, ref) QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY score DESC, ref) <= 3),
+g AS (SELECT security_id, count(*) FILTER (hit) AS n, max(score) FILTER (hit) AS s, arg_min(ref, (-score, ref)) FILTER (hit) AS ref, count(*) FILTER (score >= 0.35 OR moved) AS v, bool_or(unread) AS unread, string_agg(ref::VARCHAR, ',' ORDER BY NOT hit, NOT moved, -score, ref) AS every, string_agg(ref::VARCHAR, ',' ORDER BY NOT hit, NOT moved, -score, ref) FILTER (score >= 0.35 OR moved) AS likely FROM c GROUP BY 1)
+SELECT security_id, CASE WHEN n = 1 AND s >= 0.2 THEN 'auto' WHEN n > 1 OR v > 0 THEN 'candidates' ELSE 'none' END AS status, CASE WHEN n = 1 AND s >= 0.2 THEN 'price' WHEN n > 1 THEN 'several prices' WHEN unread THEN 'prices unread' ELSE 'no price' END AS reason, CASE WHEN n = 1 AND s >= 0.2 THEN ref END AS best_ref, CASE WHEN (n = 1 AND s >= 0.2) OR n > 1 OR v = 0 THEN every ELSE likely END AS shown FROM g""",
 }

@@ -244,3 +244,19 @@ def rule_suggestions(spark, sf):
     d = allocation.suggestions(allocation.matched_rules(p, RULES, CODES), RULES, tags, current)
     pairs = F.array_join(F.transform("suggested", lambda x: F.concat(x["tag_id"].cast("string"), F.lit(":"), x["weight"].cast("int").cast("string"))), ",")
     return d.select("security_id", "rule", "matched_by", "matched_value", "doubtful", "status", pairs.alias("suggested"), F.array_join("missing", ",").alias("missing"))
+
+
+@query
+def lot_totals(spark, sf):
+    """What every position holds over all its lots on each statement day, and its mean cost, if all that is held has one."""
+    s = _lot_statements(spark, sf).withColumn("avg_cost", F.expr("CASE WHEN (security_id + lot_seq + month(as_of_date)) % 5 <> 0 THEN CAST(100 + security_id + lot_seq * 50 AS DOUBLE) END"))
+    d = transfers.totals(s)
+    return d.select(*GROUP, "date", "total", half_up(F.col("cost"), 4).alias("cost"))
+
+
+@query
+def previous_day_basis(spark, sf):
+    """The day that an account's day change is measured from: the one before its last statement, at most two days ago, never after yesterday."""
+    today = F.lit(AS_OF).cast("date")
+    last = _lot_statements(spark, sf).withColumn("as_of_date", F.date_add("as_of_date", (F.col("account_id") % 5).cast("int"))).where(F.col("as_of_date") <= F.date_add(today, 3)).groupBy("account_id").agg(F.max("as_of_date").alias("last"))
+    return last.select("account_id", F.date_sub(F.greatest(F.least("last", today), F.date_sub(today, 1)), 1).alias("basis"))

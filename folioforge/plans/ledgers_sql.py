@@ -147,6 +147,11 @@ RULE = lambda what: "CASE " + " ".join(f"WHEN upper(trim(code)) = '{c}' THEN {di
     + {"rule": f"'{x.name}'", "by": "'keyword'" if x.keywords else "'class'", "value": ("CASE " + " ".join(f"WHEN contains(t, '{k}') THEN '{k}'" for k in x.keywords) + " END") if x.keywords else "asset_class"}[what] for x in RULES) + " END"
 
 SQL: dict[str, str] = {
+    "lot_totals": f"""{PATHS.replace('WITH RECURSIVE', 'WITH', 1)[:PATHS.replace('WITH RECURSIVE', 'WITH', 1).index(chr(10) + 'mv AS (')].rstrip(',')}, c AS (SELECT *, CASE WHEN (security_id + lot_seq + month(as_of_date)) % 5 <> 0 THEN (100 + security_id + lot_seq * 50)::DOUBLE END AS avg_cost FROM st),
+dt AS (SELECT DISTINCT {G}, as_of_date AS date FROM st), lt AS (SELECT DISTINCT {G}, lot_seq FROM st), x AS (SELECT dt.account_id, dt.security_id, date, c.quantity AS q, c.avg_cost AS a FROM dt JOIN lt USING ({G}) ASOF JOIN c ON c.account_id = dt.account_id AND c.security_id = dt.security_id AND c.lot_seq = lt.lot_seq AND dt.date >= c.as_of_date)
+SELECT {G}, date, sum(q)::DOUBLE AS total, {r("CASE WHEN count(*) FILTER (q > 1e-7 AND a IS NULL) = 0 THEN sum(CASE WHEN q > 1e-7 THEN q * a END) / nullif(sum(CASE WHEN q > 1e-7 THEN q END), 0) END")} AS cost FROM x GROUP BY {G}, date""",
+    "previous_day_basis": f"""{PATHS.replace('WITH RECURSIVE', 'WITH', 1)[:PATHS.replace('WITH RECURSIVE', 'WITH', 1).index(chr(10) + 'mv AS (')].rstrip(',')}, l AS (SELECT account_id, max(as_of_date + (account_id % 5)::INTEGER) FILTER (as_of_date + (account_id % 5)::INTEGER <= {DAY} + 3) AS last FROM st GROUP BY 1)
+SELECT account_id, greatest(least(last, {DAY}), {DAY} - 1) - 1 AS basis FROM l WHERE last IS NOT NULL""",
     "price_chain": f"WITH {RICH}, {PRICES}, {CHAIN} SELECT security_id, date, {r('price', 2)} AS price, price_currency, source FROM chain",
     "history_by_class": f"{worths(BOTH, '', 'ov.ov')} SELECT asset_class, day, {r(f'sum(value) * {SURE}::DOUBLE', 0)} AS value, {r(f'sum(cost) * {SURE}::DOUBLE', 0)} AS cost FROM wb GROUP BY ALL",
     "history_by_security": f"{worths(LOT_PATHS, chr(44) + chr(39) + 'closed' + chr(39), 'NULL')} SELECT wb.security_id, wb.day, {r(f'sum(value) / any_value(rd.rate) * {SURE}::DOUBLE', 1)} AS value, {r(f'sum(cost) / any_value(rd.rate) * {SURE}::DOUBLE', 1)} AS cost, {r('sum(quantity)')} AS quantity, bool_or(backfilled) AS backfilled FROM wb JOIN rd ON rd.currency = 'USD' AND rd.day = wb.day GROUP BY wb.security_id, wb.day",

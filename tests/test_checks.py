@@ -160,3 +160,15 @@ def test_merges_keep_every_lot_apart(spark):
     aliases = spark.createDataFrame([("x", 5), ("y", 3), ("n6", 3)], "alias string, security_id long")
     assert {tuple(r) for r in merging.merged_aliases(aliases, securities, mapping).where(F.col("alias").isin("x", "y", "n6", "n1", "n5")).collect()} == {("x", 1), ("y", 3), ("n6", 1), ("n1", 1), ("n5", 1)}
     assert merging.merged_snapshots(snaps, mapping.where("false")).exceptAll(snaps).isEmpty()
+
+
+def test_link_decisions(spark):
+    rows = [
+        (1, "a", 0.9, True, None, True), (1, "b", 0.95, False, None, True), (2, "a", 0.1, True, None, True), (3, "a", 0.5, True, None, True), (3, "b", 0.4, True, True, True), (4, "a", 0.1, None, True, False), (4, "b", 0.3, False, None, True),
+        (5, "a", 0.1, False, False, True), (6, "d", 0.9, None, None, True), (6, "a", 0.9, None, None, True), (6, "b", 0.8, None, None, True), (6, "c", 0.7, True, None, True),
+    ]
+    got = {r.security_id: (r.status, r.reason, r.best_ref, r.shown) for r in navs.link_decisions(spark.createDataFrame(rows, "security_id long, ref string, score double, matched boolean, explained boolean, reachable boolean")).collect()}
+    assert got == {
+        1: ("auto", "price", "a", ["a", "b"]), 2: ("none", "no price", None, ["a"]), 3: ("candidates", "several prices", None, ["b", "a"]), 4: ("candidates", "prices unread", None, ["a"]), 5: ("none", "no price", None, ["a"]),
+        6: ("candidates", "no price", None, ["a", "d", "b"]),
+    }
