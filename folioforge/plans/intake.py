@@ -70,7 +70,7 @@ def blank_type_inference(spark, sf):
 
 
 #: Fund names with what statements add to them.
-DECORATED = "concat(p_name, CASE p_partkey % 5 WHEN 0 THEN ' (8782)' WHEN 1 THEN '【gold】' WHEN 2 THEN concat('(', p_name, ')') WHEN 3 THEN '<no fee>' ELSE ' (x)' END)"
+DECORATED = "concat(p_name, CASE p_partkey % 5 WHEN 0 THEN ' (4711)' WHEN 1 THEN '【gold】' WHEN 2 THEN concat('(', p_name, ')') WHEN 3 THEN '<no fee>' ELSE ' (x)' END)"
 
 
 @query

@@ -51,13 +51,13 @@ def test_dates(spark):
 
 
 def test_names(spark):
-    assert names.cleaned("楽天・プラチナ・ファンド(為替ヘッジなし)(楽天・プラチナ(為替ヘッジなし))") == "楽天・プラチナ・ファンド(為替ヘッジなし)"
-    assert names.cleaned("ニッセイ外国株(8782)<購入・換金手数料なし>《愛称》") == "ニッセイ外国株"
-    assert names.searches("eMAXIS Slim 米国株式(S&P500)") == ["eMAXIS Slim 米国株式", "eMAXIS Slim", "eMAXIS", "Slim", "eMA"]
+    assert names.cleaned("青空・世界株・ファンド(為替ヘッジなし)(青空・世界株(為替ヘッジなし))") == "青空・世界株・ファンド(為替ヘッジなし)"
+    assert names.cleaned("海鳴外国株(4711)<手数料なし>《愛称》") == "海鳴外国株"
+    assert names.searches("Northstar Slim 米国株式(X&Y500)") == ["Northstar Slim 米国株式", "Northstar Slim", "Northstar", "Slim", "Nor"]
     assert names.searches("()") == ["()"] and names.searches("") == []
     assert names.likeness("", "") == 0.0 and names.likeness("a b", "A・B") == 1.0 and names.likeness(None, "a") is None
     assert names.likeness("世界株(ヘッジあり)", "世界株(ヘッジなし)") < 0.3
-    a, b = "三井住友ニューチャイナファンド", "三井住友・DC外国リートインデックスファンド"
+    a, b = "青空ニューアジアファンド", "青空・DC外国不動産インデックスファンド"
     assert names.refined(a, b) < names.likeness(a, b) and names.refined("abc", "abcd") == names.likeness("abc", "abcd")
     assert column(spark, ["x ヘッジ有", "Hなし", "y", None], names.hedge_marker) == ["yes", "no", None, None]
     pairs = spark.createDataFrame([("global fund", "global"), (None, "x")], "a string, b string")
