@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as fx
 from folioforge.operators import allocation, asof, ledger, matching, series, valuation
-from folioforge.plans import intake, intake_sql, ledgers, ledgers_sql, oracle, queries, wealth, wealth_sql
+from folioforge.plans import intake, intake_sql, ledgers, ledgers_sql, oracle, queries, resolving, resolving_sql, wealth, wealth_sql
 
 D = dt.date
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -33,7 +33,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) and not math.isnan(v) else v
 
 
-ALL_QUERIES, ALL_SQL = queries.QUERIES | wealth.QUERIES | ledgers.QUERIES | intake.QUERIES, oracle.SQL | wealth_sql.SQL | ledgers_sql.SQL | intake_sql.SQL
+ALL_QUERIES, ALL_SQL = queries.QUERIES | wealth.QUERIES | ledgers.QUERIES | intake.QUERIES | resolving.QUERIES, oracle.SQL | wealth_sql.SQL | ledgers_sql.SQL | intake_sql.SQL | resolving_sql.SQL
 
 
 @pytest.mark.parametrize("name", sorted(ALL_SQL))
