@@ -127,6 +127,21 @@ def coin_rows(assets: DataFrame) -> DataFrame:
     return d.withColumns({"day_change_pct": pct, "as_of": F.when(F.col("day_change").isNotNull(), F.col("prev_date"))}).drop("has_price", "prev_date")
 
 
+def coin_points(answers: DataFrame) -> DataFrame:
+    """symbol, kind (value, quantity, price), t, amount: the points of each coin's answers, all coins in one long table.
+
+    answers: symbol, metric (which series the service says it is; null: an old one, which answers values only), t, value, balance, price. Quantities are
+    the balances of the balance series, which knows days without a price; coins without that series have those beside
+    their values. Prices come from the price series alone. Points without an amount are left out, not zero.
+    """
+    by = F.coalesce("metric", F.lit("value"))
+    kind = lambda name, column: answers.select("symbol", "t", F.lit(name).alias("kind"), F.col(column).cast("double").alias("amount"), by.alias("_m"))
+    exact = answers.where("metric = 'balance'").select("symbol").distinct()
+    held = kind("quantity", "balance")
+    rows = kind("value", "value").where("_m = 'value'").unionByName(held.where("_m = 'balance'")).unionByName(held.where("_m = 'value'").join(exact, "symbol", "left_anti")).unionByName(kind("price", "price").where("_m = 'price'"))
+    return rows.where("t is not null and amount is not null").select("symbol", "kind", "t", "amount")
+
+
 def coin_previous(points: DataFrame, today: str, days: int = 7) -> DataFrame:
     """symbol, prev_value: the last readable point (symbol, t, value as text) before today, if it is at most `days` old."""
     p = points.select("symbol", F.try_to_date("t").alias("day"), F.expr("try_cast(trim(value) AS decimal(38, 10))").alias("v")).where(F.col("v").isNotNull() & (F.col("day") < F.lit(today).cast("date")))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fetching, linking, paths, replay, statements
+from ..operators import asof, fetching, history, linking, lots, paths, replay, statements
 from ..sources import domain as dm
 from ..sources.domain import half_up
 from ..sources.scratch import written
 from .ledgers import REF, _anchors, _valued_lots
-from .queries import GROUP
+from .queries import AS_OF, GROUP, PREVIOUS
 from .wealth import _instruments, _rich
 
 QUERIES: dict = {}
@@ -227,3 +227,71 @@ def carried_back(spark, sf):
     basis = replay.reconciled_positions(_rich(spark, sf), _anchors(spark, sf), dm.ORDER).select(*GROUP, F.col("opening_cost").alias("residual_cost"))
     d = statements.carried_back(paths.quantity_paths(tx, lots, dm.ORDER), lots.withColumn("acquired_on", F.expr(ACQUIRED)), _instruments(spark, sf), basis)
     return d.select(*GROUP, half_up(F.col("quantity"), 4).alias("quantity"), "until", half_up(F.col("unit_price"), 2).alias("unit_price"), "acquired_on")
+
+
+#: Rows of a statement and the lots known before it: five securities an account; costs and quantities of few values, so that many tie.
+LOT_ROW = {
+    "section": "CASE security_id % 5 WHEN 0 THEN 'point' WHEN 1 THEN 'deposit' ELSE 'stock' END",
+    "old_label": "concat('p', CAST(security_id % 3 AS STRING), CASE WHEN security_id % 4 <> 0 THEN concat('|', CAST(1990 + security_id % 7 AS STRING)) ELSE '' END)",
+    "new_label": "CASE WHEN security_id % 13 <> 0 THEN concat('p', CAST(security_id % 3 AS STRING), CASE WHEN security_id % 4 <> 0 THEN concat('|', CAST(1990 + security_id % 7 + security_id % 2 AS STRING)) ELSE '' END) END",
+    "old_cost": "CASE WHEN security_id % 9 <> 4 AND bought > 0 THEN CAST(floor(cost / bought) % 50 AS DOUBLE) END",
+    "new_cost": "CASE WHEN security_id % 9 <> 5 AND bought > 0 THEN CAST(floor(cost / bought) % 50 + security_id % 3 - 1 AS DOUBLE) END",
+    "old_quantity": "CAST(quantity % 20 AS DOUBLE)",
+    "new_quantity": "CAST(quantity % 20 + CASE WHEN security_id % 7 = 0 THEN 5 ELSE 0 END AS DOUBLE)",
+}
+
+
+@query
+def lot_assignment(spark, sf):
+    """Which known lot every row of a statement is, and what changed: by label and expiry, or by nearest cost."""
+    s = asof.latest_at(dm.snapshots(dm.ledger(spark, sf)), GROUP, "as_of_date", {"now": F.lit(AS_OF).cast("date"), "then": F.lit(PREVIOUS).cast("date")})
+    at = lambda name, *columns: s.where(f"{name} IS NOT NULL").select("account_id", F.col("security_id").alias("own"), "security_id", f"{name}.quantity", f"{name}.cost", f"{name}.bought").select("account_id", "own", *[F.expr(LOT_ROW[c]).alias(c.split("_")[-1]) for c in columns])
+    rows = at("now", "section", "new_label", "new_cost", "new_quantity").where("own % 11 <> 0").withColumnRenamed("own", "row_id").withColumn("security_id", F.col("row_id") % 5)
+    known = at("then", "old_label", "old_cost", "old_quantity").where("own % 8 <> 3").withColumnRenamed("own", "lot_seq").withColumn("security_id", F.col("lot_seq") % 5)
+    return lots.diffed(rows, known)
+
+
+
+def _targets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(targets in batches, accounts, securities, aliases): some of each are there already."""
+    p = dm.table(spark, sf, "part")
+    t = statements.targets(p.select(F.col("p_partkey").alias("ref"), F.col("p_name").alias("name"), *[F.expr(x).alias(k) for k, x in HOLDING.items()]))
+    t = t.withColumns({"batch": F.expr("ref % 11 * 10 + ref % 10"), "security_id": F.expr("CASE WHEN ref % 17 = 0 THEN ref END")})
+    accounts = t.where("trim(account) <> ''").groupBy(F.col("account").alias("name")).agg(F.min("ref").alias("account_id")).where("account_id % 2 = 0")
+    securities = t.where("ref % 3 = 1 AND section IN ('stock', 'fund', 'point')").select(F.col("ref").alias("security_id"), "code", "name_key")
+    return t, accounts, securities, t.where("ref % 10 = 1").select(F.col("name_key").alias("alias"), F.col("ref").alias("security_id"))
+
+
+@query
+def committed_targets(spark, sf):
+    """The account and the security that every row of a statement is booked on; what isn't there is made once."""
+    return lots.ensured(*_targets(spark, sf))[0]
+
+
+@query
+def committed_securities(spark, sf):
+    """The securities that a commit makes."""
+    return lots.ensured(*_targets(spark, sf))[2]
+
+
+#: What a user chooses for names: another security, nothing, or by another spelling.
+CHOICE = {"name": "CASE WHEN security_id % 4 < 2 THEN concat('N', CAST(security_id AS STRING)) ELSE concat('n ', CAST(security_id AS STRING), 'OLD') END", "to": "CASE WHEN security_id % 5 <> 3 THEN security_id + 1 END"}
+
+
+@query
+def name_overrides(spark, sf):
+    """Rows after a user's choices: a choice for a name holds for the other names of its group, and for other spellings."""
+    rows = written(_named(spark, sf), "statement-rows")
+    members, _ = linking.merged_by_code(linking.entries(rows), written(linking.name_keys(rows), "name-keys"))
+    s = dm.table(spark, sf, "supplier").where("s_suppkey % 3 <> 2").select(F.col("s_suppkey").alias("security_id"))
+    choices = s.select(*[F.expr(x).alias(k) for k, x in CHOICE.items()]).withColumnRenamed("to", "security_id")
+    d = rows.select("row_index", "name", "security_id", F.expr("CASE WHEN security_id IS NOT NULL THEN CASE WHEN own % 2 = 0 THEN 'price' ELSE 'code' END END").alias("matched_by"), F.expr("security_id IS NOT NULL").alias("included"), F.expr("CASE WHEN row_index % 7 = 0 THEN 0.5D ELSE 0.9D END").alias("confidence"), F.expr("row_index % 5 = 0").alias("duplicate"))
+    return lots.overridden(d, choices, members).select("row_index", "security_id", "matched_by", "included")
+
+
+@query
+def coin_points(spark, sf):
+    """What every coin was worth, how much of it was held and what one cost, day by day, from another service's answers."""
+    e = dm.table(spark, sf, "events").groupBy(F.concat(F.lit("C"), "user_id").alias("symbol"), F.expr("CASE event_type WHEN 'view' THEN 'value' WHEN 'click' THEN 'balance' WHEN 'purchase' THEN 'price' END").alias("metric"), F.to_date("ts").alias("t"))
+    d = e.agg(F.max(F.floor(F.col("value") * 100)).cast("long").alias("v"))
+    return history.coin_points(d.select("symbol", "metric", "t", F.expr("CASE WHEN v % 10 <> 3 THEN v END").alias("value"), F.expr("CASE WHEN v % 9 <> 4 THEN v + 1 END").alias("balance"), F.expr("CASE WHEN v % 8 <> 5 THEN v + 2 END").alias("price")))

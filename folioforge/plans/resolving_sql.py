@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from ..operators import statements
 from .ledgers_sql import BOTH, G
-from .oracle import BASE, LEDGER, PRICES, r
-from .resolving import ACQUIRED, APPRAISED, CANDIDATE, FETCH, FETCH_DAY, HOLDING, INDEX, NAMED, NOW, SERIES_REF, SOLD, SOURCE, SPOT, TODAY, TWIN
+from .oracle import BASE, LEDGER, PRICES, SNAP, r
+from .resolving import ACQUIRED, APPRAISED, CANDIDATE, CHOICE, FETCH, FETCH_DAY, HOLDING, INDEX, LOT_ROW, NAMED, NOW, SERIES_REF, SOLD, SOURCE, SPOT, TODAY, TWIN
 from .wealth_sql import COLUMNS, INS
 
 TEXT = lambda x: x.replace("STRING", "VARCHAR")
@@ -79,6 +79,38 @@ ex AS (SELECT security_id, CASE WHEN av IS NULL THEN CASE WHEN u.level IS NOT NU
   FROM ab LEFT JOIN lv u ON u.x = ab.x AND u.day = DATE '{TODAY}' LEFT JOIN lv a ON a.x = ab.x AND a.day = ad LEFT JOIN lv b ON b.x = ab.x AND b.day = bd),
 {INS}, se AS (SELECT security_id, currency, status = 'manual' AS hand, CASE WHEN status = 'manual' THEN 'manual' ELSE source END AS source, CASE WHEN status = 'manual' THEN security_id::VARCHAR ELSE ref END AS ref FROM (SELECT security_id, currency, {', '.join(f'{TEXT(v)} AS {k}' for k, v in SPOT.items())} FROM (SELECT security_id, currency FROM ins)) WHERE NOT inactive AND (status = 'manual' OR (status = 'linked' AND source <> 'none' AND ref <> '')))"""
 
+TARGETS = f"""WITH h AS (SELECT p_partkey AS ref, p_name AS name, {', '.join(f"{TEXT(v).replace('0.2D', '0.2::DOUBLE').replace('1.0D', '1.0::DOUBLE')} AS {k}" for k, v in HOLDING.items())} FROM part),
+t AS (SELECT *, CASE WHEN section = 'stock' AND regexp_matches(code, '^[0-9]{{4}}0?$') THEN substr(code, 1, 4) END AS c, CASE section WHEN 'deposit' THEN '{statements.CASH_NAME}' WHEN 'crypto' THEN '{statements.COIN_NAME}' ELSE name END AS n, section <> 'pension' AND trim(coalesce(institution, '')) = '' AS nameless FROM h WHERE section <> 'loan')
+SELECT ref, section, CASE WHEN section = 'pension' THEN '{statements.PENSION_ACCOUNT}' ELSE institution END AS account, n AS name, {NAME_OF('n')} AS name_key, c AS code, {SECTION(0)} AS asset_class, {SECTION(1)} AS unit, {SECTION(2)} AS divisor, CASE WHEN c IS NULL THEN 'none' ELSE 'series' END AS source, c || '.T' AS source_ref,
+  CASE WHEN c IS NOT NULL THEN 'linked' WHEN section IN ('stock', 'fund') THEN 'unlinked' ELSE 'not required' END AS status, CASE WHEN section IN ('deposit', 'crypto') THEN name WHEN section = 'point' THEN concat_ws('|', coalesce(nullif(point_type, ''), name), nullif(expiry, '')) END AS lot_label,
+  CASE WHEN section IN ('deposit', 'crypto') THEN value WHEN section = 'pension' THEN 1 ELSE quantity END::DOUBLE AS quantity, CASE WHEN section IN ('stock', 'fund', 'pension') THEN avg_cost END::BIGINT AS avg_cost, CASE WHEN section IN ('stock', 'fund') THEN price END::BIGINT AS reported_price, value::BIGINT AS reported_value, CASE WHEN nameless THEN least(confidence, 0.4::DOUBLE) ELSE confidence END AS confidence, nameless AS no_account FROM t"""
+ENSURED = f"""WITH tg AS ({TARGETS}), t0 AS (SELECT *, ref % 11 * 10 + ref % 10 AS batch, CASE WHEN ref % 17 = 0 THEN ref END AS choice FROM tg),
+ac AS (SELECT account AS name, min(ref) AS account_id FROM t0 WHERE trim(account) <> '' GROUP BY 1 HAVING min(ref) % 2 = 0),
+se AS (SELECT ref AS security_id, code, name_key FROM t0 WHERE ref % 3 = 1 AND section IN ('stock', 'fund', 'point')),
+ali AS (SELECT name_key AS alias, min(ref) AS s FROM t0 WHERE ref % 10 = 1 GROUP BY 1), bc AS (SELECT code, min(security_id) AS s FROM se WHERE code IS NOT NULL GROUP BY 1), bn AS (SELECT name_key, min(security_id) AS s FROM se GROUP BY 1),
+ok AS (SELECT * FROM t0 WHERE batch NOT IN (SELECT batch FROM t0 WHERE trim(coalesce(account, '')) = '')),
+na AS (SELECT account, row_number() OVER (ORDER BY account) + (SELECT max(account_id) FROM ac) AS account_id FROM (SELECT DISTINCT account FROM ok WHERE account NOT IN (SELECT name FROM ac))),
+kn AS (SELECT ok.*, coalesce(se.security_id, bc.s, ali.s, bn.s) AS known, coalesce(nullif(ok.code, ''), ok.name_key) AS ident FROM ok LEFT JOIN se ON se.security_id = choice LEFT JOIN bc ON bc.code = ok.code LEFT JOIN ali ON alias = ok.name_key LEFT JOIN bn ON bn.name_key = ok.name_key),
+fi AS (SELECT ident, arg_min(known, (batch, ref)) FILTER (known IS NOT NULL) AS known_security, arg_min(ref, (batch, ref)) AS first_ref FROM kn GROUP BY 1),
+ma AS (SELECT ident, first_ref, row_number() OVER (ORDER BY ident) + (SELECT max(security_id) FROM se) AS id FROM fi WHERE known_security IS NULL)"""
+#: All pairs of an account's rows and lots in order, each taken if both are free.
+LOTS_OF = f"""{LEDGER}, {SNAP}, sn AS (SELECT account_id, security_id, max(as_of_date) FILTER (as_of_date <= DATE '1998-05-31') AS d0, max(as_of_date) AS d1 FROM snap WHERE as_of_date <= DATE '1998-06-30' GROUP BY ALL),
+rw AS (SELECT account_id, security_id % 5 AS s, security_id AS i, {TEXT(LOT_ROW['section'])} AS section, coalesce({TEXT(LOT_ROW['new_label'])}, '') AS label, {LOT_ROW['new_cost']} AS cost, {LOT_ROW['new_quantity']} AS q FROM snap JOIN sn USING (account_id, security_id) WHERE as_of_date = d1 AND security_id % 11 <> 0),
+lt AS (SELECT account_id, security_id % 5 AS s, security_id AS l, {TEXT(LOT_ROW['old_label'])} AS label, {LOT_ROW['old_cost']} AS cost, {LOT_ROW['old_quantity']} AS q FROM snap JOIN sn USING (account_id, security_id) WHERE as_of_date = d0 AND security_id % 8 <> 3)"""
+GAP = "CASE WHEN rw.{0} IS NULL AND lt.{0} IS NULL THEN 0 WHEN rw.{0} IS NULL OR lt.{0} IS NULL THEN 'inf'::DOUBLE ELSE abs(rw.{0} - lt.{0}) END".format
+SOON = "split_part(label, '|', 2) = '', split_part(label, '|', 2)"
+PAIRED = f"""WITH RECURSIVE {LOTS_OF},
+pr AS (SELECT account_id, s, i, l, row_number() OVER (PARTITION BY account_id, s ORDER BY {GAP('cost')}, {GAP('q')}, i, l) AS k FROM rw JOIN lt USING (account_id, s) WHERE section = 'stock'),
+gd AS (SELECT DISTINCT account_id, s, 0::BIGINT AS k, NULL::BIGINT AS i, NULL::BIGINT AS l, []::BIGINT[] AS ri, []::BIGINT[] AS li FROM pr
+  UNION ALL SELECT g.account_id, g.s, p.k, CASE WHEN f THEN p.i END, CASE WHEN f THEN p.l END, CASE WHEN f THEN list_append(g.ri, p.i) ELSE g.ri END, CASE WHEN f THEN list_append(g.li, p.l) ELSE g.li END
+  FROM (SELECT g.*, p.i AS pi, p.l AS pl, p.k AS pk, NOT list_contains(g.ri, p.i) AND NOT list_contains(g.li, p.l) AS f FROM gd g JOIN pr p ON p.account_id = g.account_id AND p.s = g.s AND p.k = g.k + 1) g, LATERAL (SELECT g.pi AS i, g.pl AS l, g.pk AS k) p),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY account_id, s, label ORDER BY i) AS k FROM rw WHERE section <> 'stock'), l1 AS (SELECT *, row_number() OVER (PARTITION BY account_id, s, label ORDER BY l) AS k FROM lt),
+m1 AS (SELECT account_id, s, i, l FROM r1 JOIN l1 USING (account_id, s, label, k)),
+r2 AS (SELECT account_id, s, i, split_part(label, '|', 1) AS t, row_number() OVER (PARTITION BY account_id, s, split_part(label, '|', 1) ORDER BY {SOON}, i) AS k FROM rw ANTI JOIN m1 USING (account_id, s, i) WHERE section <> 'stock'),
+l2 AS (SELECT account_id, s, l, split_part(label, '|', 1) AS t, row_number() OVER (PARTITION BY account_id, s, split_part(label, '|', 1) ORDER BY {SOON}, l) AS k FROM lt ANTI JOIN m1 USING (account_id, s, l)),
+mt AS (SELECT account_id, s, i, l FROM gd WHERE i IS NOT NULL UNION ALL SELECT * FROM m1 UNION ALL SELECT account_id, s, i, l FROM r2 JOIN l2 USING (account_id, s, t, k)),
+tp AS (SELECT account_id, s, max(l) AS top FROM lt GROUP BY ALL)"""
+
 SQL: dict[str, str] = {
     "name_links": f"""{LINKED} SELECT li."group", names, rows, undetermined, net_quantity, first_date, last_date, sid AS security_id, how, coalesce(live, 0) AS live, CASE WHEN sid IS NOT NULL THEN 'linked' WHEN live > 0 THEN 'choose' WHEN undetermined > 0 THEN 'unclear' WHEN net_quantity = 0 THEN 'sold' ELSE 'still held' END AS state
 FROM li LEFT JOIN (SELECT "group", count(*) FILTER (against IS NULL) AS live FROM lv GROUP BY 1) USING ("group")""",
@@ -104,14 +136,24 @@ SELECT 'M' || wa.security_id AS ref, 'F' || wa.security_id AS future, currency,
     "section_totals": f"{SECTIONS} SELECT * FROM ss",
     "grand_totals": f"""{SECTIONS}, g AS (SELECT batch, CASE WHEN min(l_partkey) % 5 <> 1 THEN sum(gross) END::BIGINT AS expected, count(*) FILTER (l_partkey % 50 = 0) AS unread FROM d GROUP BY 1)
 SELECT g.batch, c AS computed, expected, CASE WHEN expected IS NOT NULL THEN coalesce(c = expected, false) END AS ok, wrong AS wrong_sections, unread FROM g JOIN (SELECT batch, sum(computed)::BIGINT AS c, count(*) FILTER (NOT ok) AS wrong FROM ss GROUP BY 1) USING (batch)""",
-    "statement_targets": f"""WITH h AS (SELECT p_partkey AS ref, p_name AS name, {', '.join(f"{TEXT(v).replace('0.2D', '0.2::DOUBLE').replace('1.0D', '1.0::DOUBLE')} AS {k}" for k, v in HOLDING.items())} FROM part),
-t AS (SELECT *, CASE WHEN section = 'stock' AND regexp_matches(code, '^[0-9]{{4}}0?$') THEN substr(code, 1, 4) END AS c, CASE section WHEN 'deposit' THEN '{statements.CASH_NAME}' WHEN 'crypto' THEN '{statements.COIN_NAME}' ELSE name END AS n, section <> 'pension' AND trim(coalesce(institution, '')) = '' AS nameless FROM h WHERE section <> 'loan')
-SELECT ref, section, CASE WHEN section = 'pension' THEN '{statements.PENSION_ACCOUNT}' ELSE institution END AS account, n AS name, {NAME_OF('n')} AS name_key, c AS code, {SECTION(0)} AS asset_class, {SECTION(1)} AS unit, {SECTION(2)} AS divisor, CASE WHEN c IS NULL THEN 'none' ELSE 'series' END AS source, c || '.T' AS source_ref,
-  CASE WHEN c IS NOT NULL THEN 'linked' WHEN section IN ('stock', 'fund') THEN 'unlinked' ELSE 'not required' END AS status, CASE WHEN section IN ('deposit', 'crypto') THEN name WHEN section = 'point' THEN concat_ws('|', coalesce(nullif(point_type, ''), name), nullif(expiry, '')) END AS lot_label,
-  CASE WHEN section IN ('deposit', 'crypto') THEN value WHEN section = 'pension' THEN 1 ELSE quantity END::DOUBLE AS quantity, CASE WHEN section IN ('stock', 'fund', 'pension') THEN avg_cost END::BIGINT AS avg_cost, CASE WHEN section IN ('stock', 'fund') THEN price END::BIGINT AS reported_price, value::BIGINT AS reported_value, CASE WHEN nameless THEN least(confidence, 0.4::DOUBLE) ELSE confidence END AS confidence, nameless AS no_account FROM t""",
+    "statement_targets": TARGETS,
     "carried_back": f"""{BOTH}, {INS}, b AS (SELECT account_id, security_id, CASE WHEN cov = 'partial' THEN c0 END AS c0 FROM av), f1 AS (SELECT account_id, security_id, as_of_date AS fd, quantity AS q, avg_cost AS a, {ACQUIRED} AS acq FROM st QUALIFY row_number() OVER (PARTITION BY account_id, security_id ORDER BY as_of_date) = 1),
 c1 AS (SELECT {G}, min(day) AS d FROM ch GROUP BY ALL),
 o AS (SELECT account_id, security_id, CASE WHEN status IN ('traced', 'closed') THEN opening ELSE q END AS quantity, CASE WHEN status IN ('traced', 'closed') THEN coalesce(d, sx.first) ELSE fd END AS until, CASE WHEN status IN ('traced', 'closed') THEN nullif(c0, 0) ELSE a END AS unit_price, acq FROM sx LEFT JOIN c1 USING ({G}) LEFT JOIN f1 USING ({G}) LEFT JOIN b USING ({G}) JOIN ins USING (security_id)
   WHERE asset_class NOT IN ('cash', 'point', 'pension', 'real_estate') AND ((status IN ('traced', 'closed') AND opening > 1e-7) OR (status IN ('no_trades', 'no_earlier_trades') AND q > 0)))
 SELECT {G}, {r('quantity')} AS quantity, until, {r('unit_price', 2)} AS unit_price, CASE WHEN acq < until THEN acq END AS acquired_on FROM o""",
+    "lot_assignment": f"""{PAIRED} SELECT account_id, s AS security_id, l AS lot_seq, i AS row_id, CASE WHEN lt.q IS DISTINCT FROM rw.q THEN 'qty_changed' WHEN lt.cost IS DISTINCT FROM rw.cost THEN 'cost_changed' ELSE 'unchanged' END AS status, lt.q AS old_quantity, rw.q AS new_quantity, lt.cost AS old_cost, rw.cost AS new_cost FROM mt JOIN rw USING (account_id, s, i) JOIN lt USING (account_id, s, l)
+UNION ALL SELECT account_id, s, coalesce(top, -1) + row_number() OVER (PARTITION BY account_id, s ORDER BY i), i, 'new', NULL, q, NULL, cost FROM rw ANTI JOIN mt USING (account_id, s, i) LEFT JOIN tp USING (account_id, s)
+UNION ALL SELECT account_id, s, l, NULL, 'missing', q, NULL, cost, NULL FROM lt ANTI JOIN mt USING (account_id, s, l) WHERE q <> 0""",
+    "committed_targets": f"""{ENSURED} SELECT batch, ref, kn.account, coalesce(na.account_id, ac.account_id) AS account_id, na.account_id IS NOT NULL AS new_account, known_security, id AS new_security FROM kn LEFT JOIN na ON na.account = kn.account LEFT JOIN ac ON ac.name = kn.account JOIN fi USING (ident) LEFT JOIN ma USING (ident)""",
+    "committed_securities": f"""{ENSURED} SELECT id AS security_id, t0.code, t0.name, t0.name_key FROM ma JOIN t0 ON t0.ref = first_ref""",
+    "name_overrides": f"""{LINKED}, ch AS (SELECT {TEXT(CHOICE['name'])} AS name, {CHOICE['to']} AS t FROM (SELECT s_suppkey AS security_id FROM supplier WHERE s_suppkey % 3 <> 2)),
+mc AS (SELECT ms.name, "group", ch.name IS NOT NULL AS own, t FROM ms LEFT JOIN ch ON ch.name = ms.name), hi AS (SELECT "group", (list({{'t': t}} ORDER BY name <> "group", name) FILTER (own))[1].t AS t FROM mc GROUP BY 1 HAVING bool_or(own)),
+ev AS (SELECT name, CASE WHEN own THEN mc.t ELSE hi.t END AS t FROM mc JOIN hi USING ("group") UNION ALL SELECT name, t FROM ch WHERE name NOT IN (SELECT name FROM ms)),
+ek AS (SELECT replace(lower(name), ' ', '') AS k, (list({{'t': t}} ORDER BY name DESC))[1].t AS t FROM ev GROUP BY 1),
+j AS (SELECT row_index, known, CASE WHEN known IS NOT NULL THEN CASE WHEN security_id % 2 = 0 THEN 'price' ELSE 'code' END END AS how, CASE WHEN ev.name IS NOT NULL THEN ev.t ELSE ek.t END AS t, (known IS NULL OR security_id % 2 = 0) AND (ev.name IS NOT NULL OR ek.k IS NOT NULL) AS chosen FROM lr LEFT JOIN ev ON ev.name = lr.name LEFT JOIN ek ON ek.k = replace(lower(lr.name), ' ', ''))
+SELECT row_index, CASE WHEN chosen THEN t ELSE known END AS security_id, CASE WHEN NOT chosen THEN how WHEN t IS NOT NULL THEN 'manual' ELSE 'unmatched' END AS matched_by, CASE WHEN chosen THEN t IS NOT NULL AND row_index % 7 <> 0 AND row_index % 5 <> 0 ELSE known IS NOT NULL END AS included FROM j""",
+    "coin_points": """WITH e AS (SELECT 'C' || user_id AS symbol, CASE event_type WHEN 'view' THEN 'value' WHEN 'click' THEN 'balance' WHEN 'purchase' THEN 'price' END AS m, ts::DATE AS t, max(floor(value * 100))::BIGINT AS v FROM events GROUP BY ALL)
+SELECT symbol, 'value' AS kind, t, v::DOUBLE AS amount FROM e WHERE coalesce(m, 'value') = 'value' AND v % 10 <> 3 UNION ALL SELECT symbol, 'price', t, v + 2 FROM e WHERE m = 'price' AND v % 8 <> 5
+UNION ALL SELECT symbol, 'quantity', t, v + 1 FROM e WHERE v % 9 <> 4 AND (m = 'balance' OR (coalesce(m, 'value') = 'value' AND symbol NOT IN (SELECT symbol FROM e WHERE m = 'balance')))""",
 }

@@ -1,12 +1,10 @@
-"""Landed files, greedy matching and streams on small inputs."""
+"""Landed files and streams on small inputs."""
 
 import datetime as dt
 import json
-import random
 
 from pyspark.sql import functions as F
 
-from folioforge.operators import greedy
 from folioforge.sources import landed
 
 D = dt.date
@@ -49,27 +47,6 @@ def test_file_kinds_and_delimiters(spark, tmp_path):
     assert best == {"f": (";", 3), "g": (",", 2)}
 
 
-def test_transfers_take_each_arrival_once(spark):
-    rows = [(1, "o1", "i1", D(2024, 1, 1), 1, 1), (1, "o1", "i2", D(2024, 1, 1), 2, 2), (1, "o2", "i1", D(2024, 1, 2), 1, 1), (1, "o2", "i3", D(2024, 1, 2), 2, 5), (1, "o3", "i1", D(2024, 1, 3), 1, 1)]
-    d = spark.createDataFrame(rows, "security_id long, out_ref string, in_ref string, out_date date, rank long, days long")
-    assert {(r.out_ref, r.in_ref) for r in greedy.resolved_transfers(d).collect()} == {("o1", "i1"), ("o2", "i3")}
-
-
-def test_cancellation_of_near_moves(spark):
-    rows = [(1, 1, "a", D(2024, 1, 1), -10), (1, 1, "b", D(2024, 1, 3), 4), (1, 1, "c", D(2024, 1, 20), 6), (1, 1, "d", D(2024, 1, 12), -5), (2, 1, "e", D(2024, 1, 1), -1)]
-    d = spark.createDataFrame(rows, "account_id long, security_id long, ref string, trade_date date, quantity long")
-    assert {(r.ref, r.left) for r in greedy.cancelled(d).collect()} == {("a", 6), ("e", 1)}
-
-
-def test_lots_are_paired_by_nearest_cost(spark):
-    rng = random.Random(1)
-    rows = spark.createDataFrame([(1, i, float(rng.randint(1, 99)), 10) for i in range(5)], "account_id long, row_id long, cost double, quantity long")
-    lots = spark.createDataFrame([(1, r.row_id + 100, r.cost, 10) for r in rows.collect()] + [(2, 1, 1.0, 1)], "account_id long, lot_id long, cost double, quantity long")
-    cost = {r.row_id: r.cost for r in rows.collect()}
-    got = greedy.assigned_lots(rows, lots, ["account_id"]).collect()
-    assert len(got) == 5 and all(cost[r.row_id] == cost[r.lot_id - 100] for r in got)
-
-
 def test_overlapping_exports_are_ingested_once(spark, tmp_path):
     from folioforge.streaming import ingest
 
