@@ -360,9 +360,12 @@ def _classes(docs: DataFrame, key: str, text: str, links: bool) -> tuple[DataFra
     return sets, result.withColumnRenamed("sid", "r_sid")
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = True) -> DataFrame:
     """key, n_shingles, component_id, copies, n_links for every row of docs.
 
+    links=False leaves n_links out, and with it the comparison of all sets inside a component, which grows with the square of
+    its distinct sets; components don't need it.
+
     Two rows link when 100 * intersection >= 75 * union of their five-word shingle sets (ASCII lower
     case; fewer words: the whole sequence). component_id is the smallest key that a row reaches. copies:
     rows with an equal set; n_links: the other rows that the row links with. Null, empty and blank texts have
@@ -370,9 +373,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     smallest key (null if there is none). Rows that repeat a key are separate documents. Other columns are ignored;
     an empty table gives no rows.
     """
-    sets, result = _classes(docs, key, text, links=True)
+    sets, result = _classes(docs, key, text, links)
     out = sets.join(result, F.col("sid") == F.col("r_sid"), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), *counts)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -371,6 +371,8 @@ def test_jaccard_matches_brute_force(spark, seed):
     rows = near_copies(seed)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(d).collect())
+    plain = jaccard.link(d, links=False)
+    assert "n_links" not in plain.columns and sorted((r.doc_id, r.n_shingles, r.component_id) for r in plain.collect()) == got
     assert got == brute_components(rows)
 
 
