@@ -9,7 +9,7 @@ from ..operators import asof, fetching, history, linking, lots, paths, replay, s
 from ..sources import domain as dm
 from ..sources.domain import half_up
 from ..sources.scratch import written
-from .ledgers import REF, _anchors, _valued_lots
+from .ledgers import REF, _replayed, _valued_lots
 from .queries import AS_OF, GROUP, PREVIOUS
 from .wealth import _instruments, _rich
 
@@ -223,8 +223,9 @@ ACQUIRED = "CASE WHEN (account_id * security_id) % 2 = 0 THEN DATE '1991-05-01'
 @query
 def carried_back(spark, sf):
     """Quantities that are drawn back beyond any record, with what a purchase that fills them in would be."""
-    tx, lots = _rich(spark, sf).withColumn("ref", F.expr(REF)), _valued_lots(spark, sf)
-    basis = replay.reconciled_positions(_rich(spark, sf), _anchors(spark, sf), dm.ORDER).select(*GROUP, F.col("opening_cost").alias("residual_cost"))
+    ledger = dm.stored_ledger(spark, sf)
+    tx, lots = _rich(spark, sf, ledger).withColumn("ref", F.expr(REF)), written(_valued_lots(spark, sf, ledger), "lots")
+    basis = _replayed(spark, sf, ledger).select(*GROUP, F.col("opening_cost").alias("residual_cost"))
     d = statements.carried_back(paths.quantity_paths(tx, lots, dm.ORDER), lots.withColumn("acquired_on", F.expr(ACQUIRED)), _instruments(spark, sf), basis)
     return d.select(*GROUP, half_up(F.col("quantity"), 4).alias("quantity"), "until", half_up(F.col("unit_price"), 2).alias("unit_price"), "acquired_on")
 

@@ -5,8 +5,10 @@ import random
 from fractions import Fraction as Q
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.operators import paths, replay
+from folioforge.sources.domain import half_up
 
 TX = "account_id long, security_id long, trade_date date, id long, kind string, quantity double, unit_price double, gross_amount double, net_amount double, fee double, tax double, split_ratio double, divisor long, currency string"
 ANCHOR = "account_id long, security_id long, as_of_date date, quantity double, avg_cost double, currency string, lots int, acquired_on date"
@@ -133,6 +135,31 @@ def test_replay_of_odd_ledgers(spark):
     assert replay.reconciled_positions(spark.createDataFrame([], TX), anchors, ["id"]).collect() == []
 
 
+def test_replay_rounds_as_one_row_after_the_other(spark):
+    """Bits of the opening cost and of the average are those of a plain loop, also of positions of several days and of amounts beyond 2^63."""
+    rng = random.Random(11)
+    groups = {}
+    for a in range(60):
+        groups[a] = [(a, 1, DAY + dt.timedelta(i // 2), i, kind, float(rng.randint(1, 40)), None, rng.randint(1, 9_000_000) / 7.0, None, float(rng.randint(0, 999)), 0.0, None, 1, "JPY") for i, kind in enumerate(rng.choices(["buy", "sell"], [2, 1], k=40))]
+    net = {a: sum(t[5] * (1 if t[4] == "buy" else -1) for t in txs) for a, txs in groups.items()}
+    rows = [(a, 1, dt.date(2025, 1, 1), n + 1_000, 1e9, "JPY", 1, None) for a, n in net.items()]
+    got = {r.account_id: r for r in replay.reconciled_positions(spark.createDataFrame([t for g in groups.values() for t in g], TX), spark.createDataFrame(rows, ANCHOR), ["id"]).collect()}
+    for a, txs in groups.items():
+        q, pool, share = 1_000.0, 0.0, 1_000.0
+        for t in txs:
+            if t[4] == "buy":
+                q, pool = q + t[5], pool + (t[7] + t[9])
+            else:
+                keep = (q - t[5]) / q
+                q, pool, share = q - t[5], pool * keep, share * keep
+        assert got[a].opening_cost == ((net[a] + 1_000) * 1e9 - pool) / share
+
+
+def test_large_amounts_keep_their_size(spark):
+    x = spark.createDataFrame([(2.5e22,), (-2.5e22,), (0.125,), (-0.125,), (None,)], "x double").select(half_up(F.col("x"), 2).alias("x"))
+    assert [r.x for r in x.collect()] == [2.5e22, -2.5e22, 0.13, -0.12, None]
+
+
 # paths
 
 
