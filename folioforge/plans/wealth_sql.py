@@ -85,8 +85,9 @@ SELECT raw, n, {r('CASE WHEN a > 0 THEN b / a WHEN a IS NULL AND one > 0 THEN on
     "no_movement_rows": f"{FULL}, x AS (SELECT kind, gross_amount, net_amount, fee, tax, CASE WHEN l_orderkey % 4 = 0 THEN 0 WHEN l_orderkey % 4 = 1 THEN NULL ELSE quantity END AS quantity FROM rich) SELECT kind, count(*) AS n, count(*) FILTER (coalesce(quantity, 0) = 0 AND coalesce(gross_amount, 0) = 0 AND coalesce(net_amount, 0) = 0 AND coalesce(fee, 0) = 0 AND coalesce(tax, 0) = 0) AS without_movement FROM x GROUP BY 1",
     "tx_labels_classified": f"""WITH x AS (SELECT ({LABEL_LIST})[(l_partkey * 7 + l_linenumber) % {len(LABELS) + 1} + 1] AS label FROM lineitem), g AS (SELECT label, count(*) AS n FROM x GROUP BY 1), k AS (SELECT *, {KEYED('label')} FROM g)
 SELECT label, n, CASE WHEN label IS NOT NULL THEN {type_of('head', 'whole', 'kind')} END AS kind, CASE WHEN label IS NOT NULL THEN {type_of('head', 'whole', 'sure')} END AS sure FROM k""",
-    "divisor_inference": f"""{FULL}, d AS (SELECT security_id, quantity, gross, floor(gross / quantity) * divisor AS quote FROM rich), g AS (SELECT security_id, count(*) FILTER (abs(quantity * quote - gross) <= 1 + quantity * 0.5::DOUBLE) AS ones, count(*) FILTER (abs(quantity * quote / 10000 - gross) <= 1 + quantity * 0.5::DOUBLE / 10000) AS tens, count(*) AS n FROM d GROUP BY 1)
-SELECT security_id, CASE WHEN tens > ones THEN 10000 ELSE 1 END AS divisor, greatest(ones, tens) AS hits, n FROM g""",
+    "divisor_inference": f"""{FULL}, d AS (SELECT security_id, quantity, gross, floor(gross / quantity) * divisor AS quote FROM rich), t AS (SELECT *, unnest([1, 100, 1000, 10000]) AS v FROM d),
+g AS (SELECT security_id, v, count(*) FILTER (abs(quantity * quote / v - gross) <= 1 + quantity * 0.5::DOUBLE / v) AS hits, count(*) AS n FROM t GROUP BY ALL)
+SELECT security_id, v AS divisor, hits, n FROM g QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY hits DESC, v) = 1""",
     "range_starts": f"WITH {LEDGER}, o AS (SELECT account_id, min(trade_date) AS oldest FROM ledger GROUP BY 1), k AS (SELECT * FROM (VALUES ('7d', 7), ('30d', 30), ('90d', 90), ('1y', 365), ('all', 1825)) t(range, days)) SELECT account_id, range, CASE WHEN range = 'all' THEN least({DAY} - days, oldest) ELSE {DAY} - days END AS start FROM o, k",
     "batch_rollback": f"""WITH {LEDGER}, t AS (SELECT {KEY} AS k, l_orderkey, l_partkey, quantity, 'B' || (l_orderkey % 6)::VARCHAR AS b FROM ledger), links AS (SELECT k, b FROM t UNION ALL SELECT k, 'B' || ((l_orderkey + l_partkey) % 6)::VARCHAR FROM t WHERE l_partkey % 3 = 0),
 o AS (SELECT k, arg_min(b, (b[2:]::BIGINT + 4) % 6) AS owner FROM links WHERE b <> 'B3' GROUP BY 1) SELECT CASE WHEN b = 'B3' THEN owner ELSE b END AS batch_id, count(*) AS n, sum(quantity)::BIGINT AS quantity FROM t LEFT JOIN o USING (k) WHERE b <> 'B3' OR owner IS NOT NULL GROUP BY 1""",
