@@ -7,6 +7,7 @@ from fractions import Fraction as Q
 from pyspark.sql import functions as F
 
 from folioforge.operators import merging, navs
+from folioforge.plans import wealth
 from folioforge.streaming import watch
 
 D = dt.date
@@ -172,3 +173,17 @@ def test_link_decisions(spark):
         1: ("auto", "price", "a", ["a", "b"]), 2: ("none", "no price", None, ["a"]), 3: ("candidates", "several prices", None, ["b", "a"]), 4: ("candidates", "prices unread", None, ["a"]), 5: ("none", "no price", None, ["a"]),
         6: ("candidates", "no price", None, ["a", "d", "b"]),
     }
+
+
+def test_divisors_of_a_hundred_and_a_thousand_are_found(spark, monkeypatch):
+    rows = spark.createDataFrame([(d, 3, 3 * 1_234, d) for d in (1, 100, 1_000, 10_000)] + [(7, 3, 3 * 1_234, 50)], "security_id long, quantity long, gross long, divisor int")
+    monkeypatch.setattr(wealth, "_rich", lambda spark, sf: rows)
+    got = {r.security_id: (r.divisor, r.hits, r.n) for r in wealth.divisor_inference(spark, "").collect()}
+    assert got == {1: (1, 1, 1), 100: (100, 1, 1), 1_000: (1_000, 1, 1), 10_000: (10_000, 1, 1), 7: (1, 0, 1)}
+
+
+def test_sums_in_responses_do_not_depend_on_the_order(spark, monkeypatch):
+    for values in ([1e16, 1.0, 1.0, 1.0], [1.0, 1.0, 1.0, 1e16]):
+        rows = spark.createDataFrame([("stock", (v,), 1.0, 1, 1, "JPY", 1.0) for v in values], "asset_class string, now struct<value: double>, avg_cost double, quantity long, divisor int, currency string, rate double").coalesce(1)
+        monkeypatch.setattr(wealth, "_routed", lambda spark, sf, rows=rows: rows)
+        assert [r.value for r in wealth.summary_json(spark, "").collect()] == ["10000000000000004.00"]
