@@ -74,3 +74,24 @@ def test_price_chain_and_fill(spark):
     assert {tuple(r) for r in chain.collect()} == {(1, D(2024, 1, 1), 10.0, "USD", "linked"), (1, D(2024, 1, 2), 99.0, "USD", "manual"), (2, D(2024, 1, 2), 50.0, "EUR", "derived"), (2, D(2024, 1, 3), 51.0, "EUR", "derived"), (3, D(2024, 1, 1), 8.0, "JPY", "reported")}
     trades = spark.createDataFrame([("a", 1, "USD", D(2024, 1, 9)), ("b", 1, "USD", D(2024, 1, 10)), ("c", 1, "JPY", D(2024, 1, 2)), ("d", 2, "EUR", D(2024, 1, 1))], "ref string, security_id long, currency string, trade_date date")
     assert {(r.ref, r.price, r.priced_on) for r in history.trade_prices(trades, chain).collect()} == {("a", 99.0, D(2024, 1, 2)), ("b", None, None), ("c", None, None), ("d", None, None)}
+
+
+def test_histories_make_days_after_their_joins(spark):
+    """Prices, instruments and paths meet spans, so days are shuffled once for prices and never for rates or paths."""
+    lots = spark.createDataFrame([(1, 1, 0, dt.date(2024, 1, 1), 2.0, 3.0, None)], "account_id long, security_id long, lot_seq int, as_of_date date, quantity double, avg_cost double, reported double")
+    paths = spark.createDataFrame([(1, 1, "traced", dt.date(2024, 1, 1), 1.0, [])], "account_id long, security_id long, status string, before date, opening double, changes array<struct<day:date,quantity:double>>")
+    days = history.lot_days(lots, "2023-12-30", "2024-01-03", paths)
+    assert [(r.day.day, r.quantity) for r in days.orderBy("day").collect()] == [(30, 1.0), (31, 1.0), (1, 2.0), (2, 2.0), (3, 2.0)]
+    instruments = spark.createDataFrame([(1, "stock", "USD", 1, False)], "security_id long, asset_class string, currency string, divisor int, linked boolean")
+    prices = spark.createDataFrame([(1, dt.date(2023, 12, 31), 5.0, "USD"), (1, dt.date(2024, 1, 2), 7.0, "USD")], "security_id long, date date, price double, price_currency string")
+    rates = spark.createDataFrame([("USD", dt.date(2024, 1, 1), 10.0)], "currency string, date date, rate double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = history.worth(days, instruments, prices, rates, "2023-12-30", "2024-01-03")
+        assert [r.value for r in d.orderBy("day").collect()] == [50.0, 50.0, 100.0, 140.0, 140.0]
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        # nothing but prices and rates stands above the days
+        assert plan[: plan.index("Generate explode")].count("Join ") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
