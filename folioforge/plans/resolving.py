@@ -246,6 +246,7 @@ LOT_ROW = {
 def lot_assignment(spark, sf):
     """Which known lot every row of a statement is, and what changed: by label and expiry, or by nearest cost."""
     s = asof.latest_at(dm.snapshots(dm.ledger(spark, sf)), GROUP, "as_of_date", {"now": F.lit(AS_OF).cast("date"), "then": F.lit(PREVIOUS).cast("date")})
+    s = written(s, "positions")
     at = lambda name, *columns: s.where(f"{name} IS NOT NULL").select("account_id", F.col("security_id").alias("own"), "security_id", f"{name}.quantity", f"{name}.cost", f"{name}.bought").select("account_id", "own", *[F.expr(LOT_ROW[c]).alias(c.split("_")[-1]) for c in columns])
     rows = at("now", "section", "new_label", "new_cost", "new_quantity").where("own % 11 <> 0").withColumnRenamed("own", "row_id").withColumn("security_id", F.col("row_id") % 5)
     known = at("then", "old_label", "old_cost", "old_quantity").where("own % 8 <> 3").withColumnRenamed("own", "lot_seq").withColumn("security_id", F.col("lot_seq") % 5)

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import fetching, linking, statements
@@ -242,3 +243,11 @@ def test_targets(spark):
     assert (got[2].code, got[2].status, got[2].confidence) == (None, "unlinked", 0.4)
     assert (got[3].account, got[3].quantity, got[3].avg_cost, got[3].reported_price, got[3].no_account) == (statements.PENSION_ACCOUNT, 1.0, 100.0, None, False)
     assert (got[4].lot_label, got[4].unit) == ("x|2030-01", "point") and (got[6].code, got[6].divisor, got[6].name_key) == (None, 10_000, "fü")
+
+
+@pytest.mark.parametrize("name", ["lot_assignment", "carried_back"])
+def test_the_ledger_is_joined_once(spark, data, name):
+    """What a query goes through several times is written; nothing after that reads the line items again."""
+    from folioforge.plans import resolving
+
+    assert not [f for f in resolving.QUERIES[name](spark, data).inputFiles() if "lineitem" in f]
