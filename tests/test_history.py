@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from folioforge.operators import allocation, history
+from folioforge.plans import ledgers
 
 D = dt.date
 LOTS = "account_id long, security_id long, lot_seq int, as_of_date date, quantity double, avg_cost double, reported double"
@@ -95,3 +96,10 @@ def test_histories_make_days_after_their_joins(spark):
         assert plan[: plan.index("Generate explode")].count("Join ") == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_price_chains_join_the_ledger_once(spark, data):
+    assert not [f for f in ledgers.QUERIES["price_chain"](spark, data).inputFiles() if "lineitem" in f]
+    # the trades themselves are read, and nothing of them a second time for the series
+    plan = ledgers.QUERIES["trade_price_fill"](spark, data)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("l_linenumber#") and plan.count("sum(gross") == 0
