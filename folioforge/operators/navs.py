@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Days back for a reported price and for values of pensions; pairs of statements that are checked; what a movement may be off.
 PRICE_DAYS, VALUE_DAYS, PAIRS, SHARE, LEAST = 7, 14, 6, 0.005, 10.0
 #: Units that a published price is for.
@@ -78,7 +80,7 @@ def units(value: Column, nav: Column, per: int = PER) -> Column:
 
 
 def derived_units(statements: DataFrame, series: DataFrame, days: int = VALUE_DAYS, per: int = PER, money: int = 100) -> DataFrame:
-    """statements (id, ref, as_of, value, ...) with units and exact.
+    """statements (ref, as_of, value, ...) with units and exact.
 
     Values and prices are whole cents (money of them are one). The newest of the `days` up to the series' last price by as_of
     under whose price whole units make the value to less than one is exact; else the newest price gives a share with four
@@ -88,11 +90,13 @@ def derived_units(statements: DataFrame, series: DataFrame, days: int = VALUE_DA
     # the last price by as_of: a series as stretches from one price to the next, which meet statements month by month
     spans = series.select("ref", F.col("date").alias("_d"), F.lead("date").over(Window.partitionBy("ref").orderBy("date")).alias("_n")).where("_n is not null")
     spans = spans.withColumn("_m", F.explode(F.sequence(_month(F.col("_d")), _month(F.col("_n")), F.expr("interval 1 month"))))
-    at = statements.select("id", "ref", "as_of").withColumn("_m", _month(F.col("as_of")))
-    inside = at.join(spans, ["ref", "_m"]).where((F.col("_d") <= F.col("as_of")) & (F.col("_n") > F.col("as_of"))).groupBy("id", "ref").agg(F.max("_d").alias("last"))
+    # what a day sees of a series is looked up once, however many statements there are on it
+    at = statements.select("ref", "as_of").distinct()
+    inside = at.withColumn("_m", _month(F.col("as_of"))).join(spans, ["ref", "_m"]).where((F.col("_d") <= F.col("as_of")) & (F.col("_n") > F.col("as_of"))).groupBy("ref", "as_of").agg(F.max("_d").alias("last"))
     ends = series.groupBy("ref").agg(F.max("date").alias("_end"))
-    d = statements.join(inside, ["id", "ref"], "left").join(ends, "ref", "left").withColumn("last", F.coalesce("last", F.when(F.col("_end") <= F.col("as_of"), F.col("_end")))).drop("_end")
-    d = seen(d, prices, "last", days, "_prices")
+    at = at.join(inside, ["ref", "as_of"], "left").join(ends, "ref", "left").select("ref", F.col("as_of").alias("id"), F.coalesce("last", F.when(F.col("_end") <= F.col("as_of"), F.col("_end"))).alias("last"))
+    at = written(seen(at, prices, "last", days, "_prices").select("ref", F.col("id").alias("as_of"), "_prices"), "prices-seen")
+    d = statements.join(at, ["ref", "as_of"], "left")
     value = F.col("value")
     newest = F.reverse("_prices")
     fits = F.filter(F.transform(newest, lambda p: F.struct(p["nav"].alias("nav"), units(value, p["nav"], per).alias("units"))), lambda u: (u["units"] >= 1) & (F.abs(u["units"] * u["nav"] - value * per) < money * per))
@@ -109,9 +113,9 @@ def rewritten_units(statements: DataFrame, series: DataFrame, manual: DataFrame,
     has at most one unit gets what its value gives; another one only a whole number that differs. Others stay.
     """
     key = ["account_id", "security_id", "lot_seq", "as_of"]
-    m = statements.where("value is null").select(*key).join(manual.select("security_id", "date", F.col("value").alias("_v")), "security_id").where(F.col("date") <= F.col("as_of"))
-    m = m.groupBy(*key).agg(F.max_by("_v", "date").alias("_v"))
-    d = statements.join(m, key, "left").withColumn("id", F.concat_ws("-", *key)).withColumn("_own", F.col("value")).withColumn("value", F.coalesce("value", "_v"))
+    m = statements.where("value is null").select("security_id", "as_of").distinct().join(manual.select("security_id", "date", F.col("value").alias("_v")), "security_id").where(F.col("date") <= F.col("as_of"))
+    m = m.groupBy("security_id", "as_of").agg(F.max_by("_v", "date").alias("_v"))
+    d = statements.join(m, ["security_id", "as_of"], "left").withColumn("_own", F.col("value")).withColumn("value", F.coalesce("value", "_v"))
     d = derived_units(d, series, **kwargs)
     change = (F.col("quantity") != 0) & F.col("units").isNotNull() & ((F.col("quantity") <= 1) | (F.col("exact") & (F.col("units") != F.col("quantity"))))
     return d.select(*key, "ref", F.when(change, F.col("units")).otherwise(F.col("quantity").cast("double")).alias("quantity"), F.col("_own").alias("value"), F.coalesce(change, F.lit(False)).alias("changed"), F.when(change, F.col("exact")).alias("exact"))

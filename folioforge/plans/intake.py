@@ -108,9 +108,9 @@ def accept_gate(spark, sf):
     return g.withColumns({"reasons": F.array_join("reasons", "; "), "sections": F.array_join("sections", ",")})
 
 
-def _navs(spark: SparkSession, sf: str) -> DataFrame:
+def _navs(spark: SparkSession, sf: str, prices: DataFrame | None = None) -> DataFrame:
     """Monthly and mid-month prices of funds in cents: ref, date, nav."""
-    p = dm.prices(dm.ledger(spark, sf))
+    p = prices or dm.prices(dm.ledger(spark, sf))
     return p.select(F.col("security_id").alias("ref"), F.explode(F.array(F.struct(F.col("date"), F.col("price").alias("nav")), F.struct(F.date_sub("date", 9).alias("date"), (F.col("price") + 50).alias("nav")))).alias("x")).select("ref", "x.date", "x.nav")
 
 
@@ -122,27 +122,36 @@ def nav_verified(spark, sf):
     return navs.verified(d, _navs(spark, sf))
 
 
-def _pensions(spark: SparkSession, sf: str) -> DataFrame:
+def _stored_series(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(months, prices): the ledger is joined once, by months, and its prices are added up once."""
+    m = dm.stored_months(spark, sf)
+    return m, written(dm.month_prices(m), "prices")
+
+
+def _pensions(months: DataFrame, prices: DataFrame) -> DataFrame:
     """Statements of pensions in cents: a value by the price of the month (some off), what was paid in so far, and quantity 1 for some."""
-    s = dm.snapshots(dm.ledger(spark, sf)).join(dm.prices(dm.ledger(spark, sf)).select("security_id", F.col("date").alias("as_of_date"), "price"), ["security_id", "as_of_date"])
+    s = dm.month_snapshots(months).join(prices.select("security_id", F.col("date").alias("as_of_date"), "price"), ["security_id", "as_of_date"])
     return s.select("account_id", "security_id", F.lit(0).alias("lot_seq"), "as_of_date", F.expr("CASE WHEN (account_id + security_id) % 13 = 0 THEN 0 WHEN security_id % 3 = 0 THEN quantity ELSE 1 END").alias("quantity"), F.expr("CASE WHEN security_id % 8 <> 5 THEN (quantity * 1000 * price + account_id % 4 * 40000) div 10000 END").alias("value"), F.expr("CASE WHEN account_id % 6 <> 0 THEN (quantity - 1000) * price div 10 END").alias("cost"))
 
 
 @query
 def nav_movements(spark, sf):
     """Do the prices of a fund, and of the next one, explain how a pension's values moved between its last statements?"""
-    pairs = navs.value_pairs(_pensions(spark, sf))
+    months, prices = _stored_series(spark, sf)
+    pairs = written(navs.value_pairs(_pensions(months, prices)), "pairs")
     candidates = pairs.select("security_id").distinct().select("security_id", F.explode(F.array(F.col("security_id"), F.col("security_id") + 1)).alias("ref"))
-    d = navs.movement_checked(pairs, candidates, _navs(spark, sf))
+    d = navs.movement_checked(pairs, candidates, _navs(spark, sf, prices))
     return d.withColumn("worst", half_up(F.col("worst"), 3))
 
 
 @query
 def pension_units(spark, sf):
     """Statements with their quantity in units that the value and the fund's prices give."""
-    d = _pensions(spark, sf).select("account_id", "security_id", "lot_seq", F.date_add("as_of_date", (F.col("security_id") % 20).cast("int")).alias("as_of"), F.col("security_id").alias("ref"), "quantity", "value")
-    manual = dm.prices(dm.ledger(spark, sf)).where("month(date) % 4 = 0").select("security_id", "date", F.expr("price * 77 div 10").alias("value"))
-    out = navs.rewritten_units(d, _navs(spark, sf), manual)
+    months, prices = _stored_series(spark, sf)
+    d = _pensions(months, prices).select("account_id", "security_id", "lot_seq", F.date_add("as_of_date", (F.col("security_id") % 20).cast("int")).alias("as_of"), F.col("security_id").alias("ref"), "quantity", "value")
+    d = written(d, "statements")
+    manual = prices.where("month(date) % 4 = 0").select("security_id", "date", F.expr("price * 77 div 10").alias("value"))
+    out = navs.rewritten_units(d, _navs(spark, sf, prices), manual)
     return out.withColumn("quantity", half_up(F.col("quantity"), 4))
 
 
@@ -200,12 +209,14 @@ def merged_tags(spark, sf):
 def link_suggestions(spark, sf):
     """Which price series a fund is linked to: by its reported price, by how its values moved, by its name."""
     p = dm.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("security_id"))
-    pairs = navs.value_pairs(_pensions(spark, sf))
+    months, prices = _stored_series(spark, sf)
+    pairs = written(navs.value_pairs(_pensions(months, prices)), "pairs")
+    navs_ = written(_navs(spark, sf, prices), "navs")
     c = p.select("security_id", F.explode(F.array(*[F.col("security_id") + i for i in range(4)])).alias("ref"))
-    moved = navs.movement_checked(pairs, c, _navs(spark, sf)).select("security_id", "ref", "explained")
-    last = dm.prices(dm.ledger(spark, sf)).groupBy("security_id").agg(F.max_by(F.struct("date", "price"), "date").alias("x"))
+    moved = navs.movement_checked(pairs, c, navs_).select("security_id", "ref", "explained")
+    last = prices.groupBy("security_id").agg(F.max_by(F.struct("date", "price"), "date").alias("x"))
     asked = last.select("security_id", F.date_add("x.date", 3).alias("as_of"), F.expr("CASE security_id % 4 WHEN 0 THEN NULL WHEN 1 THEN x.price + 50 ELSE x.price END").alias("reported")).join(c, "security_id").withColumn("id", F.col("security_id").cast("string"))
-    priced = navs.verified(asked, _navs(spark, sf)).select(F.col("id").cast("long").alias("security_id"), "ref", "matched")
+    priced = navs.verified(asked, navs_).select(F.col("id").cast("long").alias("security_id"), "ref", "matched")
     d = c.join(priced, ["security_id", "ref"], "left").join(moved, ["security_id", "ref"], "left")
     d = d.withColumns({"score": F.expr("(security_id * 7 + ref * 13) % 10 / 10.0D"), "reachable": F.expr("(security_id + ref) % 9 <> 0")})
     return navs.link_decisions(d).withColumn("shown", F.array_join(F.transform("shown", lambda x: x.cast("string")), ","))

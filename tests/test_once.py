@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from folioforge.operators import navs
+from folioforge.plans import intake
 from folioforge.sources import domain as dm
 
 D = dt.date
@@ -28,3 +30,20 @@ def test_months_give_snapshots_and_prices(spark, data):
     m = dm.months(tx)
     rows = lambda d: sorted(map(tuple, d.collect()))
     assert rows(dm.month_prices(m)) == rows(dm.prices(tx))
+
+
+def test_pensions_and_links_read_the_ledger_once(spark, data):
+    for name in ("pension_units", "link_suggestions", "nav_movements"):
+        assert "lineitem.parquet" not in _files(intake.QUERIES[name](spark, data)), name
+
+
+def test_days_of_a_series_are_looked_up_once(spark):
+    s = spark.createDataFrame([(i, "f", D(2024, 1, 31), 100_000) for i in range(50)], "account_id long, ref string, as_of date, value long")
+    p = spark.createDataFrame([("f", D(2024, 1, 30), 10_000)], "ref string, date date, nav long")
+    seen = []
+    kept, navs.written = navs.written, lambda d, label: seen.append(d.count()) or d
+    try:
+        assert {r.units for r in navs.derived_units(s, p).collect()} == {100_000.0}
+    finally:
+        navs.written = kept
+    assert seen == [1]
