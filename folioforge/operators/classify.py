@@ -88,6 +88,11 @@ def no_movement(columns: tuple[str, ...] = ("quantity", "gross_amount", "net_amo
     return empty
 
 
+def _once(d: DataFrame, **columns: Column) -> DataFrame:
+    """d with columns that later ones use many times: inline() makes them rows' values, so that they aren't put into each use as text."""
+    return d.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def transactions(rows: DataFrame) -> DataFrame:
     """The rows with kind, signed quantity and net, gross without sign, split_ratio, warnings, confidence, margin, off_market.
 
@@ -110,20 +115,19 @@ def transactions(rows: DataFrame) -> DataFrame:
     q, net, gross = F.col("quantity"), F.col("net"), F.col("gross")
     by_sign = F.when((F.col("sign_convention") == "signed_quantity") & (q != 0), F.when(q > 0, "buy").otherwise("sell")).when((F.col("sign_convention") == "signed_net") & (net != 0), F.when(net < 0, "buy").otherwise("sell")).otherwise("other")
     said = F.coalesce("_t.kind", F.lit("other"))
-    first = F.when((said == "other") & (F.col("sign_convention") != "by_type"), by_sign).otherwise(said)
-    amount = F.coalesce(net, gross)
+    d = _once(d, _first=F.when((said == "other") & (F.col("sign_convention") != "by_type"), by_sign).otherwise(said))
+    first, amount = F.col("_first"), F.coalesce(net, gross)
     direction = F.when(amount < 0, "cash_out").otherwise("cash_in")
     either = first.isin(*CASH) & (F.col("_sure") < 0.9) & amount.isNotNull()
     reserve = F.coalesce("_mrf", F.lit(False)) | F.coalesce(mrf(F.col("name")), F.lit(False))
-    d = d.withColumn("_k", F.when(either | (~first.isin(*CASH) & reserve), direction).otherwise(first))
+    d = _once(d, _k=F.when(either | (~first.isin(*CASH) & reserve), direction).otherwise(first))
     no_security = blank("name") & blank("code")
     signed_net = F.when(F.col("_k").isin("buy", "reinvest", "cash_out"), -F.abs(net)).when(F.col("_k").isin("sell", "cash_in"), F.abs(net)).otherwise(net)
-    no_trade = F.col("_k").isin(*TRADES) & no_security & (F.coalesce(q, F.lit(0.0)) == 0) & net.isNotNull()
-    d = d.withColumn("_cash", no_trade).withColumn("_net", signed_net).withColumn("kind", F.when(no_trade, F.when(signed_net < 0, "cash_out").otherwise("cash_in")).otherwise(F.col("_k")))
+    d = _once(d, _cash=F.col("_k").isin(*TRADES) & no_security & (F.coalesce(q, F.lit(0.0)) == 0) & net.isNotNull(), _net=signed_net)
     kind = F.col("_k")
     moved = F.when(kind.isin("sell", "transfer_out"), -F.abs(q)).when(kind.isin("buy", "reinvest", "transfer_in"), F.abs(q)).when(kind.isin("dividend", "return_of_capital", *CASH), None).otherwise(q)
-    d = d.withColumn("_q", F.when(~F.col("_cash"), moved)).withColumn("_g", F.abs(gross))
-    d = d.withColumn("margin", (kind == "other") & F.coalesce("_margin", F.lit(False))).withColumn("off_market", F.coalesce("_off", F.lit(False)))
+    final = F.when(F.col("_cash"), F.when(F.col("_net") < 0, "cash_out").otherwise("cash_in")).otherwise(kind)
+    d = _once(d, kind=final, _q=F.when(~F.col("_cash"), moved), _g=F.abs(gross), margin=(kind == "other") & F.coalesce("_margin", F.lit(False)), off_market=F.coalesce("_off", F.lit(False)))
     size, price, by = F.abs("_q"), F.abs("unit_price"), F.col("divisor").cast("double")
     off_row = (size * price != 0) & (F.col("_g") != 0) & (F.abs(size * price / by - F.col("_g")) > OFF + size * 0.5 / by)
     costs = F.coalesce("fee", F.lit(0.0)) + F.coalesce("tax", F.lit(0.0))
@@ -134,6 +138,8 @@ def transactions(rows: DataFrame) -> DataFrame:
         ("settlement_day", F.col("trade_date").isNull() & F.col("settle_date").isNotNull(), 0.0), ("no_date", F.col("_day").isNull(), MISSING), ("margin", unknown & F.col("margin"), UNKNOWN), ("unknown_type", unknown & ~F.col("margin"), UNKNOWN),
         ("return_of_capital", kind == "return_of_capital", 0.0), ("cash", F.col("_cash"), -MISSING), ("no_security", lost, MISSING), ("no_quantity", final.isin(*TRADES) & F.col("_q").isNull(), MISSING), ("row", off_row, FAILED), ("net", off_net, MINOR),
     ]
+    d = _once(d, **{f"_is_{name}": test for name, test, _ in doubts})
+    doubts = [(name, F.col(f"_is_{name}"), x) for name, _, x in doubts]
     less = sum((F.when(test, x).otherwise(0.0) for _, test, x in doubts), F.lit(0.0))
     d = d.withColumn("warnings", F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test, _ in doubts]))).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") - less)))
     d = d.withColumn("split_ratio", F.when((kind == "split") & (F.coalesce("unit_price", F.lit(0.0)) != 0), split_ratio(F.col("price_text"))))

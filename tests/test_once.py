@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from folioforge.operators import navs
+from folioforge.operators import classify, navs
 from folioforge.plans import intake
 from folioforge.sources import domain as dm
 
@@ -47,3 +47,8 @@ def test_days_of_a_series_are_looked_up_once(spark):
     finally:
         navs.written = kept
     assert seen == [1]
+
+
+def test_decisions_of_a_row_are_made_once(spark, data):
+    plan = classify.transactions(intake._rows(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000  # 145,439 when each use had the text of all before it
