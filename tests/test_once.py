@@ -3,7 +3,7 @@
 import datetime as dt
 
 from folioforge.operators import classify, navs
-from folioforge.plans import intake
+from folioforge.plans import intake, queries
 from folioforge.sources import domain as dm
 
 D = dt.date
@@ -52,3 +52,8 @@ def test_days_of_a_series_are_looked_up_once(spark):
 def test_decisions_of_a_row_are_made_once(spark, data):
     plan = classify.transactions(intake._rows(spark, data))._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 60_000  # 145,439 when each use had the text of all before it
+
+
+def test_keys_of_equal_rows_meet_as_bytes(spark, data):
+    plan = queries.QUERIES["dedup_key"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "unhex(" in plan
