@@ -11,7 +11,7 @@ from ..sources.domain import half_up
 from ..sources.scratch import written
 from .ledgers import REF, _replayed, _valued_lots
 from .queries import AS_OF, GROUP, PREVIOUS
-from .wealth import _instruments, _rich
+from .wealth import RICH, _instruments, _rich
 
 QUERIES: dict = {}
 
@@ -40,20 +40,32 @@ def query(f):
 
 
 def _named(spark: SparkSession, sf: str) -> DataFrame:
-    d = _rich(spark, sf).withColumn("day", F.last_day("trade_date")).join(dm.prices(dm.ledger(spark, sf)).select("security_id", F.col("date").alias("day"), "price"), ["security_id", "day"])
+    return _named_by(spark, sf, *_stored_prices(spark, sf))
+
+
+def _stored_prices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(what statement rows need of the ledger, prices): the ledger is joined once, its prices are added up once."""
+    ledger = written(dm.ledger(spark, sf).select("security_id", "trade_date", "tx_type", "quantity", "gross", "l_orderkey", "l_linenumber", "l_partkey"), "ledger")
+    return ledger, written(dm.prices(ledger), "prices")
+
+
+def _named_by(spark: SparkSession, sf: str, ledger: DataFrame, prices: DataFrame) -> DataFrame:
+    kinds = ledger.select("*", F.expr(RICH["kind"]).alias("kind"))
+    d = kinds.withColumn("day", F.last_day("trade_date")).join(prices.select("security_id", F.col("date").alias("day"), "price"), ["security_id", "day"])
     d = d.select(F.col("security_id").alias("own"), F.expr(INDEX).alias("row_index"), F.col("day").alias("trade_date"), *[F.expr(x).alias(k) for k, x in NAMED.items()])
     return d.withColumnsRenamed({"known": "security_id", "type": "kind", "at_price": "unit_price"}).withColumn("quantity", F.col("signed").cast("double")).drop("signed")
 
 
 def _linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(groups, links, candidates with what speaks against them) of all statement rows."""
-    rows = written(_named(spark, sf), "statement-rows")
+    ledger, prices = _stored_prices(spark, sf)
+    rows = written(_named_by(spark, sf, ledger, prices), "statement-rows")
     keys, resolved = written(linking.name_keys(rows), "name-keys"), written(linking.resolved_keys(rows, "row_index"), "resolved-keys")
     members, groups = linking.merged_by_code(linking.entries(rows), keys)
     s = F.regexp_extract("group", "[0-9]+", 0).cast("long")
     c = groups.select("group", s.alias("s"), F.explode(F.when(s % 3 == 2, F.array(s + 7 + TWIN * 2)).otherwise(F.array_compact(F.array(s, s + 1, F.when(s % 6 == 0, s + TWIN))))).alias("c"))
     c = c.select("group", F.col("c").alias("security_id"), *[F.expr(x).alias(k) for k, x in CANDIDATE.items()])
-    p = dm.prices(dm.ledger(spark, sf)).where("security_id % 9 <> 4").withColumn("date", F.when(F.col("security_id") % 8 == 3, F.date_add("date", 2)).otherwise(F.col("date")))
+    p = prices.where("security_id % 9 <> 4").withColumn("date", F.when(F.col("security_id") % 8 == 3, F.date_add("date", 2)).otherwise(F.col("date")))
     series = p.unionByName(p.withColumn("security_id", F.col("security_id") + TWIN))
     c = linking.weighed(c, linking.market_prices(rows, members), series)
     c = c.withColumn("refuted", linking.refuted())
@@ -99,7 +111,7 @@ APPRAISED = "CASE security_id % 15 WHEN 0 THEN year(date) <= 1995 WHEN 5 THEN ye
 @query
 def current_spots(spark, sf):
     """The price of every security now: stored, asked for, composed, brought to today by an index, or the last close; with doubts."""
-    p = dm.prices(dm.ledger(spark, sf))
+    p = written(dm.prices(dm.ledger(spark, sf)), "prices")
     last = p.groupBy("security_id").agg(F.max_by("price", "date").alias("price")).withColumns({"source": F.expr(SOURCE), "ref": F.expr(SERIES_REF)})
     d = p.withColumns({"source": F.expr(SOURCE), "ref": F.expr(SERIES_REF), "currency": F.expr("CASE WHEN security_id % 13 = 0 THEN 'USD' END")})
     manual = d.where("security_id % 5 = 0").withColumns({"source": F.lit("manual"), "ref": F.col("security_id").cast("string")})
@@ -164,8 +176,8 @@ def recorded_attempts(spark, sf):
 @query
 def composable_gaps(spark, sf):
     """Months of every series composed of a future and a rate: may they be called covered?"""
-    tx = dm.ledger(spark, sf).where("account_id % 4 = 1")
-    days = tx.select(F.concat(F.lit("F"), "security_id").alias("ref"), F.col("trade_date").alias("date")).distinct()
+    tx = written(dm.ledger(spark, sf).where("account_id % 4 = 1").select("security_id", "trade_date").distinct(), "trade-days")
+    days = tx.select(F.concat(F.lit("F"), "security_id").alias("ref"), F.col("trade_date").alias("date"))
     months = tx.select("security_id", F.trunc("trade_date", "MM").alias("gap_start")).distinct().withColumn("gap_end", F.last_day("gap_start"))
     wanted = months.select(F.concat(F.lit("M"), "security_id").alias("ref"), F.concat(F.lit("F"), "security_id").alias("future"), F.expr("CASE WHEN security_id % 2 = 0 THEN 'USD' ELSE 'EUR' END").alias("currency"), "gap_start", "gap_end")
     covered = months.where("(security_id + month(gap_start)) % 3 <> 0").select(F.lit("future").alias("source"), F.concat(F.lit("F"), "security_id").alias("ref"), F.col("gap_start").alias("start_date"), F.col("gap_end").alias("end_date"))

@@ -3,7 +3,7 @@
 import datetime as dt
 
 from folioforge.operators import classify, navs
-from folioforge.plans import intake, queries
+from folioforge.plans import intake, queries, resolving
 from folioforge.sources import domain as dm
 
 D = dt.date
@@ -49,6 +49,14 @@ def test_days_of_a_series_are_looked_up_once(spark):
     assert seen == [1]
 
 
+def test_names_and_prices_come_from_stored_rows(spark, data):
+    for name in ("current_spots", "name_links", "link_candidates"):
+        assert "lineitem.parquet" not in _files(resolving.QUERIES[name](spark, data)), name
+    plan = resolving.QUERIES["composable_gaps"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    # the rates alone come from the ledger, and those of two securities
+    assert plan.count("l_suppkey") > 0 and "trade-days" in "".join(resolving.QUERIES["composable_gaps"](spark, data).inputFiles())
+
+
 def test_decisions_of_a_row_are_made_once(spark, data):
     plan = classify.transactions(intake._rows(spark, data))._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 60_000  # 145,439 when each use had the text of all before it
