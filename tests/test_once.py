@@ -3,7 +3,7 @@
 import datetime as dt
 
 from folioforge.operators import classify, navs
-from folioforge.plans import intake, queries, resolving
+from folioforge.plans import intake, ledgers, queries, resolving
 from folioforge.sources import domain as dm
 
 D = dt.date
@@ -65,3 +65,8 @@ def test_decisions_of_a_row_are_made_once(spark, data):
 def test_keys_of_equal_rows_meet_as_bytes(spark, data):
     plan = queries.QUERIES["dedup_key"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 1 and "unhex(" in plan
+
+
+def test_moves_read_the_ledger_once(spark, data):
+    tx, statements = ledgers._moves(spark, data)
+    assert "lineitem.parquet" not in _files(tx) + _files(statements)
