@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from folioforge.operators import classify, navs
+from folioforge.operators import classify, navs, paths
 from folioforge.plans import intake, ledgers, queries, resolving
 from folioforge.sources import domain as dm
 
@@ -70,3 +70,12 @@ def test_keys_of_equal_rows_meet_as_bytes(spark, data):
 def test_moves_read_the_ledger_once(spark, data):
     tx, statements = ledgers._moves(spark, data)
     assert "lineitem.parquet" not in _files(tx) + _files(statements)
+
+
+def test_paths_without_links_meet_none(spark):
+    tx = spark.createDataFrame([(1, 1, D(2024, 1, 5), "a", "buy", 5.0, None)], "account_id long, security_id long, trade_date date, ref string, kind string, quantity double, split_ratio double")
+    s = spark.createDataFrame([(1, 1, 0, D(2024, 2, 1), 8.0)], "account_id long, security_id long, lot_seq int, as_of_date date, quantity double")
+    p = paths.quantity_paths(tx, s, ["trade_date", "ref"])
+    assert [(r.status, r.opening, len(r.changes)) for r in p.collect()] == [("traced", 3.0, 1)]
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "absorbed" not in plan and "from_account" not in plan
