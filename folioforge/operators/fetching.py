@@ -5,10 +5,10 @@ A range counts as covered only after a fetch said so; a day without a price in a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import merged_ranges
+from .series import first_day, last_day, merged_ranges, packed_ranges
 
 SERIES = ["source", "ref"]
 #: Sources of which the last stored price is the price; sources whose whole history comes at once, so once a day.
@@ -22,13 +22,16 @@ def gaps(requests: DataFrame, covered: DataFrame) -> DataFrame:
 
     Requests of a series that overlap or touch are one; a series without a covered range is one gap.
     """
-    want = merged_ranges(requests, SERIES).select(*SERIES, F.col("start_date").alias("_lo"), F.col("end_date").alias("_hi"))
-    have = merged_ranges(covered, SERIES).select(*SERIES, "start_date", "end_date")
-    d = want.join(have, SERIES, "left").withColumn("_in", (F.col("end_date") >= F.col("_lo")) & (F.col("start_date") <= F.col("_hi")))
-    w = Window.partitionBy(*SERIES, "_lo").orderBy("start_date")
-    inside = d.where("_in").withColumn("gap_start", F.coalesce(F.date_add(F.lag("end_date").over(w), 1), F.col("_lo"))).withColumn("gap_end", F.date_sub("start_date", 1))
-    tail = d.groupBy(*SERIES, "_lo", "_hi").agg(F.max(F.when(F.col("_in"), F.col("end_date"))).alias("_end")).select(*SERIES, F.coalesce(F.date_add("_end", 1), F.col("_lo")).alias("gap_start"), F.col("_hi").alias("gap_end"))
-    return inside.select(*SERIES, "gap_start", "gap_end").unionByName(tail).where("gap_start <= gap_end")
+    want = packed_ranges(requests, SERIES).select(*SERIES, F.explode("ranges").alias("_want"))
+    have = packed_ranges(covered, SERIES).withColumnRenamed("ranges", "_have")
+    lo, hi = first_day(F.col("_want")), last_day(F.col("_want"))
+    inside = F.filter(F.coalesce("_have", F.array().cast("array<long>")), lambda x: (last_day(x) >= lo) & (first_day(x) <= hi))
+    # a gap goes from the end of one covered range to the start of the next
+    ends = F.concat(F.transform(inside, lambda x: first_day(x) - 1), F.array(hi))
+    starts = F.concat(F.array(lo), F.transform(inside, lambda x: last_day(x) + 1))
+    gap = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] <= x["b"])
+    d = want.join(have, SERIES, "left").select(*SERIES, F.explode(gap).alias("_gap"))
+    return d.select(*SERIES, F.date_from_unix_date("_gap.a").alias("gap_start"), F.date_from_unix_date("_gap.b").alias("gap_end"))
 
 
 def fetch_plan(requests: DataFrame, covered: DataFrame, attempts: DataFrame, today: Column, once: tuple[str, ...] = ONCE) -> DataFrame:

@@ -217,3 +217,14 @@ def test_partial_transfers_stay_candidates(spark):
     into = spark.createDataFrame([("early", 2, 9, 100, D(2020, 3, 4)), ("part", 3, 9, 60, D(2020, 3, 11)), ("far", 2, 9, 100, D(2020, 4, 9)), ("late", 2, 9, 100, D(2020, 4, 10)), ("own", 1, 9, 100, D(2020, 3, 10))], cols)
     got = [(r.in_ref, r.gap) for r in matching.transfer_candidates(out, into).orderBy("rank").collect()]
     assert got == [("far", 0), ("early", 0), ("part", 40)]
+
+
+def test_merged_ranges_are_shuffled_as_one_row_a_key(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), D(1969, 6, 1) + dt.timedelta(s := rng.randrange(500)), D(1969, 6, 1) + dt.timedelta(s + rng.randrange(-2, 9))) for _ in range(150)]
+    merged = series.merged_ranges(spark.createDataFrame(rows * 3, "k string, start_date date, end_date date"), ["k"])
+    days = {(k, a + dt.timedelta(i)) for k, a, b in rows for i in range((b - a).days + 1)}
+    starts = sorted((k, d) for k, d in days if (k, d - dt.timedelta(1)) not in days)
+    ends = sorted((k, d) for k, d in days if (k, d + dt.timedelta(1)) not in days)
+    assert sorted(map(tuple, merged.collect())) == [(k, a, b) for (k, a), (_, b) in zip(starts, ends, strict=True)]
+    assert "Window" not in merged._jdf.queryExecution().executedPlan().toString()  # which sorts a row for each range
