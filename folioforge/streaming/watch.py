@@ -7,6 +7,7 @@ show it alike, once for each form it takes; one that a scan doesn't show starts
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,8 +17,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LISTING = "scan long, seen_at timestamp, name string, size long, mtime long"
 READY = "name string, scan long, size long, mtime long"
-#: Scan, the form that waits and the form that was reported last; null sizes for none.
-STATE = "scan long, size long, mtime long, done_size long, done_mtime long"
+#: Of each file of a bucket: its name, scan, the form that waits and the form that was reported last (null sizes for none), and when it is dropped.
+FILE = ("name", "scan", "size", "mtime", "done_size", "done_mtime", "until")
+STATE = ", ".join(f"{c} array<{'string' if c == 'name' else 'long'}>" for c in FILE)
+#: Files are kept by hash in so many buckets, so that what a call of Python costs is paid once a bucket and batch, not once a file.
+BUCKETS = 512
 #: Scans may come so late; what a file was is kept for so many polls after it was last seen.
 LATE, POLLS = "1 hour", 2
 
@@ -41,25 +45,35 @@ def settled(rows: list[tuple[int, int, int]], scan: int | None, waits: tuple | N
 
 
 def ready_files(listings: DataFrame, poll_seconds: int) -> DataFrame:
-    """READY rows of a stream (or table) of LISTING rows. State is one small row a file, dropped POLLS polls after it was last seen."""
+    """READY rows of a stream (or table) of LISTING rows. State is one small entry a file, dropped POLLS polls after it was last seen."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s = state.get if state.exists else (None,) * 5
-        rows, latest = [], 0
-        for p in parts:
-            rows += zip(p["scan"].tolist(), p["size"].tolist(), p["mtime"].tolist(), strict=True)
-            latest = max(latest, int(p["seen_at"].max().timestamp() * 1000))
+        now = state.getCurrentWatermarkMs()
+        files = {n: x for n, *x in zip(*state.get, strict=True)} if state.exists else {}
+        rows, latest, ready = defaultdict(list), {}, []
+        if not state.hasTimedOut:
+            for p in parts:
+                seen = (p["seen_at"].astype("datetime64[ms]").astype("int64")).tolist()
+                for n, at, *row in zip(p["name"].tolist(), seen, p["scan"].tolist(), p["size"].tolist(), p["mtime"].tolist(), strict=True):
+                    rows[n].append(tuple(row))
+                    latest[n] = max(latest.get(n, 0), at)
         pair = lambda a, b: None if a is None else (a, b)
-        ready, scan, waits, done = settled(rows, s[0], pair(s[1], s[2]), pair(s[3], s[4]))
-        state.update((scan, *(waits or (None, None)), *(done or (None, None))))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + POLLS * poll_seconds * 1000 + 1)
-        yield pd.DataFrame([(key[0], *r) for r in ready], columns=["name", "scan", "size", "mtime"])
+        for n, own in rows.items():
+            scan, *form, _ = files.get(n, (None,) * 6)
+            out, scan, waits, done = settled(own, scan, pair(*form[:2]), pair(*form[2:]))
+            ready += [(n, *r) for r in out]
+            files[n] = (scan, *(waits or (None, None)), *(done or (None, None)), max(latest[n], now) + POLLS * poll_seconds * 1000 + 1)
+        files = {n: x for n, x in files.items() if n in rows or x[-1] >= now}
+        if files:
+            state.update(tuple(map(list, zip(*((n, *x) for n, x in files.items()), strict=True))))
+            state.setTimeoutTimestamp(max(min(x[-1] for x in files.values()), now + 1))
+        else:
+            state.remove()
+        if ready:
+            yield pd.DataFrame(ready, columns=["name", "scan", "size", "mtime"])
 
     d = listings.where("name is not null and size is not null and mtime is not null").withWatermark("seen_at", LATE)
-    return d.groupBy("name").applyInPandasWithState(step, READY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return d.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(step, READY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained_ready(listings: DataFrame, folder: str, poll_seconds: int) -> DataFrame:

@@ -42,6 +42,19 @@ def test_ready_files_equal_a_watcher(spark, tmp_path):
     assert sorted((r["name"], r["scan"], r["size"], r["mtime"]) for r in got) == plain_scans(scans)
 
 
+def test_ready_files_share_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(watch, "BUCKETS", 3)  # each call sees many files: some new, some expired, some unseen in its batch
+    rng = random.Random(4)
+    scans = [{f"f{k}": (rng.choice([1, 1, 2]), 5) for k in range(60) if (k + i // 6) % 3 and rng.random() < 0.9} for i in range(36)]
+    for lo in range(0, 36, 6):
+        rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), n, *form) for i in range(lo, lo + 6) for n, form in scans[i].items()]
+        spark.createDataFrame(rows, watch.LISTING).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(watch.LISTING).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert watch.ready_files(stream, 3600)._jdf.queryExecution().analyzed().toString().count("bucket")  # a call is for a bucket, not for a file
+    got = watch.drained_ready(stream, str(tmp_path), 3600).collect()
+    assert sorted((r["name"], r["scan"], r["size"], r["mtime"]) for r in got) == plain_scans(scans)
+
+
 def test_accept_gate(spark):
     previews = spark.createDataFrame([("ok", True), ("sum", False), ("part", None), ("none", True), ("bare", None)], "batch string, total_ok boolean")
     sections = spark.createDataFrame([("ok", "a", True, True), ("ok", "b", False, None), ("sum", "a", True, None), ("part", "a", True, False), ("part", "b", False, False), ("none", "a", False, True)], "batch string, section string, included boolean, sums_ok boolean")
