@@ -180,12 +180,15 @@ def inverse_frequency(df: np.ndarray, total: int) -> np.ndarray:
 
 
 def gram_times(matrix: DataFrame, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A^T A X for the TF-IDF matrix whose rows are term rows (ids) and a weight; partial products summed by row block."""
-    shipped = matrix.sparkSession.sparkContext.broadcast((right, idf))
+    """A^T A X for the TF-IDF matrix whose rows are term rows (ids) and a weight; partial products summed by row block.
+
+    X is shipped in single precision, as the partial products come back, so that the driver holds half of it.
+    """
+    shipped = matrix.sparkSession.sparkContext.broadcast((right.astype(np.float32), idf))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, w = shipped.value
-        out, any_rows = np.zeros_like(x), False
+        out, any_rows = np.zeros(x.shape), False
         for pdf in batches:
             for ids, weight in zip(pdf["ids"], pdf["weight"], strict=True):
                 at = np.asarray(ids)
@@ -199,12 +202,12 @@ def gram_times(matrix: DataFrame, right: np.ndarray, idf: np.ndarray) -> np.ndar
         total = sum(np.frombuffer(p, np.float32) for p in pdf["part"])
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.tobytes()]})
 
-    sums = matrix.mapInPandas(partial, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect()
-    out = np.zeros_like(right)
-    for r in sums:
-        part = np.frombuffer(r.part, np.float32).reshape(-1, right.shape[1])
-        out[r.block * ROWS : r.block * ROWS + len(part)] = part
+    sums = matrix.mapInPandas(partial, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").toArrow()
     shipped.destroy()
+    out = np.zeros(right.shape)
+    for block, part in zip(sums["block"].to_pylist(), sums["part"], strict=True):
+        rows = np.frombuffer(part.as_buffer(), np.float32).reshape(-1, right.shape[1])
+        out[block * ROWS : block * ROWS + len(rows)] = rows
     return out
 
 
@@ -213,7 +216,8 @@ def randomised_svd(matrix: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
     width = min(min(rank, matrix.count()) + EXTRA, len(idf))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(idf), width)))[0]
     for _ in range(POWER + 1):
-        q = np.linalg.qr(gram_times(matrix, q, idf))[0]
+        q = gram_times(matrix, q, idf)  # the q before is no longer held
+        q = np.linalg.qr(q)[0]
     values, vectors = np.linalg.eigh(q.T @ gram_times(matrix, q, idf))
     order = np.argsort(values)[::-1][:rank]
     return q @ vectors[:, order[values[order] > 1e-9 * values.max()]]

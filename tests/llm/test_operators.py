@@ -699,3 +699,16 @@ def test_language_model_without_training_rows(spark):
     r = d.first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score <= 0
     assert scored(spark, [])[0].count() == 0
+
+
+def test_products_are_shipped_in_single_precision(spark, monkeypatch):
+    sent, kind = [], type(spark.sparkContext)
+    plain = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, x: sent.append(x) or plain(self, x))
+    rows, w = [([0, 1, 2], 1.0), ([1, 3, 3], 0.5)], np.array([1.0, 2.0, 3.0, 0.5])
+    x = np.random.default_rng(1).normal(size=(4, 2))
+    terms = [(np.bincount(ids, minlength=4) * w, weight) for ids, weight in rows]
+    expected = sum(weight * np.outer(t, t @ x) for t, weight in terms)
+    got = decontaminate.gram_times(spark.createDataFrame(rows, "ids array<int>, weight double"), x, w)
+    assert np.allclose(got, expected, rtol=1e-5)
+    assert sent[0][0].dtype == np.float32  # doubles took the pipeline's driver over its limit
