@@ -118,6 +118,9 @@ dv AS (SELECT m.security_id, d::DATE AS date, m.price, m.currency FROM generate_
 cr AS (SELECT security_id, date, price, currency, 'linked' AS source, 1 AS k FROM lk UNION ALL SELECT security_id, date, price, currency, 'manual', 0 FROM ma WHERE security_id IN (SELECT security_id FROM lk) UNION ALL SELECT security_id, date, price, currency, 'derived', 1 FROM dv WHERE security_id NOT IN (SELECT security_id FROM lk)
   UNION ALL SELECT security_id, date, price * 2, 'JPY', 'reported', 1 FROM pc WHERE security_id % 13 <> 5 AND day(date) <> 31 AND security_id NOT IN (SELECT security_id FROM lk UNION SELECT security_id FROM ma)),
 ch_ AS (SELECT security_id, date, arg_min(price, k)::DOUBLE AS price, arg_min(source, k) AS source FROM cr GROUP BY ALL), cc AS (SELECT security_id, arg_max(currency, (k, date)) AS price_currency FROM cr GROUP BY 1), chain AS (SELECT ch_.*, price_currency FROM ch_ JOIN cc USING (security_id))"""
+# every security without a linked series, on all days from its first appraisal to the last of all prices
+WHOLE_CHAIN = CHAIN.replace(CHAIN[CHAIN.index("\ndv AS ("):CHAIN.index("\ncr AS (")], """
+dv AS (SELECT security_id, unnest(generate_series(date, coalesce(nd - 1, until), INTERVAL 1 DAY))::DATE AS date, price, currency FROM (SELECT *, lead(date) OVER (PARTITION BY security_id ORDER BY date) AS nd, (SELECT max(date) FROM pc) AS until FROM ma WHERE security_id NOT IN (SELECT security_id FROM lk))),""").replace("security_id % 13 <> 5 AND day(date) <> 31 AND security_id NOT IN", "security_id NOT IN")
 LOT_PATHS = PATHS.replace(PATHS[PATHS.index("\nst AS ("):PATHS.index("\nmv AS (")], f"""
 st AS (SELECT {G}, 0 AS lot_seq, as_of_date, {LOT_QUANTITY} AS quantity, {LOT_COST} AS avg_cost, {LOT_REPORTED} AS reported FROM snap WHERE NOT {CLOSED} AND as_of_date >= {LOT_FROM}),""")
 
@@ -152,7 +155,7 @@ dt AS (SELECT DISTINCT {G}, as_of_date AS date FROM st), lt AS (SELECT DISTINCT
 SELECT {G}, date, sum(q)::DOUBLE AS total, {r("CASE WHEN count(*) FILTER (q > 1e-7 AND a IS NULL) = 0 THEN sum(CASE WHEN q > 1e-7 THEN q * a END) / nullif(sum(CASE WHEN q > 1e-7 THEN q END), 0) END")} AS cost FROM x GROUP BY {G}, date""",
     "previous_day_basis": f"""{PATHS.replace('WITH RECURSIVE', 'WITH', 1)[:PATHS.replace('WITH RECURSIVE', 'WITH', 1).index(chr(10) + 'mv AS (')].rstrip(',')}, l AS (SELECT account_id, max(as_of_date + (account_id % 5)::INTEGER) FILTER (as_of_date + (account_id % 5)::INTEGER <= {DAY} + 3) AS last FROM st GROUP BY 1)
 SELECT account_id, greatest(least(last, {DAY}), {DAY} - 1) - 1 AS basis FROM l WHERE last IS NOT NULL""",
-    "price_chain": f"WITH {RICH}, {PRICES}, {CHAIN} SELECT security_id, date, {r('price', 2)} AS price, price_currency, source FROM chain",
+    "price_chain": f"WITH {RICH}, {PRICES}, {WHOLE_CHAIN} SELECT security_id, date, {r('price', 2)} AS price, price_currency, source FROM chain",
     "history_by_class": f"{worths(BOTH, '', 'ov.ov')} SELECT asset_class, day, {r(f'sum(value) * {SURE}::DOUBLE', 0)} AS value, {r(f'sum(cost) * {SURE}::DOUBLE', 0)} AS cost FROM wb GROUP BY ALL",
     "history_by_security": f"{worths(LOT_PATHS, chr(44) + chr(39) + 'closed' + chr(39), 'NULL')} SELECT wb.security_id, wb.day, {r(f'sum(value) / any_value(rd.rate) * {SURE}::DOUBLE', 1)} AS value, {r(f'sum(cost) / any_value(rd.rate) * {SURE}::DOUBLE', 1)} AS cost, {r('sum(quantity)')} AS quantity, bool_or(backfilled) AS backfilled FROM wb JOIN rd ON rd.currency = 'USD' AND rd.day = wb.day GROUP BY wb.security_id, wb.day",
     "trade_price_fill": f"WITH {RICH}, {PRICES}, {CHAIN} SELECT concat_ws('-', {REF}, t.security_id, t.quantity) AS ref, {r('arg_max(c.price, c.date)', 2)} AS price, max(c.date) AS priced_on FROM rich t LEFT JOIN chain c ON c.security_id = t.security_id AND c.price_currency = t.currency AND c.date BETWEEN t.trade_date - 7 AND t.trade_date WHERE unit_price IS NULL GROUP BY ALL",

@@ -103,3 +103,21 @@ def test_price_chains_join_the_ledger_once(spark, data):
     # the trades themselves are read, and nothing of them a second time for the series
     plan = ledgers.QUERIES["trade_price_fill"](spark, data)._jdf.queryExecution().analyzed().toString()
     assert plan.count("l_linenumber#") and plan.count("sum(gross") == 0
+
+
+def test_price_chain_covers_every_security_and_day(spark, monkeypatch):
+    # 1 is linked, 22 too with manual rows; 3 and 32 are only appraised, 4 and 5 only reported
+    ends = [D(1995, 3, 31), D(1997, 6, 30), D(1998, 5, 31), D(1999, 9, 30), D(2000, 1, 31)]
+    rows = [(s, d, 100 * s + i) for s in (1, 3, 4, 5, 22, 32) for i, d in enumerate(ends)] + [(1, None, 9)]
+    monkeypatch.setattr(ledgers.dm, "ledger", lambda spark, sf: None)
+    monkeypatch.setattr(ledgers.dm, "prices", lambda tx: spark.createDataFrame(rows, "security_id long, date date, price long"))
+    want = {(1, None, 9.0, "EUR", "linked")} | {(1, d, 100.0 + i, "EUR", "linked") for i, d in enumerate(ends)} | {(s, d, 2.0 * (100 * s + i), "JPY", "reported") for s in (4, 5) for i, d in enumerate(ends)}
+    want |= {(22, d, 2200.0 + i + 7 * (d.month % 3 == 0), "JPY", "manual" if d.month % 3 == 0 else "linked") for i, d in enumerate(ends)}
+    for s in (3, 32):
+        day = ends[0]
+        while day <= ends[-1]:
+            last = max(i for i, d in enumerate(ends) if d <= day and d.month % 3 == 0)
+            want.add((s, day, 100.0 * s + last + 7, "JPY", "derived"))
+            day += dt.timedelta(days=1)
+    got = [tuple(r) for r in ledgers.QUERIES["price_chain"](spark, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
